@@ -1,0 +1,6 @@
+"""Every registered query of the engine and, where SQL can express it, its DuckDB equivalent."""
+
+from __future__ import annotations
+
+QUERIES: dict = {}
+ORACLES: dict = {}
