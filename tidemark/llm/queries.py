@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import packing, quality, token_count, url_rules
+from . import line_spread, packing, quality, token_count, url_rules
 from .common import table
 from .default_rules import HOST_RULES, PATTERN_RULES
 
@@ -27,7 +27,12 @@ def op6_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).drop("n_lines")
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op4_harmonic_packing, op5_token_counts, op6_quality_ledger)}
+def op9_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    return line_spread.dedup_lines(docs).select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), "text")
+
+
+QUERIES = {f.__name__: f for f in (op2_url_filter, op4_harmonic_packing, op5_token_counts, op6_quality_ledger, op9_line_spread)}
 
 #: Host and path as the contract cuts them; each pattern rule tried on every URL.
 OP2_SQL = r"""
@@ -74,4 +79,17 @@ b AS (
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed, (failed & 3) <> 0 AS base_failed, (failed & 127) = 0 AS kept FROM b
 """
 
-ORACLES = {"op2_url_filter": OP2_SQL, "op6_quality_ledger": OP6_SQL}
+#: Exact distinct sites of every line.
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, source, text, string_split(text, chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, source, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) AS i FROM d),
+spread AS (SELECT line FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY line HAVING count(DISTINCT source) >= 10),
+k AS (SELECT doc_id, count(*) AS n, coalesce(string_agg(line, chr(10) ORDER BY i), '') AS joined FROM l WHERE line NOT IN (SELECT line FROM spread) GROUP BY doc_id),
+j AS (SELECT d.doc_id, text, len(ls) AS n_all, coalesce(n, 0) AS n_kept, coalesce(joined, '') AS joined FROM d LEFT JOIN k ON k.doc_id = d.doc_id)
+SELECT doc_id, coalesce(n_all, 0)::BIGINT AS n_lines,
+  CASE WHEN 2 * (length(text) - length(joined)) > length(text) THEN 0 ELSE coalesce(n_all - n_kept, 0) END::BIGINT AS n_removed,
+  CASE WHEN 2 * (length(text) - length(joined)) > length(text) THEN text ELSE joined END AS text
+FROM j
+"""
+
+ORACLES = {"op9_line_spread": OP9_SQL, "op2_url_filter": OP2_SQL, "op6_quality_ledger": OP6_SQL}
