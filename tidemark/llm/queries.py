@@ -6,11 +6,15 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import line_spread, packing, quality, token_count, toxicity, url_rules
+from . import decontaminate, line_spread, packing, quality, token_count, toxicity, url_rules
 from .common import table
 from .default_rules import HOST_RULES, PATTERN_RULES
 
 
+def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_rules.filter_urls(table(spark, sf_dir, "pages"), HOST_RULES + PATTERN_RULES).drop("n_candidates")
 
@@ -37,7 +41,7 @@ def op9_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_spread.dedup_lines(docs).select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), "text")
 
 
-QUERIES = {f.__name__: f for f in (op2_url_filter, op4_harmonic_packing, op5_token_counts, op6_quality_ledger, op8_toxicity, op9_line_spread)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_url_filter, op4_harmonic_packing, op5_token_counts, op6_quality_ledger, op8_toxicity, op9_line_spread)}
 
 #: Host and path as the contract cuts them; each pattern rule tried on every URL.
 OP2_SQL = r"""
