@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, line_spread, packing, quality, token_count, toxicity, url_rules
+from . import dart_minhash, decontaminate, line_spread, packing, quality, token_count, toxicity, url_rules
 from .common import table
 from .default_rules import HOST_RULES, PATTERN_RULES
 
@@ -31,6 +31,10 @@ def op6_quality_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(table(spark, sf_dir, "documents")).drop("n_lines")
 
 
+def op7_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dart_minhash.near_classes(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
@@ -41,7 +45,7 @@ def op9_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_spread.dedup_lines(docs).select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_url_filter, op4_harmonic_packing, op5_token_counts, op6_quality_ledger, op8_toxicity, op9_line_spread)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_url_filter, op4_harmonic_packing, op5_token_counts, op6_quality_ledger, op7_dart_minhash, op8_toxicity, op9_line_spread)}
 
 #: Host and path as the contract cuts them; each pattern rule tried on every URL.
 OP2_SQL = r"""
