@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dart_minhash, decontaminate, line_spread, packing, quality, suffix_dedup, token_count, toxicity, url_rules
+from . import dart_minhash, decontaminate, line_spread, packing, quality, suffix_dedup, token_count, token_file, toxicity, url_rules
 from .common import table
 from .default_rules import HOST_RULES, PATTERN_RULES
 
@@ -49,7 +49,12 @@ def op9_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_spread.dedup_lines(docs).select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), "text")
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_url_filter, op3_suffix_dedup, op4_harmonic_packing, op5_token_counts, op6_quality_ledger, op7_dart_minhash, op8_toxicity, op9_line_spread)}
+def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = token_file.write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return token_file.read_ids(blocks)
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_url_filter, op3_suffix_dedup, op4_harmonic_packing, op5_token_counts, op6_quality_ledger, op7_dart_minhash, op8_toxicity, op9_line_spread, op10_token_file)}
 
 #: Host and path as the contract cuts them; each pattern rule tried on every URL.
 OP2_SQL = r"""
