@@ -1,8 +1,67 @@
-"""The corpus pipeline."""
+"""The corpus pipeline: each stage is one operator of tidemark.llm, written as Parquet and read again by the next.
+
+STAGES lists (name, function(spark, docs, sf_dir)); run(spark, sf_dir) applies them to the table documents. All but the last return
+the columns of documents. SQL cannot express toxicity, near duplicates, tokens or bins: tests/llm compares with brute force.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.llm import dart_minhash, decontaminate, line_spread, packing, toxicity
+from tidemark.llm.common import table, written
+
+
+def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """docs whose doc_id is not among keys (one column, doc_id); rows without an id stay."""
+    gone = keys.select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier rejects go. It learns from the labelled documents of the corpus."""
+    model = toxicity.fit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return toxicity.keep_clean(docs, model)
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Boilerplate lines go; n_chars follows the text."""
+    cleaned = line_spread.dedup_lines(docs)
+    if "n_chars" in docs.columns:
+        cleaned = cleaned.withColumn("n_chars", F.when(F.col("_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+    return cleaned.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each class of near duplicates the document with the least id stays."""
+    classes = dart_minhash.near_classes(docs)
+    return _without(docs, classes.where("class_id <> doc_id").select("doc_id"))
+
+
+def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    return _without(docs, written(decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")), "leaks").select("doc_id"))
+
+
+def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", dedup_lines),
+    ("near_dedup", dedup_documents),
+    ("decontamination", decontaminate_documents),
+    ("packing", pack_documents),
+]
 
 ORACLE_SQL = None
-STAGES: list = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -188,3 +188,17 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, key: str = "doc
     scored = docs.select(F.col(key), docs[text].cast("string").alias("_text")).mapInArrow(arrow_map(body), f"`{key}` {kind}, score double")
     held_out = F.coalesce(fold(F.col(key)) == 1, F.lit(False))
     return scored.select(key, held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.7, text: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that score under the threshold; no shuffle."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    known: list[_Margins] = []
+    at = docs.columns.index(text)
+
+    def body(batch: pa.RecordBatch) -> pa.RecordBatch:
+        if not known:
+            known.append(_Margins(shared.value))
+        return batch.filter(pa.array([shared.value.score(t.as_py(), known[0]) < threshold for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(arrow_map(body), docs.schema)
