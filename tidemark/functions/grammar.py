@@ -50,6 +50,11 @@ MONTHS = ("january", "february", "march", "april", "may", "june", "july", "augus
 LABEL_MOST = 60
 
 
+def _let(parts: dict[str, Column], body) -> Column:
+    """body over a struct of the parts: each part is computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(F.struct(*[c.alias(k) for k, c in parts.items()])), body), F.lit(0))
+
+
 def _group(text: Column, pattern: str, k: int) -> Column:
     got = F.regexp_extract(text, pattern, k)
     return F.when(got != "", got)
@@ -74,20 +79,27 @@ def quantity(value: Column, cited: Column | None = None, unit: Column | None = N
     The unit is the word that the number carries, else the first word of the cited unit; years are months times twelve."""
     cited = F.lit(None).cast("string") if cited is None else cited
     unit = F.lit(None).cast("string") if unit is None else unit
-    op = comparison(cited, value, plus_is_floor)
-    letters = value.rlike("[A-Za-z]")
-    carried = value.rlike(CARRIED)
-    anchored = ~carried & ~letters & (F.coalesce(F.trim(unit), F.lit("")) != "")
-    part = lambda k: F.when(carried, _group(value, CARRIED, k)).when(anchored, _group(F.trim(unit), ANCHOR, k))
-    years, months, percent, per, other = (part(k) for k in range(1, 6))
+    given = {"value": value, "op": comparison(cited, value, plus_is_floor), "letters": value.rlike("[A-Za-z]"), "carried": value.rlike(CARRIED), "unit": F.trim(unit)}
+    return _let(given, lambda p: _quantity_of(p, plus_is_floor))
+
+
+def _quantity_of(p: Column, plus_is_floor: bool) -> Column:
+    anchored = ~p["carried"] & ~p["letters"] & (F.coalesce(p["unit"], F.lit("")) != "")
+    part = lambda k: F.when(p["carried"], _group(p["value"], CARRIED, k)).when(anchored, _group(p["unit"], ANCHOR, k))
+    words = {f"w{k}": part(k) for k in range(1, 6)}
+    numbers = {"lo": _group(p["value"], "(?U)" + RANGE, 1), "hi": _group(p["value"], "(?U)" + RANGE, 2), "plus": _group(p["value"], "(?U)" + PLUS, 1), "one": _group(p["value"], "(?U)" + NUMBER, 1)}
+    rest = {"value": p["value"], "op": p["op"], "anchored": anchored, "letters": p["letters"]}
+    return _let(words | numbers | rest, lambda x: _quantity_built(x, plus_is_floor))
+
+
+def _quantity_built(p: Column, plus_is_floor: bool) -> Column:
+    value, op = p["value"], p["op"]
+    years, months, percent, per, other = (p[f"w{k}"] for k in range(1, 6))
     known = F.coalesce(years, months, percent, per).isNotNull()
     dimension = F.when(years.isNotNull() | months.isNotNull(), "duration").when(percent.isNotNull(), "percentage").when(per.isNotNull(), "frequency").otherwise("count")
     spelled = F.when(years.isNotNull() | months.isNotNull(), "month").when(percent.isNotNull(), "percent").when(per.isNotNull(), F.concat(F.lit("per_"), F.lower(per)))
     scale = F.when(years.isNotNull(), 12.0).otherwise(1.0)
-    unreadable = (op == "?") | other.isNotNull() | (~known & (anchored | letters))
-
-    def number(pattern: str, k: int) -> Column:
-        return _group(value, pattern, k).try_cast("double") * scale
+    unreadable = (op == "?") | other.isNotNull() | (~known & (p["anchored"] | p["letters"]))
 
     def q(c, lo, hi, inc_lo, inc_hi) -> Column:
         none = F.lit(None)
@@ -97,9 +109,7 @@ def quantity(value: Column, cited: Column | None = None, unit: Column | None = N
         )
 
     wide = "(?U)" + RANGE
-    lo, hi = number(wide, 1), number(wide, 2)
-    plus = number("(?U)" + PLUS, 1)
-    one = number("(?U)" + NUMBER, 1)
+    lo, hi, plus, one = (p[k].try_cast("double") * scale for k in ("lo", "hi", "plus", "one"))
     floor_ok = op.isNull() | (op == "gte") if plus_is_floor else op.isNull()
     yes, no = F.lit(True), F.lit(False)
     return (
@@ -171,22 +181,30 @@ def money(value: Column, cited: Column, currency: Column, period_text: Column, l
         text = F.trim(F.regexp_replace(F.regexp_replace(text, rf"\b(?:{CODES_WIDE})\b|(?i)\b(?:{CODES})\b", " "), r"(?U)\s+", " "))
         text = F.regexp_replace(text, r"(\d(?:[\d.,]*\d)?)\s*([$£€¥])(?!\s*\d)", "$2$1")
         text = F.when(range_word & text.rlike(rf"^{AMOUNT}\s+{AMOUNT}$"), F.regexp_replace(text, rf"^{AMOUNT}\s+{AMOUNT}$", "$1$2$3 - $4$5$6")).otherwise(text)
+    lasting = period(period_text)
+    if wide:
+        codes = F.array_distinct(F.regexp_extract_all(label, F.lit(rf"\b({CODES_WIDE})\b"), F.lit(1)))
+        dollar = F.when(F.size(codes) == 1, F.get(codes, F.lit(0))).otherwise(dollar)
+        told = _periods_named(label)
+        lasting = F.coalesce(period(period_text, PERIODS_WIDE), F.when(F.size(told) == 1, F.get(told, F.lit(0))).when((F.size(told) == 0) & label.rlike(r"(?iU)\b(?:salary|salario|salaire|gehalt)\b"), "year"))
+    none = F.lit(None).cast("string")
+    given = {"value": value, "text": text, "op": op, "code": code, "range_word": range_word, "dollar": none if dollar is None else dollar, "period": lasting}
     pair, single = rf"(?U){'(?i)' if wide else ''}^{AMOUNT}\s*(?:{joins})\s*{AMOUNT}$", rf"(?U)^{AMOUNT}$"
-    s1, d1, k1, s2, d2, k2 = (_group(text, pair, k) for k in range(1, 7))
+    parts = lambda p: {f"p{k}": _group(p["text"], pair, k) for k in range(1, 7)} | {f"o{k}": _group(p["text"], single, k) for k in range(1, 4)} | {k: p[k] for k in given}
+    return _let(given, lambda p: _let(parts(p), lambda x: _money_built(x, pair, single)))
+
+
+def _money_built(p: Column, pair: str, single: str) -> Column:
+    value, text, op, range_word = p["value"], p["text"], p["op"], p["range_word"]
+    s1, d1, k1, s2, d2, k2 = (p[f"p{k}"] for k in range(1, 7))
     lo, hi = _amount(d1, k1), _amount(d2, k2)
     both_k = k2.isNotNull() & k1.isNull() & (lo.try_cast("double") < 1000)
     lo = F.when(both_k, F.floor(lo.try_cast("double") * 1000).cast("long").cast("string")).otherwise(lo)
-    sign, digits, k = (_group(text, single, i) for i in range(1, 4))
+    sign, digits, k = (p[f"o{i}"] for i in range(1, 4))
     one = _amount(digits, k)
     sign = F.when(text.rlike(pair), F.coalesce(s1, s2)).otherwise(sign)
-    named = F.coalesce(code, F.when(sign == "£", "GBP").when(sign == "€", "EUR"))
-    if wide:
-        codes = F.array_distinct(F.regexp_extract_all(label, F.lit(rf"\b({CODES_WIDE})\b"), F.lit(1)))
-        named = F.coalesce(named, F.when(sign == "$", F.when(F.size(codes) == 1, F.get(codes, F.lit(0))).otherwise(dollar)))
-        told = _periods_named(label)
-        lasting = F.coalesce(period(period_text, PERIODS_WIDE), F.when(F.size(told) == 1, F.get(told, F.lit(0))).when((F.size(told) == 0) & label.rlike(r"(?iU)\b(?:salary|salario|salaire|gehalt)\b"), "year"))
-    else:
-        lasting = period(period_text)
+    named = F.coalesce(p["code"], F.when(sign == "£", "GBP").when(sign == "€", "EUR").when(sign == "$", p["dollar"]))
+    lasting = p["period"]
 
     def m(c, a, b) -> Column:
         none = F.lit(None).cast("string")
