@@ -16,8 +16,8 @@ from tidemark.llm.common import table, written
 
 def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """docs whose doc_id is not among keys (one column, doc_id); rows without an id stay."""
-    gone = keys.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    gone = keys.select(F.col("doc_id").alias("__gone_id")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["__gone_id"], "left_anti")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines go; n_chars follows the text."""
     cleaned = line_spread.dedup_lines(docs)
     if "n_chars" in docs.columns:
-        cleaned = cleaned.withColumn("n_chars", F.when(F.col("_removed") > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
+        cleaned = cleaned.withColumn("n_chars", F.when(F.col(line_spread.REMOVED) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return cleaned.select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

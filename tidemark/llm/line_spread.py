@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 from .common import written
 
+#: Added columns; columns of the input that are so named are replaced, all others stay.
+LINES, REMOVED = "__lines", "__removed"
 MIN_SITES = 10
 LG_K = 11
 #: Lines whose estimate is within this share of the threshold are counted exactly: over four standard errors of the sketch.
@@ -27,8 +29,8 @@ MOST_LITERALS = 20_000
 
 
 def _hashes(docs: DataFrame, text: str, *keep: Column) -> DataFrame:
-    lines = docs.select(*keep, F.explode(F.split(docs[text], "\n", -1)).alias("_line"))
-    return lines.where(F.col("_line").rlike(r"\S")).select(*[c for c in lines.columns if c != "_line"], F.xxhash64("_line").alias("_hash"))
+    lines = docs.select(*keep, F.explode(F.split(docs[text], "\n", -1)).alias("__line"))
+    return lines.where(F.col("__line").rlike(r"\S")).select(*[c for c in lines.columns if c != "__line"], F.xxhash64("__line").alias("_hash"))
 
 
 def spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source", text: str = "text") -> DataFrame:
@@ -44,23 +46,24 @@ def spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "sourc
 
 
 def remove_lines(docs: DataFrame, boilerplate: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with text cleaned, and _lines and _removed: how many lines it had and how many went."""
+    """docs with text cleaned, and LINES and REMOVED: how many lines it had and how many went."""
     n, bound = boilerplate.count(), "false"
+    own = [c for c in docs.columns if c not in (LINES, REMOVED)]
     if n > MOST_LITERALS:
-        hits = _hashes(docs, text, docs[key].alias("_key")).distinct().join(boilerplate, "_hash", "left_semi").groupBy("_key").agg(F.collect_set("_hash").alias("_hits"))
-        cleaned = docs.join(hits, docs[key].eqNullSafe(hits["_key"]), "left").drop("_key")
-        bound = "coalesce(array_contains(_hits, xxhash64(x)), false)"
+        hits = _hashes(docs, text, docs[key].alias("__spread_key")).distinct().join(boilerplate, "_hash", "left_semi").groupBy("__spread_key").agg(F.collect_set("_hash").alias("__spread_hits"))
+        cleaned = docs.join(hits, docs[key].eqNullSafe(hits["__spread_key"]), "left").drop("__spread_key")
+        bound = "coalesce(array_contains(__spread_hits, xxhash64(x)), false)"
     else:
         cleaned = docs
         if n:
             bound = "xxhash64(x) IN (" + ", ".join(f"cast('{r[0]}' as bigint)" for r in boilerplate.collect()) + ")"
-    cleaned = cleaned.withColumn("_all", F.split(docs[text], "\n", -1)).withColumn("_kept", F.expr(f"filter(_all, x -> NOT {bound})"))
-    cleaned = cleaned.withColumn("_joined", F.array_join("_kept", "\n"))
-    whole = 2 * (F.length(text) - F.length("_joined")) > F.length(text)
+    cleaned = cleaned.withColumn("__spread_all", F.split(docs[text], "\n", -1)).withColumn("__spread_kept", F.expr(f"filter(__spread_all, x -> NOT {bound})"))
+    cleaned = cleaned.withColumn("__spread_text", F.array_join("__spread_kept", "\n"))
+    whole = 2 * (F.length(text) - F.length("__spread_text")) > F.length(text)
     size = lambda c: F.when(F.col(text).isNull(), 0).otherwise(F.size(c))
     return cleaned.select(
-        *[F.when(whole, F.col(text)).otherwise(F.col("_joined")).alias(text) if c == text else F.col(f"`{c}`") for c in docs.columns],
-        size("_all").cast("long").alias("_lines"), F.when(whole, 0).otherwise(size("_all") - size("_kept")).cast("long").alias("_removed"),
+        *[F.when(whole, F.col(text)).otherwise(F.col("__spread_text")).alias(text) if c == text else F.col(f"`{c}`") for c in own],
+        size("__spread_all").cast("long").alias(LINES), F.when(whole, 0).otherwise(size("__spread_all") - size("__spread_kept")).cast("long").alias(REMOVED),
     )
 
 

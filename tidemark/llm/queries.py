@@ -46,7 +46,7 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return line_spread.dedup_lines(docs).select("doc_id", F.col("_lines").alias("n_lines"), F.col("_removed").alias("n_removed"), "text")
+    return line_spread.dedup_lines(docs).select("doc_id", F.col(line_spread.LINES).alias("n_lines"), F.col(line_spread.REMOVED).alias("n_removed"), "text")
 
 
 def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
