@@ -147,3 +147,37 @@ def test_registry(spark):
     assert [r["board"] for r in boards.collect()] == ["a", "b"] and len(revision) == 64
     with pytest.raises(ValueError):
         archive.registry(spark, '[[board]]\ncompany="C"\nsource="workday"\nboard="b"')
+
+
+def test_binding(spark):
+    from tidemark.functions import binding
+
+    doc = "Needs **Rust** and “Go”.\nNeeds Go."
+    assert binding.bind(doc, (25, 34), "Needs") == (25, 30, "block")
+    assert binding.bind(doc, None, "Needs") is None and binding.bind(doc, None, "Needs", lenient=True) == (0, 5, "first_document")
+    assert binding.bind(doc, None, '"Go"') == (19, 23, "document_typographic")
+    assert binding.bind(doc, None, "needs rust") == (0, 12, "document_emphasis")
+    assert binding.places("aaaa", "aa") == [0, 1, 2] and binding.first_difference("abcdef", "bcdx") == (3, 1)
+    df = spark.createDataFrame([(doc, 25, 34, "Go"), (doc, None, None, None)], "d string, a int, b int, q string")
+    assert [r[0] and tuple(r[0]) for r in df.select(binding.bound(F.col("d"), F.col("a"), F.col("b"), F.col("q"))).collect()] == [(31, 33, "block"), (None, None, None)]
+
+
+def test_store_and_evaluation(spark, tmp_path):
+    from tidemark.operators import evaluation
+    from tidemark.plans.store import Store
+
+    store = Store(spark, f"file://{tmp_path}/store")
+    assert store.current() is None and store.cursor("c") is None
+    store.publish({"t": spark.range(3)})
+    first = store.current()
+    with pytest.raises(ZeroDivisionError):
+        store.publish({"t": spark.range(9)}, check=lambda read: 1 / 0)
+    assert store.current() == first and store.table("t").count() == 3
+    store.publish({"t": spark.range(4)})
+    assert store.table("t").count() == 4
+    at = dt.datetime(2026, 1, 1)
+    store.advance("c", at, [2])
+    assert store.advance("c", at, [1]) == (at, [1, 2]) and store.cursor("c") == (at, [1, 2])
+    rows = [("m", "all", k, 0.0, 1.0) for k in range(20)] + [("n", "all", k, 0.0, 1.0 if k % 2 else -1.0) for k in range(20)]
+    got = {r["metric"]: r["verdict"] for r in evaluation.paired_bootstrap(spark.createDataFrame(rows, "metric string, split string, doc_id int, before double, after double"), resamples=1000).collect()}
+    assert got == {"m": "up", "n": "flat"}

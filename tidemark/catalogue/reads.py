@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.identity import hash_slot, norm_list, norm_token
-from ..operators import pages, reads
+from ..operators import evaluation, pages, reads
 from ..plans.snapshots import table
 
 
@@ -153,8 +153,17 @@ def distinct_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reads.distinct_by_first(words, ["doc_id"], "name", "pos")
 
 
+def profile_choice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _extractions(spark, sf_dir).withColumn("document_hash", F.concat(F.lit("d"), (F.col("doc_id") % 97).cast("string")))
+    return evaluation.profile_choice(x, "p1").select("document_hash", "doc_id", "status", "prompt_version", "historical")
+
+
+def extraction_fold_recency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _extractions(spark, sf_dir).groupBy("model", "prompt_version", "status").agg(F.max("updated_at").alias("folded_at"), F.count("*").alias("n"))
+
+
 QUERIES = {f.__name__: f for f in (
-    events_after_watermark, events_keyset_page, postings_keyset_page, search_ilike, model_glob_filter, lateral_top1, unsatisfied_anti_join, superseded_exists, extraction_status_block, consolidation_report,
+    profile_choice, extraction_fold_recency, events_after_watermark, events_keyset_page, postings_keyset_page, search_ilike, model_glob_filter, lateral_top1, unsatisfied_anti_join, superseded_exists, extraction_status_block, consolidation_report,
     migration_reasons, next_attempt_number, claims_by_mention, mention_document_frequency, skill_vocabulary, content_dedup_versions, document_hash_shared, hash_mod_sample_slot, stratified_sample,
     pairwise_set_jaccard, eval_score_table, list_coverage_verdict, detail_budget, norm_locations, distinct_spellings,
 )}
@@ -167,6 +176,8 @@ EX = """WITH ex AS (
 TOK = "tok AS (SELECT doc_id, source, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{4,}'))) AS term FROM documents)"
 
 ORACLES = {
+    "profile_choice": EX + " SELECT 'd' || (doc_id % 97)::VARCHAR AS document_hash, doc_id, status, prompt_version, prompt_version <> 'p1' AS historical FROM ex QUALIFY row_number() OVER (PARTITION BY doc_id % 97 ORDER BY prompt_version = 'p1' DESC, status = 'validated' DESC, updated_at DESC, model DESC) = 1",
+    "extraction_fold_recency": EX + " SELECT model, prompt_version, status, max(updated_at) AS folded_at, count(*) AS n FROM ex GROUP BY ALL",
     "events_after_watermark": "SELECT event_id, date_trunc('day', ts)::TIMESTAMP AS at, event_type FROM events WHERE date_trunc('day', ts) > TIMESTAMP '2024-01-29' OR (date_trunc('day', ts) = TIMESTAMP '2024-01-29' AND NOT (event_id % 3 = 0 AND event_id BETWEEN 9300 AND 9699))",
     "events_keyset_page": "SELECT event_id, event_type, user_id, value FROM events WHERE user_id > 3 OR (user_id = 3 AND event_id < 500) ORDER BY user_id, event_id DESC LIMIT 100",
     "postings_keyset_page": "SELECT o_orderdate::DATE AS o_orderdate, o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'F' AND (o_orderdate::DATE, o_orderkey) < (DATE '1997-01-01', 5000) ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 120",

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import markdown, texts
+from ..functions import binding, markdown, texts
 from ..plans.snapshots import table
 
 
@@ -90,8 +90,17 @@ def skill_pass_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", F.explode(F.pandas_udf(matches, "array<string>")("text")).alias("match"))
 
 
+def quote_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each fourth block's last twenty characters, quoted with marks or typographic signs by turns, bound to the document."""
+    d = _docs(spark, sf_dir)
+    b = texts.annotate(d).withColumn("n", F.substring("block_id", 2, 6).cast("int")).where("n % 4 = 1 and length(text) >= 20").withColumnRenamed("text", "_b")
+    quote = F.when(F.col("n") % 8 == 1, F.concat(F.lit("*"), F.substring("_b", -20, 20), F.lit("*"))).otherwise(F.substring("_b", -20, 20))
+    x = b.join(d, "doc_id").select("doc_id", "block_id", F.col("end").alias("_end"), binding.bound(F.col("text"), F.col("start"), F.col("end"), quote).alias("s"))
+    return x.select("doc_id", "block_id", (F.col("s.end") == F.col("_end")).alias("at_end"), F.col("s.tier").startswith("block").alias("in_block"))
+
+
 QUERIES = {f.__name__: f for f in (
-    annotate_blocks, block_intervals, find_occurrences, document_slice, offset_line_column, section_heading_fill, coverage_repeated_lines, interval_merge_coverage, jaccard_pairs, typographic_fold,
+    quote_binding, annotate_blocks, block_intervals, find_occurrences, document_slice, offset_line_column, section_heading_fill, coverage_repeated_lines, interval_merge_coverage, jaccard_pairs, typographic_fold,
     html_to_markdown, html_visible_text_equals, skill_pass_matches,
 )}
 
