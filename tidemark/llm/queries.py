@@ -98,7 +98,7 @@ b AS (
     + 8 * (10 * n_dup_lines > 3 * n_lines)::BIGINT + 16 * (word_chars < 2 * n_words)::BIGINT + 32 * (word_chars > 16 * n_words)::BIGINT
     + 64 * (n_words > 1000000)::BIGINT AS failed
   FROM c)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed, (failed & 3) <> 0 AS base_failed, (failed & 127) = 0 AS kept FROM b
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed, (failed & 3) <> 0 AS base_failed, (failed & 119) = 0 AS kept FROM b
 """
 
 #: Exact distinct sites of every line.
