@@ -17,7 +17,6 @@ is the label's share (0 where there is none). Rows are judged one by one.
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,25 +24,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import small_batches
+from .dart_minhash import mixed
 
-MOST_TRAINED = 12_000
+MOST_TRAINED = 8_000
 BUCKETS = 1 << 18
 DIMENSIONS = 8
-SPAN = 8
-SHORTEST, LONGEST = 3, 5
-STEPS = 60
-DAMPING, DECAY = 0.5, 1e-3
+SPAN = 2
+SHORTEST, LONGEST = 3, 6
+STEPS = 50
+DAMPING, DECAY, SMOOTH = 1.0, 1e-2, 3.0
+BATCH_BYTES = 2_000_000
 _EDGES = ".,;:!?\"'()[]{}<>«»¿¡…-–—*#|/\\"
 
 
-def subwords(word: str) -> list[int]:
-    """Bucket numbers of a word's bag: itself and its character n-grams, with its ends marked."""
-    marked = f"<{word}>"
-    out = [zlib.crc32(marked.encode()) % BUCKETS]
+def bags(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Bucket numbers of the words' bags (each word and its character n-grams, with its ends marked), whose they are, and the bags' sizes."""
+    points = np.frombuffer("".join(f"<{w}>" for w in words).encode("utf-32-le"), np.uint32).astype(np.uint64)
+    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    owner = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
+    rest = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(points))
+    units = [np.fromiter((zlib.crc32(w.encode()) for w in words), np.int64, len(words)) % BUCKETS]
+    owners = [np.arange(len(words), dtype=np.int32)]
     for n in range(SHORTEST, LONGEST + 1):
-        out += [zlib.crc32(marked[i : i + n].encode(), n) % BUCKETS for i in range(len(marked) - n + 1)]
-    return out
+        at = np.flatnonzero(rest >= n)
+        h = np.full(len(at), n, np.uint64)
+        for j in range(n):
+            h = h * np.uint64(0x9E3779B97F4A7C15) + points[at + j]
+        units.append((mixed(h) % np.uint64(BUCKETS)).astype(np.int64))
+        owners.append(owner[at])
+    whose = np.concatenate(owners)
+    return np.concatenate(units).astype(np.int32), whose, np.bincount(whose, minlength=len(words))
 
 
 def words_of(text: str) -> list[str]:
@@ -64,30 +75,34 @@ class Model:
     def __init__(self, margins: np.ndarray, bias: float, constant: float | None = None):
         self.margins, self.bias, self.constant = margins, bias, constant
 
-    def word(self, chunk: str) -> float:
-        return float(self.margins[subwords(bare(chunk))].mean())
+    def of_words(self, words: list[str]) -> np.ndarray:
+        units, owner, sizes = bags(words)
+        return np.bincount(owner, self.margins[units], len(words)) / sizes
 
-    def score(self, text: str | None, known: dict[str, float]) -> float:
-        if self.constant is not None:
-            return self.constant
-        margin = self.bias
-        if text and (words := words_of(text)):
-            values = np.fromiter(map(known.__getitem__, words), np.float64, len(words))
-            starts = span_starts(len(words))
-            margin += float((np.add.reduceat(values, starts) / np.diff(np.append(starts, len(words)))).max())
-        return float(1 / (1 + np.exp(-np.clip(margin, -500, 500))))
 
+class Scorer:
+    """Scores texts; the margins of words are kept between calls, as many as most."""
 
-class _Margins(dict):
-    def __init__(self, model: Model, most: int = 400_000):
-        super().__init__()
-        self.model, self.most = model, most
+    def __init__(self, model: Model, most: int = 600_000):
+        self.model, self.most, self.known = model, most, {}
 
-    def __missing__(self, chunk: str) -> float:
-        if len(self) >= self.most:  # bounded
-            self.clear()
-        self[chunk] = m = self.model.word(chunk)
-        return m
+    def scores(self, texts: list[str | None]) -> np.ndarray:
+        if self.model.constant is not None:
+            return np.full(len(texts), self.model.constant)
+        lists = [words_of(t) if t else [] for t in texts]
+        every = set().union(*lists)
+        new = list(every.difference(self.known))
+        if len(self.known) + len(new) > self.most:
+            self.known, new = {}, list(every)
+        if new:
+            self.known.update(zip(new, self.model.of_words(list(map(bare, new))).tolist()))
+        out = np.full(len(texts), self.model.bias)
+        for i, words in enumerate(lists):
+            if words:
+                values = np.fromiter(map(self.known.__getitem__, words), np.float64, len(words))
+                starts = span_starts(len(words))
+                out[i] += (np.add.reduceat(values, starts) / np.diff(np.append(starts, len(words)))).max()
+        return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
 
 
 def train(texts: Iterator[str | None], labels: np.ndarray, steps: int = STEPS, rate: float = 2.0, seed: int = 7) -> Model:
@@ -104,45 +119,38 @@ def train(texts: Iterator[str | None], labels: np.ndarray, steps: int = STEPS, r
     per_doc = np.array([-(-len(f) // SPAN) for f in flat])
     words = np.concatenate(flat)
     del flat
-    held_units, held_sizes = array("i"), array("i")
-    for w in numbers:
-        bag = subwords(w)
-        held_units.extend(bag)
-        held_sizes.append(len(bag))
+    units, owner, sizes = bags(list(numbers))
     del numbers
-    units, sizes = np.frombuffer(held_units, np.int32), np.frombuffer(held_sizes, np.int32)
-    bag_at = np.append(0, np.cumsum(sizes))[:-1]
-    owner = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
     span_sizes = np.diff(np.append(spans, len(words)))
     has = per_doc > 0
     doc_at = np.append(0, np.cumsum(per_doc))[:-1][has]
     span_doc = np.repeat(np.arange(len(per_doc)), per_doc)
     rng = np.random.default_rng(seed)
-    vectors = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (BUCKETS, DIMENSIONS)) * 0.01
+    # a start that already points somewhere: along the softmax weights, by the smoothed odds of meeting a bucket in documents of label 1
     weights = rng.normal(0, 1, DIMENSIONS)
+    whole = np.repeat(span_doc, span_sizes)
+    met = np.unique(whole * np.int64(len(sizes)) + words)
+    toxic = labels[met // len(sizes)] == 1
+    counts = [np.bincount(units, np.bincount(met[t] % len(sizes), minlength=len(sizes))[owner], BUCKETS) for t in (toxic, ~toxic)]
+    start = np.log((counts[0] + SMOOTH) / (counts[0].sum() + SMOOTH * BUCKETS)) - np.log((counts[1] + SMOOTH) / (counts[1].sum() + SMOOTH * BUCKETS))
+    vectors = rng.uniform(-1, 1, (BUCKETS, DIMENSIONS)) * 0.001 + start[:, None] * weights / (weights @ weights)
     bias, held, held_w, held_b = 0.0, np.zeros(BUCKETS), np.full(DIMENSIONS, 1e-8), 1e-8
     share, damp = labels.mean(), 0.0
     balance = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)) ** 0.5
-    for step in range(steps):
+    for _ in range(steps):
         margins = vectors @ weights
-        of_word = np.add.reduceat(margins[units], bag_at) / sizes
+        of_word = np.bincount(owner, margins[units], len(sizes)) / sizes
         of_span = np.add.reduceat(of_word[words], spans) / span_sizes if len(spans) else np.zeros(0)
         top = np.zeros(len(labels), np.int64)
         best = np.full(len(labels), bias)
-        first_steps = step < steps // 5  # the passages' mean, until it is known which passage is telling
-        if len(spans) and first_steps:
-            best[has] += np.add.reduceat(of_span, doc_at) / per_doc[has]
-        elif len(spans):
+        if len(spans):
             most = np.maximum.reduceat(of_span, doc_at)
             best[has] += most
             first = np.flatnonzero(of_span == np.repeat(most, per_doc[has]))
             top[span_doc[first][::-1]] = first[::-1]  # the first of equal passages
         wrong = (1 / (1 + np.exp(-np.clip(best, -60, 60))) - labels) * balance / len(labels)
         coefficient = np.zeros(len(spans))
-        if first_steps:
-            coefficient = (wrong / np.maximum(per_doc, 1))[span_doc]
-        else:
-            np.add.at(coefficient, top[has], wrong[has])
+        np.add.at(coefficient, top[has], wrong[has])
         live = np.flatnonzero(coefficient)
         lengths = span_sizes[live]
         at = np.repeat(spans[live] - np.append(0, np.cumsum(lengths))[:-1], lengths) + np.arange(lengths.sum())
@@ -176,16 +184,15 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINED, key: str =
 def score(docs: DataFrame, model: Model, threshold: float = 0.7, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, held_out, score, predicted for every row. The model has a fixed size (BUCKETS floats)."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    known: list[_Margins] = []
 
-    def body(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not known:
-            known.append(_Margins(shared.value))
-        scores = np.array([shared.value.score(t.as_py(), known[0]) for t in batch.column(1)])
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=[key, "score"])
+    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for whole in batches:
+            for batch in small_batches(whole, "_text", BATCH_BYTES):
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scorer.scores(batch.column(1).to_pylist()), pa.float64())], names=[key, "score"])
 
     kind = docs.schema[key].dataType.simpleString()
-    scored = docs.select(F.col(key), docs[text].cast("string").alias("_text")).mapInArrow(arrow_map(body), f"`{key}` {kind}, score double")
+    scored = docs.select(F.col(key), docs[text].cast("string").alias("_text")).mapInArrow(body, f"`{key}` {kind}, score double")
     held_out = F.coalesce(fold(F.col(key)) == 1, F.lit(False))
     return scored.select(key, held_out.alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
@@ -193,12 +200,11 @@ def score(docs: DataFrame, model: Model, threshold: float = 0.7, key: str = "doc
 def keep_clean(docs: DataFrame, model: Model, threshold: float = 0.7, text: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, that score under the threshold; no shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    known: list[_Margins] = []
-    at = docs.columns.index(text)
 
-    def body(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not known:
-            known.append(_Margins(shared.value))
-        return batch.filter(pa.array([shared.value.score(t.as_py(), known[0]) < threshold for t in batch.column(at)], pa.bool_()))
+    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(shared.value)
+        for whole in batches:
+            for batch in small_batches(whole, text, BATCH_BYTES):
+                yield batch.filter(pa.array(scorer.scores(batch.column(text).to_pylist()) < threshold))
 
-    return docs.mapInArrow(arrow_map(body), docs.schema)
+    return docs.mapInArrow(body, docs.schema)
