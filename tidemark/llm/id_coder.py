@@ -20,9 +20,10 @@ import numpy as np
 MAGIC = b"TMIDS1\0\0"
 _HEADER = struct.Struct("<8sIIIIII")  # magic, ids, lanes, symbols, bytes of lanes, checksum of the ids, checksum of the coded bytes
 LANES, LEAST_STEPS = 4096, 48
-_FLAG, _RANK = 16, 20  # bits of a decision's chance and of an order-0 share
-_TOP, _LOW = np.uint64(1 << 48), np.uint64(1 << 32)
-_U16 = np.uint64(16)
+_FLAG, _RANK = 16, 20  # bits of a decision's chance and of an order-0 share; a hit or miss and its id are one coding step
+_STEP, _HITS = np.uint64(_FLAG + _RANK), np.uint64(1 << _FLAG)
+_TOP, _LEAST, _MASK = np.uint64(1 << 56), np.uint64(1 << 40), np.uint64((1 << 40) - 1)
+_U16, _U20, _U40 = np.uint64(16), np.uint64(_RANK), np.uint64(40)
 
 
 class BlockError(ValueError):
@@ -36,19 +37,35 @@ class _Models:
         self.symbols = symbols
         self.one, self.two = np.zeros(65536, np.int32), np.zeros(65536, np.int32)  # id * 8 + confidence
         self.last, self.before = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
-        self.counts, self.steps = np.zeros(symbols, np.int64), 0
+        self.counts, self.recent, self.steps = np.zeros(symbols, np.int64), [], 0
         k = np.arange(128)
         self.conf2, self.conf1, self.sign = k >> 4, k >> 1 & 7, np.where(k & 1, 1.0, -1.0)
         self.hits, self.seen = np.zeros((3, 8)) + 0.4, np.zeros((3, 8)) + 1.0
+        self.met, self.right = np.zeros(128), np.zeros(128)
         self.weights = np.array([0.7, 0.4])
         self.rank()
+        self.mix()
 
     def rank(self) -> None:
-        """Shares of the ids, out of 2^20; every id has 16 at least."""
+        """Shares of the ids, out of 2^20; every id has 16 at least. inverse: the id of each share."""
+        if self.recent:
+            self.counts += np.bincount(np.concatenate(self.recent), minlength=self.symbols)
+            self.recent = []
         free = (1 << _RANK) - 16 * self.symbols
-        seen = np.cumsum(self.counts)
-        self.cum = np.zeros(self.symbols + 1, np.uint64)
-        self.cum[1:] = (seen * free // max(1, int(seen[-1])) + 16 * np.arange(1, self.symbols + 1)).astype(np.uint64)
+        seen = np.cumsum(self.counts) if self.counts.any() else np.arange(1, self.symbols + 1)
+        cum = np.zeros(self.symbols + 1, np.int64)
+        cum[1:] = seen * free // int(seen[-1]) + 16 * np.arange(1, self.symbols + 1)
+        self.cum, self.inverse = cum.astype(np.uint64), np.repeat(np.arange(self.symbols, dtype=np.int32), np.diff(cum))
+
+    def mix(self) -> None:
+        """The chances of a hit for all pairs of confidences, from what the steps since the last mix have shown."""
+        if self.met.any():
+            self.weights += 0.16 * (self.inputs @ (self.right - self.met * self.chance)) / self.met.sum()
+        p = np.log(self.hits / (self.seen - self.hits))
+        self.inputs = np.stack([np.where(self.conf2 > 0, p[2][self.conf2], 0.0), np.where(self.conf2 > 0, self.sign, 1.0) * p[1][self.conf1]])
+        self.chance = 1 / (1 + np.exp(-np.clip(self.weights @ self.inputs, -9, 9)))
+        self.table = np.clip(self.chance * 65536, 64, 65472).astype(np.uint64)
+        self.met, self.right = np.zeros(128), np.zeros(128)
 
     def predict(self) -> tuple[np.ndarray, np.ndarray]:
         """The id that is expected in each lane, and the chance of a hit out of 2^16."""
@@ -57,34 +74,37 @@ class _Models:
         self.id2, self.id1 = self.was2 >> 3, self.was1 >> 3
         c2 = self.was2 & 7
         self.context = (c2 << 4) | ((self.was1 & 7) << 1) | (self.id1 == self.id2)
-        p = np.log(self.hits / (self.seen - self.hits))
-        self.inputs = np.stack([np.where(self.conf2 > 0, p[2][self.conf2], 0.0), np.where(self.conf2 > 0, self.sign, 1.0) * p[1][self.conf1]])
-        self.chance = 1 / (1 + np.exp(-np.clip(self.weights @ self.inputs, -9, 9)))
-        table = np.clip(self.chance * 65536, 64, 65472).astype(np.uint64)
-        return np.where(c2 > 0, self.id2, self.id1), table[self.context]
+        return np.where(c2 > 0, self.id2, self.id1), self.table[self.context]
 
     def update(self, ids: np.ndarray, hit: np.ndarray) -> None:
-        n = np.bincount(self.context, minlength=128)
-        h = np.bincount(self.context[hit], minlength=128)
-        self.weights += 0.02 * (self.inputs @ (h - n * self.chance)) / max(1, len(ids)) * 8
-        for order, conf, own, was in ((2, self.conf2, self.id2, self.was2), (1, self.conf1, self.id1, self.was1)):
+        learn = self.steps & 3 == 0 or self.steps < 8  # chances change every fourth step, tables at every step
+        if learn:
+            self.met += np.bincount(self.context, minlength=128)
+            self.right += np.bincount(self.context[hit], minlength=128)
+        for order, own, was in ((2, self.id2, self.was2), (1, self.id1, self.was1)):
             level = was & 7
             right = own == ids
-            seen, hits = np.bincount(level, minlength=8), np.bincount(level[right], minlength=8)
-            self.seen[order] = self.seen[order] * 0.98 + seen + 0.02
-            self.hits[order] = self.hits[order] * 0.98 + hits + 0.008
-            new = np.where(right, was + (level < 7), np.where(level > 1, was - (level + 1 >> 1), (ids << 3) | 1)).astype(np.int32)
+            if learn:
+                self.seen[order] = self.seen[order] * 0.95 + np.bincount(level, minlength=8) + 0.02
+                self.hits[order] = self.hits[order] * 0.95 + np.bincount(level[right], minlength=8) + 0.008
+            new = np.where(right, was + _UP[level], np.where(level > 1, was - _DOWN[level], (ids << 3) | 1))
             if order == 2:
                 self.two[self.slot] = new
             else:
                 self.one[self.last] = new
         self.before, self.last = self.last, ids
-        self.counts += np.bincount(ids, minlength=self.symbols)
+        self.recent.append(ids)
         self.steps += 1
+        if learn:
+            self.mix()
         if self.steps & 15 == 0 or self.steps in (1, 2, 4):
             self.rank()
 
 
+_UP = np.array([1, 1, 1, 1, 1, 1, 1, 0], np.int32)
+_DOWN = np.array([0, 0, 1, 2, 2, 3, 3, 4], np.int32)
+
+
 def _lanes(n: int) -> tuple[int, int]:
     lanes = max(1, min(LANES, n // LEAST_STEPS))
     return lanes, -(-n // lanes)
@@ -100,49 +120,43 @@ def encode(ids: np.ndarray) -> bytes:
     padded = np.zeros(lanes * steps, np.int32)
     padded[:n] = ids
     grid = np.ascontiguousarray(padded.reshape(lanes, steps).T)
-    width = 2 * steps + 8
+    width = 3 * steps + 8
     out, base, at = np.zeros(lanes * width, np.uint16), np.arange(lanes) * width, np.zeros(lanes, np.int64)
-    low, span = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 48) - 1, np.uint64)
+    low, span = np.zeros(lanes, np.uint64), np.full(lanes, (1 << 56) - 1, np.uint64)
     models = _Models(lanes, symbols)
-
-    def settle(which: np.ndarray | None = None) -> None:
-        """Carries into words that are out, then the next word of each lane whose span is short (of which, or of all)."""
-        own = low if which is None else low[which]
-        over = np.flatnonzero(own >= _TOP)
-        if len(over):
-            over = over if which is None else which[over]
-            low[over] -= _TOP
-            back = base[over] + at[over] - 1
-            while len(back):
-                out[back] += np.uint16(1)
-                back = back[out[back] == 0] - 1
-        short = np.flatnonzero((span if which is None else span[which]) < _LOW)
-        if len(short):
-            short = short if which is None else which[short]
-            out[base[short] + at[short]] = low[short] >> np.uint64(32)
-            at[short] += 1
-            low[short] = (low[short] & np.uint64(0xFFFFFFFF)) << _U16
-            span[short] <<= _U16
-
     for step in range(steps if n else 0):
         now = grid[step]
         expected, chance = models.predict()
         hit = expected == now
-        share = (span >> np.uint64(_FLAG)) * chance
+        unit, part = span >> _STEP, chance << _U20
         miss = np.flatnonzero(~hit)
-        low[miss] += share[miss]
-        span = np.where(hit, share, span - share)
-        settle()
         if len(miss):
-            own = now[miss]
-            unit = span[miss] >> np.uint64(_RANK)
-            low[miss] += unit * models.cum[own]
-            span[miss] = unit * (models.cum[own + 1] - models.cum[own])
-            settle(miss)
+            own, rest, each, first = now[miss], _HITS - chance[miss], unit[miss], part[miss]
+            below = models.cum[own]
+            low[miss] += each * (first + rest * below)
+            part[miss] = rest * (models.cum[own + 1] - below)
+            over = miss[low[miss] >= _TOP]
+            if len(over):  # a carry into words that are out
+                low[over] -= _TOP
+                back = base[over] + at[over] - 1
+                while len(back):
+                    out[back] += np.uint16(1)
+                    back = back[out[back] == 0] - 1
+        span = unit * part
+        short = np.flatnonzero(span < _LEAST)
+        while len(short):
+            own = low[short]
+            out[base[short] + at[short]] = own >> _U40
+            at[short] += 1
+            low[short] = (own & _MASK) << _U16
+            span[short] <<= _U16
+            short = short[span[short] < _LEAST]
         models.update(now, hit)
-    for shift in (32, 16, 0):
+    for shift in (40, 24, 8):
         out[base + at] = (low >> np.uint64(shift)) & np.uint64(0xFFFF)
         at += 1
+    out[base + at] = (low & np.uint64(0xFF)) << np.uint64(8)
+    at += 1
     kept = out.reshape(lanes, width)[np.arange(width) < at[:, None]].astype("<u2").tobytes()
     body = at.astype("<u4").tobytes() + kept
     return _HEADER.pack(MAGIC, n, lanes, symbols, len(body), zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(body)) + body
@@ -157,39 +171,39 @@ def decode(block: bytes) -> np.ndarray:
         raise BlockError("wrong magic, length or checksum")
     steps = -(-n // lanes)
     at = np.frombuffer(body, "<u4", lanes).astype(np.int64)
-    words = np.append(np.frombuffer(body, "<u2", offset=4 * lanes), np.zeros(2, np.uint16)).astype(np.uint64)
+    words = np.append(np.frombuffer(body, "<u2", offset=4 * lanes), np.zeros(4, np.uint16)).astype(np.uint64)
     next_word = np.cumsum(at) - at
-    code = (words[next_word] << np.uint64(32)) | (words[next_word + 1] << _U16) | words[next_word + 2]
-    next_word += 3
-    span = np.full(lanes, (1 << 48) - 1, np.uint64)
+    code = (words[next_word] << _U40) | (words[next_word + 1] << np.uint64(24)) | (words[next_word + 2] << np.uint64(8)) | (words[next_word + 3] >> np.uint64(8))
+    # the window ends inside a word: of the fourth word a byte is still to come
+    half, next_word = words[next_word + 3] & np.uint64(0xFF), next_word + 4
+    span = np.full(lanes, (1 << 56) - 1, np.uint64)
     models = _Models(lanes, symbols)
     grid = np.empty((steps, lanes), np.int32)
-
-    def settle(which: np.ndarray | None = None) -> None:
-        short = np.flatnonzero((span if which is None else span[which]) < _LOW)
-        if len(short):
-            short = short if which is None else which[short]
-            code[short] = (code[short] << _U16) | words[np.minimum(next_word[short], len(words) - 1)]
-            next_word[short] += 1
-            span[short] <<= _U16
-
     for step in range(steps if n else 0):
         expected, chance = models.predict()
-        share = (span >> np.uint64(_FLAG)) * chance
-        hit = code < share
-        miss = np.flatnonzero(~hit)
-        code[miss] -= share[miss]
-        span = np.where(hit, share, span - share)
-        settle()
+        unit, part = span >> _STEP, chance << _U20
+        value = code // unit
+        hit = value < part
         now = expected.copy()
+        code_below = np.zeros(lanes, np.uint64)
+        miss = np.flatnonzero(~hit)
         if len(miss):
-            unit = span[miss] >> np.uint64(_RANK)
-            value = np.minimum(code[miss] // unit, np.uint64((1 << _RANK) - 1))
-            own = np.searchsorted(models.cum, value, "right") - 1
-            code[miss] -= unit * models.cum[own]
-            span[miss] = unit * (models.cum[own + 1] - models.cum[own])
+            rest, first = _HITS - chance[miss], part[miss]
+            own = models.inverse[np.minimum((value[miss] - first) // rest, np.uint64((1 << _RANK) - 1)).astype(np.int64)]
+            below = models.cum[own]
+            code_below[miss] = first + rest * below
+            part[miss] = rest * (models.cum[own + 1] - below)
             now[miss] = own
-            settle(miss)
+        code -= unit * code_below
+        span = unit * part
+        short = np.flatnonzero(span < _LEAST)
+        while len(short):
+            word = words[np.minimum(next_word[short], len(words) - 1)]
+            code[short] = (code[short] << _U16) | (half[short] << np.uint64(8)) | (word >> np.uint64(8))
+            half[short] = word & np.uint64(0xFF)
+            next_word[short] += 1
+            span[short] <<= _U16
+            short = short[span[short] < _LEAST]
         grid[step] = now
         models.update(now, hit)
     ids = np.ascontiguousarray(grid.T).reshape(-1)[:n].astype("<u4")

@@ -22,9 +22,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
 from .word_ids import word_ids
 
 SHORTEST_CLASS = 16
+BATCH_BYTES = 4_000_000
 _FIELDS = ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
@@ -104,10 +106,10 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int =
             return pa.RecordBatch.from_arrays(arrays, names=[key, *_FIELDS])
 
         key_type = None
-        for batch in batches:
+        for batch in (small for whole in batches for small in small_batches(whole, "_text", BATCH_BYTES)):
             key_type = batch.column(0).type
-            for doc, body_text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = own.encode(body_text.as_py()) + end
+            for doc, ids in zip(batch.column(0).to_pylist(), own.encode_batch(batch.column(1).to_pylist())):
+                ids += end
                 total, at = len(ids) // 4, 0
                 for j, length in cuts(total, capacity):
                     piece = ids[4 * at : 4 * (at + length)]

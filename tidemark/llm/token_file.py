@@ -20,11 +20,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small_batches, written
 from .id_coder import BlockError, decode, encode
 from .word_ids import word_ids
 
 BLOCK_IDS = 1 << 19
+BATCH_BYTES = 4_000_000
 
 
 def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 1, key: str = "doc_id", text: str = "text", block_ids: int = BLOCK_IDS) -> DataFrame:
@@ -44,9 +45,9 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 1, key: str =
             keys, parts, held, block, start = [], [], 0, block + 1, start + len(ids)
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["part", "block", "start", "n_ids", "n_documents", "documents", "coded"])
 
-        for batch in batches:
-            for k, t in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = own.encode(t.as_py()) + end
+        for batch in (small for whole in batches for small in small_batches(whole, "_text", BATCH_BYTES)):
+            for k, ids in zip(batch.column(0).to_pylist(), own.encode_batch(batch.column(1).to_pylist())):
+                ids += end
                 keys.append(k)
                 parts.append(ids)
                 held += len(ids) // 4

@@ -1,14 +1,16 @@
 """Token ids of a word-level BPE file of the tokenizers library, as little-endian unsigned 32-bit bytes.
 
 The library's normaliser and pre-tokeniser never join characters across a blank or a line feed, so a text's ids are the
-ids of its blank-separated chunks, one after another. Each chunk is encoded once per Python worker and kept in a bounded
-two-generation cache; texts are otherwise encoded by the library's own model. Chunks with characters outside Latin
-script go through the library's whole pipeline.
+ids of its blank-separated chunks, one after another. Each chunk is encoded once per Python worker and kept while a bound
+allows; its words are encoded by the library's own model. Chunks with characters outside Latin script go through the
+library's whole pipeline.
 """
 
 from __future__ import annotations
 
+import sys
 import unicodedata
+from array import array
 
 import numpy as np
 import regex
@@ -17,58 +19,69 @@ from tokenizers import Tokenizer
 #: The split pattern of the tokenizer file (checked against the file when it is loaded).
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _PLAIN = regex.compile(r"[\x21-\x7e\xa1-\u024f]*")
-
-
-class _Chunks(dict):
-    """chunk -> id bytes. On a miss the older generation is asked, then the library."""
-
-    def __init__(self, encode, most: int):
-        super().__init__()
-        self.encode, self.most, self.old = encode, most, {}
-
-    def __missing__(self, chunk: str) -> bytes:
-        ids = self.old.get(chunk)
-        if ids is None:
-            ids = self.encode(chunk)
-        if len(self) >= self.most:
-            self.old = dict(self)
-            self.clear()
-        if len(chunk) <= 64:
-            self[chunk] = ids
-        return ids
+_LINES = regex.compile(PIECES + r"|\n")
+_NATIVE = sys.byteorder == "little" and array("I").itemsize == 4
 
 
 class WordIds:
-    def __init__(self, path: str, most_chunks: int = 300_000):
+    """Encodes batches of texts; what a chunk or a word encodes to is kept, as many of them as most_kept."""
+
+    def __init__(self, path: str, most_kept: int = 500_000):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        self.model = self.library.model
-        self.pattern = regex.compile(PIECES)
+        self.tokenize = self.library.model.tokenize
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
-        state = self.library.pre_tokenizer.__getstate__().decode()
-        self.plain = _PLAIN.fullmatch if "[\\\\p{L}]+|[\\\\p{N}]|[^\\\\s\\\\p{L}\\\\p{N}]+" in state else (lambda _: None)
-        self.words = _Chunks(self._word, most_chunks)
-        self.chunks = _Chunks(self._chunk, most_chunks)
+        known = "[\\\\p{L}]+|[\\\\p{N}]|[^\\\\s\\\\p{L}\\\\p{N}]+" in self.library.pre_tokenizer.__getstate__().decode()
+        self.plain = _PLAIN.fullmatch if known else lambda _: None
+        self.most, self.words, self.chunks = most_kept, {}, {}
 
     def _bytes(self, ids: list[int]) -> bytes:
-        return np.asarray(ids, dtype="<u4").tobytes()
-
-    def _word(self, piece: str) -> bytes:
-        return self._bytes([t.id for t in self.model.tokenize(_mapped(piece))])
-
-    def _chunk(self, chunk: str) -> bytes:
-        if not chunk:
-            return b""
-        if self.plain(chunk) is None or any(s in chunk for s in self.special):
-            return self._bytes(self.library.encode(chunk, add_special_tokens=False).ids)
-        lowered = unicodedata.normalize("NFC", chunk).lower()
-        return b"".join(map(self.words.__getitem__, self.pattern.findall(lowered)))
+        return array("I", ids).tobytes() if _NATIVE else np.asarray(ids, dtype="<u4").tobytes()
+
+    def _is_plain(self, text: str) -> bool:
+        return self.plain(text) is not None and not any(s in text for s in self.special)
+
+    def _learn(self, new: list[str]) -> None:
+        """Encodes chunks that are not known, all plain ones in one pass of the pattern over their lines."""
+        if not self._is_plain("".join(new)) or any(s[0] in c for s in self.special for c in new):
+            odd = [c for c in new if not self._is_plain(c)]
+            self.chunks.update((c, self._bytes(self.library.encode(c, add_special_tokens=False).ids)) for c in odd)
+            rest = set(odd)
+            new = [c for c in new if c not in rest]
+        if not new:
+            return
+        pieces = _LINES.findall(unicodedata.normalize("NFC", "\n".join(new)).lower())
+        words = set(pieces).difference(self.words)
+        words.discard("\n")
+        if len(self.words) + len(words) > self.most:
+            self.words, words = {}, set(pieces) - {"\n"}
+        tokenize, pack = self.tokenize, self._bytes
+        self.words.update((w, pack([t.id for t in tokenize(_mapped(w))])) for w in words)
+        get, held, out = self.words.__getitem__, [], []
+        for p in pieces:
+            if p == "\n":
+                out.append(b"".join(held))
+                held = []
+            else:
+                held.append(get(p))
+        out.append(b"".join(held))
+        self.chunks.update(zip(new, out))
+
+    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
+        lists = [t.replace("\n", " ").split(" ") if t else [""] for t in texts]
+        every = set().union(*lists)
+        new = every.difference(self.chunks)
+        if len(self.chunks) + len(new) > self.most:
+            self.chunks, new = {}, every
+        self.chunks[""] = b""
+        new.discard("")
+        self._learn(list(new))
+        get = self.chunks.__getitem__
+        return [b"".join(map(get, chunks)) for chunks in lists]
 
     def encode(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        return b"".join(map(self.chunks.__getitem__, text.replace("\n", " ").split(" ")))
+        return self.encode_batch([text])[0]
 
 
 def _byte_letters() -> dict[int, str]:
