@@ -35,6 +35,7 @@ SHORTEST, LONGEST = 3, 6
 STEPS = 50
 DAMPING, DECAY, SMOOTH = 1.0, 1e-2, 3.0
 BATCH_BYTES = 2_000_000
+SLICE, WORDS_AT_ONCE = 1 << 20, 20_000
 _EDGES = ".,;:!?\"'()[]{}<>«»¿¡…-–—*#|/\\"
 
 
@@ -44,17 +45,32 @@ def bags(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     lengths = np.fromiter(map(len, words), np.int64, len(words)) + 2
     owner = np.repeat(np.arange(len(words), dtype=np.int32), lengths)
     rest = np.repeat(np.cumsum(lengths), lengths) - np.arange(len(points))
-    units = [np.fromiter((zlib.crc32(w.encode()) for w in words), np.int64, len(words)) % BUCKETS]
+    units = [(np.fromiter((zlib.crc32(w.encode()) for w in words), np.int64, len(words)) % BUCKETS).astype(np.int32)]
     owners = [np.arange(len(words), dtype=np.int32)]
     for n in range(SHORTEST, LONGEST + 1):
         at = np.flatnonzero(rest >= n)
         h = np.full(len(at), n, np.uint64)
         for j in range(n):
             h = h * np.uint64(0x9E3779B97F4A7C15) + points[at + j]
-        units.append((mixed(h) % np.uint64(BUCKETS)).astype(np.int64))
+        units.append((mixed(h) % np.uint64(BUCKETS)).astype(np.int32))
         owners.append(owner[at])
     whose = np.concatenate(owners)
-    return np.concatenate(units).astype(np.int32), whose, np.bincount(whose, minlength=len(words))
+    return np.concatenate(units), whose, np.bincount(whose, minlength=len(words))
+
+
+def bags_of_many(words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As bags, for so many words at a time that what is made on the way stays small."""
+    parts = [bags(words[k : k + WORDS_AT_ONCE]) for k in range(0, len(words), WORDS_AT_ONCE)] or [bags(words)]
+    units, sizes = np.concatenate([p[0] for p in parts]), np.concatenate([p[2] for p in parts])
+    return units, np.concatenate([p[1] + np.int32(k * WORDS_AT_ONCE) for k, p in enumerate(parts)]), sizes
+
+
+def summed(where: np.ndarray, values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Sums of values[at] by where, in slices, so that no array of values as long as all bags is made."""
+    out = np.zeros(n)
+    for k in range(0, len(where), SLICE):
+        out += np.bincount(where[k : k + SLICE], values[at[k : k + SLICE]], n)
+    return out
 
 
 def words_of(text: str) -> list[str]:
@@ -112,14 +128,16 @@ def train(texts: Iterator[str | None], labels: np.ndarray, steps: int = STEPS, r
         return Model(np.zeros(BUCKETS), 0.0, float(labels.mean()) if len(labels) else 0.0)
     numbers: dict[str, int] = {}
     flat: list[np.ndarray] = []
-    for text in texts:
+    met: tuple[list, list] = [], []  # the distinct words of each document, by label
+    for text, label in zip(texts, labels):
         words = words_of(text or "")
         flat.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in map(bare, words)), np.int32, len(words)))
+        met[int(label == 1)].append(np.unique(flat[-1]))
     spans = np.concatenate([np.arange(0, len(f), SPAN) + at for f, at in zip(flat, np.cumsum([0] + [len(f) for f in flat]))]).astype(np.int64)
     per_doc = np.array([-(-len(f) // SPAN) for f in flat])
     words = np.concatenate(flat)
     del flat
-    units, owner, sizes = bags(list(numbers))
+    units, owner, sizes = bags_of_many(list(numbers))
     del numbers
     span_sizes = np.diff(np.append(spans, len(words)))
     has = per_doc > 0
@@ -128,10 +146,8 @@ def train(texts: Iterator[str | None], labels: np.ndarray, steps: int = STEPS, r
     rng = np.random.default_rng(seed)
     # a start that already points somewhere: along the softmax weights, by the smoothed odds of meeting a bucket in documents of label 1
     weights = rng.normal(0, 1, DIMENSIONS)
-    whole = np.repeat(span_doc, span_sizes)
-    met = np.unique(whole * np.int64(len(sizes)) + words)
-    toxic = labels[met // len(sizes)] == 1
-    counts = [np.bincount(units, np.bincount(met[t] % len(sizes), minlength=len(sizes))[owner], BUCKETS) for t in (toxic, ~toxic)]
+    counts = [summed(units, np.bincount(np.concatenate(m), minlength=len(sizes)), owner, BUCKETS) for m in (met[1], met[0])]
+    del met
     start = np.log((counts[0] + SMOOTH) / (counts[0].sum() + SMOOTH * BUCKETS)) - np.log((counts[1] + SMOOTH) / (counts[1].sum() + SMOOTH * BUCKETS))
     vectors = rng.uniform(-1, 1, (BUCKETS, DIMENSIONS)) * 0.001 + start[:, None] * weights / (weights @ weights)
     bias, held, held_w, held_b = 0.0, np.zeros(BUCKETS), np.full(DIMENSIONS, 1e-8), 1e-8
@@ -139,7 +155,7 @@ def train(texts: Iterator[str | None], labels: np.ndarray, steps: int = STEPS, r
     balance = np.where(labels == 1, 0.5 / share, 0.5 / (1 - share)) ** 0.5
     for _ in range(steps):
         margins = vectors @ weights
-        of_word = np.bincount(owner, margins[units], len(sizes)) / sizes
+        of_word = summed(owner, margins, units, len(sizes)) / sizes
         of_span = np.add.reduceat(of_word[words], spans) / span_sizes if len(spans) else np.zeros(0)
         top = np.zeros(len(labels), np.int64)
         best = np.full(len(labels), bias)
@@ -155,7 +171,7 @@ def train(texts: Iterator[str | None], labels: np.ndarray, steps: int = STEPS, r
         lengths = span_sizes[live]
         at = np.repeat(spans[live] - np.append(0, np.cumsum(lengths))[:-1], lengths) + np.arange(lengths.sum())
         word_grad = np.bincount(words[at], np.repeat(coefficient[live] / lengths, lengths), len(sizes)) / sizes
-        grad = np.bincount(units, word_grad[owner], BUCKETS)
+        grad = summed(units, word_grad, owner, BUCKETS)
         step_w = vectors.T @ grad
         pull = grad * np.linalg.norm(weights)
         held += pull**2
