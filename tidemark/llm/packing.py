@@ -108,8 +108,8 @@ def pack(docs: DataFrame, tokenizer_path: str, end_id: int = 2, capacity: int =
         key_type = None
         for batch in (small for whole in batches for small in small_batches(whole, "_text", BATCH_BYTES)):
             key_type = batch.column(0).type
-            for doc, ids in zip(batch.column(0).to_pylist(), own.encode_batch(batch.column(1).to_pylist())):
-                ids += end
+            for doc, ids in zip(batch.column(0).to_pylist(), own.encode_batch(batch.column(1))):
+                ids = ids.tobytes() + end
                 total, at = len(ids) // 4, 0
                 for j, length in cuts(total, capacity):
                     piece = ids[4 * at : 4 * (at + length)]

@@ -46,8 +46,8 @@ def write_ids(docs: DataFrame, tokenizer_path: str, end_id: int = 1, key: str =
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(row, (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()))], names=["part", "block", "start", "n_ids", "n_documents", "documents", "coded"])
 
         for batch in (small for whole in batches for small in small_batches(whole, "_text", BATCH_BYTES)):
-            for k, ids in zip(batch.column(0).to_pylist(), own.encode_batch(batch.column(1).to_pylist())):
-                ids += end
+            for k, ids in zip(batch.column(0).to_pylist(), own.encode_batch(batch.column(1))):
+                ids = ids.tobytes() + end
                 keys.append(k)
                 parts.append(ids)
                 held += len(ids) // 4

@@ -1,9 +1,9 @@
-"""Token ids of a word-level BPE file of the tokenizers library, as little-endian unsigned 32-bit bytes.
+"""Token ids of a word-level BPE file of the tokenizers library, as little-endian unsigned 32-bit numbers.
 
 The library's normaliser and pre-tokeniser never join characters across a blank or a line feed, so a text's ids are the
-ids of its blank-separated chunks, one after another. Each chunk is encoded once per Python worker and kept while a bound
-allows; its words are encoded by the library's own model. Chunks with characters outside Latin script go through the
-library's whole pipeline.
+ids of its blank-separated chunks, one after another. The distinct chunks of a batch are found by Arrow, each is encoded
+once per Python worker and kept while a bound allows (its words by the library's own model), and the ids of the batch are
+gathered by numpy. Chunks with characters outside Latin script go through the library's whole pipeline.
 """
 
 from __future__ import annotations
@@ -13,6 +13,8 @@ import unicodedata
 from array import array
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
@@ -21,12 +23,41 @@ PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _PLAIN = regex.compile(r"[\x21-\x7e\xa1-\u024f]*")
 _LINES = regex.compile(PIECES + r"|\n")
 _NATIVE = sys.byteorder == "little" and array("I").itemsize == 4
+#: Keys up to so many characters are kept.
+_MOST_CHARS = 64
+
+
+def _packed(ids: list[int]) -> bytes:
+    return array("I", ids).tobytes() if _NATIVE else np.asarray(ids, "<u4").tobytes()
+
+
+class _Kept:
+    """key -> ids as bytes, bounded: when most keys are held they become the older generation, and what is asked for again comes back."""
+
+    def __init__(self, most: int):
+        self.most, self.new, self.old = most, {}, {}
+
+    def find(self, keys: list[str]) -> tuple[list[bytes | None], list[int]]:
+        """What is known of the keys, and which of them are not known."""
+        found = list(map(self.new.get, keys))
+        unknown = []
+        for i in [i for i, x in enumerate(found) if x is None]:
+            if (x := self.old.get(keys[i])) is None:
+                unknown.append(i)
+            else:
+                found[i] = self.new[keys[i]] = x
+        return found, unknown
+
+    def keep(self, keys: list[str], values: list[bytes]) -> None:
+        if len(self.new) + len(keys) > self.most:
+            self.old, self.new = self.new, {}
+        self.new.update((k, v) for k, v in zip(keys, values) if len(k) <= _MOST_CHARS)
 
 
 class WordIds:
-    """Encodes batches of texts; what a chunk or a word encodes to is kept, as many of them as most_kept."""
+    """Encodes batches of texts; twice most_kept chunks and as many words are kept at most, besides those of one batch."""
 
-    def __init__(self, path: str, most_kept: int = 500_000):
+    def __init__(self, path: str, most_kept: int = 250_000):
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
@@ -34,54 +65,65 @@ class WordIds:
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
         known = "[\\\\p{L}]+|[\\\\p{N}]|[^\\\\s\\\\p{L}\\\\p{N}]+" in self.library.pre_tokenizer.__getstate__().decode()
         self.plain = _PLAIN.fullmatch if known else lambda _: None
-        self.most, self.words, self.chunks = most_kept, {}, {}
-
-    def _bytes(self, ids: list[int]) -> bytes:
-        return array("I", ids).tobytes() if _NATIVE else np.asarray(ids, dtype="<u4").tobytes()
+        self.words, self.chunks = _Kept(most_kept), _Kept(most_kept)
 
     def _is_plain(self, text: str) -> bool:
         return self.plain(text) is not None and not any(s in text for s in self.special)
 
-    def _learn(self, new: list[str]) -> None:
-        """Encodes chunks that are not known, all plain ones in one pass of the pattern over their lines."""
-        if not self._is_plain("".join(new)) or any(s[0] in c for s in self.special for c in new):
-            odd = [c for c in new if not self._is_plain(c)]
-            self.chunks.update((c, self._bytes(self.library.encode(c, add_special_tokens=False).ids)) for c in odd)
-            rest = set(odd)
-            new = [c for c in new if c not in rest]
-        if not new:
-            return
-        pieces = _LINES.findall(unicodedata.normalize("NFC", "\n".join(new)).lower())
-        words = set(pieces).difference(self.words)
-        words.discard("\n")
-        if len(self.words) + len(words) > self.most:
-            self.words, words = {}, set(pieces) - {"\n"}
-        tokenize, pack = self.tokenize, self._bytes
-        self.words.update((w, pack([t.id for t in tokenize(_mapped(w))])) for w in words)
-        get, held, out = self.words.__getitem__, [], []
+    def _learn(self, chunks: list[str]) -> list[bytes]:
+        """The ids of distinct chunks, of all plain ones by one pass of the pattern over their lines."""
+        joined = "".join(chunks)
+        if self.plain(joined) is not None and not any(s[0] in joined for s in self.special):
+            return self._plain_ids(chunks)
+        plain = [self._is_plain(c) for c in chunks]
+        told = iter(self._plain_ids([c for c, p in zip(chunks, plain) if p]))
+        return [next(told) if p else _packed(self.library.encode(c, add_special_tokens=False).ids) for c, p in zip(chunks, plain)]
+
+    def _plain_ids(self, chunks: list[str]) -> list[bytes]:
+        if not chunks:
+            return []
+        pieces = _LINES.findall(unicodedata.normalize("NFC", "\n".join(chunks)).lower())
+        words = list(set(pieces) - {"\n"})
+        found, unknown = self.words.find(words)
+        tokenize = self.tokenize
+        new = [words[i] for i in unknown]
+        learned = [_packed([t.id for t in tokenize(_mapped(w))]) for w in new]
+        known = dict(zip(words, found)) | dict(zip(new, learned))
+        self.words.keep(new, learned)
+        out, held = [], []
         for p in pieces:
             if p == "\n":
                 out.append(b"".join(held))
                 held = []
             else:
-                held.append(get(p))
+                held.append(known[p])
         out.append(b"".join(held))
-        self.chunks.update(zip(new, out))
-
-    def encode_batch(self, texts: list[str | None]) -> list[bytes]:
-        lists = [t.replace("\n", " ").split(" ") if t else [""] for t in texts]
-        every = set().union(*lists)
-        new = every.difference(self.chunks)
-        if len(self.chunks) + len(new) > self.most:
-            self.chunks, new = {}, every
-        self.chunks[""] = b""
-        new.discard("")
-        self._learn(list(new))
-        get = self.chunks.__getitem__
-        return [b"".join(map(get, chunks)) for chunks in lists]
+        return out
+
+    def encode_batch(self, texts: pa.Array) -> list[np.ndarray]:
+        """The ids of each text of an Arrow array (null: none), as views of one array."""
+        texts = pc.replace_substring(texts.fill_null("").cast(pa.large_string()), "\n", " ")
+        lists = pc.split_pattern(texts, " ")
+        coded = lists.values.dictionary_encode()
+        chunks = coded.dictionary.to_pylist()
+        found, unknown = self.chunks.find(chunks)
+        if unknown:
+            new = [chunks[i] for i in unknown]
+            learned = self._learn(new)
+            for i, ids in zip(unknown, learned):
+                found[i] = ids
+            self.chunks.keep(new, learned)
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        flat = np.frombuffer(b"".join(found), "<u4")
+        which = coded.indices.to_numpy()
+        n = sizes[which]
+        ends = np.cumsum(n)
+        ids = flat[np.repeat((np.cumsum(sizes) - sizes)[which] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.append(0, ends)[lists.offsets.to_numpy()]
+        return [ids[a:b] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
 
     def encode(self, text: str | None) -> bytes:
-        return self.encode_batch([text])[0]
+        return self.encode_batch(pa.array([text], pa.string()))[0].tobytes()
 
 
 def _byte_letters() -> dict[int, str]:
