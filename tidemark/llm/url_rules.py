@@ -87,12 +87,15 @@ class RuleIndex:
 
 
 def token_frequency(urls: DataFrame, tokens: set[str], url: str = "url") -> dict[str, int]:
-    """How many URLs hold each of the rules' tokens, over all URLs; the answer is as large as the rule set at most."""
+    """How many URLs hold each of the rules' tokens, over all URLs; the answer is as large as the rule set at most.
+
+    The tokens are those of at most MOST_RULE_BYTES of rules, so they are broadcast and a very common token is counted where it lies.
+    """
     if not tokens:
         return {}
     held = urls.select(F.explode(F.array_distinct(F.expr(f"regexp_extract_all(lower(`{url}`), '[a-z0-9]+', 0)"))).alias("t"))
     wanted = urls.sparkSession.createDataFrame([(t,) for t in sorted(tokens)], "t string")
-    return {r["t"]: r["n"] for r in held.join(wanted, "t", "left_semi").groupBy("t").agg(F.count("*").alias("n")).collect()}
+    return {r["t"]: r["n"] for r in held.join(F.broadcast(wanted), "t", "left_semi").groupBy("t").agg(F.count("*").alias("n")).collect()}
 
 
 def filter_urls(pages: DataFrame, rules: list, key: str = "page_id", url: str = "url") -> DataFrame:
