@@ -223,6 +223,22 @@ def test_decontamination(spark):
     assert decontaminate.find_leaks(frame(spark, texts), empty).count() == 0
 
 
+def test_edited_items_are_found(spark):
+    rng = random.Random(11)
+    own = lambda n: [f"{w}{rng.randrange(10**6)}" for w in prose(rng, n).split()]
+    items, common = [own(32) + ["end."] + own(k % 8 + 1) for k in range(40)], own(40)
+    items += [common + own(10)] + [common[:20] + ["other."] + common[20:]] * 60  # ten rare words at the end of common ones
+    edits = [x[:-1] + ["changed"] for x in items[:40]] + [x[:33] for x in items[:40]] + [items[40][:43]]
+    texts = [" ".join(own(90) + e + own(70)) for e in edits]
+    table = spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(frame(spark, texts), table).collect()}
+    runs = lambda words: decontaminate.shingles(decontaminate.terms(" ".join(words)))
+    share = {(d, i): len(runs(t.split()) & runs(x)) / len(runs(x)) for d, t in enumerate(texts) for i, x in enumerate(items)}
+    assert {p for p, s in share.items() if s >= 0.8} == got and all((k, k) in got for k in range(40)) and (80, 40) in got
+    parted = table.where("item_id < 40").selectExpr("item_id", "substring_index(text, 'end.', 1) AS q", "substring_index(text, 'end.', -1) AS a")
+    assert not {r["doc_id"] for r in decontaminate.find_leaks(frame(spark, texts), parted, question="q", answer="a", item_text=None).collect()} & set(range(40, 80))
+
+
 def test_block_max_search_is_exhaustive(monkeypatch):
     rng = random.Random(6)
     items = [(k, prose(rng, 20).split(), prose(rng, 5).split()) for k in range(200)]

@@ -6,6 +6,8 @@ training document is cut into passages that overlap by the longest item, so each
 passage; every passage is a query. Block bounds of its terms are added up first: a block whose bound stays under the
 threshold is skipped, and only the postings of the others are scored. All items at or over the threshold are retrieved
 (no top-k), and a hit stands if the passage holds enough of the item's question and of its answer, as shingles of five words.
+An item that is one text has no real answer, so there a hit also stands if the passage holds enough of the whole item's
+shingles; its impacts are raised so that no passage that does so stays under the threshold.
 
 The index is broadcast, so its size is bounded: more than MOST_ITEM_BYTES of items are searched in shards, one pass each,
 with term statistics over all items.
@@ -54,20 +56,38 @@ def split_item(text: str | None) -> tuple[list[str], list[str]]:
     return terms(" ".join(chunks[:at])), terms(" ".join(chunks[at:]))
 
 
+def most_lost(weights: list[float], missing: int) -> float:
+    """The most weight that absent words can have where at most so many of the item's runs of SHINGLE words are absent."""
+    size = min(SHINGLE, len(weights))
+    best = np.full((size + 1, missing + 1), -np.inf)  # by words since the last absent one (size: none near) and runs lost
+    best[size] = 0.0
+    for i, w in enumerate(weights):
+        after = np.empty_like(best)
+        after[0] = best.max(axis=0) + w
+        after[1:size] = best[: size - 1]
+        after[size] = np.maximum(best[size - 1], best[size])
+        if i >= size - 1:  # the run that ends here is lost with any word of it
+            after[:size, 1:] = after[:size, :-1]
+            after[:size, 0] = -np.inf
+        best = after
+    return float(best.max())
+
+
 def shingles(words: list) -> set[tuple]:
     n = min(SHINGLE, len(words))
     return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if words else set()
 
 
 class Index:
-    """items: (item id, question terms, answer terms). frequency, n_items and mean_length are over all items of all shards."""
+    """items: (item id, question terms, answer terms), and True behind them for an item that is one text. frequency, n_items and mean_length are over all items of all shards."""
 
     def __init__(self, items: list[tuple], frequency: dict[str, int], n_items: int, mean_length: float):
         self.item_ids = [i[0] for i in items]
         self.numbers: dict[str, int] = {}
-        self.parts, postings = [], []
+        self.parts, self.wholes, postings = [], [], []
+        self.raised = np.ones(len(items))
         self.longest = 1
-        for k, (_, question, answer) in enumerate(items):
+        for k, (_, question, answer, *one_text) in enumerate(items):
             words = question + answer
             self.longest = max(self.longest, len(words))
             ids = [self.numbers.setdefault(w, len(self.numbers)) for w in words]
@@ -75,6 +95,15 @@ class Index:
             norm = K1 * (1 - B + B * len(words) / mean_length)
             own = {t: math.log(1 + (n_items - frequency[w] + 0.5) / (frequency[w] + 0.5)) * tf * (K1 + 1) / (tf + norm) for (w, tf), t in ((x, self.numbers[x[0]]) for x in Counter(words).items())}
             total = sum(own.values())
+            self.wholes.append(shingles(ids) if any(one_text) else None)
+            if self.wholes[k]:
+                missing = int((1 - OVERLAP) * len(self.wholes[k]) + 1e-9)
+                missing += max(0, len(ids) - SHINGLE + 1 - len(self.wholes[k])) if missing else 0  # a run that occurs again is lost at all its places
+                times = Counter(ids)
+                weights = [own[t] / times[t] / total for t in ids]
+                if sum(sorted(weights)[len(ids) - missing :]) > 1 - THRESHOLD:
+                    self.raised[k] = max(1.0, THRESHOLD / max(1e-6, 1 - most_lost(weights, missing)))
+                    total /= self.raised[k]
             postings += [(t, k, v / total) for t, v in own.items()]
         postings.sort()
         self.term = np.array([p[0] for p in postings], np.int64)
@@ -106,7 +135,7 @@ class Index:
         found, where = np.unique(at, return_inverse=True)
         scores = np.bincount(where, self.impact[posting], len(found))
         hit = scores >= THRESHOLD - 1e-9
-        return found[hit] // n, found[hit] % n, scores[hit]
+        return found[hit] // n, found[hit] % n, scores[hit]  # raised scores, where the item's are
 
 
 def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -164,15 +193,17 @@ def _leaks(index: Index, known: _Terms, texts: list[str | None]) -> Iterator[tup
     best: dict[tuple[int, int], tuple] = {}
     for q, i, s, d in zip(query.tolist(), item.tolist(), score.tolist(), owner.tolist()):
         start = (q - int(first[d])) * index.stride
-        held = shingles_of(ids[d][start : start + index.passage].tolist(), index.parts[i])
+        s, whole = s / float(index.raised[i]), index.wholes[i]
+        held = shingles_of(ids[d][start : start + index.passage].tolist(), (*index.parts[i], whole))
         asked, answered = (len(p & held) / len(p) if p else None for p in index.parts[i])
-        if all(x is None or x >= OVERLAP for x in (asked, answered)) and not (asked is None and answered is None):
+        both = s >= THRESHOLD - 1e-9 and all(x is None or x >= OVERLAP for x in (asked, answered)) and not (asked is None and answered is None)
+        if both or (whole and len(whole & held) >= OVERLAP * len(whole) - 1e-9):
             if (d, i) not in best or best[d, i][2] < s:
                 best[d, i] = (d, i, s, asked, answered, start)
     yield from best.values()
 
 
-def shingles_of(words: list[int], parts: tuple[set, set]) -> set[tuple]:
+def shingles_of(words: list[int], parts: tuple[set | None, ...]) -> set[tuple]:
     """The passage's shingles, of the sizes that the item's parts have."""
     sizes = {len(next(iter(p))) for p in parts if p}
     return {tuple(words[i : i + n]) for n in sizes for i in range(len(words) - n + 1)}
@@ -186,8 +217,9 @@ def shards(items: DataFrame, key: str, question: str | None, answer: str | None,
     n = max(1, -(-total // MOST_ITEM_BYTES))
 
     def cut(r) -> tuple:
-        q, a = split_item(r["_t"]) if r["_t"] is not None else (terms(r["_q"]), terms(r["_a"]))
-        return r[key], q, a
+        one_text = r["_t"] is not None
+        q, a = split_item(r["_t"]) if one_text else (terms(r["_q"]), terms(r["_a"]))
+        return r[key], q, a, one_text
 
     def parts(own: DataFrame) -> list[tuple]:
         return [c for c in map(cut, own.collect()) if c[1] or c[2]]
@@ -195,15 +227,15 @@ def shards(items: DataFrame, key: str, question: str | None, answer: str | None,
     if n == 1:
         found = parts(rows)
         if found:
-            frequency = Counter(w for _, q, a in found for w in {*q, *a})
-            yield Index(found, frequency, len(found), sum(len(q) + len(a) for _, q, a in found) / len(found))
+            frequency = Counter(w for _, q, a, _ in found for w in {*q, *a})
+            yield Index(found, frequency, len(found), sum(len(q) + len(a) for _, q, a, _ in found) / len(found))
         return
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = []
             for r in batch.to_pylist():
-                _, q, a = cut(r)
+                _, q, a, _ = cut(r)
                 if q or a:
                     out += [(w, 0) for w in {*q, *a}] + [("", len(q) + len(a))]
             if out:
