@@ -153,6 +153,17 @@ def test_near_duplicates(spark):
     assert got == brute_links(texts)
 
 
+def test_variants_about_the_threshold_are_classed_exactly(spark):
+    rng = random.Random(17)
+    texts = []
+    for _ in range(6):  # edited copies of one text, most pairs of which agree 0.75 to 0.85
+        base = prose(rng, 160)
+        texts += [edited(rng, base, rng.choice([0.014, 0.02, 0.022])) for _ in range(60)]
+    want = brute_links(texts)
+    assert len(set(want.values())) > 10 and max(collections.Counter(want.values()).values()) > 10
+    assert {r["doc_id"]: r["class_id"] for r in dart_minhash.near_classes(frame(spark, texts)).collect()} == want
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 60, 400).astype(np.uint64)

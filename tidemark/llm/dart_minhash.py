@@ -10,8 +10,10 @@ Exact copies are classed first, by a digest of their words. Signatures of one do
 bucket each document is linked to the first leader it agrees with (or else becomes one, with a link to the nearest),
 first among the rows of a batch and then among the leaders that are left, so links and shuffled rows are linear in a
 bucket's size. Links are checked by the exact weighted Jaccard similarity of the whole texts, and linked documents form classes.
-A link can be lost only if in every one of its buckets the signatures mislead: with 20 bands of 5 rows a pair of
-similarity 0.8 meets in a bucket with probability 0.9996.
+Leaders settle most rows but not all: a link may fail the check, and rows may be near that follow different leaders. So
+buckets that still hold several classes are searched again, every pair of rows of two classes: first the nearest row of
+each other class is checked, then all pairs of classes that have not met by then. A link is lost only if its rows meet in no
+bucket (with 20 bands of 5 rows a pair of similarity 0.8 meets in one with probability 0.9996) or agree less than MAYBE.
 
 Defined results: a document without words (null, empty, only punctuation) is alone in its class; one of fewer than five
 words is one shingle; class_id is the least key of the class; rows that share a key are one document.
@@ -38,6 +40,8 @@ BANDS, ROWS = 20, 5
 COORDINATES = BANDS * ROWS
 #: Signatures that agree less than this are not candidates (four standard errors under SIMILAR).
 MAYBE = 0.64
+#: Rows of a bucket are compared in blocks of about so many.
+BLOCK_ROWS = 64
 #: A key list of this size at most (16 MB) is broadcast; longer ones are joined by shuffles.
 MOST_BROADCAST_KEYS = 2_000_000
 
@@ -183,6 +187,17 @@ def _emit(bucket, keys, sig, leads, links, key_type) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a, key_type), pa.array(b, key_type), pa.nulls(len(a), pa.binary())], names=names)
 
 
+def banded(full: np.ndarray) -> np.ndarray:
+    """The BANDS buckets of each signature."""
+    bucket = np.empty((len(full), BANDS), np.uint64)
+    for b in range(BANDS):
+        h = np.full(len(full), b + 1, np.uint64)
+        for r in range(ROWS):
+            h = mixed(h * _GOLD + full[:, b * ROWS + r])
+        bucket[:, b] = h
+    return bucket.view(np.int64)
+
+
 def candidates(reps: DataFrame) -> DataFrame:
     """(_key, _sig) of distinct texts -> candidate links (a, b), about one for each document and bucket at most."""
     kind = reps.schema["_key"].dataType.simpleString()
@@ -193,13 +208,7 @@ def candidates(reps: DataFrame) -> DataFrame:
             full = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, COORDINATES)
             keys = batch.column(0).to_numpy(zero_copy_only=False)
             low, n = (full & 0xFF).astype(np.uint8), len(full)
-            bucket = np.empty((n, BANDS), np.uint64)
-            for b in range(BANDS):
-                h = np.full(n, b + 1, np.uint64)
-                for r in range(ROWS):
-                    h = mixed(h * _GOLD + full[:, b * ROWS + r])
-                bucket[:, b] = h
-            bucket, row = bucket.view(np.int64).ravel(), np.repeat(np.arange(n), BANDS)
+            bucket, row = banded(full).ravel(), np.repeat(np.arange(n), BANDS)
             order = np.lexsort((keys[row], bucket))
             bucket, row = bucket[order], row[order]
             leads, links = _led(bucket, keys[row], low[row])
@@ -238,6 +247,81 @@ def candidates(reps: DataFrame) -> DataFrame:
     return links.select(F.least("_key", "_other").alias("a"), F.greatest("_key", "_other").alias("b")).distinct()
 
 
+def crossing(reps: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs of distinct texts of two classes that share a bucket and agree enough: a, b, class_a, class_b, agree (a < b).
+
+    reps: _key, _sig. classes: node, root, for rows that are not their class's root."""
+    kind = reps.schema["_key"].dataType.simpleString()
+
+    def thrown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                bucket = banded(np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, COORDINATES))
+                row = pa.array(np.repeat(np.arange(len(bucket)), BANDS))
+                yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel()), batch.column(0).take(row), batch.column(1).take(row)], names=["_bucket", "_key", "_class"])
+
+    def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for r in batch.to_pylist():
+                left, right = r["_left"], r["_right"]
+                x, y = (np.frombuffer(b"".join(e["_sig"] for e in side), np.uint32).reshape(-1, COORDINATES) for side in (left, right))
+                for i, e in enumerate(left):
+                    agree = (y == x[i]).mean(axis=1)
+                    for j in np.flatnonzero(agree >= MAYBE).tolist():
+                        f = right[j]
+                        if e["_class"] != f["_class"] and (not r["_same"] or e["_key"] < f["_key"]):
+                            out.append((e["_key"], f["_key"], e["_class"], f["_class"], float(agree[j])))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(types)], names=["x", "y", "class_x", "class_y", "agree"])
+
+    types = [_arrow_type(reps.schema["_key"].dataType)] * 4 + [pa.float64()]
+    own = reps.join(classes, F.col("_key") == F.col("node"), "left").select("_key", F.coalesce("root", "_key").alias("_class"), "_sig")
+    rows = own.mapInArrow(thrown, f"_bucket long, _key {kind}, _class {kind}")
+    sizes = rows.groupBy("_bucket", "_class").agg(F.count("*").alias("n"))
+    mixed_ = sizes.groupBy("_bucket").agg(F.max_by("_class", "n").alias("_main"), F.max("n").alias("_most"), F.sum("n").alias("_all")).where("_all > _most")
+    mixed_ = written(mixed_, "mixed-buckets")
+    # rows of a bucket's largest class meet the others only; both sides come in blocks
+    held = rows.join(mixed_, "_bucket").withColumn("_other", F.col("_class") != F.col("_main"))
+    count = F.when(F.col("_other"), F.col("_all") - F.col("_most")).otherwise(F.col("_most"))
+    held = held.withColumn("_part", F.pmod(F.xxhash64("_key"), F.ceil(count / BLOCK_ROWS))).select("_bucket", "_key", "_class", "_other", "_part")
+    held = held.join(reps.select("_key", "_sig"), "_key")
+    blocks = written(held.groupBy("_bucket", "_other", "_part").agg(F.collect_list(F.struct("_key", "_class", "_sig")).alias("_rows")), "bucket-blocks")
+    left = blocks.where("_other").select("_bucket", F.col("_part").alias("_p"), F.col("_rows").alias("_left"))
+    right = blocks.select("_bucket", "_other", "_part", F.col("_rows").alias("_right"))
+    pairs = left.join(right, "_bucket").where("not _other or _p <= _part").select("_left", "_right", (F.col("_other") & (F.col("_p") == F.col("_part"))).alias("_same"))
+    found = pairs.mapInArrow(met, f"x {kind}, y {kind}, class_x {kind}, class_y {kind}, agree double")
+    before = F.col("x") < F.col("y")
+    return found.select(
+        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(before, F.col("class_x")).otherwise(F.col("class_y")).alias("class_a"), F.when(before, F.col("class_y")).otherwise(F.col("class_x")).alias("class_b"), "agree"
+    ).distinct()
+
+
+def _arrow_type(kind) -> pa.DataType:
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    return to_arrow_type(kind)
+
+
+def joined_classes(cross: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame | None:
+    """(node, root) of the classes that pairs of crossing() join; None if they join none."""
+    ends = cross.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("class_b").alias("c"), "agree").unionByName(cross.select(F.col("b").alias("x"), F.col("a").alias("y"), F.col("class_a").alias("c"), "agree"))
+    nearest = ends.groupBy("x", "c").agg(F.max_by("y", F.struct("agree", "y")).alias("y"))
+    first = written(nearest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "nearest")
+    met = written(verified(first, docs, key, text).join(cross, ["a", "b"]).select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct(), "joined")
+    rest = cross.join(first, ["a", "b"], "left_anti")
+    if not met.isEmpty():
+        found = components(met)
+        side = lambda c: found.select(F.col("node").alias(f"class_{c}"), F.col("root").alias(f"root_{c}"))
+        rest = rest.join(side("a"), "class_a", "left").join(side("b"), "class_b", "left").where("coalesce(root_a, class_a) <> coalesce(root_b, class_b)")
+    rest = written(rest.select("a", "b", "class_a", "class_b"), "crossing-rest")
+    if not rest.isEmpty():
+        more = verified(rest.select("a", "b"), docs, key, text).join(rest, ["a", "b"]).select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
+        both = written(met.unionByName(more).distinct(), "joined")
+        return None if both.isEmpty() else components(both)
+    return None if met.isEmpty() else found
+
+
 def verified(links: DataFrame, docs: DataFrame, key: str, text: str, least: float = SIMILAR) -> DataFrame:
     """Links whose whole texts have at least that similarity."""
     kind = docs.schema[key].dataType.simpleString()
@@ -275,7 +359,11 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     reps = written(sigs.groupBy("_digest").agg(F.min("_key").alias("_rep"), F.any_value("_sig").alias("_sig")), "distinct-texts")
     links = written(candidates(reps.select(F.col("_rep").alias("_key"), "_sig")), "candidates")
     found = components(verified(links, docs, key, text))
-    joined = reps.select("_digest", "_rep").join(found, F.col("_rep") == F.col("node"), "left")
+    cross = written(crossing(reps.select(F.col("_rep").alias("_key"), "_sig"), found).join(links, ["a", "b"], "left_anti"), "crossing")
+    more = None if cross.isEmpty() else joined_classes(cross, docs, key, text)
+    joined = reps.select("_digest", "_rep").join(found, F.col("_rep") == F.col("node"), "left").select("_digest", F.coalesce("root", "_rep").alias("_rep"), F.lit(None).alias("root"))
+    if more is not None:
+        joined = joined.drop("root").join(more, F.col("_rep") == F.col("node"), "left")
     roots = joined.select("_digest", F.coalesce("root", "_rep").alias("_class"))
     member = sigs.select("_key", "_digest").distinct().join(roots, "_digest").groupBy("_key").agg(F.min("_class").alias("_class"))
     rows = docs.select(docs[key].alias("_own"))
