@@ -149,6 +149,35 @@ def test_registry(spark):
         archive.registry(spark, '[[board]]\ncompany="C"\nsource="workday"\nboard="b"')
 
 
+def test_aligned_equals_all_pairs():
+    import random
+
+    rng = random.Random(3)
+    for _ in range(200):
+        a, b = ([(s, s + rng.randint(0, 12)) for s in (rng.randrange(60) for _ in range(rng.randrange(25)))] for _ in range(2))
+        meet = sorted(agreement.overlapping(a, b))
+        assert meet == [(i, j) for i, x in enumerate(a) for j, y in enumerate(b) if agreement.jaccard(x, y) > 0]
+
+
+def test_agreement_and_binding_take_all_blocks(spark, small):
+    import __spark_entry__ as entry
+
+    queries = entry.queries()
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    lines = {d: [x for x in (t or "").split("\n") if x.strip()] for d, t in docs.items()}
+    for r in queries["agreement_report"](spark, small).collect():  # a sample shifted by a quarter agrees, one lacks each fourth block
+        n = len(lines[r["doc_id"]])
+        h = n - n // 4
+        assert abs(r["mean_f1"] - (1 + 2 * (2 * h / (n + h))) / 3) < 1e-8
+    got = {(r["doc_id"], r["block_id"]): r for r in queries["quote_binding"](spark, small).collect()}
+    assert set(got) == {(d, f"b{k + 1:06}") for d, ls in lines.items() for k in range(len(ls))}
+    for d, ls in lines.items():
+        for k, x in enumerate(ls):
+            if k % 2 and len(x) <= 20 or x.find(x[-20:]) == len(x) - 20:
+                r = got[d, f"b{k + 1:06}"]
+                assert k % 2 == 0 or (r["at_end"] and r["in_block"])
+
+
 def test_binding(spark):
     from tidemark.functions import binding
 

@@ -91,10 +91,11 @@ def skill_pass_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quote_binding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each fourth block's last twenty characters, quoted with marks or typographic signs by turns, bound to the document."""
+    """Every block's last twenty characters (all of a shorter one), quoted with marks or typographic signs by turns, bound to the document."""
     d = _docs(spark, sf_dir)
-    b = texts.annotate(d).withColumn("n", F.substring("block_id", 2, 6).cast("int")).where("n % 4 = 1 and length(text) >= 20").withColumnRenamed("text", "_b")
-    quote = F.when(F.col("n") % 8 == 1, F.concat(F.lit("*"), F.substring("_b", -20, 20), F.lit("*"))).otherwise(F.substring("_b", -20, 20))
+    b = texts.annotate(d).withColumn("n", F.substring("block_id", 2, 6).cast("int")).withColumnRenamed("text", "_b")
+    last = F.right("_b", F.lit(20))
+    quote = F.when(F.col("n") % 2 == 1, F.concat(F.lit("*"), last, F.lit("*"))).otherwise(last)
     x = b.join(d, "doc_id").select("doc_id", "block_id", F.col("end").alias("_end"), binding.bound(F.col("text"), F.col("start"), F.col("end"), quote).alias("s"))
     return x.select("doc_id", "block_id", (F.col("s.end") == F.col("_end")).alias("at_end"), F.col("s.tier").startswith("block").alias("in_block"))
 

@@ -4,6 +4,8 @@ A tier that finds several places does not choose: the next tier is asked, and th
 
 from __future__ import annotations
 
+from functools import lru_cache
+
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -35,32 +37,42 @@ def without_emphasis(text: str) -> tuple[str, list[int]]:
     return "".join(kept), origin
 
 
+@lru_cache(maxsize=4)  # a document's quotes come one after another
+def _plain(document: str) -> str:
+    return document.translate(_FOLD)
+
+
+@lru_cache(maxsize=4)
+def _bare(document: str) -> tuple[str, list[int]]:
+    return without_emphasis(document)
+
+
 def bind(document: str, block: tuple[int, int] | None, quote: str, lenient: bool = False) -> tuple[int, int, str] | None:
-    plain, folded = document.translate(_FOLD), quote.translate(_FOLD)
-    bare, origin = without_emphasis(document)
+    folded = quote.translate(_FOLD)
     wanted, _ = without_emphasis(quote)
 
     def bare_places(a: int, b: int) -> list[tuple[int, int]]:
+        bare, origin = _bare(document)
         return [(origin[k], origin[k + len(wanted) - 1] + 1) for k in places(bare, wanted) if a <= origin[k] and origin[k + len(wanted) - 1] < b]
 
     whole = (0, len(document))
     own = block or whole
     tiers = [
-        ("block", [(k, k + len(quote)) for k in places(document, quote, *own)][:1] if block else []),
-        ("document", [(k, k + len(quote)) for k in places(document, quote)]),
-        ("block_typographic", [(k, k + len(quote)) for k in places(plain, folded, *own)][:1] if block else []),
-        ("document_typographic", [(k, k + len(quote)) for k in places(plain, folded)]),
-        ("block_emphasis", bare_places(*own)[:1] if block else []),
-        ("document_emphasis", bare_places(*whole)),
+        ("block", lambda: [(k, k + len(quote)) for k in places(document, quote, *own)][:1] if block else []),
+        ("document", lambda: [(k, k + len(quote)) for k in places(document, quote)]),
+        ("block_typographic", lambda: [(k, k + len(quote)) for k in places(_plain(document), folded, *own)][:1] if block else []),
+        ("document_typographic", lambda: [(k, k + len(quote)) for k in places(_plain(document), folded)]),
+        ("block_emphasis", lambda: bare_places(*own)[:1] if block else []),
+        ("document_emphasis", lambda: bare_places(*whole)),
     ]
-    for name, found in tiers:
+    first = None
+    for name, find in tiers:
+        found = find()
         if len(found) == 1:
             return *found[0], name
-    if lenient:
-        for name, found in tiers:
-            if found:
-                return *found[0], "first_" + name
-    return None
+        if found and first is None:
+            first = (*found[0], "first_" + name)
+    return first if lenient else None
 
 
 def bound(document: Column, start: Column, end: Column, quote: Column, lenient: bool = False) -> Column:

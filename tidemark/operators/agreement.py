@@ -4,7 +4,9 @@ A document has a handful of samples, so each document's claims are one small gro
 
 from __future__ import annotations
 
+import heapq
 import itertools
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -20,9 +22,22 @@ def jaccard(a: tuple[int, int], b: tuple[int, int]) -> float:
     return both / either if both else 0.0
 
 
+def overlapping(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Pairs of spans that overlap, by a sweep over both in order of their starts; on each side only spans that still reach on are held."""
+    spans, live = (a, b), ([], [])
+    events = sorted((x[0], side, k) for side in (0, 1) for k, x in enumerate(spans[side]) if x[0] < x[1])
+    for start, side, k in events:
+        for s in (0, 1):
+            while live[s] and live[s][0][0] <= start:
+                heapq.heappop(live[s])
+        for _, other in live[1 - side]:
+            yield (k, other) if side == 0 else (other, k)
+        heapq.heappush(live[side], (spans[side][k][1], k))
+
+
 def aligned(a: list[tuple[int, int]], b: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """One-to-one pairs of spans that overlap enough, best first; ties by place."""
-    ranked = sorted((-s, i, j) for i, x in enumerate(a) for j, y in enumerate(b) if (s := jaccard(x, y)) >= JACCARD)
+    ranked = sorted((-s, i, j) for i, j in overlapping(a, b) if (s := jaccard(a[i], b[j])) >= JACCARD)
     left, right, out = set(), set(), []
     for _, i, j in ranked:
         if i not in left and j not in right:
