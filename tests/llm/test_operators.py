@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from compare import connect, differs
 from pyspark.sql import functions as F
-from tidemark.llm import components, dart_minhash, decontaminate, id_coder, line_spread, packing, quality, queries, suffix_dedup, token_count, token_file, toxicity, url_rules
+from tidemark.llm import components, dart_minhash, decontaminate, id_coder, line_spread, packing, quality, queries, suffix_dedup, token_count, token_file, toxicity, url_rules, word_ids
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
@@ -114,6 +114,28 @@ def test_coder_round_trip(n):
         assert np.array_equal(id_coder.decode(id_coder.encode(ids)), ids)
 
 
+def test_token_file_takes_any_key(spark):
+    rows = [("b", "two words"), (None, "no key"), (None, "none either"), ("a", None), ("b", "two words"), ("a", "x" * 200_000)]
+    docs = spark.createDataFrame(rows, "name string, text string").repartition(3)
+    got = token_file.read_ids(token_file.write_ids(docs, WORDS, key="name"), "name", "string").orderBy("start").collect()
+    assert [r["name"] for r in got] == [None, None, "a", "a", "b", "b"]
+    sums = lambda rows: collections.Counter((k, zlib.crc32(np.asarray([*library_ids(t), 1], "<u4").tobytes())) for k, t in rows)
+    assert collections.Counter((r["name"], r["ids_crc32"]) for r in got) == sums(rows)
+    assert [r["start"] for r in got] == [0, *np.cumsum([r["n_tokens"] for r in got])[:-1].tolist()]
+
+
+def test_coder_takes_all_ids_and_beats_deflate(small):
+    ids = np.array([2**32 - 1, 0, 7, 2**31] * 300, "<u4")
+    assert np.array_equal(id_coder.decode(id_coder.encode(ids)), ids)
+    many = np.random.default_rng(3).integers(0, 2**32, 300_000).astype("<u4")  # more symbols than order 0 has in its table
+    assert np.array_equal(id_coder.decode(id_coder.encode(many)), many)
+    import pyarrow.parquet as pq
+
+    own = word_ids.word_ids(WORDS).encode_batch(pq.read_table("/root/testdata/sf0.1/documents.parquet").column("text").combine_chunks())
+    ids = np.concatenate(own).astype("<u4")[: token_file.BLOCK_IDS]
+    assert len(id_coder.encode(ids)) < 0.97 * len(zlib.compress(ids.astype("<u2").tobytes(), 9))
+
+
 def test_coder_learns():
     ids = np.tile(np.random.default_rng(1).integers(0, 49000, 300), 1000).astype("<u4")
     assert len(id_coder.encode(ids)) < 0.2 * 2 * len(ids)
