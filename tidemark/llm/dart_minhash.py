@@ -6,22 +6,23 @@ stream of darts whose ranks are sums of hashed exponential gaps, and each dart n
 up to (t ln t + 2 t) / weight are made, about as many for any document, and a coordinate keeps its earliest dart. Two
 documents agree in a coordinate with the probability of their weighted Jaccard similarity.
 
-Exact copies are classed first, by a digest of their words. Signatures of one document for each digest are banded; in a
-bucket each document is linked to the first leader it agrees with (or else becomes one, with a link to the nearest),
-first among the rows of a batch and then among the leaders that are left, so links and shuffled rows are linear in a
-bucket's size. Links are checked by the exact weighted Jaccard similarity of the whole texts, and linked documents form classes.
-Leaders settle most rows but not all: a link may fail the check, and rows may be near that follow different leaders. So
-buckets that still hold several classes are searched again, every pair of rows of two classes: first the nearest row of
-each other class is checked, then all pairs of classes that have not met by then. A link is lost only if its rows meet in no
-bucket (with 20 bands of 5 rows a pair of similarity 0.8 meets in one with probability 0.9996) or agree less than MAYBE.
+A node is a distinct text (64 bits of a hash of its words). Signatures of the nodes are banded; in a bucket each node is linked to
+the first leader it agrees with (or else becomes one, with a link to the nearest), in runs of RUN rows, so links are linear
+in a bucket's size however large it is. Links are checked by the exact weighted Jaccard similarity of the whole texts, and linked nodes
+form classes. That settles most rows but not all: a link may fail the check, and rows may be near that follow different
+leaders. So a bucket that still holds several classes is searched again, exactly: its rows come in blocks with the cells of
+their texts, every pair of blocks is one task row, the shared cells of all pairs of texts in it are counted by a product of incidence
+matrices, and what leaves the task is at most one link for each class that it joins. So no rows are made for pairs, and a
+large bucket is spread over tasks. A link is lost only if its texts meet in no bucket: with 20 bands of 5 rows a pair of
+similarity 0.8 meets in one with probability 0.9996.
 
 Defined results: a document without words (null, empty, only punctuation) is alone in its class; one of fewer than five
-words is one shingle; class_id is the least key of the class; rows that share a key are one document.
+words is one shingle; class_id is the least key of the class; rows that share a key are one document, in one class whatever their
+texts are; a row without a key has no class_id, but its text links others as any text does.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +30,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from .common import small_batches, written
+from .common import coded_chunks, parted, small_batches, written
 from .components import components
 from .decontaminate import term
 
@@ -40,8 +42,11 @@ BANDS, ROWS = 20, 5
 COORDINATES = BANDS * ROWS
 #: Signatures that agree less than this are not candidates (four standard errors under SIMILAR).
 MAYBE = 0.64
-#: Rows of a bucket are compared in blocks of about so many.
-BLOCK_ROWS = 64
+#: Rows of a bucket are led in runs of at most so many.
+RUN = 1024
+#: Rows of a mixed bucket are compared in blocks of about so many rows and cells (8 bytes each) at most.
+BLOCK_ROWS, BLOCK_CELLS = 256, 1_000_000
+_COLUMNS = 4096  # of an incidence matrix at a time
 #: A key list of this size at most (16 MB) is broadcast; longer ones are joined by shuffles.
 MOST_BROADCAST_KEYS = 2_000_000
 
@@ -67,6 +72,13 @@ class _WordHashes(dict):
 _WORDS = _WordHashes()
 
 
+def words_of_all(texts: pa.Array) -> list[np.ndarray]:
+    """word_hashes of every text of an Arrow array."""
+    chunks, which, offsets = coded_chunks(texts)
+    flat = np.fromiter(map(_WORDS.__getitem__, chunks), np.uint64, len(chunks))[which]
+    return parted(flat, offsets, flat != 0)
+
+
 def word_hashes(text: str | None) -> np.ndarray:
     """A 64-bit hash for each word; punctuation alone is no word."""
     chunks = text.split() if text else []
@@ -121,28 +133,31 @@ def signatures(sets: list[np.ndarray], t: int = COORDINATES) -> np.ndarray:
     return out
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard of two (distinct shingles in order, counts)."""
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    both = np.minimum(a[1][i], b[1][j]).sum()
-    return float(both / (a[1].sum() + b[1].sum() - both))
+def cells(words: np.ndarray) -> np.ndarray:
+    """A text's unit cells in order: a hash for each shingle and copy of it, so that weighted sets are compared as sets."""
+    h = shingle_hashes(words)
+    return np.unique(mixed(h + mixed(copies(h, np.zeros(len(h), np.int8)).astype(np.uint64))))
+
+
+def node_of(words: np.ndarray) -> int:
+    return int(np.int64(np.uint64(xxhash.xxh3_64_intdigest(words.tobytes()))))
 
 
 def signed(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """_key, _digest, _sig: 32-bit signature values, for documents that have words."""
+    """_key, _node, _size (shingles), _sig (32-bit signature values), for rows that have words."""
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in small_batches(whole, "_text", 4_000_000):
-                words = [word_hashes(t.as_py()) for t in batch.column(1)]
+                words = words_of_all(batch.column(1))
                 has = [i for i, w in enumerate(words) if len(w)]
                 if has:
-                    sig = signatures([shingle_hashes(words[i]) for i in has])
-                    digests = [hashlib.blake2b(words[i].tobytes(), digest_size=16).digest() for i in has]
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(has)), pa.array(digests, pa.binary()), pa.array([s.tobytes() for s in sig], pa.binary())], names=["_key", "_digest", "_sig"])
+                    sets = [shingle_hashes(words[i]) for i in has]
+                    columns = [pa.array([node_of(words[i]) for i in has], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.array([x.tobytes() for x in signatures(sets)], pa.binary())]
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(has)), *columns], names=["_key", "_node", "_size", "_sig"])
 
-    narrow = docs.where(docs[key].isNotNull()).select(docs[key].alias("_key"), docs[text].cast("string").alias("_text"))
-    return narrow.mapInArrow(body, f"_key {docs.schema[key].dataType.simpleString()}, _digest binary, _sig binary")
+    narrow = docs.select(docs[key].alias("_key"), docs[text].cast("string").alias("_text"))
+    return narrow.mapInArrow(body, f"_key {docs.schema[key].dataType.simpleString()}, _node long, _size long, _sig binary")
 
 
 def _led(bucket: np.ndarray, keys: np.ndarray, sig: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
@@ -150,6 +165,9 @@ def _led(bucket: np.ndarray, keys: np.ndarray, sig: np.ndarray) -> tuple[np.ndar
     leads, links = np.ones(len(bucket), bool), []
     start = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1])) if len(bucket) else np.zeros(0, np.int64)
     size = np.diff(np.append(start, len(bucket)))
+    runs = -(-size // RUN)
+    start = np.repeat(start, runs) + RUN * (np.arange(runs.sum()) - np.repeat(np.cumsum(runs) - runs, runs))
+    size = np.diff(np.append(start, len(bucket)))
     pair = start[size == 2]
     agree = (sig[pair] == sig[pair + 1]).mean(axis=1) if len(pair) else np.zeros(0)
     links += [(p, p + 1) for p in pair[agree >= MAYBE]]
@@ -173,18 +191,19 @@ def _led(bucket: np.ndarray, keys: np.ndarray, sig: np.ndarray) -> tuple[np.ndar
     return leads, links
 
 
-def _emit(bucket, keys, sig, leads, links, key_type) -> Iterator[pa.RecordBatch]:
-    """Leaders as rows with a signature, links as rows with a second key."""
-    names = ["_bucket", "_key", "_other", "_sig"]
+def _emit(bucket, nodes, sig, leads, links) -> Iterator[pa.RecordBatch]:
+    """Leaders as rows with a signature, links as rows with a second node."""
+    names = ["_bucket", "_node", "_other", "_sig"]
     at = np.flatnonzero(leads)
     if len(at) and bucket is not None:
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[at]), pa.array(keys[at], key_type), pa.nulls(len(at), key_type), pa.array([x.tobytes() for x in sig[at]], pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[at]), pa.array(nodes[at]), pa.nulls(len(at), pa.int64()), pa.array([x.tobytes() for x in sig[at]], pa.binary())], names=names)
     if links:
         a, b = np.array(links).T
-        differ = keys[a] != keys[b]
+        a, b = nodes[a], nodes[b]
+        differ = a != b
         if differ.any():
-            a, b = keys[a][differ], keys[b][differ]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a, key_type), pa.array(b, key_type), pa.nulls(len(a), pa.binary())], names=names)
+            a, b = a[differ], b[differ]
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(a), pa.int64()), pa.array(a), pa.array(b), pa.nulls(len(a), pa.binary())], names=names)
 
 
 def banded(full: np.ndarray) -> np.ndarray:
@@ -199,23 +218,21 @@ def banded(full: np.ndarray) -> np.ndarray:
 
 
 def candidates(reps: DataFrame) -> DataFrame:
-    """(_key, _sig) of distinct texts -> candidate links (a, b), about one for each document and bucket at most."""
-    kind = reps.schema["_key"].dataType.simpleString()
-    schema = f"_bucket long, _key {kind}, _other {kind}, _sig binary"
+    """(_node, _sig) -> candidate links (a, b), about one for each node and bucket at most."""
 
     def thrown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            full = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, COORDINATES)
-            keys = batch.column(0).to_numpy(zero_copy_only=False)
-            low, n = (full & 0xFF).astype(np.uint8), len(full)
-            bucket, row = banded(full).ravel(), np.repeat(np.arange(n), BANDS)
-            order = np.lexsort((keys[row], bucket))
-            bucket, row = bucket[order], row[order]
-            leads, links = _led(bucket, keys[row], low[row])
-            yield from _emit(bucket, keys[row], low[row], leads, links, batch.column(0).type)
+            if batch.num_rows:
+                full = np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint32).reshape(-1, COORDINATES)
+                nodes, low = batch.column(0).to_numpy(), (full & 0xFF).astype(np.uint8)
+                bucket, row = banded(full).ravel(), np.repeat(np.arange(len(full)), BANDS)
+                order = np.lexsort((nodes[row], bucket))
+                bucket, row = bucket[order], row[order]
+                leads, links = _led(bucket, nodes[row], low[row])
+                yield from _emit(bucket, nodes[row], low[row], leads, links)
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows come in bucket order; the last bucket of a batch waits for the next batch."""
+        """Rows come in bucket order; the last bucket of a batch waits for the next batch, unless it is long."""
         held: list[pa.RecordBatch] = []
 
         def done(rows: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -223,14 +240,20 @@ def candidates(reps: DataFrame) -> DataFrame:
             multiple = np.append(bucket[1:] == bucket[:-1], False) | np.append(False, bucket[1:] == bucket[:-1])
             if multiple.any():
                 rows, bucket = rows.filter(pa.array(multiple)), bucket[multiple]
-                keys = rows.column(1).to_numpy()
+                nodes = rows.column(1).to_numpy()
                 sig = np.frombuffer(b"".join(rows.column(2).to_pylist()), np.uint8).reshape(-1, COORDINATES)
-                leads, links = _led(bucket, keys, sig)
-                for out in _emit(None, keys, sig, leads, links, rows.schema.field(1).type):
-                    yield out.select(["_key", "_other"])
+                leads, links = _led(bucket, nodes, sig)
+                for out in _emit(None, nodes, sig, leads, links):
+                    yield out.select(["_node", "_other"])
 
         for batch in batches:
+            if not batch.num_rows:
+                continue
             held.append(batch)
+            if sum(b.num_rows for b in held[:-1]) >= RUN:
+                yield from done(pa.Table.from_batches(held))
+                held = []
+                continue
             last = batch.column(0)[-1].as_py()
             if batch.column(0)[0].as_py() != last:
                 cut = int(np.searchsorted(batch.column(0).to_numpy(), last))
@@ -239,132 +262,192 @@ def candidates(reps: DataFrame) -> DataFrame:
         if held:
             yield from done(pa.Table.from_batches(held))
 
-    local = written(reps.mapInArrow(thrown, schema), "darts")
-    leaders = local.where(F.col("_other").isNull()).select("_bucket", "_key", "_sig")
-    spread = leaders.repartition(F.col("_bucket")).sortWithinPartitions("_bucket", "_key")
-    links = spread.mapInArrow(met, f"_key {kind}, _other {kind}")
-    links = links.unionByName(local.where(F.col("_other").isNotNull()).select("_key", "_other"))
-    return links.select(F.least("_key", "_other").alias("a"), F.greatest("_key", "_other").alias("b")).distinct()
+    local = written(reps.mapInArrow(thrown, "_bucket long, _node long, _other long, _sig binary"), "darts")
+    leaders = local.where(F.col("_other").isNull()).select("_bucket", "_node", "_sig")
+    spread = leaders.repartitionByRange("_bucket", "_node").sortWithinPartitions("_bucket", "_node")  # a large bucket lies in several partitions
+    links = spread.mapInArrow(met, "_node long, _other long")
+    links = links.unionByName(local.where(F.col("_other").isNotNull()).select("_node", "_other"))
+    return links.select(F.least("_node", "_other").alias("a"), F.greatest("_node", "_other").alias("b")).distinct()
 
 
-def crossing(reps: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs of distinct texts of two classes that share a bucket and agree enough: a, b, class_a, class_b, agree (a < b).
+def cells_of(docs: DataFrame, key: str, text: str, wanted: DataFrame) -> DataFrame:
+    """_node, _cells (see cells) of the wanted nodes (_node, _rep: a key with that text, null where no row with that text has a key)."""
 
-    reps: _key, _sig. classes: node, root, for rows that are not their class's root."""
-    kind = reps.schema["_key"].dataType.simpleString()
+    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in small_batches(whole, "_text", 4_000_000):
+                nodes, found = [], []
+                for want, words in zip(batch.column(0).to_pylist(), words_of_all(batch.column(1))):
+                    if len(words) and want in (None, own := node_of(words)):  # a key may stand on rows of other texts too
+                        nodes.append(own)
+                        found.append(cells(words).tobytes())
+                if nodes:
+                    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(found, pa.binary())], names=["_node", "_cells"])
+
+    wanted = written(wanted, "wanted")
+    few = wanted.count() <= MOST_BROADCAST_KEYS
+    keyed = wanted.where(F.col("_rep").isNotNull())
+    texts = docs.select(docs[key].alias("_rep"), docs[text].cast("string").alias("_text"))
+    rows = texts.join(F.broadcast(keyed) if few else keyed, "_rep").select("_node", "_text")
+    own = rows.mapInArrow(body, "_node long, _cells binary")
+    if not wanted.where(F.col("_rep").isNull()).isEmpty():
+        loose = texts.where(F.col("_rep").isNull()).select(F.lit(None).cast("long").alias("_node"), "_text").mapInArrow(body, "_node long, _cells binary")
+        own = own.unionByName(loose.join(wanted.where(F.col("_rep").isNull()).select("_node"), "_node", "left_semi"))
+    return own.groupBy("_node").agg(F.any_value("_cells").alias("_cells"))
+
+
+def verified(links: DataFrame, cells_: DataFrame, least: float = SIMILAR) -> DataFrame:
+    """Links (a, b) whose texts have at least that similarity."""
+    with_b = links.join(cells_.select(F.col("_node").alias("b"), F.col("_cells").alias("_of_b")), "b")
+    pairs = with_b.join(cells_.select(F.col("_node").alias("a"), F.col("_cells").alias("_of_a")), "a").select("a", "b", "_of_a", "_of_b")
+
+    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for i in range(batch.num_rows):
+                x, y = (np.frombuffer(batch.column(c)[i].as_buffer(), np.uint64) for c in (2, 3))
+                if min(len(x), len(y)) >= least * max(len(x), len(y)):
+                    both = len(np.intersect1d(x, y, assume_unique=True))
+                    if both / (len(x) + len(y) - both) >= least:
+                        keep.append(i)
+            if keep:
+                yield batch.select(["a", "b"]).take(pa.array(keep))
+
+    return pairs.mapInArrow(body, "a long, b long").distinct()
+
+
+def shared_cells(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """How many cells each of left shares with each of right."""
+    n, sizes = len(left), np.array([len(x) for x in [*left, *right]])
+    row = np.repeat(np.arange(len(sizes)), sizes)
+    _, column, times = np.unique(np.concatenate([*left, *right]), return_inverse=True, return_counts=True)
+    order = np.argsort(column, kind="stable")
+    order = order[times[column[order]] > 1]
+    row, column = row[order], (np.cumsum(times > 1) - 1)[column[order]]
+    out, held = np.zeros((n, len(right))), int(column[-1]) + 1 if len(column) else 0
+    for at in range(0, held, _COLUMNS):
+        a, b = np.searchsorted(column, [at, at + _COLUMNS])
+        incidence = np.zeros((len(sizes), min(_COLUMNS, held - at)), np.float32)
+        incidence[row[a:b], column[a:b] - at] = 1
+        out += incidence[:n] @ incidence[n:].T
+    return out
+
+
+def crossing(reps: DataFrame, classes: DataFrame, cells_for) -> DataFrame:
+    """Links (a, b) between classes that hold texts of one bucket with at least SIMILAR.
+
+    reps: _node, _rep, _size, _sig. classes: node, root, for nodes that are not their class's root. cells_for(nodes) gives their cells."""
 
     def thrown(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                bucket = banded(np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint32).reshape(-1, COORDINATES))
+                bucket = banded(np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint32).reshape(-1, COORDINATES))
                 row = pa.array(np.repeat(np.arange(len(bucket)), BANDS))
-                yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel()), batch.column(0).take(row), batch.column(1).take(row)], names=["_bucket", "_key", "_class"])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket.ravel()), *(batch.column(c).take(row) for c in range(3))], names=["_bucket", "_node", "_class", "_size"])
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for r in batch.to_pylist():
-                left, right = r["_left"], r["_right"]
-                x, y = (np.frombuffer(b"".join(e["_sig"] for e in side), np.uint32).reshape(-1, COORDINATES) for side in (left, right))
-                for i, e in enumerate(left):
-                    agree = (y == x[i]).mean(axis=1)
-                    for j in np.flatnonzero(agree >= MAYBE).tolist():
-                        f = right[j]
-                        if e["_class"] != f["_class"] and (not r["_same"] or e["_key"] < f["_key"]):
-                            out.append((e["_key"], f["_key"], e["_class"], f["_class"], float(agree[j])))
+            out = [x for r in batch.to_pylist() for x in _joined(r["_left"], r["_right"])]
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([o[k] for o in out], t) for k, t in enumerate(types)], names=["x", "y", "class_x", "class_y", "agree"])
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
-    types = [_arrow_type(reps.schema["_key"].dataType)] * 4 + [pa.float64()]
-    own = reps.join(classes, F.col("_key") == F.col("node"), "left").select("_key", F.coalesce("root", "_key").alias("_class"), "_sig")
-    rows = own.mapInArrow(thrown, f"_bucket long, _key {kind}, _class {kind}")
-    sizes = rows.groupBy("_bucket", "_class").agg(F.count("*").alias("n"))
-    mixed_ = sizes.groupBy("_bucket").agg(F.max_by("_class", "n").alias("_main"), F.max("n").alias("_most"), F.sum("n").alias("_all")).where("_all > _most")
+    own = reps.join(classes, F.col("_node") == F.col("node"), "left").select("_node", F.coalesce("root", "_node").alias("_class"), "_size", "_sig")
+    rows = own.mapInArrow(thrown, "_bucket long, _node long, _class long, _size long")
+    sizes = rows.groupBy("_bucket", "_class").agg(F.count("*").alias("n"), F.sum("_size").alias("c"))
+    # of a bucket: its largest class, and rows and cells of that class and of all
+    mixed_ = sizes.groupBy("_bucket").agg(F.max_by("_class", "n").alias("_main"), F.max("n").alias("_most"), F.max_by("c", "n").alias("_most_cells"), F.sum("n").alias("_all"), F.sum("c").alias("_all_cells")).where("_all > _most")
     mixed_ = written(mixed_, "mixed-buckets")
-    # rows of a bucket's largest class meet the others only; both sides come in blocks
+    # rows of the largest class meet the others only; both sides come in blocks
     held = rows.join(mixed_, "_bucket").withColumn("_other", F.col("_class") != F.col("_main"))
-    count = F.when(F.col("_other"), F.col("_all") - F.col("_most")).otherwise(F.col("_most"))
-    held = held.withColumn("_part", F.pmod(F.xxhash64("_key"), F.ceil(count / BLOCK_ROWS))).select("_bucket", "_key", "_class", "_other", "_part")
-    held = held.join(reps.select("_key", "_sig"), "_key")
-    blocks = written(held.groupBy("_bucket", "_other", "_part").agg(F.collect_list(F.struct("_key", "_class", "_sig")).alias("_rows")), "bucket-blocks")
+    side = lambda whole, most: F.when(F.col("_other"), F.col(whole) - F.col(most)).otherwise(F.col(most))
+    parts = F.ceil(F.greatest(side("_all", "_most") / BLOCK_ROWS, side("_all_cells", "_most_cells") / BLOCK_CELLS))
+    held = written(held.withColumn("_part", F.pmod(F.xxhash64("_node"), parts)).select("_bucket", "_node", "_class", "_other", "_part"), "mixed-rows")
+    held = held.join(cells_for(held.select("_node").distinct()), "_node")
+    blocks = written(held.groupBy("_bucket", "_other", "_part").agg(F.collect_list(F.struct("_node", "_class", "_cells")).alias("_rows")), "bucket-blocks")
     left = blocks.where("_other").select("_bucket", F.col("_part").alias("_p"), F.col("_rows").alias("_left"))
     right = blocks.select("_bucket", "_other", "_part", F.col("_rows").alias("_right"))
-    pairs = left.join(right, "_bucket").where("not _other or _p <= _part").select("_left", "_right", (F.col("_other") & (F.col("_p") == F.col("_part"))).alias("_same"))
-    found = pairs.mapInArrow(met, f"x {kind}, y {kind}, class_x {kind}, class_y {kind}, agree double")
-    before = F.col("x") < F.col("y")
-    return found.select(
-        F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.when(before, F.col("class_x")).otherwise(F.col("class_y")).alias("class_a"), F.when(before, F.col("class_y")).otherwise(F.col("class_x")).alias("class_b"), "agree"
-    ).distinct()
-
-
-def _arrow_type(kind) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(kind)
-
-
-def joined_classes(cross: DataFrame, docs: DataFrame, key: str, text: str) -> DataFrame | None:
-    """(node, root) of the classes that pairs of crossing() join; None if they join none."""
-    ends = cross.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("class_b").alias("c"), "agree").unionByName(cross.select(F.col("b").alias("x"), F.col("a").alias("y"), F.col("class_a").alias("c"), "agree"))
-    nearest = ends.groupBy("x", "c").agg(F.max_by("y", F.struct("agree", "y")).alias("y"))
-    first = written(nearest.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "nearest")
-    met = written(verified(first, docs, key, text).join(cross, ["a", "b"]).select(F.col("class_a").alias("a"), F.col("class_b").alias("b")).distinct(), "joined")
-    rest = cross.join(first, ["a", "b"], "left_anti")
-    if not met.isEmpty():
-        found = components(met)
-        side = lambda c: found.select(F.col("node").alias(f"class_{c}"), F.col("root").alias(f"root_{c}"))
-        rest = rest.join(side("a"), "class_a", "left").join(side("b"), "class_b", "left").where("coalesce(root_a, class_a) <> coalesce(root_b, class_b)")
-    rest = written(rest.select("a", "b", "class_a", "class_b"), "crossing-rest")
-    if not rest.isEmpty():
-        more = verified(rest.select("a", "b"), docs, key, text).join(rest, ["a", "b"]).select(F.col("class_a").alias("a"), F.col("class_b").alias("b"))
-        both = written(met.unionByName(more).distinct(), "joined")
-        return None if both.isEmpty() else components(both)
-    return None if met.isEmpty() else found
-
-
-def verified(links: DataFrame, docs: DataFrame, key: str, text: str, least: float = SIMILAR) -> DataFrame:
-    """Links whose whole texts have at least that similarity."""
-    kind = docs.schema[key].dataType.simpleString()
-    ends = links.select(F.explode(F.array("a", "b")).alias("_key")).distinct()
-    texts = docs.select(docs[key].alias("_key"), docs[text].cast("string").alias("_text"))
-    few = ends.count() <= MOST_BROADCAST_KEYS
-    texts = texts.join(F.broadcast(ends) if few else ends, "_key", "left_semi")
-    with_b = links.join(texts.select(F.col("_key").alias("b"), F.col("_text").alias("_text_b")), "b")
-    pairs = with_b.join(texts.select(F.col("_key").alias("a"), F.col("_text").alias("_text_a")), "a").select("a", "b", "_text_a", "_text_b")
-
-    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last: list = [None, None]
-
-        def set_of(t: str | None):
-            return np.unique(shingle_hashes(word_hashes(t)), return_counts=True)
+    pairs = left.join(right, "_bucket").where("not _other or _p <= _part").select("_left", "_right")
+    return pairs.mapInArrow(met, "a long, b long").distinct()
+
+
+def _joined(left: list[dict], right: list[dict]) -> list[tuple[int, int]]:
+    """Links that join the classes of two blocks as far as their texts do; none between classes that others of them join."""
+    root: dict[int, int] = {}
+
+    def find(x: int) -> int:
+        while (up := root.get(x, x)) != x:
+            root[x] = root.get(up, up)
+            x = up
+        return x
+
+    x, y = ([np.frombuffer(e["_cells"], np.uint64) for e in side] for side in (left, right))
+    both = shared_cells(x, y)
+    union = np.array([len(c) for c in x])[:, None] + np.array([len(c) for c in y]) - both
+    out = []
+    for i, j in np.argwhere(both / union >= SIMILAR).tolist():
+        a, b = find(left[i]["_class"]), find(right[j]["_class"])
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append((left[i]["_class"], right[j]["_class"]))
+    return out
 
-        for batch in batches:
-            keep = []
-            for i, (ta, tb) in enumerate(zip(batch.column(2), batch.column(3))):
-                ta = ta.as_py()
-                if last[0] != ta:  # a hub's links come one after another
-                    last[:] = [ta, set_of(ta)]
-                other = set_of(tb.as_py())
-                if len(last[1][0]) and len(other[0]) and similarity(last[1], other) >= least:
-                    keep.append(i)
-            if keep:
-                yield batch.select(["a", "b"]).take(pa.array(keep))
 
-    return pairs.mapInArrow(body, f"a {kind}, b {kind}").distinct()
+def _classed(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """(_key, _node) of the rows with words, and of every node its class: _node, _best (the class's least key), _first (its least node)."""
+    sigs = written(signed(docs, key, text), "signatures")
+    reps = written(sigs.groupBy("_node").agg(F.min("_key").alias("_rep"), F.any_value("_size").alias("_size"), F.any_value("_sig").alias("_sig")), "distinct-texts")
+    cells_for = lambda nodes: cells_of(docs, key, text, reps.select("_node", "_rep").join(nodes, "_node", "left_semi"))
+    links = written(candidates(reps.select("_node", "_sig")), "candidates")
+    near = verified(links, written(cells_for(links.select(F.explode(F.array("a", "b")).alias("_node")).distinct()), "cells"))
+    shared = sigs.where(F.col("_key").isNotNull()).groupBy("_key").agg(F.min("_node").alias("a"), F.max("_node").alias("_last")).where("a <> _last")
+    one_key = sigs.join(shared.select("_key", "a"), "_key").select("a", F.col("_node").alias("b"))  # rows that share a key are one document
+    found = components(near.unionByName(one_key))
+    cross = written(crossing(reps, found, cells_for), "crossing")
+    joined = reps.select("_node", "_rep").join(found, F.col("_node") == F.col("node"), "left").select("_node", "_rep", F.coalesce("root", "_node").alias("_root"))
+    if not cross.isEmpty():
+        more = components(cross)
+        joined = joined.join(more, F.col("_root") == F.col("node"), "left").select("_node", "_rep", F.coalesce("root", "_root").alias("_root"))
+    joined = written(joined, "classes")
+    best = joined.groupBy("_root").agg(F.min("_rep").alias("_best"), F.min("_node").alias("_first"))
+    return sigs.select("_key", "_node"), joined.join(best, "_root").select("_node", "_best", "_first")
 
 
 def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row for each row of docs: key and class_id, the least key among its near duplicates."""
-    sigs = written(signed(docs, key, text), "signatures")
-    reps = written(sigs.groupBy("_digest").agg(F.min("_key").alias("_rep"), F.any_value("_sig").alias("_sig")), "distinct-texts")
-    links = written(candidates(reps.select(F.col("_rep").alias("_key"), "_sig")), "candidates")
-    found = components(verified(links, docs, key, text))
-    cross = written(crossing(reps.select(F.col("_rep").alias("_key"), "_sig"), found).join(links, ["a", "b"], "left_anti"), "crossing")
-    more = None if cross.isEmpty() else joined_classes(cross, docs, key, text)
-    joined = reps.select("_digest", "_rep").join(found, F.col("_rep") == F.col("node"), "left").select("_digest", F.coalesce("root", "_rep").alias("_rep"), F.lit(None).alias("root"))
-    if more is not None:
-        joined = joined.drop("root").join(more, F.col("_rep") == F.col("node"), "left")
-    roots = joined.select("_digest", F.coalesce("root", "_rep").alias("_class"))
-    member = sigs.select("_key", "_digest").distinct().join(roots, "_digest").groupBy("_key").agg(F.min("_class").alias("_class"))
+    sigs, classes = _classed(docs, key, text)
+    member = sigs.where(F.col("_key").isNotNull()).groupBy("_key").agg(F.min("_node").alias("_node")).join(classes, "_node").select("_key", "_best")
     rows = docs.select(docs[key].alias("_own"))
-    return rows.join(member, F.col("_own") == F.col("_key"), "left").select(F.col("_own").alias(key), F.coalesce("_class", "_own").alias("class_id"))
+    return rows.join(member, F.col("_own") == F.col("_key"), "left").select(F.col("_own").alias(key), F.coalesce("_best", "_own").alias("class_id"))
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each class, with all columns of docs: that of the least key, or where no row of the class has a key, of the least node.
+
+    Rows that share a key are one document, so one of them stays (the longest text); rows without a key are judged by their texts; rows
+    with neither key nor words all stay."""
+    sigs, classes = _classed(docs, key, text)
+    sigs = sigs.groupBy("_key").agg(F.min("_node").alias("_node")).where(F.col("_key").isNotNull())
+    beaten = sigs.join(classes, "_node").where("_key <> _best").select(F.col("_key").alias("__near_key"))
+    again = written(docs.groupBy(docs[key].alias("__near_again")).count().where("count > 1").select("__near_again"), "repeated-keys")
+    rows = docs.join(beaten, docs[key] == beaten["__near_key"], "left_anti")
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    order = F.struct(-F.length(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))), F.xxhash64(F.col(f"`{text}`")))
+    picked = lambda grouped: grouped.agg(F.min_by(whole, order).alias("__near_row")).select("__near_row.*")
+    if again.where(F.col("__near_again").isNotNull()).isEmpty():
+        out = rows.where(rows[key].isNotNull())
+    else:
+        once = rows.where(rows[key].isNotNull()).join(again, rows[key] == again["__near_again"], "left_anti")
+        out = once.unionByName(picked(rows.join(again, rows[key] == again["__near_again"], "left_semi").groupBy(f"`{key}`")))
+    if again.where(F.col("__near_again").isNull()).isEmpty() and docs.where(docs[key].isNull()).isEmpty():
+        return out
+
+    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in small_batches(whole, text, 4_000_000):
+                nodes = [node_of(w) if len(w) else None for w in words_of_all(batch.column(text).cast(pa.string()))]
+                yield batch.append_column("__near_node", pa.array(nodes, pa.int64()))
+
+    loose = docs.where(docs[key].isNull()).mapInArrow(body, StructType([*docs.schema.fields, StructField("__near_node", LongType())]))
+    firsts = classes.where(F.col("_best").isNull() & (F.col("_node") == F.col("_first"))).select(F.col("_node").alias("__near_first"))
+    kept = loose.join(firsts, loose["__near_node"] == firsts["__near_first"], "left_semi")
+    return out.unionByName(picked(kept.groupBy("__near_node"))).unionByName(loose.where(F.col("__near_node").isNull()).drop("__near_node"))
