@@ -141,8 +141,21 @@ def test_coder_learns():
     assert len(id_coder.encode(ids)) < 0.2 * 2 * len(ids)
 
 
-def brute_links(texts):
-    sets = {i: np.unique(dart_minhash.shingle_hashes(dart_minhash.word_hashes(t)), return_counts=True) for i, t in enumerate(texts)}
+def weighted_shingles(text):
+    """The weighted five-word shingles of a text, written down from the contract alone."""
+    words = ["".join(c for c in w.lower() if c.isalnum()) for w in (text or "").split()]
+    words = [w for w in words if w]
+    n = min(5, len(words))
+    return collections.Counter(" ".join(words[k : k + n]) for k in range(len(words) - n + 1)) if words else collections.Counter()
+
+
+def weighted_jaccard(a, b):
+    return sum((a & b).values()) / sum((a | b).values())
+
+
+def brute_links(texts, least=0.8):
+    """All pairs."""
+    sets = dict(enumerate(map(weighted_shingles, texts)))
     root = {i: i for i in sets}
 
     def find(x):
@@ -152,7 +165,7 @@ def brute_links(texts):
 
     for a in sets:
         for b in sets:
-            if a < b and len(sets[a][0]) and len(sets[b][0]) and dart_minhash.similarity(sets[a], sets[b]) >= 0.8:
+            if a < b and sets[a] and sets[b] and weighted_jaccard(sets[a], sets[b]) >= least:
                 ra, rb = find(a), find(b)
                 root[max(ra, rb)] = min(ra, rb)
     return {i: find(i) for i in sets}
@@ -186,11 +199,43 @@ def test_variants_about_the_threshold_are_classed_exactly(spark):
     assert {r["doc_id"]: r["class_id"] for r in dart_minhash.near_classes(frame(spark, texts)).collect()} == want
 
 
+def test_hot_buckets_are_split_and_stay_exact(spark, monkeypatch):
+    """One group holds most rows; blocks and runs are so small that its buckets are cut many times."""
+    rng = random.Random(23)
+    base = prose(rng, 150)
+    texts = [edited(rng, base, rng.choice([0.01, 0.02, 0.03])) for _ in range(150)] + [base] * 40 + [prose(rng, 60) for _ in range(20)]
+    monkeypatch.setattr(dart_minhash, "BLOCK_ROWS", 4)
+    monkeypatch.setattr(dart_minhash, "RUN", 8)
+    assert {r["doc_id"]: r["class_id"] for r in dart_minhash.near_classes(frame(spark, texts)).collect()} == brute_links(texts)
+
+
+def test_rows_that_share_a_key_or_have_none(spark):
+    rng = random.Random(29)
+    a, b, c, d = (prose(rng, 60) for _ in range(4))
+    rows = [(1, a), (1, a), (2, b), (2, c), (3, c), (None, a), (None, d), (None, d), (None, edited(rng, d, 0.01)), (None, None), (None, " "), (4, None), (4, None), (5, "")]
+    docs = spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, __near_key string").repartition(3)
+    got = {(r["doc_id"], r["class_id"]) for r in dart_minhash.near_classes(docs).collect()}
+    assert got == {(1, 1), (2, 2), (3, 2), (None, None), (4, 4), (5, 5)}
+    kept = dart_minhash.keep_one(docs)
+    assert kept.columns == docs.columns
+    by_key = collections.Counter(r["doc_id"] for r in kept.collect())
+    assert by_key == {1: 1, 2: 1, 4: 1, 5: 1, None: 3}  # of the rows without a key: one of the group of d, and the two without words
+    named = docs.selectExpr("concat('k', doc_id) AS doc_id", "text")
+    assert {(r["doc_id"], r["class_id"]) for r in dart_minhash.near_classes(named).collect()} == {("k1", "k1"), ("k2", "k2"), ("k3", "k2"), (None, None), ("k4", "k4"), ("k5", "k5")}
+
+
+def test_near_duplicates_recall_on_a_real_table(spark, small):
+    """Every pair of sf0.001 at 0.8 or more, found by comparing all pairs that share a shingle."""
+    texts = [r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").orderBy("doc_id").collect()]
+    got = {r["doc_id"]: r["class_id"] for r in dart_minhash.near_classes(spark.read.parquet(f"{small}/documents.parquet")).collect()}
+    assert [got[d] for d in sorted(got)] == [sorted(got)[c] for c in brute_links(texts).values()]
+
+
 def test_signatures_estimate_weighted_similarity():
     rng = np.random.default_rng(2)
     base = rng.integers(0, 1 << 60, 400).astype(np.uint64)
     a, b = np.concatenate([base, base[:100]]), np.concatenate([base[:300], base[:100], rng.integers(0, 1 << 60, 60).astype(np.uint64)])
-    true = dart_minhash.similarity(np.unique(a, return_counts=True), np.unique(b, return_counts=True))
+    true = weighted_jaccard(collections.Counter(a.tolist()), collections.Counter(b.tolist()))
     sig = dart_minhash.signatures([a, b, a[::-1], base[:1]], 2000)
     assert abs((sig[0] == sig[1]).mean() - true) < 0.05 and (sig[0] == sig[2]).all() and len(set(sig[3].tolist())) == 2000
 
@@ -272,6 +317,35 @@ def test_edited_items_are_found(spark):
     assert not {r["doc_id"] for r in decontaminate.find_leaks(frame(spark, texts), parted, question="q", answer="a", item_text=None).collect()} & set(range(40, 80))
 
 
+def test_decontamination_against_plain_bm25(spark):
+    """Scores and overlaps recomputed in plain Python for every passage and item; a long item does not hide short ones."""
+    import math
+
+    rng = random.Random(41)
+    items = [prose(rng, 12) + ". " + prose(rng, 6) for _ in range(30)] + [prose(rng, 300) + ". " + prose(rng, 40)]
+    texts = [prose(rng, 40) + " " + items[k] + " " + prose(rng, 40) for k in (0, 3, 30)] + [prose(rng, 80), None, items[5]]
+    rows = decontaminate.find_leaks(frame(spark, texts), spark.createDataFrame(list(enumerate(items)), "doc_id long, text string"), item_key="doc_id").collect()
+    words = [decontaminate.terms(t) for t in items]
+    n, mean = len(items), sum(map(len, words)) / len(items)
+    df = collections.Counter(w for x in words for w in set(x))
+
+    def impacts(k):
+        tf = collections.Counter(words[k])
+        own = {w: math.log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * c * 2.2 / (c + 1.2 * (0.25 + 0.75 * len(words[k]) / mean)) for w, c in tf.items()}
+        return {w: v / sum(own.values()) for w, v in own.items()}
+
+    assert {(r["doc_id"], r["item_doc_id"]) for r in rows} == {(0, 0), (1, 3), (2, 30), (5, 5)}
+    for r in rows:
+        k, text = r["item_doc_id"], decontaminate.terms(texts[r["doc_id"]])
+        width = max(128, 2 * len(words[k]))
+        held = set(text[r["passage_start"] : r["passage_start"] + width + 200])
+        assert r["score"] <= 1 + 1e-9 and r["score"] >= sum(v for w, v in impacts(k).items() if w in held) - 0.2
+        assert r["question_overlap"] == r["answer_overlap"] == 1.0
+    docs = frame(spark, [*texts, items[7], items[7]]).selectExpr("IF(doc_id < 6, doc_id, NULL) AS doc_id", "text")
+    left = decontaminate.drop_leaks(docs, spark.createDataFrame(list(enumerate(items)), "item_id long, text string"))
+    assert sorted(r["doc_id"] for r in left.collect()) == [3, 4]
+
+
 def test_block_max_search_is_exhaustive(monkeypatch):
     rng = random.Random(6)
     items = [(k, prose(rng, 20).split(), prose(rng, 5).split()) for k in range(200)]

@@ -2,18 +2,25 @@
 
 The index holds, per term, postings in item order, cut into blocks of BLOCK items with the largest impact of each block.
 Impacts are BM25 contributions divided by the item's score against itself, so one threshold holds for all items. Every
-training document is cut into passages that overlap by the longest item, so each copy of an item lies whole in one
-passage; every passage is a query. Block bounds of its terms are added up first: a block whose bound stays under the
-threshold is skipped, and only the postings of the others are scored. All items at or over the threshold are retrieved
-(no top-k), and a hit stands if the passage holds enough of the item's question and of its answer, as shingles of five words.
-An item that is one text has no real answer, so there a hit also stands if the passage holds enough of the whole item's
-shingles; its impacts are raised so that no passage that does so stays under the threshold.
+training document is cut into passages that overlap by the longest item of an index, so each copy of an item lies whole in
+one passage; every passage is a query. Items are indexed by classes of length, so that a long item does not widen the
+passages that short ones are sought in.
+
+The search is exhaustive over all items at or over the threshold (no top-k), for a batch of passages at once and in three steps,
+each of which skips what cannot reach the threshold. Pivots: the terms of an item are ranked by impact, and the weak ones, that
+hold at most half of the threshold together, never make a candidate; only the postings of pivot terms are read for
+every passage, and a passage goes on only if they, with all weak terms granted, reach the threshold for some item. Block bounds:
+the block maxima of all terms of such a passage are added up, and blocks under the threshold are skipped. Scores: the postings of the
+blocks that are left are added up. A hit stands if the passage holds enough of the item's question and of its answer, as
+shingles of five words. An item that is one text has no real answer, so there a hit also stands if the passage holds enough of
+the whole item's shingles; its impacts are raised so that no passage that does so stays under the threshold.
 
 The index is broadcast, so its size is bounded: more than MOST_ITEM_BYTES of items are searched in shards, one pass each,
 with term statistics over all items.
 
 Defined results: null and empty documents and items match nothing; items of few words are matched as one shingle;
-duplicate items each match; an item whose answer is null or empty is judged by its question alone.
+duplicate items each match; an item whose answer is null or empty is judged by its question alone. Rows are judged one by one,
+so repeated rows and null keys are too. Where both tables' keys have one name, the item's is named item_<name> in the result.
 """
 
 from __future__ import annotations
@@ -27,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_batches
+from .common import coded_chunks, parted, small_batches
 
 K1, B = 1.2, 0.75
 THRESHOLD = 0.6
@@ -36,6 +43,9 @@ SHINGLE = 5
 BLOCK = 64
 PASSAGE = 128
 MOST_ITEM_BYTES = 8_000_000
+BATCH_BYTES = 3_000_000
+#: Sums over (passage, item) are kept in a plain array up to this size, in sorted lists beyond.
+MOST_SUMS = 4_000_000
 
 
 def term(chunk: str) -> str:
@@ -81,9 +91,9 @@ def shingles(words: list) -> set[tuple]:
 class Index:
     """items: (item id, question terms, answer terms), and True behind them for an item that is one text. frequency, n_items and mean_length are over all items of all shards."""
 
-    def __init__(self, items: list[tuple], frequency: dict[str, int], n_items: int, mean_length: float):
+    def __init__(self, items: list[tuple], frequency: dict[str, int], n_items: int, mean_length: float, numbers: dict[str, int] | None = None):
         self.item_ids = [i[0] for i in items]
-        self.numbers: dict[str, int] = {}
+        self.numbers = {} if numbers is None else numbers  # indexes of one shard share them
         self.parts, self.wholes, postings = [], [], []
         self.raised = np.ones(len(items))
         self.longest = 1
@@ -116,12 +126,26 @@ class Index:
         self.end = np.append(self.at[1:], len(key))
         self.block_max = np.maximum.reduceat(self.impact, self.at) if len(key) else np.zeros(0)
         self.first = np.searchsorted(self.key // self.n_blocks, np.arange(len(self.numbers) + 1))
+        # an item's weak terms hold at most half of the threshold; the others are its pivots
+        order = np.lexsort((self.impact, self.item))
+        held = np.cumsum(self.impact[order])
+        begin = np.searchsorted(self.item[order], np.arange(len(items)))
+        before = np.append(0.0, held)[begin]
+        is_weak = np.empty(len(order), bool)
+        is_weak[order] = held - before[self.item[order]] <= THRESHOLD / 2
+        self.weak = np.bincount(self.item[is_weak], self.impact[is_weak], len(items))
+        self.pivot_item, self.pivot_impact = self.item[~is_weak], self.impact[~is_weak]
+        self.pivot_first = np.searchsorted(self.term[~is_weak], np.arange(len(self.numbers) + 1))
         self.passage = max(PASSAGE, 2 * self.longest)
         self.stride = self.passage - self.longest + 1
 
     def search(self, query: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For pairs of a query number and a term of it: (query, item, score) of all items at or over the threshold."""
-        n_terms = max(1, len(self.numbers))
+        n_terms = max(1, len(self.first) - 1)
+        own = words < n_terms  # terms that only later indexes of the shard have are in none of these items
+        going = self.reached(query[own], words[own])
+        own &= going[query] if len(going) else False
+        query, words = query[own], words[own]
         pairs = np.unique(query * n_terms + words)
         query, words = pairs // n_terms, pairs % n_terms
         own, entry = _ranges(self.first[words], self.first[words + 1])
@@ -137,6 +161,21 @@ class Index:
         hit = scores >= THRESHOLD - 1e-9
         return found[hit] // n, found[hit] % n, scores[hit]  # raised scores, where the item's are
 
+    def reached(self, query: np.ndarray, words: np.ndarray) -> np.ndarray:
+        """By query number: whether its pivot terms, with all weak ones granted, reach the threshold for some item. A term that occurs
+        again counts again, so this is a bound."""
+        going = np.zeros(int(query.max()) + 1 if len(query) else 0, bool)
+        own, posting = _ranges(self.pivot_first[words], self.pivot_first[words + 1])
+        n = len(self.item_ids)
+        at = query[own] * n + self.pivot_item[posting]
+        if len(going) * n <= MOST_SUMS:
+            found, sums = np.arange(len(going) * n), np.bincount(at, self.pivot_impact[posting], len(going) * n)
+        else:
+            found, where = np.unique(at, return_inverse=True)
+            sums = np.bincount(where, self.pivot_impact[posting], len(found))
+        going[found[sums + self.weak[found % n] >= THRESHOLD - 1e-9] // n] = True
+        return going
+
 
 def _ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """All integers of the ranges, and which range each is of."""
@@ -161,13 +200,15 @@ class _Terms(dict):
         return n
 
 
-def _leaks(index: Index, known: _Terms, texts: list[str | None]) -> Iterator[tuple]:
-    """(document number, item, score, question overlap, answer overlap, first word of the passage), the best passage of each pair."""
-    ids = []
-    for t in texts:
-        chunks = t.split() if t else []
-        own = np.fromiter(map(known.__getitem__, chunks), np.int32, len(chunks))
-        ids.append(own[own != -2])
+def numbered(known: _Terms, texts: pa.Array) -> list[np.ndarray]:
+    """The term numbers of each text; -1 for words that no item has."""
+    chunks, which, offsets = coded_chunks(texts)
+    flat = np.fromiter(map(known.__getitem__, chunks), np.int32, len(chunks))[which]
+    return parted(flat, offsets, flat != -2)
+
+
+def _leaks(index: Index, ids: list[np.ndarray]) -> Iterator[tuple]:
+    """Of documents as term numbers: (document number, item, score, question overlap, answer overlap, first word of the passage), the best passage of each pair."""
     sizes = np.array([len(x) for x in ids])
     n_passages = np.maximum(1, -(-(sizes - index.passage) // index.stride) + 1)
     first = np.cumsum(n_passages) - n_passages
@@ -209,7 +250,24 @@ def shingles_of(words: list[int], parts: tuple[set | None, ...]) -> set[tuple]:
     return {tuple(words[i : i + n]) for n in sizes for i in range(len(words) - n + 1)}
 
 
-def shards(items: DataFrame, key: str, question: str | None, answer: str | None, text: str | None) -> Iterator[Index]:
+class Shard:
+    """Items in indexes by classes of length: up to PASSAGE / 2 words, and then for each doubling."""
+
+    def __init__(self, items: list[tuple], frequency: dict[str, int], n_items: int, mean_length: float):
+        classes: dict[int, list[tuple]] = {}
+        for i in items:
+            classes.setdefault(max(PASSAGE // 2, 1 << (len(i[1]) + len(i[2]) - 1).bit_length()), []).append(i)
+        self.numbers: dict[str, int] = {}
+        self.indexes = [Index(classes[c], frequency, n_items, mean_length, self.numbers) for c in sorted(classes)]
+
+    def leaks(self, ids: list[np.ndarray]) -> Iterator[tuple]:
+        """(document number, item id, score, question overlap, answer overlap, first word of the passage)."""
+        for index in self.indexes:
+            for d, i, *rest in _leaks(index, ids):
+                yield (d, index.item_ids[i], *rest)
+
+
+def shards(items: DataFrame, key: str, question: str | None, answer: str | None, text: str | None) -> Iterator[Shard]:
     """Indexes over bounded parts of the items, with statistics over all of them."""
     rows = items.select(F.col(key), *[(F.lit(None) if c is None else F.col(c)).cast("string").alias(a) for c, a in ((question, "_q"), (answer, "_a"), (text, "_t"))])
     size = F.coalesce(F.length("_q"), F.lit(0)) + F.coalesce(F.length("_a"), F.lit(0)) + F.coalesce(F.length("_t"), F.lit(0))
@@ -228,7 +286,7 @@ def shards(items: DataFrame, key: str, question: str | None, answer: str | None,
         found = parts(rows)
         if found:
             frequency = Counter(w for _, q, a, _ in found for w in {*q, *a})
-            yield Index(found, frequency, len(found), sum(len(q) + len(a) for _, q, a, _ in found) / len(found))
+            yield Shard(found, frequency, len(found), sum(len(q) + len(a) for _, q, a, _ in found) / len(found))
         return
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,35 +306,58 @@ def shards(items: DataFrame, key: str, question: str | None, answer: str | None,
         found = parts(own)
         if found:
             vocabulary = own.mapInArrow(words, "w string, n long").select("w").distinct()
-            yield Index(found, {r["w"]: r["df"] for r in counted.join(vocabulary, "w", "left_semi").collect()}, whole["df"], whole["n"] / whole["df"])
+            yield Shard(found, {r["w"]: r["df"] for r in counted.join(vocabulary, "w", "left_semi").collect()}, whole["df"], whole["n"] / whole["df"])
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", question: str | None = None, answer: str | None = None, item_text: str | None = "text") -> DataFrame:
     """One row for each document and item that it holds: key, item_key, score, question_overlap, answer_overlap, passage_start (in words)."""
-    narrow = docs.select(F.col(key), docs[text].cast("string").alias("_text"))
+    narrow = docs.select(docs[key].alias("_key"), docs[text].cast("string").alias("_text"))
     kind, item_kind = docs.schema[key].dataType.simpleString(), items.schema[item_key].dataType.simpleString()
-    schema = f"`{key}` {kind}, `{item_key}` {item_kind}, score double, question_overlap double, answer_overlap double, passage_start long"
-    found = [_search_all(narrow, index, key, item_key, schema) for index in shards(items, item_key, question, answer, item_text)]
+    own_name = item_key if item_key != key else f"item_{item_key}"
+    schema = f"_key {kind}, _item {item_kind}, score double, question_overlap double, answer_overlap double, passage_start long"
+    found = [_search_all(narrow, shard, schema) for shard in shards(items, item_key, question, answer, item_text)]
     out = found[0] if found else docs.sparkSession.createDataFrame([], schema)
     for f in found[1:]:
         out = out.unionByName(f)
-    return out
+    return out.withColumnsRenamed({"_key": key, "_item": own_name})
+
 
+def _held(shard: Shard, known: list[_Terms], batch: pa.RecordBatch, text: str) -> list[tuple]:
+    if not known:
+        known.append(_Terms(shard.numbers))
+    return list(shard.leaks(numbered(known[0], batch.column(text))))
 
-def _search_all(narrow: DataFrame, index: Index, key: str, item_key: str, schema: str) -> DataFrame:
-    shared = narrow.sparkSession.sparkContext.broadcast(index)
-    held: list[_Terms] = []
+
+def _search_all(narrow: DataFrame, shard: Shard, schema: str) -> DataFrame:
+    shared, known = narrow.sparkSession.sparkContext.broadcast(shard), []
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        if not held:
-            held.append(_Terms(own.numbers))
         for whole in batches:
-            for batch in small_batches(whole, "_text", 4_000_000):
-                rows = list(_leaks(own, held[0], batch.column(1).to_pylist()))
+            for batch in small_batches(whole, "_text", BATCH_BYTES):
+                rows = _held(shared.value, known, batch, "_text")
                 if rows:
                     keys = batch.column(0).take(pa.array([r[0] for r in rows]))
                     columns = [pa.array([r[j] for r in rows], t) for j, t in ((2, pa.float64()), (3, pa.float64()), (4, pa.float64()), (5, pa.int64()))]
-                    yield pa.RecordBatch.from_arrays([keys, pa.array([own.item_ids[r[1]] for r in rows]), *columns], names=[key, item_key, "score", "question_overlap", "answer_overlap", "passage_start"])
+                    yield pa.RecordBatch.from_arrays([keys, pa.array([r[1] for r in rows]), *columns], names=["_key", "_item", "score", "question_overlap", "answer_overlap", "passage_start"])
 
     return narrow.mapInArrow(body, schema)
+
+
+def drop_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", question: str | None = None, answer: str | None = None, item_text: str | None = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that hold no item: each row is judged by its text, so null and repeated keys are too; no shuffle."""
+
+    def without(rows: DataFrame, shard: Shard) -> DataFrame:
+        shared, known = rows.sparkSession.sparkContext.broadcast(shard), []
+
+        def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for whole in batches:
+                for batch in small_batches(whole, text, BATCH_BYTES):
+                    gone = np.zeros(batch.num_rows, bool)
+                    gone[[r[0] for r in _held(shared.value, known, batch, text)]] = True
+                    yield batch.filter(pa.array(~gone))
+
+        return rows.mapInArrow(body, rows.schema)
+
+    for shard in shards(items, item_key, question, answer, item_text):
+        docs = without(docs, shard)
+    return docs
