@@ -11,13 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm import dart_minhash, decontaminate, line_spread, packing, toxicity
-from tidemark.llm.common import table, written
-
-
-def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """docs whose doc_id is not among keys (one column, doc_id); rows without an id stay."""
-    gone = keys.select(F.col("doc_id").alias("__gone_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["__gone_id"], "left_anti")
+from tidemark.llm.common import drop_written, table, written, written_so_far
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,14 +29,13 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the least id stays."""
-    classes = dart_minhash.near_classes(docs)
-    return _without(docs, classes.where("class_id <> doc_id").select("doc_id"))
+    """Of each class of near duplicates one document stays: the one with the least id."""
+    return dart_minhash.keep_one(docs)
 
 
 def decontaminate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
-    return _without(docs, written(decontaminate.find_leaks(docs, table(spark, sf_dir, "benchmark")), "leaks").select("doc_id"))
+    return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,7 +54,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The rows of the last stage. What a stage wrote on its way, and the documents before the last, are dropped when they are read for the last time."""
+    docs, before = table(spark, sf_dir, "documents"), written_so_far()
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        docs, here = written(stage(spark, docs, sf_dir), f"pipeline-{name}"), written_so_far()
+        drop_written(spark, before, here - 1)
+        before = here - 1
     return STAGES[-1][1](spark, docs, sf_dir)
