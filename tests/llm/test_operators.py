@@ -385,10 +385,18 @@ def test_url_rules(spark):
     assert got[11][3] == "block" and got[12][3] == "allow" and got[13][3] == "allow" and got[14][:2] == ("b:", "//c/d") and got[15][1:3] == ("", None)
 
 
+def test_rule_shards_give_the_same_verdicts(spark, small, monkeypatch):
+    pages = spark.read.parquet(f"{small}/pages.parquet")
+    rows = lambda: sorted(tuple(r)[:5] for r in url_rules.filter_urls(pages, queries.HOST_RULES + queries.PATTERN_RULES).collect())
+    whole = rows()
+    monkeypatch.setattr(url_rules, "MOST_RULE_BYTES", 30)
+    assert len(url_rules._shards(queries.HOST_RULES + queries.PATTERN_RULES)) > 3 and rows() == whole
+
+
 def test_rare_token_index_runs_few_rules():
     rules = [url_rules.PatternRule("block", f"/tag{k}/common/", frozenset({f"tag{k}", "common"})) for k in range(100)]
     index = url_rules.RuleIndex(rules, {"common": 1000})
-    assert index.judge("http://x.org/tag5/common/")[3:] == ("block", 1)
+    assert index.judge("http://x.org/tag5/common/")[3:] == (True, False, 1)
 
 
 def test_quality(spark):
@@ -418,6 +426,8 @@ def test_toxicity(spark, small):
     docs, labels = frame(spark, ODD), spark.createDataFrame([(8, 1), (9, 0), (3, None)], "doc_id long, toxic int")
     got = toxicity.score(docs, toxicity.fit(docs, labels)).collect()
     assert len(got) == len(ODD) and all(0 <= r["score"] <= 1 for r in got)
+    bounded = toxicity.fit(docs, labels, most_bytes=5)
+    assert bounded.constant is not None and toxicity.keep_clean(docs, bounded).count() == len(ODD)
     model = toxicity.fit(docs, labels.where("false"))
     assert {r["score"] for r in toxicity.score(docs, model).collect()} == {0.0}
 
@@ -429,10 +439,18 @@ def test_line_spread(spark):
     got = {r["doc_id"]: r for r in line_spread.dedup_lines(docs).collect()}
     assert got[0]["text"] is None and got[0][line_spread.LINES] == 0 and got[1]["text"] == "" and got[2]["text"] == "\n \n"
     assert got[5]["text"] == "own 2\nown again 2 with some more letters" and got[5][line_spread.REMOVED] == 1 and got[5]["score"] == "x"
-    assert got[33]["text"] == "shared line"  # all of it would go: left whole
+    assert got[33]["text"] == "" and got[33][line_spread.REMOVED] == 1  # all of it goes
+    whole = {r["doc_id"]: r["text"] for r in line_spread.dedup_lines(docs, most_lost=0.5).collect()}
+    assert whole[33] == "shared line" and whole[5] == got[5]["text"]
     assert all(got[i][line_spread.REMOVED] == 0 for i in range(34, 64))
 
 
+def test_pages_that_are_mostly_boilerplate_are_cleaned(spark):
+    texts = [f"Home | About | Contact us today\nAll rights reserved by the owners of this site\nSign up for our newsletter\nown {i}" for i in range(40)]
+    got = line_spread.dedup_lines(frame(spark, texts, lambda i: f"s{i}")).collect()
+    assert all(r["text"] == f"own {r['doc_id']}" and r[line_spread.REMOVED] == 3 for r in got) and len(got) == 40
+
+
 def test_line_spread_joins_long_lists(spark, monkeypatch):
     texts = [f"own {i} with many letters of its own\nline a\nline b\nlast {i}" for i in range(12)]
     docs = frame(spark, texts, lambda i: f"s{i}")

@@ -4,8 +4,8 @@ Every non-blank line is hashed; a HyperLogLog sketch of the sites it occurs on i
 merged by aggregation. Lines whose estimate is clearly over the threshold are boilerplate; lines near it get an exact
 distinct count (of those lines only). Boilerplate lines are then removed wherever they occur.
 
-A document that would lose more than half of its characters is a copy of others rather than a page with boilerplate: it is
-left whole, for a near-duplicate operator to judge.
+Every such line goes, whatever share of a document it is. A caller who judges copies of whole documents afterwards may set most_lost:
+a document that would lose more than that share of its characters is then left whole (None, the default: no document is).
 
 Defined results: a null text stays null with no lines, an empty text stays empty, blank lines are never removed, a null
 site counts as no site. Repeated rows are each cleaned. Other columns stay as they are.
@@ -45,7 +45,7 @@ def spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "sourc
     return written(clear.unionByName(exact.select("_hash")), "line-boilerplate")
 
 
-def remove_lines(docs: DataFrame, boilerplate: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def remove_lines(docs: DataFrame, boilerplate: DataFrame, key: str = "doc_id", text: str = "text", most_lost: float | None = None) -> DataFrame:
     """docs with text cleaned, and LINES and REMOVED: how many lines it had and how many went."""
     n, bound = boilerplate.count(), "false"
     own = [c for c in docs.columns if c not in (LINES, REMOVED)]
@@ -59,7 +59,7 @@ def remove_lines(docs: DataFrame, boilerplate: DataFrame, key: str = "doc_id", t
             bound = "xxhash64(x) IN (" + ", ".join(f"cast('{r[0]}' as bigint)" for r in boilerplate.collect()) + ")"
     cleaned = cleaned.withColumn("__spread_all", F.split(docs[text], "\n", -1)).withColumn("__spread_kept", F.expr(f"filter(__spread_all, x -> NOT {bound})"))
     cleaned = cleaned.withColumn("__spread_text", F.array_join("__spread_kept", "\n"))
-    whole = 2 * (F.length(text) - F.length("__spread_text")) > F.length(text)
+    whole = F.lit(False) if most_lost is None else F.length(text) - F.length("__spread_text") > most_lost * F.length(text)
     size = lambda c: F.when(F.col(text).isNull(), 0).otherwise(F.size(c))
     return cleaned.select(
         *[F.when(whole, F.col(text)).otherwise(F.col("__spread_text")).alias(text) if c == text else F.col(f"`{c}`") for c in own],
@@ -67,5 +67,5 @@ def remove_lines(docs: DataFrame, boilerplate: DataFrame, key: str = "doc_id", t
     )
 
 
-def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, key: str = "doc_id", site: str = "source", text: str = "text") -> DataFrame:
-    return remove_lines(docs, spread_lines(docs, min_sites, site, text), key, text)
+def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, key: str = "doc_id", site: str = "source", text: str = "text", most_lost: float | None = None) -> DataFrame:
+    return remove_lines(docs, spread_lines(docs, min_sites, site, text), key, text, most_lost)

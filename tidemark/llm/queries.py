@@ -108,9 +108,7 @@ l AS (SELECT doc_id, source, unnest(ls) AS line, unnest(range(1, len(ls) + 1)) A
 spread AS (SELECT line FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY line HAVING count(DISTINCT source) >= 10),
 k AS (SELECT doc_id, count(*) AS n, coalesce(string_agg(line, chr(10) ORDER BY i), '') AS joined FROM l WHERE line NOT IN (SELECT line FROM spread) GROUP BY doc_id),
 j AS (SELECT d.doc_id, text, len(ls) AS n_all, coalesce(n, 0) AS n_kept, coalesce(joined, '') AS joined FROM d LEFT JOIN k ON k.doc_id = d.doc_id)
-SELECT doc_id, coalesce(n_all, 0)::BIGINT AS n_lines,
-  CASE WHEN 2 * (length(text) - length(joined)) > length(text) THEN 0 ELSE coalesce(n_all - n_kept, 0) END::BIGINT AS n_removed,
-  CASE WHEN 2 * (length(text) - length(joined)) > length(text) THEN text ELSE joined END AS text
+SELECT doc_id, coalesce(n_all, 0)::BIGINT AS n_lines, coalesce(n_all - n_kept, 0)::BIGINT AS n_removed, CASE WHEN text IS NOT NULL THEN joined END AS text
 FROM j
 """
 
