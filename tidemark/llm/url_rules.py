@@ -15,13 +15,14 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map
+from .common import small_batches
 
 TOKEN = re.compile(r"[a-z0-9]+")
 _URL = re.compile(r"://([^/?#]*)([^?#]*)", re.DOTALL)
@@ -66,8 +67,8 @@ class RuleIndex:
             else:
                 self.always.append(kept)
 
-    def judge(self, url: str | None) -> tuple[str, str, str | None, str, int]:
-        """host, path, rule, verdict, candidates."""
+    def judge(self, url: str | None) -> tuple[str, str, HostRule | None, bool, bool, int]:
+        """host, path, the host rule that wins, whether a block and an allow pattern fit, candidates."""
         m = _URL.search(url or "")
         host, path = (m[1].encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"), m[2]) if m else ("", "")
         lowered, place = (url or "").lower(), host + path
@@ -81,9 +82,7 @@ class RuleIndex:
                     best = r
             elif pattern.search(lowered):
                 blocks, allows = blocks or r.verdict == "block", allows or r.verdict == "allow"
-        if best:
-            return host, path, best.rule, best.verdict, len(found)
-        return host, path, None, "block" if blocks and not allows else "allow", len(found)
+        return host, path, best, blocks, allows, len(found)
 
 
 def token_frequency(urls: DataFrame, tokens: set[str], url: str = "url") -> dict[str, int]:
@@ -98,22 +97,48 @@ def token_frequency(urls: DataFrame, tokens: set[str], url: str = "url") -> dict
     return {r["t"]: r["n"] for r in held.join(F.broadcast(wanted), "t", "left_semi").groupBy("t").agg(F.count("*").alias("n")).collect()}
 
 
-def filter_urls(pages: DataFrame, rules: list, key: str = "page_id", url: str = "url") -> DataFrame:
-    """key, host, path, rule, verdict, n_candidates (rules whose regular expressions ran) for every row of pages."""
-    size = sum(len(r.regex) for r in rules)
-    if size > MOST_RULE_BYTES:
-        raise ValueError(f"{size} bytes of rules: apply them in shards of {MOST_RULE_BYTES}")
-    narrow = pages.select(F.col(key), pages[url].cast("string").alias("_url"))
-    frequency = token_frequency(narrow, set().union(*(r.tokens for r in rules)), "_url")
-    shared = pages.sparkSession.sparkContext.broadcast((rules, frequency))  # rules are bounded above
-    held: list[RuleIndex] = []
+def _shards(rules: list) -> list[list]:
+    """The rules in parts of at most MOST_RULE_BYTES (one rule at least)."""
+    out, size = [[]], 0
+    for r in rules:
+        n = len(r.regex)
+        if out[-1] and size + n > MOST_RULE_BYTES:
+            out.append([])
+            size = 0
+        out[-1].append(r)
+        size += n
+    return out
 
-    def body(batch: pa.RecordBatch) -> pa.RecordBatch:
-        if not held:
-            held.append(RuleIndex(*shared.value))
-        columns = list(zip(*(held[0].judge(u.as_py()) for u in batch.column(1))))
-        kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.int64())
-        return pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], names=[key, "host", "path", "rule", "verdict", "n_candidates"])
 
+def filter_urls(pages: DataFrame, rules: list, key: str = "page_id", url: str = "url") -> DataFrame:
+    """key, host, path, rule, verdict, n_candidates (rules whose regular expressions ran) for every row of pages.
+
+    Each shard of rules is one more narrow pass over the URLs, which carries what the shards before it have found."""
+    state = "host string, path string, rule string, rule_verdict string, blocks boolean, allows boolean, n_candidates long"
     kind = pages.schema[key].dataType.simpleString()
-    return narrow.mapInArrow(arrow_map(body), f"`{key}` {kind}, host string, path string, rule string, verdict string, n_candidates long")
+    judged = pages.select(F.col(key).alias("_key"), pages[url].cast("string").alias("_url"), *[F.lit(None).cast(c.split()[1]).alias(c.split()[0]) for c in state.split(", ")])
+    for shard in _shards(rules):
+        judged = _judged(judged, shard, f"_key {kind}, _url string, {state}")
+    verdict = F.coalesce("rule_verdict", F.when(F.col("blocks") & ~F.col("allows"), "block").otherwise("allow"))
+    return judged.select(F.col("_key").alias(key), "host", "path", "rule", verdict.alias("verdict"), "n_candidates")
+
+
+def _judged(urls: DataFrame, rules: list, schema: str) -> DataFrame:
+    shared = urls.sparkSession.sparkContext.broadcast((rules, token_frequency(urls, set().union(*(r.tokens for r in rules)), "_url")))  # of bounded size
+    held: list[RuleIndex] = []
+
+    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in small_batches(whole, "_url"):
+                if not held:
+                    held.append(RuleIndex(*shared.value))
+                rows = []
+                for u, rule, verdict, blocks, allows, n in zip(*(batch.column(c).to_pylist() for c in ("_url", "rule", "rule_verdict", "blocks", "allows", "n_candidates"))):
+                    host, path, best, b, a, more = held[0].judge(u)
+                    if best is not None and (rule is None or (len(best.rule), best.rule) > (len(rule), rule)):
+                        rule, verdict = best.rule, best.verdict
+                    rows.append((host, path, rule, verdict, b or bool(blocks), a or bool(allows), more + (n or 0)))
+                kinds = (pa.string(), pa.string(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.int64())
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds))], names=batch.schema.names)
+
+    return urls.mapInArrow(body, schema)
