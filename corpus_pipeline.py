@@ -21,8 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines go; n_chars follows the text."""
-    cleaned = line_spread.dedup_lines(docs)
+    """Boilerplate lines go; n_chars follows the text. A document that is mostly lines of others is left whole: copies are the next stage's to judge."""
+    cleaned = line_spread.dedup_lines(docs, most_lost=0.5)
     if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn("n_chars", F.when(F.col(line_spread.REMOVED) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return cleaned.select(*[F.col(f"`{c}`") for c in docs.columns])
