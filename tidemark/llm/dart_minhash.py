@@ -63,7 +63,7 @@ class _WordHashes(dict):
     def __missing__(self, chunk: str) -> int:
         t = term(chunk)
         h = xxhash.xxh64_intdigest(t) | 1 if t else 0
-        if len(self) >= 500_000:
+        if len(self) >= 250_000:
             self.clear()
         self[chunk] = h
         return h

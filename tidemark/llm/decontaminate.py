@@ -194,7 +194,7 @@ class _Terms(dict):
     def __missing__(self, chunk: str) -> int:
         t = term(chunk)
         n = self.numbers.get(t, -1) if t else -2
-        if len(self) >= 500_000:
+        if len(self) >= 250_000:
             self.clear()
         self[chunk] = n
         return n

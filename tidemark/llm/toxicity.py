@@ -105,7 +105,7 @@ class Model:
 class Scorer:
     """Scores texts; the margins of words are kept between calls, as many as most."""
 
-    def __init__(self, model: Model, most: int = 600_000):
+    def __init__(self, model: Model, most: int = 300_000):
         self.model, self.most, self.known = model, most, {}
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
