@@ -84,7 +84,12 @@ def test_requirement_and_headings(spark):
     assert values(spark, texts.heading_label(F.col("t")), t="**:**") is None
     assert values(spark, texts.is_heading(F.col("t")), t="- **Bonus:** Rust") is False
     assert values(spark, texts.text_slice(F.col("t"), -3, -1), t="a😀bcd") == "bc"
-    assert values(spark, texts.split_mention(F.col("t")), t="Python, Go and/or Rust (2 years)") == ["Python", "Go", "Rust"]
+    split = {
+        "Python (pandas, PySpark)": ["Python"], "Python/C/C++": ["Python", "C", "C++"], "Kubernetes and/or Docker": ["Kubernetes", "Docker"], " Go ,": ["Go"], "A/B testing": ["A/B testing"], "HTTP/2": ["HTTP/2"],
+        "ci/CD": ["ci/CD"], "Research and Development": ["Research and Development"], "C++, Rust": ["C++, Rust"], "a//b": ["a//b"], "": [], " (x) ": [], "TCP/IP": ["TCP/IP"], "Java / Kotlin": ["Java", "Kotlin"],
+    }
+    for raw, want in split.items():
+        assert values(spark, texts.split_mention(F.col("t")), t=raw) == want, raw
 
 
 def test_identity():

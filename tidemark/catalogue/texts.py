@@ -68,7 +68,7 @@ def jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def typographic_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _docs(spark, sf_dir).select("doc_id", F.md5(texts.typographic_fold(F.concat(F.lit("“q” – ‘x’ "), F.col("text")))).alias("folded"))
+    return _docs(spark, sf_dir).select("doc_id", F.md5(texts.typographic_fold(F.concat(F.lit("“q” – ‘x’ ‚a‛ „b‟ ‒ — − ‐\u00a0\u2009\u202f"), F.col("text")))).alias("folded"))
 
 
 def html_to_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -121,6 +121,6 @@ ORACLES = {
     "coverage_repeated_lines": LINES + " SELECT doc_id, text, count(*) AS n, min(block_id) AS first_block, max(block_id) AS last_block FROM bl GROUP BY doc_id, text HAVING count(*) > 1",
     "interval_merge_coverage": SPANS + ", w AS (SELECT doc_id, s, e, max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS r FROM sp) SELECT doc_id, sum(greatest(e - greatest(s, coalesce(r, s)), 0))::BIGINT AS covered FROM w GROUP BY doc_id",
     "jaccard_pairs": SPANS + ", w AS (SELECT doc_id, s, e, lead(s) OVER v AS s2, lead(e) OVER v AS e2 FROM sp WINDOW v AS (PARTITION BY doc_id ORDER BY s, e)), j AS (SELECT *, greatest(least(e, e2) - greatest(s, s2), 0) AS b FROM w WHERE s2 IS NOT NULL) SELECT doc_id, s AS start, round(CASE WHEN (e - s) + (e2 - s2) - b > 0 THEN b / ((e - s) + (e2 - s2) - b)::DOUBLE ELSE 0 END, 9) AS jaccard FROM j",
-    "typographic_fold": "SELECT doc_id, md5(translate('“q” – ‘x’ ' || text, '‘’“”‐‑‒–—−' || chr(160) || chr(8239), '''''\"\"------  ')) AS folded FROM documents",
+    "typographic_fold": "SELECT doc_id, md5('\"q\" - \'\'x\'\' \'\'a\'\' \"b\" - - - ‐   ' || translate(text, '‘’‚‛“”„‟‒–—−' || chr(160) || chr(8201) || chr(8239), '\'\'\'\'\'\'\'\'\"\"\"\"----   ')) AS folded FROM documents",
     "html_visible_text_equals": "SELECT page_id, NULL::VARCHAR AS difference FROM pages",
 }

@@ -16,11 +16,11 @@ from pyspark.sql.types import StringType
 
 NORMALIZER = "md/1"
 #: Which elements are left out, which end a block, and headings by level.
-SKIPPED = frozenset("script style noscript template head title".split())
-BLOCKS = frozenset("p div section article header footer main aside table tr thead tbody blockquote pre figure nav".split())
-HEADINGS = {f"h{n}": n for n in range(1, 7)}
+SKIPPED = frozenset({"script", "style", "noscript", "template", "head", "title"})
+BLOCKS = frozenset({"p", "div", "section", "article", "header", "footer", "main", "aside", "table", "tr", "thead", "tbody", "blockquote", "pre", "figure", "nav"})
+HEADINGS = {"h1": 1, "h2": 2, "h3": 3, "h4": 4, "h5": 5, "h6": 6}
 LISTS = ("ul", "ol")
-VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
+VOID = frozenset({"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"})
 MARKS = {"strong": "**", "b": "**", "em": "*", "i": "*"}
 _BREAK = "\ue000"
 _SPACE = re.compile(r"\s+")
@@ -80,10 +80,10 @@ def parse(html: str) -> _Node:
 
 
 class _Writer:
-    """Collects finished blocks; `line` is the inline text of the block that is being written."""
+    """Collects finished blocks as (kind, text); `line` is the inline text of the block that is being written."""
 
     def __init__(self):
-        self.blocks: list[str] = []
+        self.blocks: list[tuple[str, str]] = []
         self.line: list[str] = []
 
     def flush(self, prefix: str = "", every: str = "") -> None:
@@ -91,7 +91,8 @@ class _Writer:
         text = re.sub(rf" ?{_BREAK} ?", "\n", text).strip()
         self.line = []
         if text:
-            self.blocks.append(prefix + text if not every else "\n".join(every + t for t in text.split("\n")))
+            kind = "quote" if every else "item" if prefix and not prefix.startswith("#") else "other"
+            self.blocks.append((kind, prefix + text if not every else "\n".join(every + t for t in text.split("\n"))))
 
     def walk(self, node: _Node, depth: int, marker: str, every: str) -> str:
         """Writes the children. marker: of the list item around, until its first text is out; returns what is left of it."""
@@ -108,7 +109,7 @@ class _Writer:
                 self.walk(child, depth, marker, every)
             elif child.tag == "hr":
                 self.flush(marker, every if not marker else "")
-                self.blocks.append("---")
+                self.blocks.append(("other", "---"))
             elif child.tag in HEADINGS:
                 self.flush(marker, every if not marker else "")
                 self.walk(child, depth, "", "")
@@ -157,16 +158,38 @@ class _Writer:
         self.line += [inner[:at], before, core, after, inner[at + len(core) :]]
 
 
+def _kind_of(kind: str, text: str) -> str:
+    """Text that only looks like an item, once it is written, follows what comes before it as an item does."""
+    return "item" if kind != "quote" and _item_mark(text) else kind
+
+
+def _item_mark(text: str) -> int:
+    """The length of an item's mark, with what indents it, at the start of a line; 0 without one."""
+    indent = len(text) - len(text.lstrip(" "))
+    rest, digits = text[indent:], 0
+    while digits < len(rest) and rest[digits].isdecimal():
+        digits += 1
+    if indent % 2:
+        return 0
+    if rest.startswith("- "):
+        return indent + 2
+    return indent + digits + 2 if digits and rest[digits : digits + 2] == ". " else 0
+
+
 def to_markdown(html: str) -> str:
+    """Blocks stand apart by a blank line, but items follow what is before them directly, and so do quotes that follow a quote."""
     writer = _Writer()
     writer.walk(parse(html), 0, "", "")
     writer.flush()
-    text = unicodedata.normalize("NFKC", "\n\n".join(writer.blocks))
-    text = "\n".join(x.rstrip() for x in text.split("\n"))
-    text = re.sub(r"\n{3,}", "\n\n", text)
-    text = re.sub(r"\n\n(?=(?: {2})*(?:- |\d+\. ))", "\n", text)  # items, and quoted lines, follow each other directly
-    text = re.sub(r"(?m)^(> .*)\n\n(?=> )", r"\1\n", text)
-    return text.strip()
+    out, last = [], ""
+    for kind, text in writer.blocks:
+        lines = [x.rstrip() for x in unicodedata.normalize("NFKC", text).split("\n")]
+        kind = _kind_of(kind, lines[0])
+        if out and not (kind == "item" or (kind == last == "quote")):
+            out.append("")
+        out += lines
+        last = kind
+    return "\n".join(out).strip()
 
 
 def visible_text(html: str) -> str:
@@ -189,10 +212,54 @@ def letters(text: str) -> str:
     return "".join(filter(str.isalnum, text))
 
 
+def _without_links(text: str) -> str:
+    """[label](target) -> label, from left to right; brackets that do not close stay."""
+    out, at = [], 0
+    while (opened := text.find("[", at)) >= 0:
+        closed = text.find("]", opened + 1)
+        end = text.find(")", closed + 2) if closed >= 0 and text[closed + 1 : closed + 2] == "(" else -1
+        if end < 0:
+            out.append(text[at : opened + 1])
+            at = opened + 1
+        else:
+            out += [text[at:opened], text[opened + 1 : closed]]
+            at = end + 1
+    return "".join([*out, text[at:]])
+
+
+def _without_line_mark(line: str) -> str:
+    if line == "---":
+        return ""
+    level = len(line) - len(line.lstrip("#"))
+    if 1 <= level <= 6 and line[level : level + 1] == " ":
+        return line[level + 1 :]
+    return line[2:] if line.startswith("> ") else line[_item_mark(line) :]
+
+
+def _without_emphasis(line: str) -> str:
+    """Double stars go, and single ones that touch text on one side and no word on the other."""
+    word = lambda c: c.isalnum() or c == "_"
+    kept, i = [], 0
+    while i < len(line):
+        if line[i] != "*":
+            kept.append(line[i])
+            i += 1
+            continue
+        if line.startswith("**", i):
+            i += 2
+            continue
+        before, after = line[i - 1 : i], line[i + 1 : i + 2]
+        opens = bool(after) and not after.isspace() and not (before and word(before))
+        closes = bool(before) and not before.isspace() and not (after and word(after))
+        if not (opens or closes):
+            kept.append("*")
+        i += 1
+    return "".join(kept)
+
+
 def strip_markdown(text: str) -> str:
-    text = re.sub(r"\[([^\]]*)\]\([^)]*\)", r"\1", text)
-    text = re.sub(r"(?m)^(?:#{1,6} |(?: {2})*(?:- |\d+\. )|> )|\*\*|(?<!\w)\*(?=\S)|(?<=\S)\*(?!\w)|^---$", "", text)
-    return _SPACE.sub(" ", text).strip()
+    """The words of a Markdown text, without the marks of lines, emphasis and links, on one line."""
+    return " ".join(" ".join(_without_emphasis(_without_line_mark(x)) for x in _without_links(text).split("\n")).split())
 
 
 def _each(fn):

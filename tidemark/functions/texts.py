@@ -103,7 +103,14 @@ def span_jaccard(a_start: Column, a_end: Column, b_start: Column, b_end: Column)
 
 
 #: Single characters and the plain ones they stand for.
-TYPOGRAPHIC = {"\u2018": "'", "\u2019": "'", "\u201c": '"', "\u201d": '"', "\u2010": "-", "\u2011": "-", "\u2012": "-", "\u2013": "-", "\u2014": "-", "\u2212": "-", "\u00a0": " ", "\u202f": " "}
+TYPOGRAPHIC = {
+    "\u2018": "'", "\u2019": "'", "\u201a": "'", "\u201b": "'",
+    "\u201c": '"', "\u201d": '"', "\u201e": '"', "\u201f": '"',
+    "\u2012": "-", "\u2013": "-", "\u2014": "-", "\u2212": "-",
+    "\u00a0": " ", "\u2009": " ", "\u202f": " ",
+}
+#: Compounds that are one skill, in lower case.
+WHOLE_MENTIONS = ["ci/cd", "tcp/ip", "i/o", "ui/ux", "a/b", "pl/sql"]
 
 
 def typographic_fold(text: Column) -> Column:
@@ -112,11 +119,15 @@ def typographic_fold(text: Column) -> Column:
 
 
 def split_mention(name: Column) -> Column:
-    """Parts of a mention: a closing parenthesis off, then split at commas, slashes, and/or."""
-    bare = F.regexp_replace(F.trim(name), r"\s*\([^)]*\)$", "")
-    kept = bare.rlike(r"(?i)^(?:CI/CD|TCP/IP|I/O|A/B.*|UI/UX|PL/SQL)$")
-    parts = F.filter(F.transform(F.split(bare, r"(?i)\s*(?:,|/|\band/or\b|\band\b|\bor\b)\s*"), lambda x: F.trim(x)), lambda x: x != "")
-    return F.when(kept, F.array(bare)).otherwise(parts)
+    """The mentions that one written mention stands for.
+
+    A closing parenthesis and edge punctuation go. A slash (or " and/or ") parts it only if every part stands alone: none is empty,
+    a number, or of several words. Null and empty: no mention."""
+    single = F.trim(F.regexp_replace(name, r"(?U)\s+", " "))
+    bare = F.btrim(F.regexp_replace(single, r"\s*\([^()]*\)\s*$", ""), F.lit(" .,;:"))
+    parts = F.transform(F.split(F.replace(bare, F.lit(" and/or "), F.lit("/")), "/", -1), lambda x: F.trim(x))
+    together = F.lower(bare).isin(WHOLE_MENTIONS) | F.exists(parts, lambda x: (x == "") | x.contains(" ") | x.rlike(r"(?U)^\d+$"))
+    return F.when(F.coalesce(bare, F.lit("")) == "", F.array().cast("array<string>")).when(together, F.array(bare)).otherwise(parts)
 
 
 _TERM = re.compile(r"[\w+#./&]+")
