@@ -133,7 +133,7 @@ def late_data_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pulse_payload_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per board, what changed since a watermark."""
-    found = event_snapshots(spark, sf_dir).events.where(F.col("at") > F.lit("2024-01-20").cast("timestamp"))
+    found = lc.unnumbered(event_snapshots(spark, sf_dir)).where(F.col("at") > F.lit("2024-01-20").cast("timestamp"))
     return found.groupBy("board").agg(*[F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in ("opened", "changed", "closed", "reopened")], F.max("at").alias("read_to"))
 
 

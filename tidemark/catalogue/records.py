@@ -13,7 +13,7 @@ from ..sources import adapters
 
 def _payloads(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
     """Documents as payload bodies, at most a hundred to a body; every eleventh has no title."""
-    d = table(spark, sf_dir, "documents").where("doc_id % 4 = 1").withColumn("batch", F.concat_ws("/", "source", F.floor(F.col("doc_id") / 8000).cast("string")))
+    d = table(spark, sf_dir, "documents").withColumn("batch", F.concat_ws("/", "source", F.floor(F.col("doc_id") / 100).cast("string")))
     title = F.when(F.col("doc_id") % 11 != 0, F.concat(F.lit(" "), F.substring("text", 1, 20), F.lit(" ")))
     seconds = F.col("doc_id") * 1000 + 1700000000
     if source == "greenhouse":
@@ -100,7 +100,7 @@ def attribution_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 def group_nesting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts as nested groups: a part's parent is its number halved; some parents form a cycle."""
     k = F.col("p_partkey")
-    g = table(spark, sf_dir, "part").where(k < 200).select((k * 0).cast("int").alias("doc_id"), k.alias("group_id"), F.when(k == 0, None).when(k == 5, 11).when(k == 1, 0).otherwise(F.floor(k / 2)).cast("long").alias("parent_id"))
+    g = table(spark, sf_dir, "part").select((k * 0).cast("int").alias("doc_id"), k.alias("group_id"), F.when(k == 0, None).when(k == 5, 11).when(k == 1, 0).otherwise(F.floor(k / 2)).cast("long").alias("parent_id"))
     return records.group_depth(g, 6).select("group_id", "depth")
 
 
@@ -112,7 +112,7 @@ BLOCKS = """WITH RECURSIVE sp AS (SELECT doc_id, text AS doc, string_split(text,
   bl AS (SELECT *, 'b' || lpad(n::VARCHAR, 6, '0') AS block_id FROM b),
   st AS (SELECT doc_id, block_id, ['qualification', 'responsibility', 'benefit'][n % 3 + 1] AS kind FROM bl WHERE n % 4 <> 0),
   m AS (SELECT doc_id, block_id, unnest(list_distinct(regexp_extract_all(text, '[A-Za-z]{9,}'))) AS surface FROM bl)"""
-DOCS = "WITH d AS (SELECT *, CASE WHEN doc_id % 11 <> 0 THEN nullif(trim(substr(text, 1, 20), ' ' || chr(10)), '') END AS title FROM documents WHERE doc_id % 4 = 1)"
+DOCS = "WITH d AS (SELECT *, CASE WHEN doc_id % 11 <> 0 THEN nullif(trim(substr(text, 1, 20), ' ' || chr(10)), '') END AS title FROM documents)"
 
 ORACLES = {
     "source_greenhouse": DOCS + " SELECT doc_id::VARCHAR AS source_id, CASE WHEN title IS NULL THEN 'failed' ELSE 'ok' END AS status, title, md5(text) AS content, list_sort([lang, 'Remote']) AS locations, source AS department FROM d",
@@ -135,6 +135,6 @@ ORACLES = {
     "unaccounted_blocks": BLOCKS + " SELECT doc_id, block_id FROM bl WHERE n % 4 = 0",
     "attribution_check": BLOCKS + """, r AS (SELECT doc_id, block_id, doc, s, e, s + (CASE WHEN n % 5 = 0 THEN e - s + 1 ELSE least(10, e - s) END) AS e2, substr(doc, s + 1 + (CASE WHEN n % 7 = 0 THEN 1 ELSE 0 END), (CASE WHEN n % 5 = 0 THEN e - s + 1 ELSE least(10, e - s) END)) AS t FROM bl)
       SELECT doc_id, 's/' || block_id AS path, block_id, code FROM (SELECT *, CASE WHEN t <> substr(doc, s + 1, e2 - s) THEN 'text_mismatch' WHEN e2 > e THEN 'outside_block' END AS code FROM r) WHERE code IS NOT NULL""",
-    "group_nesting": """WITH RECURSIVE g AS (SELECT p_partkey AS k, CASE WHEN p_partkey = 0 THEN NULL WHEN p_partkey = 5 THEN 11 WHEN p_partkey = 1 THEN 0 ELSE p_partkey // 2 END AS p FROM part WHERE p_partkey < 200),
+    "group_nesting": """WITH RECURSIVE g AS (SELECT p_partkey AS k, CASE WHEN p_partkey = 0 THEN NULL WHEN p_partkey = 5 THEN 11 WHEN p_partkey = 1 THEN 0 ELSE p_partkey // 2 END AS p FROM part),
       r AS (SELECT k, 1 AS depth FROM g WHERE p IS NULL UNION ALL SELECT g.k, depth + 1 FROM g JOIN r ON g.p = r.k WHERE depth < 6) SELECT g.k AS group_id, coalesce(depth, -1)::INTEGER AS depth FROM g LEFT JOIN r ON g.k = r.k""",
 }

@@ -47,7 +47,7 @@ def first_seen_rows(observations: DataFrame) -> DataFrame:
 
 def judged_attempts(attempts: DataFrame, observations: DataFrame, ratio: float = DROP_RATIO) -> DataFrame:
     """attempts with i (order in the board), n_observed (null for errors), health, and the next ok attempt after each."""
-    counts = observations.groupBy("board", "attempt_id").agg(F.count_distinct("uid").alias("_n"))
+    counts = observations.groupBy("board", "attempt_id").agg(F.count("*").alias("_n"))  # one row for each uid already
     order = Window.partitionBy("board").orderBy("at", "attempt_id")
     before, after = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(1, Window.unboundedFollowing)
     judged = attempts.join(counts, ["board", "attempt_id"], "left")
@@ -80,7 +80,11 @@ def _distinct(a: str, b: str) -> Column:
 
 
 def events(life: Lifecycle) -> DataFrame:
-    """event_id, board, attempt_id, at, uid, kind, from_version, to_version, closed_after, closed_by."""
+    return numbered(unnumbered(life))
+
+
+def unnumbered(life: Lifecycle) -> DataFrame:
+    """The events without the cost of their numbers, for whoever counts or filters them: event_id (absent), board, attempt_id, at, uid, kind, from_version, to_version, closed_after, closed_by."""
     rows = life.rows
     kind = (
         F.when(F.col("previous_i").isNull(), "opened").when(F.col("previous_close").isNotNull(), "reopened")
@@ -97,7 +101,7 @@ def events(life: Lifecycle) -> DataFrame:
         F.coalesce("vh", "known").alias("from_version"), F.lit(None).cast("string").alias("to_version"),
         F.col("at").alias("closed_after"), F.col("close.at").alias("closed_by"), F.lit(1).alias("_last"), F.lit(None).cast("long").alias("_pos"),
     )
-    return numbered(arrived.unionByName(closed))
+    return arrived.unionByName(closed)
 
 
 def numbered(found: DataFrame) -> DataFrame:
