@@ -9,7 +9,7 @@ Suffixes are range-partitioned and sorted by seed and then by context, so equal
 many documents is spread over partitions. Neighbours with one seed are compared run by run, and matches are extended by joining
 all matching runs of a document. Only a seed that lies across a partition's edge needs more: its runs that found no partner inside
 are met by their hashes in a small aggregation. So the result is exact: every word that lies in a run of
-50 words that another document also holds, and no other (up to collisions of 64-bit and 32-bit hashes).
+50 words that another document also holds, and no other (up to collisions of 64-bit hashes).
 
 Defined results: words are blank-separated and compared without case and punctuation; null, empty and short texts (under 50
 words) hold no passage; rows that share a key are one document (its rows do not match each other); null keys are ignored.
@@ -65,12 +65,11 @@ def suffixes(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
     seeds = rolled(words, SEED)
     at = minimisers(seeds)
     start = np.flatnonzero(np.append(True, at[1:] != at[:-1]))
-    runs = (rolled(words, LENGTH) >> np.uint64(32)).astype(np.uint32)
-    return at[start], seeds[at[start]].view(np.int64), start, np.diff(np.append(start, len(at))), runs
+    return at[start], seeds[at[start]].view(np.int64), start, np.diff(np.append(start, len(at))), rolled(words, LENGTH)
 
 
 def kept_suffixes(docs: DataFrame, key: str, text: str) -> DataFrame:
-    """_seed, _context, _key, _first (start of the first run), _lead (of the seed behind it), _runs (32-bit hashes)."""
+    """_seed, _context, _key, _first (start of the first run), _lead (of the seed behind it), _runs (their hashes)."""
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -86,7 +85,7 @@ def kept_suffixes(docs: DataFrame, key: str, text: str) -> DataFrame:
                     leads.append(at - first)
                     rows.append(np.full(len(at), i))
                     runs += [hashes[f : f + k].tobytes() for f, k in zip(first.tolist(), n.tolist())]
-                    contexts.append(np.bitwise_xor.reduceat(mixed(hashes.astype(np.uint64)), first).view(np.int64))
+                    contexts.append(np.bitwise_xor.reduceat(mixed(hashes), first).view(np.int64))
                 if runs:
                     arrays = [pa.array(np.concatenate(seeds)), pa.array(np.concatenate(contexts)), batch.column(0).take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(firsts).astype(np.int32)), pa.array(np.concatenate(leads).astype(np.int32)), pa.array(runs, pa.binary())]
                     yield pa.RecordBatch.from_arrays(arrays, names=["_seed", "_context", "_key", "_first", "_lead", "_runs"])
@@ -111,13 +110,13 @@ def _compare(rows: pa.Table, edge: tuple[int, int] | None, key_type: pa.DataType
     rows, seed = rows.filter(pa.array(multiple)), seed[multiple]
     keys, first, lead = (rows.column(c).to_numpy() for c in ("_key", "_first", "_lead"))
     hashes = rows.column("_runs").to_pylist()
-    sizes = np.array([len(h) // 4 for h in hashes])
-    runs = np.frombuffer(b"".join(hashes), np.uint32)
+    sizes = np.array([len(h) // 8 for h in hashes])
+    runs = np.frombuffer(b"".join(hashes), np.uint64)
     row = np.repeat(np.arange(len(rows)), sizes)
     start = np.cumsum(sizes) - sizes
     place = np.arange(len(runs)) - start[row]
     offset = (lead[row] - place).astype(np.uint64)  # how far the run starts before the seed
-    run = (mixed(seed.view(np.uint64)[row] + mixed(offset)) ^ (runs.astype(np.uint64) * np.uint64(_BASE))).view(np.int64)
+    run = (mixed(seed.view(np.uint64)[row] + mixed(offset)) ^ (runs * np.uint64(_BASE))).view(np.int64)
     order = np.argsort(run, kind="stable")
     new = np.flatnonzero(np.append(True, run[order][1:] != run[order][:-1]))
     low, high = np.minimum.reduceat(keys[row][order], new), np.maximum.reduceat(keys[row][order], new)
