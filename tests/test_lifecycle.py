@@ -106,3 +106,24 @@ def test_membership_and_gaps(spark):
     assert got == [("x", D[0], D[2]), ("x", D[3], None), ("y", D[1], D[3])]
     late = spark.createDataFrame([("x", "a", D[0], 1), ("x", "b", D[2], 2), ("x", "c", D[1], 3), ("x", "d", D[2], 4)], "board string, attempt_id string, at timestamp, seq int")
     assert [r["attempt_id"] for r in late_gaps(late).collect()] == ["c"]
+
+
+def test_the_stream_sink_recovers(spark):
+    """A batch that is delivered again, to a new sink, adds nothing; an attempt behind its board's mark goes to the gaps."""
+    from pyspark.sql import functions as F
+    from tidemark.streaming.replay import LifecycleSink, drain, shared_folder
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    root = shared_folder(spark)
+    early, middle, later = (events.where(F.dayofmonth("ts").between(a, b)) for a, b in ((1, 9), (10, 15), (16, 31)))
+    early.write.parquet(f"{root}/in")
+    sink = drain(spark, root, events.schema)
+    LifecycleSink(root)(early, 7)
+    assert spark.read.parquet(sink.log).count() == early.count()
+    later.write.mode("append").parquet(f"{root}/in")
+    drain(spark, root, events.schema)
+    middle.write.mode("append").parquet(f"{root}/in")
+    drain(spark, root, events.schema)
+    log, gaps = spark.read.parquet(sink.log), spark.read.parquet(sink.gaps)
+    late = middle.join(later.select("event_type").distinct(), "event_type", "left_semi").count()
+    assert log.count() == early.count() + later.count() + middle.count() - late and gaps.count() == late > 0

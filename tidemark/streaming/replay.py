@@ -12,6 +12,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+from pyspark.sql.utils import AnalysisException
 
 from ..plans.lifecycle import events, replay
 from ..plans.snapshots import attempts_and_observations
@@ -19,38 +21,47 @@ from ..plans.snapshots import attempts_and_observations
 
 def shared_folder(spark: SparkSession) -> str:
     told = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not told and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
     return f"{told.rstrip('/') if told else 'file://' + tempfile.mkdtemp(prefix='tidemark-')}/stream-{uuid.uuid4().hex}"
 
 
 class LifecycleSink:
-    """foreachBatch body. Appends the new attempts' events to log/ and late ones to gaps/."""
+    """foreachBatch body. Appends the new attempts' events to log/ and late ones to gaps/.
+
+    It holds no state: what is known is read from the log, so a batch that is delivered again after a restart adds nothing."""
 
     def __init__(self, root: str):
         self.log, self.gaps = f"{root}/log", f"{root}/gaps"
-        self.started = False
+
+    def known(self, spark: SparkSession, schema: StructType) -> DataFrame:
+        try:
+            return spark.read.schema(schema).parquet(self.log)
+        except AnalysisException:  # nothing has been written yet
+            return spark.createDataFrame([], schema)
 
     def __call__(self, batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
         rows = batch.withColumn("_day", F.to_date("ts"))
-        if self.started:
-            known = spark.read.parquet(self.log).groupBy("event_type").agg(F.max("_day").alias("_mark"))
-            have = spark.read.parquet(self.log).select("event_type", "_day").distinct()
-            fresh = rows.join(have, ["event_type", "_day"], "left_anti").join(F.broadcast(known), "event_type", "left")  # a row for each board
-            late = F.coalesce(F.col("_day") < F.col("_mark"), F.lit(False))
-            fresh.where(late).drop("_mark").write.mode("append").parquet(self.gaps)
-            rows = fresh.where(~late).drop("_mark")
-        rows.write.mode("append").parquet(self.log)
-        self.started = True
-
-
-def replay_in_batches(spark: SparkSession, source: DataFrame, n_files: int = 3) -> DataFrame:
-    """Writes the source as a few day-ordered files, streams them one at a time, and returns the events of the log."""
-    root = shared_folder(spark)
-    for k in range(n_files):
-        part = source.where(F.pmod(F.floor((F.dayofmonth("ts") - 1) * n_files / 31), F.lit(n_files)) == k)
-        part.coalesce(1).write.mode("append").parquet(f"{root}/in")
+        have = self.known(batch.sparkSession, rows.schema).select("event_type", "_day").distinct()
+        marks = have.groupBy("event_type").agg(F.max("_day").alias("_mark"))  # a row for each board
+        fresh = rows.join(have, ["event_type", "_day"], "left_anti").join(F.broadcast(marks), "event_type", "left")
+        late = F.coalesce(F.col("_day") < F.col("_mark"), F.lit(False))
+        fresh.where(late).select(rows.columns).write.mode("append").parquet(self.gaps)
+        fresh.where(~late).select(rows.columns).write.mode("append").parquet(self.log)
+
+
+def drain(spark: SparkSession, root: str, schema: StructType) -> LifecycleSink:
+    """Streams what has arrived in root/in since the last call, in one batch: a new query and sink each time, as after a restart."""
     sink = LifecycleSink(root)
-    stream = spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
-    query = stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{root}/offsets").trigger(availableNow=True).start()
-    query.awaitTermination()
+    stream = spark.readStream.schema(schema).parquet(f"{root}/in")
+    stream.writeStream.foreachBatch(sink).option("checkpointLocation", f"{root}/offsets").trigger(availableNow=True).start().awaitTermination()
+    return sink
+
+
+def replay_in_batches(spark: SparkSession, source: DataFrame, n_batches: int = 3) -> DataFrame:
+    """Lets the source arrive in a few ranges of days, streams each when it is there, and returns the events of the log."""
+    root = shared_folder(spark)
+    for k in range(n_batches):
+        source.where(F.pmod(F.floor((F.dayofmonth("ts") - 1) * n_batches / 31), F.lit(n_batches)) == k).write.mode("append").parquet(f"{root}/in")
+        sink = drain(spark, root, source.schema)
     return events(replay(*attempts_and_observations(spark.read.parquet(sink.log).drop("_day"))))
