@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import dart_minhash, decontaminate, line_spread, packing, quality, suffix_dedup, token_count, token_file, toxicity, url_rules
-from .common import table
+from .common import table, written
 from .default_rules import HOST_RULES, PATTERN_RULES
 
 
@@ -54,7 +54,13 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read_ids(blocks)
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_url_filter, op3_suffix_dedup, op4_harmonic_packing, op5_token_counts, op6_quality_ledger, op7_dart_minhash, op8_toxicity, op9_line_spread, op10_token_file)}
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the served policy and of the one before rejects, from one stored ledger."""
+    kept = written(quality.ledger(table(spark, sf_dir, "documents")), "quality-ledger")
+    return quality.ablations(kept, 3).unionByName(quality.ablations(kept, 2))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_url_filter, op3_suffix_dedup, op4_harmonic_packing, op5_token_counts, op6_quality_ledger, op7_dart_minhash, op8_toxicity, op9_line_spread, op10_token_file, quality_ablations)}
 
 #: Host and path as the contract cuts them; each pattern rule tried on every URL.
 OP2_SQL = r"""
@@ -112,4 +118,10 @@ SELECT doc_id, coalesce(n_all, 0)::BIGINT AS n_lines, coalesce(n_all - n_kept, 0
 FROM j
 """
 
-ORACLES = {"op9_line_spread": OP9_SQL, "op2_url_filter": OP2_SQL, "op6_quality_ledger": OP6_SQL}
+ABLATIONS_SQL = OP6_SQL.rstrip().rpartition("SELECT doc_id, n_words")[0] + r"""
+SELECT rule, policy::INTEGER AS policy, count_if(failed & mask & bit <> 0) AS n_failed, count_if(failed & mask = bit) AS n_only, count_if(failed & mask & ~bit = 0) AS n_kept_without
+FROM b, (VALUES ('few_words', 1), ('repeated_windows', 2), ('symbols', 4), ('duplicate_lines', 8), ('short_words', 16), ('long_words', 32), ('very_long', 64)) AS r(rule, bit), (VALUES (3, 119), (2, 127)) AS p(policy, mask)
+WHERE mask & bit <> 0 GROUP BY rule, policy
+"""
+
+ORACLES = {"quality_ablations": ABLATIONS_SQL, "op9_line_spread": OP9_SQL, "op2_url_filter": OP2_SQL, "op6_quality_ledger": OP6_SQL}
