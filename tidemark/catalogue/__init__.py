@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import contract, grammars, lifecycle, reads, records, texts
+from . import contract, grammars, lifecycle, reads, records, texts, views
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (lifecycle, reads, texts, grammars, records, contract):
+for _module in (lifecycle, reads, texts, grammars, records, contract, views):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

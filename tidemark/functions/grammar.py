@@ -258,3 +258,20 @@ def experience_months(text: Column) -> Column:
         .when(text.rlike(floor), q("gte", least, F.lit(None)))
         .when(F.regexp_count(text, F.lit(exact)) == 1, q("exact", n(exact, 1), n(exact, 1)))
     )
+
+
+def deadline(text: Column) -> Column:
+    """The one date that a text names, month first; null if it names none or several, or one that no calendar has. Two-digit years are of this century."""
+    numbers = F.create_map(*[F.lit(x) for i, n in enumerate(MONTHS, 1) for k in {n, n[:3]} for x in (k, i)])
+    worded = F.filter(
+        F.transform(
+            F.regexp_extract_all(text, F.lit(r"(?U)[A-Za-z]+\.?\s+\d{1,2},\s*\d{4}"), F.lit(0)),
+            lambda t: F.struct(F.try_element_at(numbers, F.lower(F.regexp_extract(t, "^([A-Za-z]+)", 1))).alias("m"), F.regexp_extract(t, r"(?U)(\d{1,2}),\s*(\d{4})$", 1).alias("d"), F.regexp_extract(t, r"(?U)(\d{4})$", 1).alias("y")),
+        ),
+        lambda p: p["m"].isNotNull(),
+    )
+    numeric = F.transform(F.regexp_extract_all(text, F.lit(r"(?U)\b\d{1,2}/\d{1,2}/\d{2}(?:\d{2})?\b"), F.lit(0)), lambda t: F.split(t, "/"))
+    year = lambda y: F.when(y.cast("int") < 100, y.cast("int") + 2000).otherwise(y.cast("int"))
+    read = lambda y, m, d: F.try_to_date(F.format_string("%04d-%02d-%02d", y.cast("int"), m.cast("int"), d.cast("int")), "yyyy-MM-dd")
+    dates = F.concat(F.transform(worded, lambda p: read(p["y"], p["m"], p["d"])), F.transform(numeric, lambda p: read(year(p[2]), p[0], p[1])))
+    return F.when(F.size(dates) == 1, F.get(dates, F.lit(0)))

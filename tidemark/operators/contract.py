@@ -146,3 +146,17 @@ def invisible_count(text: Column) -> Column:
 def normalized_key(surface: Column) -> Column:
     """Case-folded by lower() and trimmed; characters whose case folding is longer than their lower case keep the latter."""
     return F.regexp_replace(F.lower(surface), r"(?U)^\s+|\s+$", "")
+
+
+#: Phrases that only boilerplate holds.
+BOILERPLATE = [
+    "equal opportunity employer", "equal employment opportunity", "affirmative action", "without regard to race", "sexual orientation, gender identity",
+    "protected veteran", "reasonable accommodation", "privacy statement", "privacy notice", "privacy policy", "candidate privacy", "e-verify", "recruiting fee",
+    "recruitment fee", "fraudulent", "phishing", "will never ask", "fair chance", "arrest and conviction",
+]
+
+
+def out_of_scope(block: Column) -> Column:
+    """A block of boilerplate, unless it also has the language of a requirement. Null is no block."""
+    lowered = F.lower(F.coalesce(block, F.lit("")))
+    return F.exists(F.array(*map(F.lit, BOILERPLATE)), lambda t: lowered.contains(t)) & ~F.coalesce(block, F.lit("")).rlike(REQUIREMENT_LANGUAGE)
