@@ -68,10 +68,12 @@ def windows(line: str, lo: int = 0, hi: int | None = None) -> list[tuple[str, in
 def window_spans(line: Column, lo: Column, hi: Column) -> Column:
     """windows() of each row, as an array of struct(key, start, end); a null line or bound has none."""
 
-    def spans(line: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.Series:
-        return pd.Series([[] if x is None or pd.isna(a) or pd.isna(b) else [dict(zip(("key", "start", "end"), w)) for w in windows(x, int(a), int(b))] for x, a, b in zip(line, lo, hi)])
+    def spans(line: pd.Series, lo: pd.Series, hi: pd.Series) -> pd.DataFrame:
+        found = [[] if x is None or pd.isna(a) or pd.isna(b) else windows(x, int(a), int(b)) for x, a, b in zip(line, lo, hi)]
+        return pd.DataFrame({name: [[w[k] for w in ws] for ws in found] for k, name in enumerate(("key", "start", "end"))})
 
-    return F.pandas_udf(spans, "array<struct<key:string,start:int,end:int>>")(line, lo, hi)
+    cut = F.pandas_udf(spans, "key array<string>, start array<int>, end array<int>")(line, lo, hi)
+    return F.arrays_zip(cut["key"].alias("key"), cut["start"].alias("start"), cut["end"].alias("end"))
 
 
 def leftmost_longest(hits: Column) -> Column:

@@ -108,13 +108,14 @@ def mention_context(profile: Column, surface: Column, area_kind: Column) -> Colu
     text = lambda v, path: F.try_variant_get(v, path, "string")
     own = F.filter(items(record, "$.mentions"), lambda m: F.lower(text(m, "$.surface")) == F.lower(surface))
     linked = F.flatten(F.transform(own, lambda m: F.coalesce(F.try_variant_get(m, "$.statement_ids", "array<string>"), F.array().cast("array<string>"))))
-    fits = F.filter(
-        items(record, "$.statements"),
-        lambda s: F.coalesce(F.array_contains(linked, text(s, "$.id")), F.lit(False)) & F.coalesce(text(s, "$.kind") == area_kind, F.lit(False))
+    read = F.array(F.struct(linked.alias("linked"), items(record, "$.statements").alias("statements")))  # parsed once, not once a statement
+    fits = F.flatten(F.transform(read, lambda r: F.filter(
+        r["statements"],
+        lambda s: F.coalesce(F.array_contains(r["linked"], text(s, "$.id")), F.lit(False)) & F.coalesce(text(s, "$.kind") == area_kind, F.lit(False))
         & F.try_variant_get(s, "$.section_heading", "variant").isNotNull(),
-    )
-    first = F.get(fits, F.lit(0))
-    return F.when(F.size(fits) > 0, F.struct(text(first, "$.section_heading").alias("section_heading"), text(first, "$.modality_evidence[0].text").alias("modality")))
+    )))
+    told = F.transform(fits, lambda s: F.struct(text(s, "$.section_heading").alias("section_heading"), text(s, "$.modality_evidence[0].text").alias("modality")))
+    return F.get(told, F.lit(0))
 
 
 def served_profiles(extractions: DataFrame, titles: DataFrame, prompt: str) -> DataFrame:
