@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dart_minhash, decontaminate, line_spread, packing, quality, suffix_dedup, token_count, token_file, toxicity, url_rules
+from . import dart_minhash, decontaminate, importance, line_spread, packing, quality, suffix_dedup, token_count, token_file, toxicity, url_rules
 from .common import table, written
 from .default_rules import HOST_RULES, PATTERN_RULES
 
@@ -54,13 +54,17 @@ def op10_token_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_file.read_ids(blocks)
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
 def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What each rule of the served policy and of the one before rejects, from one stored ledger."""
     kept = written(quality.ledger(table(spark, sf_dir, "documents")), "quality-ledger")
     return quality.ablations(kept, 3).unionByName(quality.ablations(kept, 2))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_url_filter, op3_suffix_dedup, op4_harmonic_packing, op5_token_counts, op6_quality_ledger, op7_dart_minhash, op8_toxicity, op9_line_spread, op10_token_file, quality_ablations)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_url_filter, op3_suffix_dedup, op4_harmonic_packing, op5_token_counts, op6_quality_ledger, op7_dart_minhash, op8_toxicity, op9_line_spread, op10_token_file, op13_importance_resampling, quality_ablations)}
 
 #: Host and path as the contract cuts them; each pattern rule tried on every URL.
 OP2_SQL = r"""
