@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import dart_minhash, decontaminate, importance, line_spread, packing, quality, suffix_dedup, token_count, token_file, toxicity, url_rules, whitening
+from . import best_fit, dart_minhash, decontaminate, importance, line_spread, packing, quality, suffix_dedup, token_count, token_file, toxicity, url_rules, whitening
 from .common import table, written
 from .default_rules import HOST_RULES, PATTERN_RULES
 
@@ -60,6 +60,10 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.by_component(whitening.whiten(rows, model), model)
 
 
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return best_fit.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
 
@@ -70,7 +74,7 @@ def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.ablations(kept, 3).unionByName(quality.ablations(kept, 2))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_url_filter, op3_suffix_dedup, op4_harmonic_packing, op5_token_counts, op6_quality_ledger, op7_dart_minhash, op8_toxicity, op9_line_spread, op10_token_file, op11_embedding_whitening, op13_importance_resampling, quality_ablations)}
+QUERIES = {f.__name__: f for f in (op1_decontaminate, op2_url_filter, op3_suffix_dedup, op4_harmonic_packing, op5_token_counts, op6_quality_ledger, op7_dart_minhash, op8_toxicity, op9_line_spread, op10_token_file, op11_embedding_whitening, op12_best_fit_packing, op13_importance_resampling, quality_ablations)}
 
 #: Host and path as the contract cuts them; each pattern rule tried on every URL.
 OP2_SQL = r"""
