@@ -21,8 +21,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines go; n_chars follows the text. A document that is mostly lines of others is left whole: copies are the next stage's to judge."""
-    cleaned = line_spread.dedup_lines(docs, most_lost=0.5)
+    """Boilerplate lines go from every document; n_chars follows the text. A line is boilerplate by the sites of documents that are no near copies
+    of each other, so what is one document on many sites is not, and the next stage sees its copies as they are."""
+    distinct = dart_minhash.keep_one(docs)
+    cleaned = line_spread.remove_lines(docs, line_spread.spread_lines(distinct))
     if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn("n_chars", F.when(F.col(line_spread.REMOVED) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return cleaned.select(*[F.col(f"`{c}`") for c in docs.columns])

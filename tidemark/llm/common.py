@@ -58,13 +58,14 @@ def drop_written(spark: SparkSession, since: int, until: int | None = None, keep
             _WRITTEN[k] = ""
 
 
-def arrow_map(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A mapInArrow body that handles one batch at a time, so memory is bounded by a batch."""
+def arrow_map(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], text: str | None = None) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A mapInArrow body that handles one batch at a time, so memory is bounded by a batch; with text, by a few megabytes of that column or one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows and (out := fn(batch)) is not None and out.num_rows:
-                yield out
+        for whole in batches:
+            for batch in small_batches(whole, text) if text else (whole,):
+                if batch.num_rows and (out := fn(batch)) is not None and out.num_rows:
+                    yield out
 
     return run
 

@@ -360,14 +360,28 @@ def crossing(reps: DataFrame, classes: DataFrame, cells_for) -> DataFrame:
     # rows of the largest class meet the others only; both sides come in blocks
     held = rows.join(mixed_, "_bucket").withColumn("_other", F.col("_class") != F.col("_main"))
     side = lambda whole, most: F.when(F.col("_other"), F.col(whole) - F.col(most)).otherwise(F.col(most))
-    parts = F.ceil(F.greatest(side("_all", "_most") / BLOCK_ROWS, side("_all_cells", "_most_cells") / BLOCK_CELLS))
+    parts = F.greatest(F.ceil(side("_all", "_most") / BLOCK_ROWS), F.ceil(side("_all_cells", "_most_cells") / BLOCK_CELLS))
     held = written(held.withColumn("_part", F.pmod(F.xxhash64("_node"), parts)).select("_bucket", "_node", "_class", "_other", "_part"), "mixed-rows")
     held = held.join(cells_for(held.select("_node").distinct()), "_node")
     blocks = written(held.groupBy("_bucket", "_other", "_part").agg(F.collect_list(F.struct("_node", "_class", "_cells")).alias("_rows")), "bucket-blocks")
-    left = blocks.where("_other").select("_bucket", F.col("_part").alias("_p"), F.col("_rows").alias("_left"))
-    right = blocks.select("_bucket", "_other", "_part", F.col("_rows").alias("_right"))
-    pairs = left.join(right, "_bucket").where("not _other or _p <= _part").select("_left", "_right")
-    return pairs.mapInArrow(met, "a long, b long").distinct()
+    in_blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK_ROWS), F.ceil(size / BLOCK_CELLS))
+    others = in_blocks(F.col("_all") - F.col("_most"), F.col("_all_cells") - F.col("_most_cells"))
+    counts = mixed_.select("_bucket", others.alias("_others"), in_blocks(F.col("_most"), F.col("_most_cells")).alias("_mains"))
+    return block_pairs(blocks, counts).select("_left", "_right").mapInArrow(met, "a long, b long").distinct()
+
+
+def block_pairs(blocks: DataFrame, counts: DataFrame) -> DataFrame:
+    """Every pair of blocks of a bucket that have to meet, with their rows (_left, _right): blocks of other classes with each other and with the main class's.
+
+    blocks: _bucket, _other, _part, _rows; counts: _bucket, _others and _mains, the numbers of blocks. A block's partners are counted up from
+    the numbers and rows are fetched by (bucket, block), so the pairs of one bucket are spread over as many tasks as it has blocks."""
+    block = lambda other: lambda q: F.struct(F.lit(other).alias("_other"), q.cast("long").alias("_part"))
+    left = blocks.where("_other").select("_bucket", F.col("_part").cast("long").alias("_p"), F.col("_rows").alias("_left"))
+    right = blocks.select("_bucket", "_other", F.col("_part").cast("long").alias("_part"), F.col("_rows").alias("_right"))
+    with_counts = left.select("_bucket", "_p").join(counts, "_bucket")
+    partners = F.concat(F.transform(F.sequence(F.col("_p"), F.col("_others").cast("long") - 1), block(True)), F.transform(F.sequence(F.lit(0).cast("long"), F.col("_mains").cast("long") - 1), block(False)))
+    pairs = with_counts.select("_bucket", "_p", F.explode(partners).alias("_with")).select("_bucket", "_p", "_with._other", "_with._part")
+    return pairs.join(left, ["_bucket", "_p"]).join(right, ["_bucket", "_other", "_part"])
 
 
 def _joined(left: list[dict], right: list[dict]) -> list[tuple[int, int]]:

@@ -4,8 +4,8 @@ Every non-blank line is hashed; a HyperLogLog sketch of the sites it occurs on i
 merged by aggregation. Lines whose estimate is clearly over the threshold are boilerplate; lines near it get an exact
 distinct count (of those lines only). Boilerplate lines are then removed wherever they occur.
 
-Every such line goes, whatever share of a document it is. A caller who judges copies of whole documents afterwards may set most_lost:
-a document that would lose more than that share of its characters is then left whole (None, the default: no document is).
+Every such line goes, whatever share of a document it is. A caller who does not want the lines of copies of one document to count as spread
+finds the lines in documents without copies (spread_lines) and removes them from all (remove_lines).
 
 Defined results: a null text stays null with no lines, an empty text stays empty, blank lines are never removed, a null
 site counts as no site. Repeated rows are each cleaned. Other columns stay as they are.
@@ -45,27 +45,37 @@ def spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "sourc
     return written(clear.unionByName(exact.select("_hash")), "line-boilerplate")
 
 
-def remove_lines(docs: DataFrame, boilerplate: DataFrame, key: str = "doc_id", text: str = "text", most_lost: float | None = None) -> DataFrame:
+def _free(docs: DataFrame, name: str) -> str:
+    """A column name that docs does not have."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
+def remove_lines(docs: DataFrame, boilerplate: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with text cleaned, and LINES and REMOVED: how many lines it had and how many went."""
-    n, bound = boilerplate.count(), "false"
+    n = boilerplate.count()
     own = [c for c in docs.columns if c not in (LINES, REMOVED)]
+    of, hits, all_, kept = (_free(docs, f"__spread_{x}") for x in ("key", "hits", "all", "kept"))
+    gone = lambda line: F.lit(False)
+    cleaned = docs
     if n > MOST_LITERALS:
-        hits = _hashes(docs, text, docs[key].alias("__spread_key")).distinct().join(boilerplate, "_hash", "left_semi").groupBy("__spread_key").agg(F.collect_set("_hash").alias("__spread_hits"))
-        cleaned = docs.join(hits, docs[key].eqNullSafe(hits["__spread_key"]), "left").drop("__spread_key")
-        bound = "coalesce(array_contains(__spread_hits, xxhash64(x)), false)"
+        found = _hashes(docs, text, docs[key].alias(of)).distinct().join(boilerplate, "_hash", "left_semi").groupBy(of).agg(F.collect_set("_hash").alias(hits))
+        cleaned = docs.join(found, docs[key].eqNullSafe(found[of]), "left").drop(of)
+        gone = lambda line: F.coalesce(F.array_contains(hits, F.xxhash64(line)), F.lit(False))
+    elif n:
+        bound = ", ".join(f"cast('{r[0]}' as bigint)" for r in boilerplate.collect())
+    cleaned = cleaned.withColumn(all_, F.split(docs[text], "\n", -1))
+    if 0 < n <= MOST_LITERALS:
+        cleaned = cleaned.withColumn(kept, F.expr(f"filter(`{all_}`, x -> xxhash64(x) NOT IN ({bound}))"))
     else:
-        cleaned = docs
-        if n:
-            bound = "xxhash64(x) IN (" + ", ".join(f"cast('{r[0]}' as bigint)" for r in boilerplate.collect()) + ")"
-    cleaned = cleaned.withColumn("__spread_all", F.split(docs[text], "\n", -1)).withColumn("__spread_kept", F.expr(f"filter(__spread_all, x -> NOT {bound})"))
-    cleaned = cleaned.withColumn("__spread_text", F.array_join("__spread_kept", "\n"))
-    whole = F.lit(False) if most_lost is None else F.length(text) - F.length("__spread_text") > most_lost * F.length(text)
+        cleaned = cleaned.withColumn(kept, F.filter(F.col(all_), lambda line: ~gone(line)))
     size = lambda c: F.when(F.col(text).isNull(), 0).otherwise(F.size(c))
     return cleaned.select(
-        *[F.when(whole, F.col(text)).otherwise(F.col("__spread_text")).alias(text) if c == text else F.col(f"`{c}`") for c in own],
-        size("__spread_all").cast("long").alias(LINES), F.when(whole, 0).otherwise(size("__spread_all") - size("__spread_kept")).cast("long").alias(REMOVED),
+        *[F.array_join(kept, "\n").alias(text) if c == text else F.col(f"`{c}`") for c in own],
+        size(all_).cast("long").alias(LINES), (size(all_) - size(kept)).cast("long").alias(REMOVED),
     )
 
 
-def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, key: str = "doc_id", site: str = "source", text: str = "text", most_lost: float | None = None) -> DataFrame:
-    return remove_lines(docs, spread_lines(docs, min_sites, site, text), key, text, most_lost)
+def dedup_lines(docs: DataFrame, min_sites: int = MIN_SITES, key: str = "doc_id", site: str = "source", text: str = "text") -> DataFrame:
+    return remove_lines(docs, spread_lines(docs, min_sites, site, text), key, text)

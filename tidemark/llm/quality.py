@@ -94,7 +94,7 @@ def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 
     narrow = docs.select(F.col(key), docs[text].cast("string").alias("_text"))
     kind = docs.schema[key].dataType.simpleString()
-    measured = narrow.mapInArrow(arrow_map(body), f"`{key}` {kind}, " + ", ".join(f"{m} long" for m in MEASURES))
+    measured = narrow.mapInArrow(arrow_map(body, "_text"), f"`{key}` {kind}, " + ", ".join(f"{m} long" for m in MEASURES))
     bits = F.lit(0).cast("long")
     for r in RULES:
         bits = bits.bitwiseOR(F.when(F.expr(r.fails), 1 << r.bit).otherwise(0).cast("long"))

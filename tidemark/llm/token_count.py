@@ -79,7 +79,11 @@ class TokenCounter:
             told = json.load(f)
         merges = (m if isinstance(m, list) else m.split(" ", 1) for m in told["model"]["merges"])
         self.ranks = {(a, b): i for i, (a, b) in enumerate(merges)}
+        split = told.get("pre_tokenizer") or {}
+        if split.get("type") != "ByteLevel" or not split.get("use_regex", True) or split.get("add_prefix_space") or told.get("normalizer"):
+            raise ValueError("the file does not cut texts by the byte-level pattern alone")
         special = [t["content"] for t in told["added_tokens"]]
+        self.begins = {t[0] for t in special}
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
         self.pattern = regex.compile(PATTERN)
         self.pieces = _Counts(self._piece, most_kept)
@@ -105,7 +109,7 @@ class TokenCounter:
     def count(self, text: str | None) -> int:
         if not text:
             return 0
-        if self.special is None or "<" not in text or not self.special.search(text):
+        if self.special is None or not any(c in text for c in self.begins) or not self.special.search(text):
             return self._span(text)
         return sum(map(self._span, self.special.split(text))) + len(self.special.findall(text))
 
@@ -130,7 +134,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text
         return pa.RecordBatch.from_arrays([batch.column(0), n_bytes, pa.array(n), pa.array(n > limit)], names=[key, "n_bytes", "n_tokens", "over_limit"])
 
     narrow = docs.select(F.col(key), _text(docs, text))
-    return narrow.mapInArrow(arrow_map(body), f"`{key}` {kind.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
+    return narrow.mapInArrow(arrow_map(body, "_text"), f"`{key}` {kind.simpleString()}, n_bytes long, n_tokens long, over_limit boolean")
 
 
 def _text(docs: DataFrame, text: str) -> Column:

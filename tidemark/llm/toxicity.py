@@ -1,9 +1,10 @@
 """Toxicity: subword-bag embeddings averaged into a linear softmax, trained jointly in numpy.
 
 A word is the bag of its character n-grams (hashed to a fixed number of vectors), so a misspelling that was never seen
-shares most vectors of the word it hides. The vectors of a passage of SPAN words are averaged and a linear softmax over
+shares most vectors of the word it hides. The vectors of a passage of two words are averaged and a linear softmax over
 the two labels scores the passage; a document is as toxic as its most toxic passage, in training and in scoring, so one
-insult counts the same in a short and in a very long text. Vectors and softmax weights are trained together by gradient
+insult counts the same in a short and in a very long text. Every two neighbouring words are a passage (one word, where the text has no
+more), so a score does not depend on where in the text a passage stands. Vectors and softmax weights are trained together by gradient
 descent on the highest passage of each labelled document.
 
 The softmax is linear in the average, so after training every vector is reduced to its two-label margin; scoring adds up
@@ -14,7 +15,8 @@ classifier; the joint training then moves vectors and weights (on sf0.1 the held
 recall at 0.7 from 0.53 to 0.85).
 
 Learning takes at most MOST_TRAINED labelled documents (those with the smallest key hash) and of these, in that order, at most
-MOST_TRAINED_BYTES of text, documented bounds; all else covers every row.
+MOST_TRAINED_BYTES of text, documented bounds; a text that is more than a LONGEST_SHARE of that is passed over, and where labels are told but
+only such texts bear them, fitting fails. All else covers every row.
 Defined results: null and empty texts score the softmax of the bias alone; with no labelled document of either label the score
 is the label's share (0 where there is none), and nothing is rejected, as nothing was learnt. A key with several labels takes the
 highest, one with several texts the last in order. Rows are judged one by one.
@@ -34,9 +36,9 @@ from .common import small_batches, written
 from .dart_minhash import mixed
 
 MOST_TRAINED, MOST_TRAINED_BYTES = 8_000, 64_000_000
+LONGEST_SHARE = 1 / 32
 BUCKETS = 1 << 18
 DIMENSIONS = 8
-SPAN = 2
 SHORTEST, LONGEST = 3, 6
 STEPS = 50
 DAMPING, DECAY, SMOOTH = 1.0, 1e-2, 3.0
@@ -87,8 +89,14 @@ def bare(chunk: str) -> str:
     return chunk.strip(_EDGES)
 
 
-def span_starts(n: int) -> np.ndarray:
-    return np.arange(0, n, SPAN)
+def passages(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """For each word of the texts (which begin at starts) the mean of its value and the next word's; -inf at a text's last word, unless it is the only one."""
+    out = values.copy()
+    out[:-1] += values[1:]
+    out[:-1] /= 2
+    ends = np.append(starts[1:], len(values)) - 1
+    out[ends] = np.where(ends > starts, -np.inf, values[ends])
+    return out
 
 
 class Model:
@@ -122,8 +130,7 @@ class Scorer:
         for i, words in enumerate(lists):
             if words:
                 values = np.fromiter(map(self.known.__getitem__, words), np.float64, len(words))
-                starts = span_starts(len(words))
-                out[i] += (np.add.reduceat(values, starts) / np.diff(np.append(starts, len(words)))).max()
+                out[i] += passages(values, np.zeros(1, np.int64)).max()
         return 1 / (1 + np.exp(-np.clip(out, -500, 500)))
 
 
@@ -139,16 +146,13 @@ def train(texts: Iterator[str | None], labels: np.ndarray, steps: int = STEPS, r
         words = words_of(text or "")
         flat.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in map(bare, words)), np.int32, len(words)))
         met[int(label == 1)].append(np.unique(flat[-1]))
-    spans = np.concatenate([np.arange(0, len(f), SPAN) + at for f, at in zip(flat, np.cumsum([0] + [len(f) for f in flat]))]).astype(np.int64)
-    per_doc = np.array([-(-len(f) // SPAN) for f in flat])
+    per_doc = np.array([len(f) for f in flat])
     words = np.concatenate(flat)
     del flat
     units, owner, sizes = bags_of_many(list(numbers))
     del numbers
-    span_sizes = np.diff(np.append(spans, len(words)))
     has = per_doc > 0
     doc_at = np.append(0, np.cumsum(per_doc))[:-1][has]
-    span_doc = np.repeat(np.arange(len(per_doc)), per_doc)
     rng = np.random.default_rng(seed)
     # a start that already points somewhere: along the softmax weights, by the smoothed odds of meeting a bucket in documents of label 1
     weights = rng.normal(0, 1, DIMENSIONS)
@@ -162,21 +166,19 @@ def train(texts: Iterator[str | None], labels: np.ndarray, steps: int = STEPS, r
     for _ in range(steps):
         margins = vectors @ weights
         of_word = summed(owner, margins, units, len(sizes)) / sizes
-        of_span = np.add.reduceat(of_word[words], spans) / span_sizes if len(spans) else np.zeros(0)
-        top = np.zeros(len(labels), np.int64)
         best = np.full(len(labels), bias)
-        if len(spans):
-            most = np.maximum.reduceat(of_span, doc_at)
+        if len(words):
+            of_passage = passages(of_word[words], doc_at)
+            most = np.maximum.reduceat(of_passage, doc_at)
             best[has] += most
-            first = np.flatnonzero(of_span == np.repeat(most, per_doc[has]))
-            top[span_doc[first][::-1]] = first[::-1]  # the first of equal passages
+            found = np.flatnonzero(of_passage == np.repeat(most, per_doc[has]))
+            top = found[np.searchsorted(found, doc_at)]  # the first of equal passages
+            del of_passage, found
         wrong = (1 / (1 + np.exp(-np.clip(best, -60, 60))) - labels) * balance / len(labels)
-        coefficient = np.zeros(len(spans))
-        np.add.at(coefficient, top[has], wrong[has])
-        live = np.flatnonzero(coefficient)
-        lengths = span_sizes[live]
-        at = np.repeat(spans[live] - np.append(0, np.cumsum(lengths))[:-1], lengths) + np.arange(lengths.sum())
-        word_grad = np.bincount(words[at], np.repeat(coefficient[live] / lengths, lengths), len(sizes)) / sizes
+        word_grad = np.zeros(len(sizes))
+        if len(words):
+            last = np.minimum(top + 1, doc_at + per_doc[has] - 1)  # the passage's second word, or the only one again
+            word_grad = np.bincount(words[np.append(top, last)], np.tile(wrong[has] / 2, 2), len(sizes)) / sizes
         grad = summed(units, word_grad, owner, BUCKETS)
         step_w = vectors.T @ grad
         pull = grad * np.linalg.norm(weights)
@@ -202,9 +204,12 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = MOST_TRAINED, most_bytes
     texts = docs.select(docs[key].alias("_key"), docs[text].cast("string").alias("_text")).join(F.broadcast(sample), "_key")
     rows = written(texts.groupBy("_key", "_label").agg(F.max("_text").alias("_text")).withColumn("_order", F.xxhash64("_key")), "toxicity-sample")
     sizes = rows.select("_order", "_key", F.coalesce(F.octet_length("_text"), F.lit(0)).alias("n")).orderBy("_order", "_key").toPandas()  # at most `most` rows
-    within = sizes[sizes.n.cumsum() <= most_bytes]
+    within = sizes[sizes.n <= most_bytes * LONGEST_SHARE]
+    within = within[within.n.cumsum() <= most_bytes]
+    if len(sizes) and not len(within):
+        raise ValueError("every labelled text is too long to learn from: raise most_bytes")
     if len(within) < len(sizes):
-        rows = rows.join(F.broadcast(rows.sparkSession.createDataFrame(within[["_key"]], rows.select("_key").schema)), "_key", "left_semi") if len(within) else rows.where("false")
+        rows = rows.join(F.broadcast(rows.sparkSession.createDataFrame(within[["_key"]], rows.select("_key").schema)), "_key", "left_semi")
     held = rows.orderBy("_order", "_key").select("_text", "_label").toArrow()
     return train((t.as_py() for t in held.column("_text")), held.column("_label").to_numpy())
 
