@@ -48,8 +48,8 @@ def walk(blocks, block_id, quote, occurrence, lenient):
                 hits += [(b, s + origin[k], s + origin[k + len(needle) - 1] + 1, 0, tier) for k in starts(hay, needle)]
         return hits[0] if len(hits) == 1 else None
 
-    folded = lambda s: fold(s).lower()
-    found = one("exact", str) or one("own_typographic", fold, block_id) or one("folded", folded) or one_bare("own_bare", block_id) or one_bare("bare")
+    folded = lambda s: fold(s).casefold()
+    found = one("typographic", fold) or one("own_typographic", fold, block_id) or one("folded", folded) or one_bare("own_bare", block_id) or one_bare("bare")
     if not found and lenient:
         hits = sorted((s + starts(folded(t), folded(quote))[0], b) for b, (s, t) in blocks.items() if starts(folded(t), folded(quote)))
         found = (hits[0][1], hits[0][0], hits[0][0] + len(quote), 0, "first_folded") if hits else None
@@ -81,6 +81,20 @@ def test_references_are_resolved_tier_by_tier(spark):
         assert len({w if isinstance(w, str) else w[4] for w in want.values()}) >= 7
 
 
+def test_a_quote_unique_under_the_typographic_fold(spark):
+    """Curly quotes against plain ones, with a lower-case twin elsewhere; and a text that is exact once but has a typographic twin."""
+    docs = spark.createDataFrame([(1, 'one\nUse "Fast" tools\nuse "fast" tools'), (2, "own\nUse a-b\nUse a–b"), (3, "Die Straße *hier*\nx")], "doc_id int, text string")
+    refs = [(1, "r", "b000001", "Use “Fast” tools", 0), (2, "r", "b000001", "Use a-b", 0), (3, "r", "b000002", "strasse hier", 0)]
+    got = {r["doc_id"]: (r["tier"], r["start"], r["end"], r["error"]) for r in resolving.resolved(spark.createDataFrame(refs, "doc_id int, ref_id string, block_id string, quote string, occurrence int"), texts.annotate(docs)).collect()}
+    assert got == {1: ("typographic", 4, 20, None), 2: (None, None, None, "not_found"), 3: ("bare", 4, 16, None)}
+
+
+def test_case_fold(spark):
+    letters = [chr(c) for r in ((0x41, 0x250), (0x370, 0x530)) for c in range(*r) if chr(c).isalpha()] + ["ẞ", "ß", "ΑΣ", "İ"]
+    rows = spark.createDataFrame([(c,) for c in letters], "c string").select("c", texts.case_fold(F.col("c")).alias("f")).collect()
+    assert [r["c"] for r in rows if r["f"] != r["c"].casefold()] == []
+
+
 def test_record_functions(spark):
     x = spark.createDataFrame([('{"authorization": {"sponsorship": "yes", "citizenship_required": "true"}}', " ÄB\n", None), (None, None, "You MUST know"), ('{"authorization": {"sponsorship": "no", "citizenship_required": false}}', "", "fine")], "p string, k string, q string")
     rows = x.select(contract.authorization_row(F.col("p")).alias("a"), contract.normalized_key(F.col("k")).alias("k"), contract.quotes_modality(F.col("q")).alias("m"), contract.invisible_count(F.col("k")).alias("i")).collect()

@@ -127,3 +127,22 @@ def test_the_stream_sink_recovers(spark):
     log, gaps = spark.read.parquet(sink.log), spark.read.parquet(sink.gaps)
     late = middle.join(later.select("event_type").distinct(), "event_type", "left_semi").count()
     assert log.count() == early.count() + later.count() + middle.count() - late and gaps.count() == late > 0
+
+
+def test_an_attempt_that_arrives_in_two_batches_is_whole(spark):
+    """Every row is in the log once, however a day is cut; late attempts are in the gaps once, also when they are delivered again."""
+    from pyspark.sql import functions as F
+    from tidemark.streaming.replay import LifecycleSink, shared_folder
+
+    events = spark.read.parquet("/root/testdata/sf0.001/events.parquet").where("event_type = 'view'")
+    half = F.pmod(F.xxhash64("event_id"), F.lit(2))
+    days = [events.where(F.dayofmonth("ts") == d) for d in (2, 3, 1)]
+    sink = LifecycleSink(shared_folder(spark))
+    for k, day in enumerate(days[:2]):
+        for part in (0, 1):
+            sink(day.where(half == part), 2 * k + part)
+    sink(days[0].where(half == 1), 4)  # again, and behind the mark, but of a known attempt
+    for again in (5, 6):
+        sink(days[2], again)
+    rows = lambda df: sorted(r["event_id"] for r in df.select("event_id").collect())
+    assert rows(spark.read.parquet(sink.log)) == rows(days[0].unionByName(days[1])) and rows(spark.read.parquet(sink.gaps)) == rows(days[2]) != []

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import contract, grammars, lifecycle, reads, records, texts, views
+from . import contract, grammars, lifecycle, reads, records, serving, texts, views
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (lifecycle, reads, texts, grammars, records, contract, views):
+for _module in (lifecycle, reads, texts, grammars, records, contract, views, serving):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

@@ -155,7 +155,7 @@ ORACLES = {
     "section_heading_check": BLOCKS + ", h AS (SELECT *, max(CASE WHEN n % 4 = 1 THEN n END) OVER (PARTITION BY doc_id ORDER BY n) AS hn FROM b) SELECT doc_id, 'statements/' || block_id AS path, 'section_heading_mismatch' AS code FROM h WHERE n % 11 = 0",
     "split_mentions": """SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN p_type || '|' || split_part(p_name, ' ', 1) WHEN 1 THEN p_type || '|' || split_part(p_name, ' ', 1) WHEN 2 THEN p_type || '/2' WHEN 3 THEN p_type || '/' || p_name WHEN 4 THEN 'CI/CD' ELSE p_type || ', ' || split_part(p_name, ' ', 1) END AS mentions FROM part""",
     "record_texts": """SELECT conv_id, turn, list_bool_or([contains(lower(text), t) FOR t IN ['must', 'required', 'require', 'preferred', 'prefer', 'ideally', 'plus', 'nice to have', 'bonus', 'minimum', 'at least', 'strongly']]) AS modal,
-      md5(regexp_replace(lower(text), '^\\s+|\\s+$', '', 'g')) AS "key", (3 + length(text) - length(regexp_replace(text, '[\\p{Cc}\\p{Cf}\\p{Co}]', '', 'g')) - (length(text) - length(replace(text, chr(10), ''))) - (length(text) - length(replace(text, chr(9), ''))))::INTEGER AS n_invisible FROM conversations""",
+      md5(regexp_replace(replace(lower(text), 'ß', 'ss'), '^\\s+|\\s+$', '', 'g')) AS "key", (3 + length(text) - length(regexp_replace(text, '[\\p{Cc}\\p{Cf}\\p{Co}]', '', 'g')) - (length(text) - length(replace(text, chr(10), ''))) - (length(text) - length(replace(text, chr(9), ''))))::INTEGER AS n_invisible FROM conversations""",
     "authorization_rows": "SELECT o_orderkey, ['yes', 'no', 'undeclared'][(o_orderkey % 4 + 1)::INTEGER] AS sponsorship, o_orderkey % 3 = 0 AS citizenship_required FROM orders WHERE o_orderkey % 7 <> 0 AND o_orderkey % 11 <> 0 AND o_orderkey % 4 < 3 AND o_orderkey % 3 < 2",
     "canonical_decimals": """WITH c AS (SELECT o_orderkey, round(o_totalprice * 100)::BIGINT AS c, [1, 10, 1000][(o_orderkey % 3 + 1)::INTEGER] AS m FROM orders), r AS (SELECT o_orderkey, c - c % m AS c FROM c)
       SELECT o_orderkey, (c // 100)::VARCHAR || CASE WHEN c % 100 = 0 THEN '' WHEN c % 10 = 0 THEN '.' || (c % 100 // 10) ELSE '.' || lpad((c % 100)::VARCHAR, 2, '0') END AS spelling FROM r""",

@@ -1,8 +1,8 @@
 """References of a record (block, quoted text, occurrence) to spans of the document, in DataFrame functions.
 
-A quote that its block holds is taken as it stands; else tiers follow, each of which must find exactly one place: the exact text in
-the whole document; the block under the typographic fold; the document under typographic and case fold; the block and then the document
-without emphasis marks. The lenient tier takes the first folded place. Only references that their own block does not hold
+A quote that its block holds is taken as it stands; else tiers follow, each of which must find exactly one place: the document and then the
+block under the typographic fold; the document under typographic and case fold; the block and then the document without emphasis marks.
+An offset that was found in a folded text is used as it is, so behind a letter that folding makes longer a span begins as much later. The lenient tier takes the first folded place. Only references that their own block does not hold
 meet the document's other blocks, and of these only the ones that hold the quote under the widest fold."""
 
 from __future__ import annotations
@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .texts import typographic_fold
+from .texts import case_fold, typographic_fold
 
 
 def places(text: Column, quote: Column) -> Column:
@@ -25,13 +25,13 @@ def places(text: Column, quote: Column) -> Column:
 
 
 def _bare(text: Column) -> Column:
-    return F.lower(F.translate(typographic_fold(text), "*_", ""))
+    return case_fold(F.translate(typographic_fold(text), "*_", ""))
 
 
 def _bare_spans(text: Column, bare: Column, quote: Column) -> Column:
     """Spans of the text, marks included, whose bare form is the bare quote."""
-    chars = F.transform(F.split(text, "", -1), lambda c, i: F.when(~c.isin("*", "_"), i))
-    origin = F.array_compact(chars)
+    chars = F.transform(F.split(text, "", -1), lambda c, i: F.array_repeat(i, F.when(c.isin("*", "_"), 0).otherwise(F.length(case_fold(c)))))
+    origin = F.flatten(chars)  # a letter that folding makes longer stands for each of its parts
     return F.transform(places(bare, quote), lambda k: F.struct(F.element_at(origin, k + 1).alias("a"), (F.element_at(origin, k + F.length(quote)) + 1).alias("b")))
 
 
@@ -51,15 +51,15 @@ def resolved(references: DataFrame, blocks: DataFrame, lenient: bool = False) ->
     done = settled.select("doc_id", "ref_id", "block_id", start.cast("int").alias("start"), (start + F.col("_size")).cast("int").alias("end"), F.when(F.col("error").isNull(), F.col("_taken")).cast("int").alias("occurrence"), F.when(F.col("error").isNull(), "own").alias("tier"), "error")
 
     # every form is made once for a block and once for a quote, under the join
-    forms = lambda c, tag: {f"_{tag}_typographic": typographic_fold(F.col(c)), f"_{tag}_folded": F.lower(typographic_fold(F.col(c))), f"_{tag}_bare": _bare(F.col(c))}
+    forms = lambda c, tag: {f"_{tag}_typographic": typographic_fold(F.col(c)), f"_{tag}_folded": case_fold(typographic_fold(F.col(c))), f"_{tag}_bare": _bare(F.col(c))}
     missed = own.where("error is null and _begin is null").select("doc_id", "ref_id", F.col("block_id").alias("_own"), "quote")
     held = blocks.select("doc_id", "block_id", "text", F.col("start").alias("_at")).withColumns(forms("text", "t"))
-    pairs = missed.withColumns(forms("quote", "q")).join(held, "doc_id").where((F.col("_q_bare") != "") & F.col("_t_bare").contains(F.col("_q_bare")))
-    spans = lambda t, q: F.transform(places(F.col(t), F.col(q)), lambda i: F.struct(i.alias("a"), (i + F.length(q)).alias("b")))
-    found = pairs.withColumns({"exact": spans("text", "quote"), "typographic": spans("_t_typographic", "_q_typographic"), "folded": spans("_t_folded", "_q_folded"), "bare": _bare_spans(F.col("text"), F.col("_t_bare"), F.col("_q_bare"))})
+    pairs = missed.withColumns(forms("quote", "q")).join(held, "doc_id").where(F.when(F.col("_q_bare") != "", F.col("_t_bare").contains(F.col("_q_bare"))).otherwise(F.col("_t_typographic").contains(F.col("_q_typographic"))))
+    spans = lambda t, q: F.transform(places(F.col(t), F.col(q)), lambda i: F.struct(i.alias("a"), (i + F.length("quote")).alias("b")))
+    found = pairs.withColumns({"typographic": spans("_t_typographic", "_q_typographic"), "folded": spans("_t_folded", "_q_folded"), "bare": _bare_spans(F.col("text"), F.col("_t_bare"), F.col("_q_bare"))})
     is_own = F.col("block_id") == F.col("_own")
     first = lambda c: F.when(F.size(c) > 0, F.struct(F.col("_at"), F.col("block_id"), F.element_at(c, 1).alias("s")))
-    tiers = {"exact": ("exact", F.lit(True)), "own_typographic": ("typographic", is_own), "folded": ("folded", F.lit(True)), "own_bare": ("bare", is_own), "bare": ("bare", F.lit(True))}
+    tiers = {"typographic": ("typographic", F.lit(True)), "own_typographic": ("typographic", is_own), "folded": ("folded", F.lit(True)), "own_bare": ("bare", is_own), "bare": ("bare", F.lit(True))}
     sums = [F.sum(F.when(held, F.size(c)).otherwise(0)).alias(f"n_{name}") for name, (c, held) in tiers.items()]
     hits = [F.min(F.when(held, first(c))).alias(f"at_{name}") for name, (c, held) in tiers.items()]
     per = found.groupBy("doc_id", "ref_id").agg(*sums, *hits)

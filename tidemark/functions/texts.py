@@ -118,6 +118,12 @@ def typographic_fold(text: Column) -> Column:
     return F.translate(text, "".join(TYPOGRAPHIC), "".join(TYPOGRAPHIC.values()))
 
 
+def case_fold(text: Column) -> Column:
+    """Full case folding: upper case and back, so that a sharp s becomes two letters; the dotless i and the final sigma are put right."""
+    raised = F.upper(F.translate(F.replace(text, F.lit("ẞ"), F.lit("ss")), "ı", "\ue000"))
+    return F.translate(F.lower(F.translate(raised, "\ue000", "ı")), "ς", "σ")
+
+
 def split_mention(name: Column) -> Column:
     """The mentions that one written mention stands for.
 

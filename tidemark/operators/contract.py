@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.texts import case_fold
+
 #: Patterns and vocabularies of the contract.
 HEADING = r"^\s*(?:#{1,6}\s+\S|\*\*[^*].*\*\*\s*$|__[^_].*__\s*$)"
 TRAILING_MARKS = r"[*_`#>\s]+$"
@@ -144,8 +146,8 @@ def invisible_count(text: Column) -> Column:
 
 
 def normalized_key(surface: Column) -> Column:
-    """Case-folded by lower() and trimmed; characters whose case folding is longer than their lower case keep the latter."""
-    return F.regexp_replace(F.lower(surface), r"(?U)^\s+|\s+$", "")
+    """Case-folded and trimmed."""
+    return F.regexp_replace(case_fold(surface), r"(?U)^\s+|\s+$", "")
 
 
 #: Phrases that only boilerplate holds.
