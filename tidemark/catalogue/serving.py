@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import serving
+from ..operators import containment, retries, serving, views
 from ..plans.snapshots import table
 
 
@@ -42,7 +42,31 @@ def claim_index(spark: SparkSession, sf_dir: str) -> DataFrame:
                     F.array_join("values", ",").alias("vals"), F.array_join("entity_links", ",").alias("links"), routes.alias("routes"))
 
 
-QUERIES = {f.__name__: f for f in (claim_index,)}
+def unexplained_deletions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order's record is retried: lines of every third part go, some of them named by an error, by id or by place; every fifth id is a number."""
+    n, k = F.col("l_linenumber"), F.col("l_partkey")
+    line = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("doc_id"), n.cast("int").alias("n")).agg(F.max(k).alias("k"))
+    text = F.when(F.col("k") % 5 == 0, F.col("n").cast("string")).otherwise(F.concat(F.lit('"x'), F.col("n").cast("string"), F.lit('"')))
+    object_ = F.concat(F.lit('{"n": 1, "id": '), text, F.lit("}"))
+    row = F.struct("n", object_.alias("o"), (F.col("k") % 3 != 0).alias("kept"))
+    each = line.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("rows"))
+    listed = lambda rows: F.concat(F.lit("["), F.array_join(F.transform(rows, lambda r: r["o"]), ","), F.lit("]"))
+    left = F.filter("rows", lambda r: r["kept"])
+    nested = lambda rows: F.concat(F.lit('{"statements": '), listed(rows), F.lit(', "facts": {"entries": '), listed(rows), F.lit('}, "mentions": {}}'))
+    order = F.col("doc_id")
+    fed = F.when(order % 4 == 0, F.array(F.lit("verify: x2: unknown"), F.lit("x3-alt is odd"))).when(order % 4 == 1, F.array(F.lit("statements[1] has no kind"))).when(order % 4 == 2, F.array(F.lit("facts/entries/10 and facts/entries/2: text"), F.lit(None).cast("string")))
+    return retries.unexplained_deletions(each.select("doc_id", nested(F.col("rows")).alias("prior"), nested(left).alias("current"), fed.alias("fed")))
+
+
+def quote_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sentences of the benchmark against the lines of all documents: which hold each other, in their evaluation form."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.posexplode(F.split("text", "[.?!\n]")).alias("k", "text"))
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("k", "text"))
+    quotes = lambda rows, key: rows.select(F.concat_ws("-", key, "k").alias("id"), views.evaluation_name(F.col("text")).alias("text")).where("text <> ''")
+    return containment.overlapping(quotes(items, "item_id"), quotes(lines, "doc_id"))
+
+
+QUERIES = {f.__name__: f for f in (claim_index, unexplained_deletions, quote_containment)}
 
 _RECORDS = """line AS (SELECT l_orderkey AS doc_id, l_linenumber::INTEGER AS n, CASE WHEN l_partkey % 5 = 0 THEN 'fact' WHEN l_partkey % 4 = 0 THEN 'mention' ELSE 'statement' END AS k,
     max(l_partkey) AS pk, max(l_suppkey) AS sk, max(l_quantity) AS q, max(l_returnflag) AS rf, max(l_linestatus) AS ls, 'MODE ' || (max(l_suppkey) % 7) AS sm FROM lineitem GROUP BY ALL),
@@ -68,4 +92,16 @@ _CLAIMS = f"""WITH {_RECORDS},
 SELECT h.doc_id, area_id, area_name, area_kind, area_importance, area_level, source, owner_id, a AS start, b AS "end", quote, importance, negated, polarity_target, vals, links, routes
 FROM held h LEFT JOIN env e ON e.doc_id = h.doc_id AND e.k = h.source AND e.oid = h.owner_id"""
 
-ORACLES = {"claim_index": _CLAIMS}
+_DELETIONS = """WITH line AS (SELECT l_orderkey AS doc_id, l_linenumber::INTEGER AS n, max(l_partkey) AS k FROM lineitem GROUP BY ALL),
+  placed AS (SELECT *, (row_number() OVER (PARTITION BY doc_id ORDER BY n) - 1)::INTEGER AS i, 'x' || n AS id FROM line),
+  gone AS (SELECT doc_id, path, i, id FROM placed, (VALUES ('statements'), ('facts.entries')) AS p(path) WHERE k % 3 = 0 AND k % 5 <> 0)
+SELECT doc_id, path, i AS "index", id FROM gone
+WHERE NOT coalesce(CASE doc_id % 4 WHEN 0 THEN id = 'x2' WHEN 1 THEN path = 'statements' AND i = 1 WHEN 2 THEN path = 'facts.entries' AND i IN (2, 10) END, false)"""
+#: All pairs, in evaluation form; ids as Spark's split numbers its parts.
+_CONTAINMENT = r"""WITH i AS (SELECT item_id AS k, regexp_split_to_array(text, '[.?!\n]') AS parts FROM benchmark), d AS (SELECT doc_id AS k, string_split(text, chr(10)) AS parts FROM documents),
+  named(side, id, t) AS (SELECT side, k || '-' || (n - 1), trim(regexp_replace(regexp_replace(lower(part), '[^\p{L}\p{M}\p{N}\p{Pc}+#./ ]', ' ', 'g'), ' +', ' ', 'g'))
+    FROM (SELECT 1 AS side, k, unnest(parts) AS part, unnest(range(1, len(parts) + 1)) AS n FROM i UNION ALL SELECT 2, k, unnest(parts), unnest(range(1, len(parts) + 1)) FROM d)),
+  l AS (SELECT * FROM named WHERE side = 1 AND t <> ''), r AS (SELECT * FROM named WHERE side = 2 AND t <> '')
+SELECT l.id AS left_id, r.id AS right_id FROM l JOIN r ON contains(r.t, l.t) OR contains(l.t, r.t)"""
+
+ORACLES = {"claim_index": _CLAIMS, "unexplained_deletions": _DELETIONS, "quote_containment": _CONTAINMENT}
