@@ -513,19 +513,22 @@ def test_line_spread_keeps_columns_named_like_its_helpers(spark, monkeypatch):
         assert len(got) == 12 and all(r[n] == n for r in got for n in names) and all(r[line_spread.REMOVED] == 1 for r in got)
 
 
-def test_pairs_of_blocks_of_one_bucket_are_spread(spark):
-    blocks = spark.createDataFrame([(7, True, p, f"t{p}") for p in range(20)] + [(7, False, p, f"f{p}") for p in range(3)] + [(8, True, 0, "x"), (8, False, 0, "y")], "_bucket long, _other boolean, _part long, _rows string")
-    counts = spark.createDataFrame([(7, 20, 3), (8, 1, 1)], "_bucket long, _others long, _mains long")
+def test_pairs_of_blocks_of_one_bucket_are_spread(spark, monkeypatch):
+    counts = {7: (20, 3), 8: (1, 1)}
+    rows = [(7, True, p, f"t{p}") for p in range(20)] + [(7, False, p, f"f{p}") for p in range(3)] + [(8, True, 0, "x"), (8, False, 0, "y")]
+    blocks = spark.createDataFrame([(b, o, p, *counts[b], r) for b, o, p, r in rows], "_bucket long, _other boolean, _part long, _others long, _mains long, _rows string")
+    want = {(7, f"t{a}", f"t{b}") for a in range(20) for b in range(a, 20)} | {(7, f"t{a}", f"f{b}") for a in range(20) for b in range(3)} | {(8, "x", "x"), (8, "x", "y")}
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     try:
-        rows = dart_minhash.block_pairs(blocks, counts).select("_bucket", "_left", "_right", F.spark_partition_id().alias("at")).collect()
+        for at_once, least in ((16, 2), (4, 5)):
+            monkeypatch.setattr(dart_minhash, "BLOCKS_AT_ONCE", at_once)
+            got = dart_minhash.block_pairs(blocks).select("_bucket", "_left", "_right", F.spark_partition_id().alias("at")).collect()
+            assert sorted((r["_bucket"], r["_left"], r["_right"]) for r in got) == sorted(want)
+            assert len({r["at"] for r in got if r["_bucket"] == 7}) >= least
     finally:
         spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
-    want = {(7, f"t{a}", f"t{b}") for a in range(20) for b in range(a, 20)} | {(7, f"t{a}", f"f{b}") for a in range(20) for b in range(3)} | {(8, "x", "x"), (8, "x", "y")}
-    assert sorted((r["_bucket"], r["_left"], r["_right"]) for r in rows) == sorted(want)
-    assert len({r["at"] for r in rows if r["_bucket"] == 7}) > 4
 
 
 def test_token_counts_refuse_a_file_with_another_pattern():

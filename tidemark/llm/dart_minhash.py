@@ -46,6 +46,8 @@ MAYBE = 0.64
 RUN = 1024
 #: Rows of a mixed bucket are compared in blocks of about so many rows and cells (8 bytes each) at most.
 BLOCK_ROWS, BLOCK_CELLS = 256, 1_000_000
+#: Pairs of blocks of one bucket are dealt to tasks in squares of so many blocks.
+BLOCKS_AT_ONCE = 16
 _COLUMNS = 4096  # of an incidence matrix at a time
 #: A key list of this size at most (16 MB) is broadcast; longer ones are joined by shuffles.
 MOST_BROADCAST_KEYS = 2_000_000
@@ -359,29 +361,27 @@ def crossing(reps: DataFrame, classes: DataFrame, cells_for) -> DataFrame:
     mixed_ = written(mixed_, "mixed-buckets")
     # rows of the largest class meet the others only; both sides come in blocks
     held = rows.join(mixed_, "_bucket").withColumn("_other", F.col("_class") != F.col("_main"))
-    side = lambda whole, most: F.when(F.col("_other"), F.col(whole) - F.col(most)).otherwise(F.col(most))
-    parts = F.greatest(F.ceil(side("_all", "_most") / BLOCK_ROWS), F.ceil(side("_all_cells", "_most_cells") / BLOCK_CELLS))
-    held = written(held.withColumn("_part", F.pmod(F.xxhash64("_node"), parts)).select("_bucket", "_node", "_class", "_other", "_part"), "mixed-rows")
-    held = held.join(cells_for(held.select("_node").distinct()), "_node")
-    blocks = written(held.groupBy("_bucket", "_other", "_part").agg(F.collect_list(F.struct("_node", "_class", "_cells")).alias("_rows")), "bucket-blocks")
+    parts = F.when(F.col("_other"), F.col("_others")).otherwise(F.col("_mains"))
     in_blocks = lambda n, size: F.greatest(F.ceil(n / BLOCK_ROWS), F.ceil(size / BLOCK_CELLS))
     others = in_blocks(F.col("_all") - F.col("_most"), F.col("_all_cells") - F.col("_most_cells"))
-    counts = mixed_.select("_bucket", others.alias("_others"), in_blocks(F.col("_most"), F.col("_most_cells")).alias("_mains"))
-    return block_pairs(blocks, counts).select("_left", "_right").mapInArrow(met, "a long, b long").distinct()
+    held = held.withColumns({"_others": others, "_mains": in_blocks(F.col("_most"), F.col("_most_cells"))})
+    held = written(held.withColumn("_part", F.pmod(F.xxhash64("_node"), parts)).select("_bucket", "_node", "_class", "_other", "_part", "_others", "_mains"), "mixed-rows")
+    held = held.join(cells_for(held.select("_node").distinct()), "_node")
+    blocks = written(held.groupBy("_bucket", "_other", "_part").agg(F.min("_others").alias("_others"), F.min("_mains").alias("_mains"), F.collect_list(F.struct("_node", "_class", "_cells")).alias("_rows")), "bucket-blocks")
+    return block_pairs(blocks).select("_left", "_right").mapInArrow(met, "a long, b long").distinct()
 
 
-def block_pairs(blocks: DataFrame, counts: DataFrame) -> DataFrame:
+def block_pairs(blocks: DataFrame) -> DataFrame:
     """Every pair of blocks of a bucket that have to meet, with their rows (_left, _right): blocks of other classes with each other and with the main class's.
 
-    blocks: _bucket, _other, _part, _rows; counts: _bucket, _others and _mains, the numbers of blocks. A block's partners are counted up from
-    the numbers and rows are fetched by (bucket, block), so the pairs of one bucket are spread over as many tasks as it has blocks."""
-    block = lambda other: lambda q: F.struct(F.lit(other).alias("_other"), q.cast("long").alias("_part"))
-    left = blocks.where("_other").select("_bucket", F.col("_part").cast("long").alias("_p"), F.col("_rows").alias("_left"))
-    right = blocks.select("_bucket", "_other", F.col("_part").cast("long").alias("_part"), F.col("_rows").alias("_right"))
-    with_counts = left.select("_bucket", "_p").join(counts, "_bucket")
-    partners = F.concat(F.transform(F.sequence(F.col("_p"), F.col("_others").cast("long") - 1), block(True)), F.transform(F.sequence(F.lit(0).cast("long"), F.col("_mains").cast("long") - 1), block(False)))
-    pairs = with_counts.select("_bucket", "_p", F.explode(partners).alias("_with")).select("_bucket", "_p", "_with._other", "_with._part")
-    return pairs.join(left, ["_bucket", "_p"]).join(right, ["_bucket", "_other", "_part"])
+    blocks: _bucket, _other, _part, _others and _mains (how many blocks of either kind the bucket has), _rows. Blocks are numbered through,
+    the main class's last, and meet in squares of BLOCKS_AT_ONCE: a small bucket is one square and no block is copied; a large one is spread over
+    tasks by squares, and a block is sent once per square of its row or column, not once per partner."""
+    at = lambda n: F.floor(n / BLOCKS_AT_ONCE).cast("long")
+    number = F.col("_part").cast("long") + F.when(F.col("_other"), 0).otherwise(F.col("_others"))
+    left = blocks.where("_other").select("_bucket", at(number).alias("_row"), F.explode(F.sequence(at(number), at(F.col("_others") + F.col("_mains") - 1))).alias("_column"), number.alias("_p"), F.col("_rows").alias("_left"))
+    right = blocks.select("_bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.least(at(number), at(F.col("_others") - 1)))).alias("_row"), at(number).alias("_column"), number.alias("_q"), F.col("_rows").alias("_right"))
+    return left.join(right, ["_bucket", "_row", "_column"]).where("_p <= _q")
 
 
 def _joined(left: list[dict], right: list[dict]) -> list[tuple[int, int]]:
@@ -434,6 +434,13 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return rows.join(member, F.col("_own") == F.col("_key"), "left").select(F.col("_own").alias(key), F.coalesce("_best", "_own").alias("class_id"))
 
 
+def copied_keys(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One column, key: the keys of all documents of each class but that of the least key."""
+    sigs, classes = _classed(docs, key, text)
+    member = sigs.where(F.col("_key").isNotNull()).groupBy("_key").agg(F.min("_node").alias("_node"))
+    return member.join(classes, "_node").where("_key <> _best").select(F.col("_key").alias(key))
+
+
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each class, with all columns of docs: that of the least key, or where no row of the class has a key, of the least node.
 

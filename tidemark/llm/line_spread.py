@@ -5,7 +5,7 @@ merged by aggregation. Lines whose estimate is clearly over the threshold are bo
 distinct count (of those lines only). Boilerplate lines are then removed wherever they occur.
 
 Every such line goes, whatever share of a document it is. A caller who does not want the lines of copies of one document to count as spread
-finds the lines in documents without copies (spread_lines) and removes them from all (remove_lines).
+names them when the lines are looked for (without, in spread_lines); the lines are removed from all documents (remove_lines).
 
 Defined results: a null text stays null with no lines, an empty text stays empty, blank lines are never removed, a null
 site counts as no site. Repeated rows are each cleaned. Other columns stay as they are.
@@ -33,9 +33,15 @@ def _hashes(docs: DataFrame, text: str, *keep: Column) -> DataFrame:
     return lines.where(F.col("__line").rlike(r"\S")).select(*[c for c in lines.columns if c != "__line"], F.xxhash64("__line").alias("_hash"))
 
 
-def spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source", text: str = "text") -> DataFrame:
-    """The hashes of lines that occur on at least min_sites distinct sites: a written table with the column _hash."""
-    lines = _hashes(docs, text, docs[site].cast("string").alias("_site"))
+def spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source", text: str = "text", key: str = "doc_id", without: DataFrame | None = None) -> DataFrame:
+    """The hashes of lines that occur on at least min_sites distinct sites: a written table with the column _hash.
+
+    without: one column, distinct keys of documents that do not count; only hashes of lines are matched with it, not texts."""
+    of_site = docs[site].cast("string").alias("_site")
+    lines = _hashes(docs, text, of_site)
+    if without is not None:
+        keyed = _hashes(docs, text, of_site, docs[key].alias("_key"))
+        lines = written(keyed.join(without.toDF("_key"), "_key", "left_anti").select("_site", "_hash"), "line-sites")
     sketches = lines.groupBy("_hash").agg(F.hll_sketch_agg("_site", F.lit(LG_K)).alias("_sketch"))
     judged = sketches.select("_hash", F.hll_sketch_estimate("_sketch").alias("_sites")).where(F.col("_sites") >= min_sites * (1 - NEAR))
     judged = written(judged, "line-spread")
