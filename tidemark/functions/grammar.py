@@ -275,3 +275,80 @@ def deadline(text: Column) -> Column:
     read = lambda y, m, d: F.try_to_date(F.format_string("%04d-%02d-%02d", y.cast("int"), m.cast("int"), d.cast("int")), "yyyy-MM-dd")
     dates = F.concat(F.transform(worded, lambda p: read(p["y"], p["m"], p["d"])), F.transform(numeric, lambda p: read(year(p[2]), p[0], p[1])))
     return F.when(F.size(dates) == 1, F.get(dates, F.lit(0)))
+
+
+#: What a line of pay is read by. Signs name one currency each, but kr; a bare amount (no sign or code on its left) may not be grouped by spaces.
+PAY_SIGNS = {"£": "GBP", "€": "EUR", "ca$": "CAD", "a$": "AUD", "nz$": "NZD", "s$": "SGD", "hk$": "HKD", "r$": "BRL", "zł": "PLN", "kč": "CZK", "rm": "MYR"}
+PAY_CODES = "USD|CAD|AUD|NZD|SGD|HKD|EUR|GBP|JPY|CNY|CHF|SEK|INR|TWD|KRW|DKK|NOK|PLN|CZK|MYR|BRL|MXN|ILS"
+PAY_SIGN = r"(?:(?<![A-Za-z])(?:CA\$|NZ\$|HK\$|A\$|S\$|R\$|zł|Kč|RM|kr)|[$£€¥])"
+PAY_CODE = rf"({PAY_CODES})"
+PAY_AMOUNT = r"(\d{1,3}(?:,\d{3})+|\d{1,3}(?: \d{3})+|\d{1,3}(?:\.\d{3})+|\d+)(?:[.,]\d{1,2})?\s*(k)?"
+PAY_BARE = r"(?<![\d.,])(\d{1,3}(?:,\d{3})+|\d{1,3}(?:\.\d{3})+|\d{4,}|\d{1,3}(?=\s?[kK]\b)|(?<!\d )\d{3}|\d{1,2})(?:\.\d{1,2})?(?! ?\d)\s*(k)?"
+PAY_THOUSANDS = r"(\d{1,3}(?:,\d{3})+)(?:[.,]\d{1,2})?\s*(k)?"
+PAY_UNIT = r"(?:\s*/\s*(?:hr|hour|yr|year|mo|month))?"
+PAY_TO = r"(?:--?|–|—|−|to)"
+PAY_HOURLY = r"(?iU)(?:/\s*(?:hr|hour)|per\s+hour)\b"
+PAY_YEARLY = r"(?iU)(?:/\s*(?:yr|year)|per\s+(?:year|annum)|annually|annual)\b"
+PAY_CEILING = r"(?iU)\b(?:up\s+to|at\s+most|maximum\s+of|no\s+more\s+than|not\s+to\s+exceed)\b"
+PAY_FLOOR = r"(?iU)\b(?:starting\s+(?:at|from)|from|at\s+least|minimum\s+of)\b"
+RANGE_BEFORE = r"(?iU)\d[\s.,]*(?:--?|–|—|−|\bto)\s*$"
+RANGE_AFTER = r"(?iU)^\s*(?:--?|–|—|−|to\b)\s*[$£€¥]?\s*\d"
+
+
+def pay_amount(digits: Column, k: Column) -> Column:
+    """Whole units: thousands by comma, space or point; k multiplies. Null where it has over 30 digits."""
+    plain = F.when(digits.rlike(r"^\d{1,3}(?:\.\d{3})+$"), F.replace(digits, F.lit("."))).otherwise(digits)
+    whole = F.translate(plain, ", ", "").try_cast("decimal(30,0)")
+    return F.when(k.isNotNull(), whole * 1000).otherwise(whole).cast("decimal(38,0)")
+
+
+def compensation(text: Column) -> Column:
+    """struct(min, max, currency, period): the pay that a line names as a range, or as exactly one amount with a sign or a code; null where it is ambiguous.
+
+    Ranges are tried first: by signs, by codes before and by codes after the amounts, and bare ones before the word OTE with a period. One amount is both
+    bounds, unless a word makes it a ceiling or a floor; one that touches a range's dash is none. A null text gives null."""
+    signed = f"(?iU)({PAY_SIGN})\\s*{PAY_AMOUNT}{PAY_UNIT}(?:\\s*[A-Z]{{3}})?\\s*{PAY_TO}\\s*({PAY_SIGN}?)\\s*{PAY_AMOUNT}{PAY_UNIT}"
+    led = f"(?iU){PAY_CODE}\\s*{PAY_AMOUNT}{PAY_UNIT}\\s*{PAY_TO}\\s*{PAY_CODE}\\s*{PAY_AMOUNT}{PAY_UNIT}"
+    trailed = f"(?iU){PAY_BARE}{PAY_UNIT}\\s*{PAY_CODE}?\\s*{PAY_TO}\\s*{PAY_BARE}{PAY_UNIT}\\s*{PAY_CODE}\\b"
+    bare = f"(?iU){PAY_THOUSANDS}{PAY_UNIT}\\s*{PAY_TO}\\s*{PAY_THOUSANDS}{PAY_UNIT}\\s+OTE\\b"
+    token = f"(?iU){PAY_SIGN}\\s*{PAY_AMOUNT}{PAY_UNIT}|{PAY_AMOUNT}{PAY_UNIT}\\s*{PAY_CODE}\\b|{PAY_CODE}\\s*{PAY_AMOUNT}{PAY_UNIT}"
+    ones = [rf"({PAY_SIGN})\s*{PAY_AMOUNT}{PAY_UNIT}", rf"{PAY_CODE}\s*{PAY_AMOUNT}{PAY_UNIT}", rf"{PAY_BARE}{PAY_UNIT}\s*{PAY_CODE}\b"]
+    hourly, yearly = text.rlike(PAY_HOURLY), text.rlike(PAY_YEARLY)
+    lasting = F.when(hourly, "hour").when(yearly, "year")
+    names = F.create_map(*[F.lit(x) for kv in PAY_SIGNS.items() for x in kv])
+    named = F.upper(_group(text, rf"(?iU)\b({PAY_CODES})\b", 1))
+    none = F.lit(None).cast("string")
+    result = lambda lo, hi, currency: F.struct(lo.cast("decimal(38,0)").alias("min"), hi.cast("decimal(38,0)").alias("max"), currency.alias("currency"), lasting.alias("period"))
+
+    def between(pattern: str, digits: tuple[int, int], currency: Column, clash: Column) -> Column:
+        (d1, k1), (d2, k2) = ((_group(text, pattern, n), _group(text, pattern, n + 1)) for n in digits)
+        lo, hi = pay_amount(d1, k1), pay_amount(d2, k2)
+        lo = F.when(k2.isNotNull() & k1.isNull() & (lo < 1000), lo * 1000).otherwise(lo)
+        return F.when(~F.coalesce(clash, F.lit(False)) & (lo <= hi), result(lo, hi, currency))
+
+    s1, s2 = _group(text, signed, 1), _group(text, signed, 4)
+    l1, l2 = F.upper(_group(text, led, 1)), F.upper(_group(text, led, 4))
+    t1, t2 = F.upper(_group(text, trailed, 3)), F.upper(_group(text, trailed, 6))
+
+    def one(pattern: str, digits: int, currency) -> Column:
+        cut = rf"(?isU)^(.*?)(?:{pattern})(.*)$"
+        at = lambda k: _group(text, cut, k + 1)
+        value = pay_amount(at(digits), at(digits + 1))
+        lo, hi = F.when(~text.rlike(PAY_CEILING), value), F.when(text.rlike(PAY_CEILING) | ~text.rlike(PAY_FLOOR), value)
+        touches = F.coalesce(at(0).rlike(RANGE_BEFORE), F.lit(False)) | F.coalesce(at(4).rlike(RANGE_AFTER), F.lit(False))
+        return F.when(~touches & value.isNotNull(), result(lo, hi, currency(at)))
+
+    single = (
+        F.when(F.regexp_count(text, F.lit(token)) != 1, None)
+        .when(text.rlike("(?iU)" + ones[0]), one(ones[0], 2, lambda at: F.coalesce(named, F.try_element_at(names, F.lower(at(1))))))
+        .when(text.rlike("(?iU)" + ones[1]), one(ones[1], 2, lambda at: F.upper(at(1))))
+        .when(text.rlike("(?iU)" + ones[2]), one(ones[2], 1, lambda at: F.upper(at(3))))
+    )
+    return (
+        F.when(~text.rlike(r"(?U)\d"), None)
+        .when(text.rlike(signed), between(signed, (2, 5), F.coalesce(named, F.try_element_at(names, F.lower(s1))), F.lower(s1) != F.lower(s2)))
+        .when(text.rlike(led), between(led, (2, 5), l2, l1 != l2))
+        .when(text.rlike(trailed), between(trailed, (1, 4), t2, t1 != t2))
+        .when(text.rlike(bare) & (hourly | yearly), between(bare, (1, 3), none, F.lit(False)))
+        .otherwise(single)
+    )
