@@ -307,48 +307,41 @@ def compensation(text: Column) -> Column:
 
     Ranges are tried first: by signs, by codes before and by codes after the amounts, and bare ones before the word OTE with a period. One amount is both
     bounds, unless a word makes it a ceiling or a floor; one that touches a range's dash is none. A null text gives null."""
-    signed = f"(?iU)({PAY_SIGN})\\s*{PAY_AMOUNT}{PAY_UNIT}(?:\\s*[A-Z]{{3}})?\\s*{PAY_TO}\\s*({PAY_SIGN}?)\\s*{PAY_AMOUNT}{PAY_UNIT}"
-    led = f"(?iU){PAY_CODE}\\s*{PAY_AMOUNT}{PAY_UNIT}\\s*{PAY_TO}\\s*{PAY_CODE}\\s*{PAY_AMOUNT}{PAY_UNIT}"
-    trailed = f"(?iU){PAY_BARE}{PAY_UNIT}\\s*{PAY_CODE}?\\s*{PAY_TO}\\s*{PAY_BARE}{PAY_UNIT}\\s*{PAY_CODE}\\b"
-    bare = f"(?iU){PAY_THOUSANDS}{PAY_UNIT}\\s*{PAY_TO}\\s*{PAY_THOUSANDS}{PAY_UNIT}\\s+OTE\\b"
-    token = f"(?iU){PAY_SIGN}\\s*{PAY_AMOUNT}{PAY_UNIT}|{PAY_AMOUNT}{PAY_UNIT}\\s*{PAY_CODE}\\b|{PAY_CODE}\\s*{PAY_AMOUNT}{PAY_UNIT}"
-    ones = [rf"({PAY_SIGN})\s*{PAY_AMOUNT}{PAY_UNIT}", rf"{PAY_CODE}\s*{PAY_AMOUNT}{PAY_UNIT}", rf"{PAY_BARE}{PAY_UNIT}\s*{PAY_CODE}\b"]
-    hourly, yearly = text.rlike(PAY_HOURLY), text.rlike(PAY_YEARLY)
-    lasting = F.when(hourly, "hour").when(yearly, "year")
-    names = F.create_map(*[F.lit(x) for kv in PAY_SIGNS.items() for x in kv])
-    named = F.upper(_group(text, rf"(?iU)\b({PAY_CODES})\b", 1))
-    none = F.lit(None).cast("string")
-    result = lambda lo, hi, currency: F.struct(lo.cast("decimal(38,0)").alias("min"), hi.cast("decimal(38,0)").alias("max"), currency.alias("currency"), lasting.alias("period"))
-
-    def between(pattern: str, digits: tuple[int, int], currency: Column, clash: Column) -> Column:
-        (d1, k1), (d2, k2) = ((_group(text, pattern, n), _group(text, pattern, n + 1)) for n in digits)
-        lo, hi = pay_amount(d1, k1), pay_amount(d2, k2)
-        lo = F.when(k2.isNotNull() & k1.isNull() & (lo < 1000), lo * 1000).otherwise(lo)
-        return F.when(~F.coalesce(clash, F.lit(False)) & (lo <= hi), result(lo, hi, currency))
-
-    s1, s2 = _group(text, signed, 1), _group(text, signed, 4)
-    l1, l2 = F.upper(_group(text, led, 1)), F.upper(_group(text, led, 4))
-    t1, t2 = F.upper(_group(text, trailed, 3)), F.upper(_group(text, trailed, 6))
-
-    def one(pattern: str, digits: int, currency) -> Column:
-        cut = rf"(?isU)^(.*?)(?:{pattern})(.*)$"
-        at = lambda k: _group(text, cut, k + 1)
-        value = pay_amount(at(digits), at(digits + 1))
-        lo, hi = F.when(~text.rlike(PAY_CEILING), value), F.when(text.rlike(PAY_CEILING) | ~text.rlike(PAY_FLOOR), value)
-        touches = F.coalesce(at(0).rlike(RANGE_BEFORE), F.lit(False)) | F.coalesce(at(4).rlike(RANGE_AFTER), F.lit(False))
-        return F.when(~touches & value.isNotNull(), result(lo, hi, currency(at)))
-
-    single = (
-        F.when(F.regexp_count(text, F.lit(token)) != 1, None)
-        .when(text.rlike("(?iU)" + ones[0]), one(ones[0], 2, lambda at: F.coalesce(named, F.try_element_at(names, F.lower(at(1))))))
-        .when(text.rlike("(?iU)" + ones[1]), one(ones[1], 2, lambda at: F.upper(at(1))))
-        .when(text.rlike("(?iU)" + ones[2]), one(ones[2], 1, lambda at: F.upper(at(3))))
-    )
-    return (
+    signed = rf"({PAY_SIGN})\s*{PAY_AMOUNT}{PAY_UNIT}(?:\s*[A-Z]{{3}})?\s*{PAY_TO}\s*({PAY_SIGN}?)\s*{PAY_AMOUNT}{PAY_UNIT}"
+    led = rf"{PAY_CODE}\s*{PAY_AMOUNT}{PAY_UNIT}\s*{PAY_TO}\s*{PAY_CODE}\s*{PAY_AMOUNT}{PAY_UNIT}"
+    trailed = rf"{PAY_BARE}{PAY_UNIT}\s*{PAY_CODE}?\s*{PAY_TO}\s*{PAY_BARE}{PAY_UNIT}\s*{PAY_CODE}\b"
+    bare = rf"{PAY_THOUSANDS}{PAY_UNIT}\s*{PAY_TO}\s*{PAY_THOUSANDS}{PAY_UNIT}\s+OTE\b"
+    token = rf"(?iU){PAY_SIGN}\s*{PAY_AMOUNT}{PAY_UNIT}|{PAY_AMOUNT}{PAY_UNIT}\s*{PAY_CODE}\b|{PAY_CODE}\s*{PAY_AMOUNT}{PAY_UNIT}"
+    one_signed, one_led, one_trailed = rf"({PAY_SIGN})\s*{PAY_AMOUNT}{PAY_UNIT}", rf"{PAY_CODE}\s*{PAY_AMOUNT}{PAY_UNIT}", rf"{PAY_BARE}{PAY_UNIT}\s*{PAY_CODE}\b"
+    has = lambda pattern: text.rlike(f"(?iU){pattern}")
+    lasting = F.when(text.rlike(PAY_HOURLY), "hour").when(text.rlike(PAY_YEARLY), "year")
+
+    def shape(kind: str, pattern: str, *groups: int) -> Column:
+        """The groups in order: amount and k of the lower, of the upper bound, the two signs or codes, what is before and behind; by one match."""
+        parts = F.split(F.regexp_replace(text, f"(?isU)^(.*?)(?:{pattern})(.*)$", "\u0001".join(f"${g + 1}" if g >= 0 else "" for g in groups)), "\u0001", -1)
+        return F.struct(F.lit(kind).alias("kind"), parts.alias("parts"))
+
+    found = (
         F.when(~text.rlike(r"(?U)\d"), None)
-        .when(text.rlike(signed), between(signed, (2, 5), F.coalesce(named, F.try_element_at(names, F.lower(s1))), F.lower(s1) != F.lower(s2)))
-        .when(text.rlike(led), between(led, (2, 5), l2, l1 != l2))
-        .when(text.rlike(trailed), between(trailed, (1, 4), t2, t1 != t2))
-        .when(text.rlike(bare) & (hourly | yearly), between(bare, (1, 3), none, F.lit(False)))
-        .otherwise(single)
+        .when(has(signed), shape("signed", signed, 2, 3, 5, 6, 1, 4)).when(has(led), shape("coded", led, 2, 3, 5, 6, 1, 4)).when(has(trailed), shape("coded", trailed, 1, 2, 4, 5, 3, 6))
+        .when(has(bare) & lasting.isNotNull(), shape("bare", bare, 1, 2, 3, 4, -1, -1)).when(F.regexp_count(text, F.lit(token)) != 1, None)
+        .when(has(one_signed), shape("one signed", one_signed, 2, 3, -1, -1, 1, -1, 0, 4)).when(has(one_led), shape("one coded", one_led, 2, 3, -1, -1, 1, -1, 0, 4)).when(has(one_trailed), shape("one coded", one_trailed, 1, 2, -1, -1, 3, -1, 0, 4))
     )
+
+    def read(p: Column) -> dict[str, Column]:
+        part = lambda k: F.nullif(F.get(p["parts"], F.lit(k)), F.lit(""))
+        lo, hi = pay_amount(part(0), part(1)), pay_amount(part(2), part(3))
+        touches = F.coalesce(part(6).rlike(RANGE_BEFORE), F.lit(False)) | F.coalesce(part(7).rlike(RANGE_AFTER), F.lit(False))
+        return {"kind": p["kind"], "lo": F.when(part(3).isNotNull() & part(1).isNull() & (lo < 1000), lo * 1000).otherwise(lo), "hi": hi, "first": F.lower(part(4)), "second": F.lower(part(5)), "touches": touches}
+
+    def built(x: Column) -> Column:
+        names = F.create_map(*[F.lit(y) for kv in PAY_SIGNS.items() for y in kv])
+        of_sign = F.coalesce(F.upper(_group(text, rf"(?iU)\b({PAY_CODES})\b", 1)), F.try_element_at(names, x["first"]))
+        currency = F.when(x["kind"].endswith("signed"), of_sign).when(x["kind"] != "bare", F.upper(F.coalesce(x["second"], x["first"])))
+        amounts = lambda lo, hi: F.struct(lo.cast("decimal(38,0)").alias("min"), hi.cast("decimal(38,0)").alias("max"), currency.alias("currency"), lasting.alias("period"))
+        ceiling, floor = text.rlike(PAY_CEILING), text.rlike(PAY_FLOOR)
+        point = F.when(~x["touches"] & x["lo"].isNotNull(), amounts(F.when(~ceiling, x["lo"]), F.when(ceiling | ~floor, x["lo"])))
+        clash = F.coalesce(x["first"] != x["second"], F.lit(False))
+        return F.when(x["kind"].startswith("one"), point).when(~clash & (x["lo"] <= x["hi"]), amounts(x["lo"], x["hi"]))
+
+    return _let({"found": found}, lambda p: F.when(p["found"].isNotNull(), _let(read(p["found"]), built)))
