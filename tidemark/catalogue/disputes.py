@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import texts
 from ..operators import disputes
 from ..plans.snapshots import table
+from ..plans.store import written
 
 
 def samples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -27,7 +28,7 @@ def samples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 def _disputed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     claims, cited = samples(spark, sf_dir)
     pairs = disputes.sample_pairs(claims)
-    chosen = disputes.medoids(claims, pairs, disputes.alignments(claims, pairs))
+    chosen = written(disputes.medoids(claims, pairs, disputes.alignments(claims, pairs)), "medoids")
     return (*disputes.dispute_set(claims, cited, chosen), chosen)
 
 

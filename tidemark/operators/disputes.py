@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.store import written
 from .agreement import aligned
 
 #: Outcomes of an audit that was completed, and the finding codes that are a failed gate's own dimension.
@@ -77,6 +78,7 @@ def dispute_set(claims: DataFrame, cited: DataFrame, chosen: DataFrame) -> tuple
     of_medoid = claims.select("doc_id", F.col("slot").alias("slot_a"), F.col("claim").alias("claim_a"), "owner")
     found = alignments(claims, pairs).select("doc_id", "slot_a", "slot_b", "claim_a")
     missed = pairs.join(of_medoid, ["doc_id", "slot_a"]).join(found, ["doc_id", "slot_a", "slot_b", "claim_a"], "left_anti").select("doc_id", "owner").distinct()
+    missed = written(missed, "dispute-missed")
     own = chosen.select("doc_id", F.col("medoid_slot").alias("slot")).join(cited, ["doc_id", "slot"]).select("doc_id", "block_id")
     others = cited.join(chosen.select("doc_id", "medoid_slot"), "doc_id").where("slot <> medoid_slot").select("doc_id", "block_id").distinct()
     blocks = others.join(own, ["doc_id", "block_id"], "left_anti")

@@ -6,6 +6,7 @@ whole. Cursors are an append-only table whose latest row per name counts, so the
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,21 @@ from ..operators.pages import latest_per, merge_cursor
 _CURSOR = "name string, seq long, at timestamp, ids array<long>"
 
 
+def shared_folder(spark: SparkSession, name: str = "stream") -> str:
+    """A new folder where the cluster shares them; a temporary one in local mode only."""
+    told = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not told and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
+    return f"{told.rstrip('/') if told else 'file://' + tempfile.mkdtemp(prefix='tidemark-')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in a shared folder: computed once, however often it is read, and still there when executors are lost."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 class Store:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")

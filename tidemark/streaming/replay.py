@@ -8,9 +8,6 @@ test holds them against each other.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -18,13 +15,7 @@ from pyspark.sql.utils import AnalysisException
 
 from ..plans.lifecycle import events, replay
 from ..plans.snapshots import attempts_and_observations
-
-
-def shared_folder(spark: SparkSession) -> str:
-    told = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not told and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all machines of the cluster share")
-    return f"{told.rstrip('/') if told else 'file://' + tempfile.mkdtemp(prefix='tidemark-')}/stream-{uuid.uuid4().hex}"
+from ..plans.store import shared_folder
 
 
 class LifecycleSink:
