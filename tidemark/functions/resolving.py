@@ -35,8 +35,11 @@ def _bare_spans(text: Column, bare: Column, quote: Column) -> Column:
     return F.transform(places(bare, quote), lambda k: F.struct(F.element_at(origin, k + 1).alias("a"), (F.element_at(origin, k + F.length(quote)) + 1).alias("b")))
 
 
-def resolved(references: DataFrame, blocks: DataFrame, lenient: bool = False) -> DataFrame:
-    """references: doc_id, ref_id, block_id, quote, occurrence (both null: the whole block). Result: doc_id, ref_id, block_id, start, end, occurrence, tier, error."""
+def resolved(references: DataFrame, blocks: DataFrame, lenient: bool | str = False) -> DataFrame:
+    """references: doc_id, ref_id, block_id, quote, occurrence (both null: the whole block). Result: doc_id, ref_id, block_id, start, end, occurrence, tier, error.
+
+    lenient: whether the last tier is open, for all references or, as the name of a boolean column, for some."""
+    references = references.withColumn("_lenient", F.col(lenient) if isinstance(lenient, str) else F.lit(lenient))
     own = references.join(blocks.select("doc_id", "block_id", F.col("text").alias("_text"), F.col("start").alias("_at")), ["doc_id", "block_id"], "left")
     own = own.withColumn("_hits", places(F.col("_text"), F.col("quote")))
     q, n, k = F.col("quote"), F.size("_hits"), F.col("occurrence")
@@ -52,7 +55,7 @@ def resolved(references: DataFrame, blocks: DataFrame, lenient: bool = False) ->
 
     # every form is made once for a block and once for a quote, under the join
     forms = lambda c, tag: {f"_{tag}_typographic": typographic_fold(F.col(c)), f"_{tag}_folded": case_fold(typographic_fold(F.col(c))), f"_{tag}_bare": _bare(F.col(c))}
-    missed = own.where("error is null and _begin is null").select("doc_id", "ref_id", F.col("block_id").alias("_own"), "quote")
+    missed = own.where("error is null and _begin is null").select("doc_id", "ref_id", F.col("block_id").alias("_own"), "quote", "_lenient")
     held = blocks.select("doc_id", "block_id", "text", F.col("start").alias("_at")).withColumns(forms("text", "t"))
     pairs = missed.withColumns(forms("quote", "q")).join(held, "doc_id").where(F.when(F.col("_q_bare") != "", F.col("_t_bare").contains(F.col("_q_bare"))).otherwise(F.col("_t_typographic").contains(F.col("_q_typographic"))))
     spans = lambda t, q: F.transform(places(F.col(t), F.col(q)), lambda i: F.struct(i.alias("a"), (i + F.length("quote")).alias("b")))
@@ -65,7 +68,7 @@ def resolved(references: DataFrame, blocks: DataFrame, lenient: bool = False) ->
     per = found.groupBy("doc_id", "ref_id").agg(*sums, *hits)
     pick = [F.when(F.col(f"n_{name}") == 1, F.struct(F.lit(name).alias("tier"), F.col(f"at_{name}").alias("at"))) for name in tiers]
     if lenient:
-        pick.append(F.when(F.col("n_folded") > 0, F.struct(F.lit("first_folded").alias("tier"), F.col("at_folded").alias("at"))))
+        pick.append(F.when(F.col("_lenient") & (F.col("n_folded") > 0), F.struct(F.lit("first_folded").alias("tier"), F.col("at_folded").alias("at"))))
     x = missed.join(per, ["doc_id", "ref_id"], "left").withColumn("_p", F.coalesce(*pick))
     start = F.col("_p.at._at") + F.col("_p.at.s.a")
     rest = x.select("doc_id", "ref_id", F.coalesce("_p.at.block_id", "_own").alias("block_id"), start.cast("int").alias("start"), (F.col("_p.at._at") + F.col("_p.at.s.b")).cast("int").alias("end"), F.when(F.col("_p").isNotNull(), 0).cast("int").alias("occurrence"), F.col("_p.tier").alias("tier"), F.when(F.col("_p").isNull(), "not_found").alias("error"))
