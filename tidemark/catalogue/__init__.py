@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import archive, contract, disputes, grammars, lifecycle, omissions, reads, records, serving, texts, views
+from . import archive, assembly, contract, disputes, grammars, lifecycle, omissions, reads, records, serving, texts, views
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (lifecycle, reads, texts, grammars, records, contract, views, serving, disputes, omissions, archive):
+for _module in (lifecycle, reads, texts, grammars, records, contract, views, serving, disputes, omissions, archive, assembly):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
