@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import texts
 from ..operators import assembly
 from ..plans.snapshots import table
+from ..plans.store import written
 
 #: The closing lines that every document gets, so that each has a heading and a fact.
 _TERMS = "\n# Terms\nAt least {} years of work"
@@ -49,7 +50,7 @@ def extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def assembled_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     left = {"model": F.lit("m"), "schema_version": F.lit("4"), "at": F.lit("2026-01-01"), "parent_candidate_hash": F.lit(None).cast("string")}
-    got = assembly.assemble(extractions(spark, sf_dir), left)
+    got = assembly.assemble(written(extractions(spark, sf_dir), "emits"), left)
     n = F.size(F.try_variant_get("record", "$.statements", "array<variant>"))
     return got.select("doc_id", F.when(F.col("record").isNotNull(), n).alias("n_statements"), "candidate_hash", F.array_join("errors", "; ").alias("errors"))
 

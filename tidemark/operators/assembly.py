@@ -3,6 +3,7 @@
 An emit is taken apart into rows of references (doc_id, slot, pos): a slot is a place of the record that cites. References are bound by the joins of
 functions.resolving, facts are derived on rows by the grammars, and both go back to their document as maps by slot and by place, from which one
 expression builds the record in its own order. Every shuffle after the binding is by doc_id; no row holds more than one document's record.
+References and what they bind to are written once to the shared folder, as several joins read them.
 
 Defined results: an emit that is no JSON object has the error `emit: not an object`; a null text has no blocks, so whatever is cited is unknown; lists
 that are missing or no lists are empty; an emit of `{}` is a record without objects. Equal doc_ids are the caller's fault: they are taken as one."""
@@ -18,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from ..functions import grammar, resolving, texts
+from ..plans.store import written
 from .contract import INVISIBLE, normalized_key
 from .sealing import candidate_hash, is_object, listed, text, with_keys
 
@@ -136,7 +138,7 @@ def _derived(entries: DataFrame) -> Column:
 def _by_slot(emits: DataFrame) -> DataFrame:
     """Per document: bound (slot to its bound references) and errors (of binding, in the record's order)."""
     blocks = texts.annotate(emits)
-    refs = references(emits)
+    refs = written(references(emits), "references")
     found = resolving.resolved(refs.where("error is null"), blocks, "lenient").select("doc_id", "ref_id", F.col("block_id").alias("_block"), "start", "end", F.col("occurrence").alias("_occurrence"), F.col("error").alias("_missed"))
     told = refs.select("doc_id", "rank", "slot", "pos", "ref_id", "error").join(found, ["doc_id", "ref_id"], "left").withColumn("error", F.coalesce("error", "_missed"))
     around = contexts(blocks).withColumnRenamed("block_id", "_block")
@@ -273,8 +275,9 @@ def assemble(extractions: DataFrame, extraction: dict[str, Column]) -> DataFrame
     time and parent, as columns of that table): doc_id, record (VARIANT, null if there are errors), candidate_hash, errors."""
     e = extractions.withColumns({"_json": F.col("emit"), "emit": F.try_parse_json("emit"), "text": F.coalesce("text", F.lit(""))})
     kept = e.withColumn("emit", F.when(is_object(F.col("emit")), F.col("emit")))
-    bound = kept.join(_by_slot(kept.select("doc_id", "emit", "text")), "doc_id", "left")
-    no_refs = F.from_json(F.lit("{}"), bound.schema["bound"].dataType)
+    by_slot = written(_by_slot(kept.select("doc_id", "emit", "text")), "bound")
+    bound = kept.join(by_slot, "doc_id", "left")
+    no_refs = F.from_json(F.lit("{}"), by_slot.schema["bound"].dataType)
     bound = bound.withColumn("bound", F.coalesce("bound", no_refs))
     whole = bound.join(_facts(bound.select("doc_id", "emit", "bound")), "doc_id", "left")
     odd = F.col("_json").rlike(INVISIBLE) | F.col("_json").rlike(r"\\u")
