@@ -88,7 +88,7 @@ def reference_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     cited = F.when((F.col("n") % 7 == 1) & (F.col("n") > 1), F.format_string("b%06d", F.col("n") - 1)).otherwise(F.col("block_id"))
     occurrence = F.when(F.col("n") % 7 == 6, 5).when(F.col("n") % 7 != 5, 0)
     refs = b.select("doc_id", F.col("block_id").alias("ref_id"), cited.alias("block_id"), quote.alias("quote"), occurrence.alias("occurrence"))
-    return resolving.resolved(refs, b.drop("n"))
+    return resolving.resolved(refs, b.drop("n")).drop("text")
 
 
 def split_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ def _bare_spans(text: Column, bare: Column, quote: Column) -> Column:
 
 
 def resolved(references: DataFrame, blocks: DataFrame, lenient: bool | str = False) -> DataFrame:
-    """references: doc_id, ref_id, block_id, quote, occurrence (both null: the whole block). Result: doc_id, ref_id, block_id, start, end, occurrence, tier, error.
+    """references: doc_id, ref_id, block_id, quote, occurrence (both null: the whole block). Result: doc_id, ref_id, block_id, start, end, occurrence, tier, error, text (the cited one).
 
     lenient: whether the last tier is open, for all references or, as the name of a boolean column, for some."""
     references = references.withColumn("_lenient", F.col(lenient) if isinstance(lenient, str) else F.lit(lenient))
@@ -51,17 +51,18 @@ def resolved(references: DataFrame, blocks: DataFrame, lenient: bool | str = Fal
     own = own.withColumns({"error": error, "_begin": F.when(error.isNull(), at), "_size": size, "_taken": F.when(whole, 0).otherwise(taken)})
     settled = own.where("error is not null or _begin is not null")
     start = F.col("_at") + F.col("_begin")
-    done = settled.select("doc_id", "ref_id", "block_id", start.cast("int").alias("start"), (start + F.col("_size")).cast("int").alias("end"), F.when(F.col("error").isNull(), F.col("_taken")).cast("int").alias("occurrence"), F.when(F.col("error").isNull(), "own").alias("tier"), "error")
+    done = settled.select("doc_id", "ref_id", "block_id", start.cast("int").alias("start"), (start + F.col("_size")).cast("int").alias("end"), F.when(F.col("error").isNull(), F.col("_taken")).cast("int").alias("occurrence"), F.when(F.col("error").isNull(), "own").alias("tier"), "error", F.substring("_text", F.col("_begin") + 1, F.col("_size")).alias("text"))
 
     # every form is made once for a block and once for a quote, under the join
     forms = lambda c, tag: {f"_{tag}_typographic": typographic_fold(F.col(c)), f"_{tag}_folded": case_fold(typographic_fold(F.col(c))), f"_{tag}_bare": _bare(F.col(c))}
     missed = own.where("error is null and _begin is null").select("doc_id", "ref_id", F.col("block_id").alias("_own"), "quote", "_lenient")
-    held = blocks.select("doc_id", "block_id", "text", F.col("start").alias("_at")).withColumns(forms("text", "t"))
+    asked = blocks.select("doc_id", "block_id", "text", F.col("start").alias("_at")).join(missed.select("doc_id"), "doc_id", "left_semi")
+    held = asked.withColumns(forms("text", "t"))
     pairs = missed.withColumns(forms("quote", "q")).join(held, "doc_id").where(F.when(F.col("_q_bare") != "", F.col("_t_bare").contains(F.col("_q_bare"))).otherwise(F.col("_t_typographic").contains(F.col("_q_typographic"))))
     spans = lambda t, q: F.transform(places(F.col(t), F.col(q)), lambda i: F.struct(i.alias("a"), (i + F.length("quote")).alias("b")))
     found = pairs.withColumns({"typographic": spans("_t_typographic", "_q_typographic"), "folded": spans("_t_folded", "_q_folded"), "bare": _bare_spans(F.col("text"), F.col("_t_bare"), F.col("_q_bare"))})
     is_own = F.col("block_id") == F.col("_own")
-    first = lambda c: F.when(F.size(c) > 0, F.struct(F.col("_at"), F.col("block_id"), F.element_at(c, 1).alias("s")))
+    first = lambda c: F.when(F.size(c) > 0, F.struct(F.col("_at"), F.col("block_id"), F.element_at(c, 1).alias("s"), F.substring("text", F.element_at(c, 1)["a"] + 1, F.element_at(c, 1)["b"] - F.element_at(c, 1)["a"]).alias("text")))
     tiers = {"typographic": ("typographic", F.lit(True)), "own_typographic": ("typographic", is_own), "folded": ("folded", F.lit(True)), "own_bare": ("bare", is_own), "bare": ("bare", F.lit(True))}
     sums = [F.sum(F.when(held, F.size(c)).otherwise(0)).alias(f"n_{name}") for name, (c, held) in tiers.items()]
     hits = [F.min(F.when(held, first(c))).alias(f"at_{name}") for name, (c, held) in tiers.items()]
@@ -71,5 +72,5 @@ def resolved(references: DataFrame, blocks: DataFrame, lenient: bool | str = Fal
         pick.append(F.when(F.col("_lenient") & (F.col("n_folded") > 0), F.struct(F.lit("first_folded").alias("tier"), F.col("at_folded").alias("at"))))
     x = missed.join(per, ["doc_id", "ref_id"], "left").withColumn("_p", F.coalesce(*pick))
     start = F.col("_p.at._at") + F.col("_p.at.s.a")
-    rest = x.select("doc_id", "ref_id", F.coalesce("_p.at.block_id", "_own").alias("block_id"), start.cast("int").alias("start"), (F.col("_p.at._at") + F.col("_p.at.s.b")).cast("int").alias("end"), F.when(F.col("_p").isNotNull(), 0).cast("int").alias("occurrence"), F.col("_p.tier").alias("tier"), F.when(F.col("_p").isNull(), "not_found").alias("error"))
+    rest = x.select("doc_id", "ref_id", F.coalesce("_p.at.block_id", "_own").alias("block_id"), start.cast("int").alias("start"), (F.col("_p.at._at") + F.col("_p.at.s.b")).cast("int").alias("end"), F.when(F.col("_p").isNotNull(), 0).cast("int").alias("occurrence"), F.col("_p.tier").alias("tier"), F.when(F.col("_p").isNull(), "not_found").alias("error"), F.col("_p.at.text").alias("text"))
     return done.unionByName(rest)

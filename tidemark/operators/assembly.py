@@ -32,13 +32,14 @@ LABEL_MOST = 60
 
 #: How a slot cites: a list that must be there, a list or nothing, one reference that may bind leniently.
 NEEDED, OPTIONAL, ONE = "needed", "optional", "one"
+FACTS = "facts.entries"
 SLOTS = {
     "statements": {"evidence": NEEDED, "modality_evidence": OPTIONAL, "polarity_evidence": OPTIONAL},
     "relations.groups": {"evidence": OPTIONAL},
     "relations.conditions": {"evidence": NEEDED},
     "relations.example_sets": {"evidence": OPTIONAL},
     "relations.tracks.items": {"name_evidence": NEEDED, "evidence": NEEDED},
-    "facts.entries": {"evidence.value": NEEDED, **{f"evidence.{a}": OPTIONAL for a in ASPECTS}, "scope.evidence": OPTIONAL},
+    FACTS: {"evidence.value": NEEDED, **{f"evidence.{a}": OPTIONAL for a in ASPECTS}, "scope.evidence": OPTIONAL},
     "mentions": {"evidence": ONE},
     "areas": {"evidence": OPTIONAL},
     "block_accounting": {"evidence": OPTIONAL},
@@ -61,9 +62,10 @@ def _place(of: str, i: Column) -> Column:
 
 def _slots(emit: Column) -> Column:
     """All slots of an emit, in the record's order."""
-    row = lambda slot, value, kind: F.struct(slot.alias("slot"), value.alias("value"), F.lit(kind).alias("kind"))
+    none = F.lit(None).cast("string")
+    row = lambda slot, value, kind, family=none: F.struct(slot.alias("slot"), value.alias("value"), F.lit(kind).alias("kind"), family.alias("family"))
     parts = [F.array(*[row(F.lit(s), _get(emit, s), OPTIONAL) for s in SINGLE_SLOTS])]
-    cited = lambda of, fields: lambda x, i: F.array(*[row(F.concat(_place(of, i), F.lit(f".{f}")), _get(x, f), kind) for f, kind in fields.items()])
+    cited = lambda of, fields: lambda x, i: F.array(*[row(F.concat(_place(of, i), F.lit(f".{f}")), _get(x, f), kind, text(x, "$.family") if of == FACTS else none) for f, kind in fields.items()])
     for of, fields in SLOTS.items():
         parts.append(F.flatten(F.transform(listed(emit, f"$.{of}"), cited(of, fields))))
     issue = lambda at: lambda y, j: row(F.concat(at, _place(".unresolved", j), F.lit(".evidence")), _get(y, "evidence"), NEEDED)
@@ -72,31 +74,32 @@ def _slots(emit: Column) -> Column:
 
 
 def references(emits: DataFrame) -> DataFrame:
-    """doc_id, rank (the slot's place among all), slot, pos, ref_id (the reference's path), block_id, quote, occurrence, lenient, error (of its shape)."""
+    """doc_id, rank (the slot's place among all), slot, pos, ref_id (the reference's path), block_id, quote, occurrence, lenient, error (of its shape), family (of
+    the fact whose slot it is)."""
     slots = emits.select("doc_id", F.posexplode(_slots(F.col("emit"))).alias("rank", "s")).select("doc_id", "rank", "s.*")
     items = F.when(F.col("kind") == ONE, F.array("value")).otherwise(F.try_variant_get("value", "$", "array<variant>"))
     nothing = F.col("value").isNull() | F.is_variant_null("value")
     cites = slots.where((F.col("kind") != OPTIONAL) | ~nothing).withColumn("_items", items)
     misshapen = cites.where("_items is null").select(
-        "doc_id", "rank", "slot", F.lit(0).alias("pos"), F.col("slot").alias("ref_id"), F.lit("expected a non-empty list of references").alias("error"))
-    each = cites.select("doc_id", "rank", "slot", "kind", F.posexplode("_items").alias("pos", "item"))
+        "doc_id", "rank", "slot", "family", F.lit(0).alias("pos"), F.col("slot").alias("ref_id"), F.lit("expected a non-empty list of references").alias("error"))
+    each = cites.select("doc_id", "rank", "slot", "family", "kind", F.posexplode("_items").alias("pos", "item"))
     path = F.when(F.col("kind") == ONE, F.col("slot")).otherwise(F.concat("slot", F.lit("["), F.col("pos").cast("string"), F.lit("]")))
     shaped = each.select(
-        "doc_id", "rank", "slot", "pos", path.alias("ref_id"), text(F.col("item"), "$.block_id").alias("block_id"), text(F.col("item"), "$.text").alias("quote"),
+        "doc_id", "rank", "slot", "family", "pos", path.alias("ref_id"), text(F.col("item"), "$.block_id").alias("block_id"), text(F.col("item"), "$.text").alias("quote"),
         F.try_variant_get("item", "$.occurrence", "int").alias("occurrence"), (F.col("kind") == ONE).alias("lenient"),
         F.when(~is_object(F.col("item")), "expected a reference object").alias("error"))
     return shaped.unionByName(misshapen, allowMissingColumns=True)
 
 
 def contexts(blocks: DataFrame) -> DataFrame:
-    """Per block: section_heading, label (its line, after a short line above it) and dollar (what a bare $ means in its document)."""
+    """The blocks with section_heading, label (where the block has a digit: its line, after a short line above it) and dollar (what a bare $ means in
+    its document)."""
     inside = Window.partitionBy("doc_id")
     own = F.trim("text")
     above = F.lag(own).over(inside.orderBy("start"))
     label = F.when((above != "") & (F.length(above) <= LABEL_MOST), F.concat_ws(" ", above, own)).otherwise(own)
     other = F.max(grammar.other_dollar(F.col("text"))).over(inside)
-    headed = texts.under_headings(blocks)
-    return headed.select("doc_id", "block_id", "section_heading", label.alias("label"), F.when(~other, "USD").alias("dollar"))
+    return texts.under_headings(blocks).withColumns({"label": F.when(F.col("text").rlike(r"(?U)\d"), label), "dollar": F.when(~other, "USD")})
 
 
 @F.pandas_udf(ArrayType(StringType()))
@@ -122,7 +125,7 @@ def _cited(refs: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(F.transform(refs, lambda r: F.struct(r["start"], r["end"], r["text"]))), lambda r: r["text"]), " ")
 
 
-def _derived(entries: DataFrame) -> Column:
+def _derived() -> Column:
     """The reading of a fact from its cited spans: what no grammar reads is present_unparsed, never dropped."""
     cited = lambda aspect: F.col(f"_{aspect}")
     value = F.coalesce(cited("value"), F.lit(""))
@@ -135,33 +138,38 @@ def _derived(entries: DataFrame) -> Column:
     return F.struct(state.alias("state"), quantity.alias("quantity"), money.alias("money"), date.alias("date"))
 
 
-def _by_slot(emits: DataFrame) -> DataFrame:
-    """Per document: bound (slot to its bound references) and errors (of binding, in the record's order)."""
-    blocks = texts.annotate(emits)
+def _bound(emits: DataFrame) -> DataFrame:
+    """The references with what they bind to: ref (null if there is an error) and error, narrow rows in which a text is what one reference cites."""
+    blocks = written(contexts(texts.annotate(emits)), "blocks")
     refs = written(references(emits), "references")
-    found = resolving.resolved(refs.where("error is null"), blocks, "lenient").select("doc_id", "ref_id", F.col("block_id").alias("_block"), "start", "end", F.col("occurrence").alias("_occurrence"), F.col("error").alias("_missed"))
-    told = refs.select("doc_id", "rank", "slot", "pos", "ref_id", "error").join(found, ["doc_id", "ref_id"], "left").withColumn("error", F.coalesce("error", "_missed"))
-    around = contexts(blocks).withColumnRenamed("block_id", "_block")
-    told = told.join(around, ["doc_id", "_block"], "left").join(emits.select("doc_id", F.col("text").alias("_text")), "doc_id")
-    ref = F.struct(
-        "pos", F.col("_block").alias("block_id"), F.substring("_text", F.col("start") + 1, F.col("end") - F.col("start")).alias("text"),
-        "start", "end", F.col("_occurrence").alias("occurrence"), "section_heading", "label", "dollar")
-    message = F.struct("rank", "pos", F.concat_ws(": ", "ref_id", "error").alias("m"))
-    slots = told.repartition("doc_id").groupBy("doc_id", "slot").agg(
-        F.array_sort(F.collect_list(F.when(F.col("error").isNull(), ref))).alias("refs"), F.collect_list(F.when(F.col("error").isNotNull(), message)).alias("_wrong"))
+    found = resolving.resolved(refs.where("error is null"), blocks, "lenient").withColumnsRenamed({"block_id": "_block", "error": "_missed", "text": "_cited", "occurrence": "_occurrence"})
+    told = refs.join(found.drop("tier"), ["doc_id", "ref_id"], "left").withColumn("error", F.coalesce("error", "_missed"))
+    around = blocks.select("doc_id", F.col("block_id").alias("_block"), "section_heading", "label", "dollar")
+    ref = F.struct("pos", F.col("_block").alias("block_id"), F.col("_cited").alias("text"), "start", "end", F.col("_occurrence").alias("occurrence"), "section_heading")
+    bound = told.join(around, ["doc_id", "_block"], "left").withColumn("ref", F.when(F.col("error").isNull(), ref))
+    return bound.select("doc_id", "rank", "slot", "pos", "ref_id", "family", "ref", "error", F.when(F.col("slot").startswith(FACTS), F.struct("label", "dollar")).alias("pay"))
+
+
+def _by_slot(bound: DataFrame) -> DataFrame:
+    """Per document: bound (slot to its bound references) and errors (of binding, in the record's order)."""
+    message = F.when(F.col("error").isNotNull(), F.struct("rank", "pos", F.concat_ws(": ", "ref_id", "error").alias("m")))
+    rows = bound.select("doc_id", "slot", "ref", message.alias("_wrong")).repartition("doc_id")
+    slots = rows.groupBy("doc_id", "slot").agg(F.array_sort(F.collect_list("ref")).alias("refs"), F.collect_list("_wrong").alias("_wrong"))
     return slots.groupBy("doc_id").agg(
         F.map_from_entries(F.collect_list(F.struct("slot", "refs"))).alias("bound"),
         F.transform(F.array_sort(F.flatten(F.collect_list("_wrong"))), lambda e: e["m"]).alias("errors"))
 
 
-def _facts(emits: DataFrame) -> DataFrame:
-    """Per document: derived, the readings of its entries by their places."""
-    entry = F.posexplode(listed(F.col("emit"), "$.facts.entries")).alias("pos", "entry")
-    rows = emits.select("doc_id", "bound", entry).withColumn("family", text(F.col("entry"), "$.family"))
-    at = lambda aspect: F.try_element_at("bound", F.concat(_place("facts.entries", F.col("pos")), F.lit(f".evidence.{aspect}")))
-    first = F.get(F.array_sort(F.transform(at("value"), lambda r: F.struct(r["start"], r["label"].alias("label"), r["dollar"].alias("dollar")))), F.lit(0))
-    rows = rows.withColumns({f"_{a}": _cited(at(a)) for a in ["value", *ASPECTS]} | {"_label": first["label"], "_dollar": first["dollar"]})
-    return rows.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("pos", _derived(rows).alias("d")))).alias("derived"))
+def _facts(bound: DataFrame) -> DataFrame:
+    """Per document: derived, the readings of the entries that cite anything, by their places."""
+    of = bound.where(F.col("slot").startswith(FACTS) & F.col("ref").isNotNull()).withColumns({
+        "at": F.regexp_extract("slot", r"\[(\d+)\]", 1).cast("int"), "aspect": F.regexp_extract("slot", r"\]\.evidence\.(\w+)$", 1)})
+    cites = lambda aspect: F.collect_list(F.when(F.col("aspect") == aspect, F.col("ref")))
+    first = F.min_by("pay", F.when(F.col("aspect") == "value", F.struct("ref.start", "pos")))
+    rows = of.groupBy("doc_id", "at").agg(F.first("family").alias("family"), first.alias("_pay"), *[cites(a).alias(a) for a in ["value", *ASPECTS]])
+    shown = {f"_{a}": F.when(F.size(a) > 0, _cited(F.col(a))) for a in ["value", *ASPECTS]}
+    rows = rows.select("doc_id", "at", "family", F.col("_pay.label").alias("_label"), F.col("_pay.dollar").alias("_dollar"), *[c.alias(k) for k, c in shown.items()])
+    return rows.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("at", _derived().alias("d")))).alias("derived"))
 
 
 def _object(**parts: Column | str | None) -> Column:
@@ -194,6 +202,12 @@ def _lost(path: Column, ids: Column, known: Column) -> Column:
     return F.when(F.size(dead) < F.size(ids), rows).otherwise(F.filter(rows, lambda _: F.lit(False)))
 
 
+def _unread() -> Column:
+    """What an entry that cites nothing derives to, in the same shape."""
+    nothing = F.from_json(F.lit("{}"), "quantity string, money string, date string")
+    return F.to_variant_object(F.struct(F.lit("present_unparsed").alias("state"), nothing["quantity"].alias("quantity"), nothing["money"].alias("money"), nothing["date"].alias("date")))
+
+
 def _record(emit: Column, extraction: dict[str, Column]) -> Column:
     """The record of one row (emit, bound, derived, document_hash), not yet sealed."""
     bound = lambda slot: F.try_element_at("bound", slot)
@@ -226,7 +240,7 @@ def _record(emit: Column, extraction: dict[str, Column]) -> Column:
         scoped = F.to_variant_object(_object(kind=_get(scope, "kind"), evidence=optional(at("scope.evidence"))))
         cites = _object(value=needed(at("evidence.value")), **{a: optional(at(f"evidence.{a}")) for a in ASPECTS})
         return _object(**plain(x, "id", "family", "date_kind", "component"), statement_ids=ids(x, "statement_ids"), condition_ids=ids(x, "condition_ids"),
-                       scope=F.when(is_object(scope), scoped).otherwise(scope), evidence=cites, derived=F.try_element_at("derived", i))
+                       scope=F.when(is_object(scope), scoped).otherwise(scope), evidence=cites, derived=F.coalesce(F.to_variant_object(F.try_element_at("derived", i)), _unread()))
 
     families = F.transform(listed(emit, "$.facts.entries"), lambda x: text(x, "$.family"))
 
@@ -273,13 +287,12 @@ def _record(emit: Column, extraction: dict[str, Column]) -> Column:
 def assemble(extractions: DataFrame, extraction: dict[str, Column]) -> DataFrame:
     """From extractions (doc_id, emit: JSON, text, document_hash, normalizer_version) and the fields of a record's `extraction` (its model, versions,
     time and parent, as columns of that table): doc_id, record (VARIANT, null if there are errors), candidate_hash, errors."""
-    e = extractions.withColumns({"_json": F.col("emit"), "emit": F.try_parse_json("emit"), "text": F.coalesce("text", F.lit(""))})
-    kept = e.withColumn("emit", F.when(is_object(F.col("emit")), F.col("emit")))
-    by_slot = written(_by_slot(kept.select("doc_id", "emit", "text")), "bound")
-    bound = kept.join(by_slot, "doc_id", "left")
-    no_refs = F.from_json(F.lit("{}"), by_slot.schema["bound"].dataType)
-    bound = bound.withColumn("bound", F.coalesce("bound", no_refs))
-    whole = bound.join(_facts(bound.select("doc_id", "emit", "bound")), "doc_id", "left")
+    parsed = F.try_parse_json(F.col("_json"))
+    e = extractions.withColumnRenamed("emit", "_json").withColumn("emit", F.when(is_object(parsed), parsed))
+    bound = written(_bound(e.select("doc_id", "emit", F.coalesce("text", F.lit("")).alias("text"))), "bound")
+    by_slot, facts = _by_slot(bound), _facts(bound)
+    whole = e.drop("text").join(by_slot, "doc_id", "left").join(facts, "doc_id", "left")
+    whole = whole.withColumn("bound", F.coalesce("bound", F.from_json(F.lit("{}"), by_slot.schema["bound"].dataType)))
     odd = F.col("_json").rlike(INVISIBLE) | F.col("_json").rlike(r"\\u")
     unseen = _character_errors(F.when(F.col("emit").isNotNull() & odd, F.col("_json")))
     none = F.array().cast("array<string>")
