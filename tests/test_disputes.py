@@ -102,3 +102,12 @@ def test_audits(spark):
     assert {d for d, (c, _) in got.items() if c} == {0, 11}
     assert {d for d, (_, o) in got.items() if o} == {0, 1, 5, 10}
     assert len(got) == len(audits)
+
+
+def test_alignments_take_many_pairs_at_once(spark, monkeypatch):
+    """No group of its own for every pair of samples, and no pair is lost where a batch is cut."""
+    monkeypatch.setattr(disputes, "PAIRS_AT_ONCE", 7)
+    claims = spark.createDataFrame([(d, s, k, 10 * k, 10 * k + 8 + s, f"s{k}") for d in range(50) for s in range(3) for k in range(3)], CLAIMS).coalesce(1)
+    found = disputes.alignments(claims, disputes.sample_pairs(claims))
+    assert "InPandas" not in found._jdf.queryExecution().toString()
+    assert sorted(map(tuple, found.collect())) == [(d, a, b, k, k) for d in range(50) for a in range(3) for b in range(a + 1, 3) for k in range(3)]

@@ -15,7 +15,8 @@ def samples(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Claims and citations of three samples: every document has one with all blocks, one without each fourth, and one whose spans start late, some of
     them too late to align; which slot is which follows from the document. Some claims have no owner, and a sample cites blocks of its own."""
     b = texts.annotate(table(spark, sf_dir, "documents").select("doc_id", "text")).withColumn("n", F.substring("block_id", 2, 20).cast("int"))
-    each = b.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("part", (F.col("slot") + F.col("doc_id")) % 3).where("part <> 1 or n % 4 <> 0")
+    each = b.drop("text").withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(2)))).withColumn("part", (F.col("slot") + F.col("doc_id")) % 3).where("part <> 1 or n % 4 <> 0")
+    each = written(each, "samples")  # narrow rows, read several times
     size = F.col("end") - F.col("start")
     late = F.when(F.col("part") == 2, F.when(F.col("n") % 5 == 0, F.floor(size * 2 / 3)).otherwise(F.floor(size / 4))).otherwise(0)
     owner = F.when((F.col("doc_id") % 11 != 0) | (F.col("n") % 5 != 0), F.concat(F.lit("s"), F.col("n").cast("string")))

@@ -14,14 +14,19 @@ _SHOWN = r"(?U)\S"
 
 def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
     """key, line (number), text, start, end of every line."""
-    each = docs.select(key, F.posexplode(F.split(F.col(text), "\n", -1)).alias("line", "text"))
-    before = F.sum(F.length("text") + 1).over(Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, -1))
-    return each.withColumn("start", F.coalesce(before, F.lit(0)).cast("int")).withColumn("end", (F.col("start") + F.length("text")).cast("int"))
+    return _measured(docs, key, text).drop("_shown")
+
+
+def _measured(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """lines, and whether each is _shown. All that needs the text is taken before the window, so where only spans are read no text is shuffled."""
+    each = docs.select(key, F.posexplode(F.split(F.col(text), "\n", -1)).alias("line", "text")).withColumns({"_size": F.length("text"), "_shown": F.col("text").rlike(_SHOWN)})
+    before = F.sum(F.col("_size") + 1).over(Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, -1))
+    return each.withColumn("start", F.coalesce(before, F.lit(0)).cast("int")).select(key, "line", "text", "start", (F.col("start") + F.col("_size")).cast("int").alias("end"), "_shown")
 
 
 def annotate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """A block for every line that is not blank: block_id b000001 and on, its text and span."""
-    shown = lines(docs, key, text).where(F.col("text").rlike(_SHOWN))
+    shown = _measured(docs, key, text).where("_shown")
     number = F.row_number().over(Window.partitionBy(key).orderBy("line"))
     return shown.select(key, F.concat(F.lit("b"), F.lpad(number.cast("string"), 6, "0")).alias("block_id"), "text", "start", "end")
 
@@ -29,7 +34,7 @@ def annotate(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 def block_intervals(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Maximal runs of lines that are not blank."""
     order = Window.partitionBy(key).orderBy("line")
-    shown = lines(docs, key, text).withColumn("_run", F.sum((~F.col("text").rlike(_SHOWN)).cast("int")).over(order)).where(F.col("text").rlike(_SHOWN))
+    shown = _measured(docs, key, text).withColumn("_run", F.sum((~F.col("_shown")).cast("int")).over(order)).where("_shown")
     return shown.groupBy(key, "_run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("_run")
 
 

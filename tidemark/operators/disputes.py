@@ -1,15 +1,16 @@
 """What the samples of a document disagree about, and whether an audit's findings stay clear of it.
 
 Alignments of pairs of samples are a table of their own (narrow rows: document, two slots, two claim numbers), made by one small matching per pair
-of samples. Scores, the medoid and the dispute are joins and aggregates of it: a medoid claim is in dispute where the table lacks its row for some sibling.
+of samples, many pairs to an Arrow batch. Scores, the medoid and the dispute are joins and aggregates of it: a medoid claim is in dispute where the table lacks its row for some sibling.
 
 claims: doc_id, slot, claim (its place in the sample), start, end, owner (null: nobody's). A claim without a proper span aligns with nothing but counts."""
 
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -22,6 +23,7 @@ WARNING = "warning"
 GATE_CODES = {"negation": ["polarity_subject"], "numeric_conflict": ["numeric_scope_unit"]}
 
 _ALIGNED = "slot_a int, slot_b int, claim_a int, claim_b int"
+PAIRS_AT_ONCE = 1_000
 
 
 def sample_pairs(claims: DataFrame, medoids: DataFrame | None = None) -> DataFrame:
@@ -35,22 +37,25 @@ def sample_pairs(claims: DataFrame, medoids: DataFrame | None = None) -> DataFra
 
 def alignments(claims: DataFrame, pairs: DataFrame) -> DataFrame:
     """doc_id, slot_a, slot_b, claim_a, claim_b: one-to-one, best overlap first, ties to the earlier claim of a, then of b."""
-    kind = claims.schema["doc_id"].dataType.simpleString()
-    spans = claims.where("start < end").select("doc_id", "slot", "claim", "start", "end")
-    sides = F.explode(F.array(F.struct(F.lit(False).alias("second"), F.col("slot_a").alias("slot")), F.struct(F.lit(True).alias("second"), F.col("slot_b").alias("slot"))))
-    both = pairs.select("doc_id", "slot_a", "slot_b", sides.alias("_side")).select("doc_id", "slot_a", "slot_b", "_side.second", "_side.slot").join(spans, ["doc_id", "slot"])
-
-    def match(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("claim")
-        a, b = rows[~rows["second"]], rows[rows["second"]]
-        found = aligned(list(zip(a["start"], a["end"])), list(zip(b["start"], b["end"])))
-        x, y = a["claim"].to_numpy(), b["claim"].to_numpy()
-        out = pd.DataFrame({"claim_a": [x[i] for i, _ in found], "claim_b": [y[j] for _, j in found]})
-        for name in ("slot_b", "slot_a", "doc_id"):
-            out.insert(0, name, rows[name].iloc[0])
-        return out
-
-    return both.drop("slot").groupBy("doc_id", "slot_a", "slot_b").applyInPandas(match, f"doc_id {kind}, {_ALIGNED}")
+    spans = claims.where("start < end").groupBy("doc_id", "slot").agg(F.array_sort(F.collect_list(F.struct("claim", "start", "end"))).alias("spans"))
+    sides = pairs.join(spans.select("doc_id", F.col("slot").alias("slot_a"), F.col("spans").alias("a")), ["doc_id", "slot_a"]).join(spans.select("doc_id", F.col("slot").alias("slot_b"), F.col("spans").alias("b")), ["doc_id", "slot_b"])
+    lists = [F.col(side)[part].alias(f"{side}_{part}") for side in "ab" for part in ("claim", "start", "end")]
+    return sides.select("doc_id", "slot_a", "slot_b", *lists).mapInArrow(_matched, f"doc_id {claims.schema['doc_id'].dataType.simpleString()}, {_ALIGNED}")
+
+
+def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of alignments() from rows of two samples, each as lists of claims, starts and ends; a batch holds many pairs of samples."""
+    for whole in batches:
+        for at in range(0, whole.num_rows, PAIRS_AT_ONCE):
+            batch = whole.slice(at, PAIRS_AT_ONCE)
+            rows, left, right = [], [], []
+            for k, (x, xs, xe, y, ys, ye) in enumerate(zip(*(c.to_pylist() for c in batch.columns[3:]))):
+                found = aligned(list(zip(xs, xe)), list(zip(ys, ye)))
+                rows += [k] * len(found)
+                left += [x[i] for i, _ in found]
+                right += [y[j] for _, j in found]
+            keys = batch.select(["doc_id", "slot_a", "slot_b"]).take(pa.array(rows, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*keys.columns, pa.array(left, pa.int32()), pa.array(right, pa.int32())], names=["doc_id", "slot_a", "slot_b", "claim_a", "claim_b"])
 
 
 def medoids(claims: DataFrame, pairs: DataFrame, matched: DataFrame) -> DataFrame:
