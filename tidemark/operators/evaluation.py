@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType, VariantType
 
 
 def interval(differences: np.ndarray, resamples: int = 10_000, alpha: float = 0.05, seed: int = 0) -> tuple[float, float]:
@@ -30,9 +31,12 @@ def paired_bootstrap(scores: DataFrame, n_metrics: int = 17, resamples: int = 10
 
 
 def profile_choice(extractions: DataFrame, current_prompt: str) -> DataFrame:
-    """One extraction of each document: of the current prompt first, then validated, then the newest."""
-    rank = F.struct((F.col("prompt_version") == current_prompt).cast("int"), (F.col("status") == "validated").cast("int"), F.col("updated_at"), F.col("model"))
+    """One extraction of each document: of the current prompt first, then validated, then the newest, then the greatest model.
+
+    Rows that tie in all of this are told apart by their other columns, in order of name (the greatest wins), so the choice never depends on the order of rows."""
     rest = [c for c in extractions.columns if c != "document_hash"]
+    told = sorted(c for c in rest if not isinstance(extractions.schema[c].dataType, (MapType, VariantType)))  # those that have an order
+    rank = F.struct((F.col("prompt_version") == current_prompt).cast("int"), (F.col("status") == "validated").cast("int"), F.col("updated_at"), F.col("model"), *told)
     return extractions.groupBy("document_hash").agg(F.max_by(F.struct(*rest), rank).alias("_r")).select("document_hash", "_r.*", (F.col("_r.prompt_version") != current_prompt).alias("historical"))
 
 
