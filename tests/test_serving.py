@@ -97,6 +97,13 @@ def test_unexplained_deletions(spark):
     assert {i: sorted(v) for i, v in got.items()} == {i: d for i, p, c, f in cases if (d := _dropped(p, c, f))}
 
 
+def test_objects_of_records_are_never_broadcast(spark):
+    few = spark.createDataFrame([(1, '{"statements": [{"id": "a"}]}', "{}", None)], "doc_id int, prior string, current string, fed array<string>")
+    found = retries.unexplained_deletions(few)
+    assert "Broadcast" not in found._jdf.queryExecution().executedPlan().toString()
+    assert [tuple(r) for r in found.collect()] == [(1, "statements", 0, "a")]
+
+
 def test_containment_finds_every_pair_without_a_nested_loop(spark):
     rng = random.Random(5)
     text = lambda: rng.choice([None, "", "é", "".join(rng.choice("ab ") for _ in range(rng.randint(1, 30))), "".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9)))])

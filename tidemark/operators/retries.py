@@ -1,7 +1,8 @@
 """What a retry of an extraction dropped without being asked to.
 
 Candidates are nested records as JSON, of any shape: the tracked lists are taken out of a VARIANT by path and flattened to rows of (doc_id, path,
-index, id), so two records are compared as sets of rows. A record's own parts are never gathered: rows are matched by (doc_id, path, id)."""
+index, id), so two records are compared as sets of rows. A record's own parts are never gathered: rows are matched by (doc_id, path, id). Spark takes the
+flattened rows for no larger than the records' files, so the joins ask for a merge: as many rows as there are objects would not fit a broadcast."""
 
 from __future__ import annotations
 
@@ -34,7 +35,7 @@ def unexplained_deletions(retries: DataFrame) -> DataFrame:
     An error names an object by its id or by its place in the prior record, in either spelling (`list[3]` or `list/3`)."""
     before = tracked_objects(retries, "prior")
     kept = tracked_objects(retries, "current").select("doc_id", "path", "id").distinct()
-    gone = before.join(kept, ["doc_id", "path", "id"], "left_anti").join(retries.select("doc_id", "fed"), "doc_id")
+    gone = before.join(kept.hint("merge"), ["doc_id", "path", "id"], "left_anti").join(retries.select("doc_id", "fed").hint("merge"), "doc_id")
     place = F.col("index").cast("string")
     tokens = [F.col("id"), F.concat("path", F.lit("["), place, F.lit("]")), F.concat(F.translate("path", ".", "/"), F.lit("/"), place)]
     explained = F.exists(F.coalesce("fed", F.array().cast("array<string>")), lambda e: F.coalesce(_named(e, tokens[0]) | _named(e, tokens[1]) | _named(e, tokens[2]), F.lit(False)))
