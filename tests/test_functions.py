@@ -215,3 +215,11 @@ def test_store_and_evaluation(spark, tmp_path):
     rows = [("m", "all", k, 0.0, 1.0) for k in range(20)] + [("n", "all", k, 0.0, 1.0 if k % 2 else -1.0) for k in range(20)]
     got = {r["metric"]: r["verdict"] for r in evaluation.paired_bootstrap(spark.createDataFrame(rows, "metric string, split string, doc_id int, before double, after double"), resamples=1000).collect()}
     assert got == {"m": "up", "n": "flat"}
+
+
+def test_agreement_takes_many_documents_at_once(spark, monkeypatch):
+    monkeypatch.setattr(agreement, "DOCUMENTS_AT_ONCE", 3)
+    rows = [(d, s, a, b, "qualification", "positive", [1.0] if d % 2 else [float(s + 1)]) for d in range(20) for s in range(2) for a, b in ((0, 10), (None, None))]
+    found = agreement.agree(spark.createDataFrame(rows, "doc_id long, slot int, start int, end int, kind string, polarity string, numbers array<double>").coalesce(1))
+    assert "InPandas" not in found._jdf.queryExecution().toString()
+    assert sorted((r.doc_id, r.mean_f1, r.numeric_conflict, r.n_samples) for r in found.collect()) == [(d, 0.5, d % 2 == 0, 2) for d in range(20)]
