@@ -569,3 +569,16 @@ def test_pipeline_stages_take_odd_rows(spark, small):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, frame(spark, ODD).unionByName(frame(spark, ODD[:3])), small).count() > 0
         assert stage(spark, frame(spark, ["x"]).where("false"), small).count() == 0
+
+
+def test_bags_of_a_batch_are_held_a_part_at_a_time(monkeypatch):
+    import numpy as np
+    from tidemark.llm import toxicity
+
+    words = [f"word{k}" for k in range(35)]
+    model = toxicity.Model(np.random.default_rng(0).normal(0, 1, toxicity.BUCKETS), 0.0)
+    whole, sizes, plain = model.of_words(words), [], toxicity.bags
+    monkeypatch.setattr(toxicity, "WORDS_AT_ONCE", 10)
+    monkeypatch.setattr(toxicity, "bags", lambda some: sizes.append(len(some)) or plain(some))
+    assert (model.of_words(words) == whole).all() and sizes == [10, 10, 10, 5]
+    assert len(model.of_words([])) == 0

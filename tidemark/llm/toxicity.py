@@ -106,14 +106,19 @@ class Model:
         self.margins, self.bias, self.constant = margins, bias, constant
 
     def of_words(self, words: list[str]) -> np.ndarray:
-        units, owner, sizes = bags(words)
-        return np.bincount(owner, self.margins[units], len(words)) / sizes
+        """Bags of at most WORDS_AT_ONCE words are held at a time, however many new words a batch brings."""
+        out = np.empty(len(words))
+        for k in range(0, len(words), WORDS_AT_ONCE):
+            some = words[k : k + WORDS_AT_ONCE]
+            units, owner, sizes = bags(some)
+            out[k : k + len(some)] = np.bincount(owner, self.margins[units], len(some)) / sizes
+        return out
 
 
 class Scorer:
     """Scores texts; the margins of words are kept between calls, as many as most."""
 
-    def __init__(self, model: Model, most: int = 300_000):
+    def __init__(self, model: Model, most: int = 100_000):
         self.model, self.most, self.known = model, most, {}
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
