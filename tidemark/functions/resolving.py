@@ -1,76 +1,154 @@
-"""References of a record (block, quoted text, occurrence) to spans of the document, in DataFrame functions.
+"""References of a record (block, quoted text, occurrence) to spans of the document.
 
 A quote that its block holds is taken as it stands; else tiers follow, each of which must find exactly one place: the document and then the
 block under the typographic fold; the document under typographic and case fold; the block and then the document without emphasis marks.
-An offset that was found in a folded text is used as it is, so behind a letter that folding makes longer a span begins as much later. The lenient tier takes the first folded place. Only references that their own block does not hold
-meet the document's other blocks, and of these only the ones that hold the quote under the widest fold."""
+An offset that was found in a folded text is used as it is, so behind a letter that folding makes longer a span begins as much later. The lenient tier takes the first folded place.
+
+Spark brings the references and the blocks of a document together in one row, as the text they come from was one. There each form of the blocks
+is made once and laid end to end, and a tier looks for two places of a quote at most, so no rows are made for quotes and blocks that might meet."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
+from functools import cached_property
+from itertools import accumulate
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .texts import case_fold, typographic_fold
+from .binding import places, without_emphasis
+from .texts import TYPOGRAPHIC
+
+DOCUMENTS_AT_ONCE = 200
+_BETWEEN = "\0"
+_FOUND = {"block_id": "string", "start": "int", "end": "int", "occurrence": "int", "tier": "string", "error": "string", "text": "string"}
+
+
+def _typographic(text: str) -> str:
+    if not text.isascii():  # a replacement each is many times faster than a table for all
+        for sign, plain in TYPOGRAPHIC.items():
+            text = text.replace(sign, plain)
+    return text
+
+
+def _folded(text: str) -> str:
+    return _typographic(text).casefold()
+
+
+def _bare(text: str) -> str:
+    return _folded(text.replace("*", "").replace("_", ""))
+
 
+class _Form:
+    """One form of all blocks of a document."""
 
-def places(text: Column, quote: Column) -> Column:
-    """Offsets of all occurrences, overlapping ones too; none for an empty quote. The text is split before each, so the time goes with its length."""
-    before = F.concat(F.lit("(?=\\Q"), F.replace(quote, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E)"))
-    parts = F.split(text, before, -1)  # an occurrence at the very start makes no part of its own
-    sizes = F.transform(F.slice(parts, 1, F.size(parts) - 1), lambda x: F.length(x))
-    later = F.transform(F.sequence(F.lit(1), F.size(sizes)), lambda k: F.aggregate(F.slice(sizes, F.lit(1), k), F.lit(0), lambda at, n: at + n))
-    none = F.array().cast("array<int>")
-    found = F.concat(F.when(text.startswith(quote), F.array(F.lit(0))).otherwise(none), F.when(F.size(sizes) > 0, later).otherwise(none))
-    return F.when((quote != "") & text.contains(quote), found).otherwise(none)
+    def __init__(self, texts: list[str], change: Callable[[str], str]):
+        self.texts, self.change = [change(t) for t in texts], change
+        self.starts = list(accumulate((len(t) + 1 for t in self.texts), initial=0))
+        self.whole = _BETWEEN.join(self.texts)
 
+    def hits(self, quote: str, own: int | None = None) -> list[tuple[int, int]]:
+        """The first two places at most, as numbers of blocks and offsets in them; own: in this block only."""
+        quote = self.change(quote)
+        if not quote:
+            return []
+        if own is not None:
+            return [(own, k) for k in _two(self.texts[own], quote)]
+        if _BETWEEN in quote:  # it would meet the joints
+            return [(b, k) for b, t in enumerate(self.texts) for k in _two(t, quote)][:2]
+        at = [(bisect_right(self.starts, k) - 1, k) for k in _two(self.whole, quote)]
+        return [(b, k - self.starts[b]) for b, k in at]
 
-def _bare(text: Column) -> Column:
-    return case_fold(F.translate(typographic_fold(text), "*_", ""))
 
+def _two(text: str, quote: str) -> list[int]:
+    first = text.find(quote)
+    second = text.find(quote, first + 1) if first >= 0 else -1
+    return [k for k in (first, second) if k >= 0]
 
-def _bare_spans(text: Column, bare: Column, quote: Column) -> Column:
-    """Spans of the text, marks included, whose bare form is the bare quote."""
-    chars = F.transform(F.split(text, "", -1), lambda c, i: F.array_repeat(i, F.when(c.isin("*", "_"), 0).otherwise(F.length(case_fold(c)))))
-    origin = F.flatten(chars)  # a letter that folding makes longer stands for each of its parts
-    return F.transform(places(bare, quote), lambda k: F.struct(F.element_at(origin, k + 1).alias("a"), (F.element_at(origin, k + F.length(quote)) + 1).alias("b")))
+
+class _Document:
+    def __init__(self, blocks: list[dict]):
+        self.blocks = sorted(blocks, key=lambda b: (b["start"], b["block_id"]))
+        self.number = {b["block_id"]: i for i, b in enumerate(self.blocks)}
+        self.texts = [b["text"] for b in self.blocks]
+        self.origins: dict[int, list[int]] = {}
+
+    @cached_property
+    def typographic(self) -> _Form:
+        return _Form(self.texts, _typographic)
+
+    @cached_property
+    def folded(self) -> _Form:
+        return _Form(self.texts, _folded)
+
+    @cached_property
+    def bare(self) -> _Form:
+        return _Form(self.texts, _bare)
+
+    def tiers(self, quote: str, own: int, lenient: bool) -> tuple[str, int, int, int] | None:
+        """Tier, block and span in it."""
+        size = len(quote)
+        for tier, form, only in (("typographic", "typographic", None), ("own_typographic", "typographic", own), ("folded", "folded", None)):
+            hits = getattr(self, form).hits(quote, only)
+            if len(hits) == 1:
+                return tier, hits[0][0], hits[0][1], hits[0][1] + size
+        first = hits[0] if hits else None
+        for tier, only in (("own_bare", own), ("bare", None)):
+            hits = self.bare.hits(quote, only)
+            if len(hits) == 1:
+                block, k = hits[0]
+                origin = self.origins.get(block) or self.origins.setdefault(block, without_emphasis(self.texts[block])[1])
+                return tier, block, origin[k], origin[k + len(_bare(quote)) - 1] + 1
+        return ("first_folded", first[0], first[1], first[1] + size) if lenient and first else None
+
+    def resolve(self, ref: dict) -> tuple:
+        """block_id, start, end, occurrence, tier, error, text."""
+        cited, quote, k = ref["block_id"], ref["quote"], ref["occurrence"]
+        own = self.number.get(cited)
+        wrong = lambda error: (cited, None, None, None, None, error, None)
+        if own is None:
+            return wrong("unknown_block")
+        if (quote is None) != (k is None):
+            return wrong("text_without_occurrence")
+        if quote is None:
+            return self._span(own, 0, len(self.texts[own]), 0, "own")
+        hits = places(self.texts[own], quote)
+        if hits:
+            taken = k if 0 <= k < len(hits) else 0 if len(hits) == 1 else None
+            return wrong("occurrence") if taken is None else self._span(own, hits[taken], hits[taken] + len(quote), taken, "own")
+        if k != 0:
+            return wrong("not_found")
+        found = self.tiers(quote, own, bool(ref["lenient"]))
+        return self._span(*found[1:], 0, found[0]) if found else wrong("not_found")
+
+    def _span(self, block: int, a: int, b: int, occurrence: int, tier: str) -> tuple:
+        at = self.blocks[block]["start"]
+        return self.blocks[block]["block_id"], at + a, at + b, occurrence, tier, None, self.texts[block][a:b]
 
 
 def resolved(references: DataFrame, blocks: DataFrame, lenient: bool | str = False) -> DataFrame:
     """references: doc_id, ref_id, block_id, quote, occurrence (both null: the whole block). Result: doc_id, ref_id, block_id, start, end, occurrence, tier, error, text (the cited one).
 
     lenient: whether the last tier is open, for all references or, as the name of a boolean column, for some."""
-    references = references.withColumn("_lenient", F.col(lenient) if isinstance(lenient, str) else F.lit(lenient))
-    own = references.join(blocks.select("doc_id", "block_id", F.col("text").alias("_text"), F.col("start").alias("_at")), ["doc_id", "block_id"], "left")
-    own = own.withColumn("_hits", places(F.col("_text"), F.col("quote")))
-    q, n, k = F.col("quote"), F.size("_hits"), F.col("occurrence")
-    whole, half = q.isNull() & k.isNull(), q.isNull() != k.isNull()
-    taken = F.when((k >= 0) & (k < n), k).when(n == 1, F.lit(0))
-    error = F.when(F.col("_text").isNull(), "unknown_block").when(half, "text_without_occurrence").when((n > 0) & taken.isNull(), "occurrence").when((n == 0) & ~whole & (k != 0), "not_found")
-    at = F.when(whole, F.lit(0)).otherwise(F.element_at("_hits", taken + 1))
-    size = F.when(whole, F.length("_text")).otherwise(F.length(q))
-    own = own.withColumns({"error": error, "_begin": F.when(error.isNull(), at), "_size": size, "_taken": F.when(whole, 0).otherwise(taken)})
-    settled = own.where("error is not null or _begin is not null")
-    start = F.col("_at") + F.col("_begin")
-    done = settled.select("doc_id", "ref_id", "block_id", start.cast("int").alias("start"), (start + F.col("_size")).cast("int").alias("end"), F.when(F.col("error").isNull(), F.col("_taken")).cast("int").alias("occurrence"), F.when(F.col("error").isNull(), "own").alias("tier"), "error", F.substring("_text", F.col("_begin") + 1, F.col("_size")).alias("text"))
-
-    # every form is made once for a block and once for a quote, under the join
-    forms = lambda c, tag: {f"_{tag}_typographic": typographic_fold(F.col(c)), f"_{tag}_folded": case_fold(typographic_fold(F.col(c))), f"_{tag}_bare": _bare(F.col(c))}
-    missed = own.where("error is null and _begin is null").select("doc_id", "ref_id", F.col("block_id").alias("_own"), "quote", "_lenient")
-    asked = blocks.select("doc_id", "block_id", "text", F.col("start").alias("_at")).join(missed.select("doc_id"), "doc_id", "left_semi")
-    held = asked.withColumns(forms("text", "t"))
-    pairs = missed.withColumns(forms("quote", "q")).join(held, "doc_id").where(F.when(F.col("_q_bare") != "", F.col("_t_bare").contains(F.col("_q_bare"))).otherwise(F.col("_t_typographic").contains(F.col("_q_typographic"))))
-    spans = lambda t, q: F.transform(places(F.col(t), F.col(q)), lambda i: F.struct(i.alias("a"), (i + F.length("quote")).alias("b")))
-    found = pairs.withColumns({"typographic": spans("_t_typographic", "_q_typographic"), "folded": spans("_t_folded", "_q_folded"), "bare": _bare_spans(F.col("text"), F.col("_t_bare"), F.col("_q_bare"))})
-    is_own = F.col("block_id") == F.col("_own")
-    first = lambda c: F.when(F.size(c) > 0, F.struct(F.col("_at"), F.col("block_id"), F.element_at(c, 1).alias("s"), F.substring("text", F.element_at(c, 1)["a"] + 1, F.element_at(c, 1)["b"] - F.element_at(c, 1)["a"]).alias("text")))
-    tiers = {"typographic": ("typographic", F.lit(True)), "own_typographic": ("typographic", is_own), "folded": ("folded", F.lit(True)), "own_bare": ("bare", is_own), "bare": ("bare", F.lit(True))}
-    sums = [F.sum(F.when(held, F.size(c)).otherwise(0)).alias(f"n_{name}") for name, (c, held) in tiers.items()]
-    hits = [F.min(F.when(held, first(c))).alias(f"at_{name}") for name, (c, held) in tiers.items()]
-    per = found.groupBy("doc_id", "ref_id").agg(*sums, *hits)
-    pick = [F.when(F.col(f"n_{name}") == 1, F.struct(F.lit(name).alias("tier"), F.col(f"at_{name}").alias("at"))) for name in tiers]
-    if lenient:
-        pick.append(F.when(F.col("_lenient") & (F.col("n_folded") > 0), F.struct(F.lit("first_folded").alias("tier"), F.col("at_folded").alias("at"))))
-    x = missed.join(per, ["doc_id", "ref_id"], "left").withColumn("_p", F.coalesce(*pick))
-    start = F.col("_p.at._at") + F.col("_p.at.s.a")
-    rest = x.select("doc_id", "ref_id", F.coalesce("_p.at.block_id", "_own").alias("block_id"), start.cast("int").alias("start"), (F.col("_p.at._at") + F.col("_p.at.s.b")).cast("int").alias("end"), F.when(F.col("_p").isNotNull(), 0).cast("int").alias("occurrence"), F.col("_p.tier").alias("tier"), F.when(F.col("_p").isNull(), "not_found").alias("error"), F.col("_p.at.text").alias("text"))
-    return done.unionByName(rest)
+    open_ = F.col(lenient) if isinstance(lenient, str) else F.lit(lenient)
+    asked = references.groupBy("doc_id").agg(F.collect_list(F.struct("ref_id", "block_id", "quote", "occurrence", open_.alias("lenient"))).alias("refs"))
+    held = blocks.groupBy("doc_id").agg(F.collect_list(F.struct("block_id", "text", "start")).alias("blocks"))
+    kinds = {n: references.schema[n].dataType.simpleString() for n in ("doc_id", "ref_id")}
+    names = ["doc_id", "ref_id", *_FOUND]
+
+    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            key, ref = whole.schema.field("doc_id"), whole.schema.field("refs").type.value_type.field("ref_id")
+            schema = pa.schema([key, ref, *((n, pa.int32() if t == "int" else pa.string()) for n, t in _FOUND.items())])
+            for at in range(0, whole.num_rows, DOCUMENTS_AT_ONCE):
+                rows = []
+                for row in whole.slice(at, DOCUMENTS_AT_ONCE).to_pylist():
+                    document = _Document(row["blocks"] or [])
+                    rows += [(row["doc_id"], r["ref_id"], *document.resolve(r)) for r in row["refs"]]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], names=names)
+
+    # merged, not broadcast: what a broadcast would hold is text
+    return asked.join(held.hint("merge"), "doc_id", "left").select("doc_id", "refs", "blocks").mapInArrow(body, ", ".join(f"{n} {t}" for n, t in (kinds | _FOUND).items()))
