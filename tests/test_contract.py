@@ -5,7 +5,7 @@ import time
 
 from pyspark.sql import functions as F
 from tidemark.functions import resolving, texts
-from tidemark.operators import contract
+from tidemark.operators import contract, records
 
 
 def starts(text, quote):
@@ -114,3 +114,12 @@ def test_record_functions(spark):
     rows = x.select(contract.authorization_row(F.col("p")).alias("a"), contract.normalized_key(F.col("k")).alias("k"), contract.quotes_modality(F.col("q")).alias("m"), contract.invisible_count(F.col("k")).alias("i")).collect()
     assert [r["a"] and tuple(r["a"]) for r in rows] == [None, None, ("no", False)]
     assert [r["k"] for r in rows] == ["äb", None, ""] and [r["m"] for r in rows] == [False, True, False] and [r["i"] for r in rows] == [0, 0, 0]
+
+
+def test_attribution_shuffles_no_text_with_its_references(spark):
+    docs = spark.createDataFrame([(1, "one\ntwo words")], "doc_id int, text string")
+    refs = [("a", "b000001", "one", 0, 3), ("b", "b000002", "one", 0, 3), ("c", "b000002", "tw", 3, 5), ("d", "b000009", "one", 0, 3)]
+    found = records.attribution_errors(spark.createDataFrame([(1, *r) for r in refs], "doc_id int, path string, block_id string, text string, start int, end int"), docs, texts.annotate(docs))
+    assert sorted((r["path"], r["code"]) for r in found.collect()) == [("b", "outside_block"), ("c", "text_mismatch"), ("d", "unknown_block")]
+    joins = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in line]
+    assert "Inner" in joins[0] and "LeftOuter" in joins[1]  # above the join that brings the text there is no other

@@ -10,8 +10,11 @@ from pyspark.sql import functions as F
 
 
 def attribution_errors(references: DataFrame, documents: DataFrame, blocks: DataFrame) -> DataFrame:
-    """References whose span does not hold their text, or lies outside their block."""
-    x = references.join(documents.select("doc_id", F.col("text").alias("_doc")), "doc_id").join(blocks.select("doc_id", "block_id", F.col("start").alias("_s"), F.col("end").alias("_e")), ["doc_id", "block_id"], "left")
+    """References whose span does not hold their text, or lies outside their block.
+
+    The document comes last: a text is shuffled once as itself, and never with each of its references."""
+    placed = references.join(blocks.select("doc_id", "block_id", F.col("start").alias("_s"), F.col("end").alias("_e")), ["doc_id", "block_id"], "left")
+    x = placed.join(documents.select("doc_id", F.col("text").alias("_doc")), "doc_id")
     cited = F.substring("_doc", F.col("start") + 1, F.col("end") - F.col("start"))
     code = F.when(F.col("_s").isNull(), "unknown_block").when(~cited.eqNullSafe(F.col("text")), "text_mismatch").when((F.col("start") < F.col("_s")) | (F.col("end") > F.col("_e")), "outside_block")
     return x.withColumn("code", code).where("code is not null").select("doc_id", "path", "block_id", "code")
