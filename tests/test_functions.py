@@ -223,3 +223,10 @@ def test_agreement_takes_many_documents_at_once(spark, monkeypatch):
     found = agreement.agree(spark.createDataFrame(rows, "doc_id long, slot int, start int, end int, kind string, polarity string, numbers array<double>").coalesce(1))
     assert "InPandas" not in found._jdf.queryExecution().toString()
     assert sorted((r.doc_id, r.mean_f1, r.numeric_conflict, r.n_samples) for r in found.collect()) == [(d, 0.5, d % 2 == 0, 2) for d in range(20)]
+
+
+def test_character_references_are_resolved_few_texts_at_a_time(spark):
+    texts = [None, "", "plain <b>", "a &lt;b&gt; &amp;amp; c", "&eacute;&#8217;&unknown;", "R&D"] * 150
+    x = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1).select("i", adapters.unescaped(F.col("t")).alias("u"))
+    assert [r["u"] for r in x.orderBy("i").collect()] == [None, "", "plain <b>", "a <b> &amp; c", "é’&unknown;", "R&D"] * 150
+    assert "Contains" in x._jdf.queryExecution().optimizedPlan().toString()  # texts without an ampersand stay in the JVM

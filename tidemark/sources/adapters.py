@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
@@ -24,11 +24,21 @@ TWO_PHASE = ("workday", "oraclehcm", "smartrecruiters", "eightfold")
 RECORD = ("title", "description_html", "locations", "workplace_type", "is_remote", "department", "team", "employment_type", "compensation", "url", "apply_url", "source_created_at", "source_updated_at")
 
 
-@F.pandas_udf(StringType())
-def unescaped(html: pd.Series) -> pd.Series:
-    import html as h
+#: Rows whose texts are Python strings at one time.
+_AT_ONCE = 200
 
-    return html.map(lambda t: None if t is None else h.unescape(t))
+
+@F.arrow_udf(StringType())
+def _resolved(html: pa.Array) -> pa.Array:
+    from html import unescape
+
+    parts = (html.slice(at, _AT_ONCE).to_pylist() for at in range(0, len(html), _AT_ONCE))
+    return pa.concat_arrays([pa.array([None if t is None else unescape(t) for t in part], pa.string()) for part in parts] or [pa.array([], pa.string())])
+
+
+def unescaped(html: Column) -> Column:
+    """Character references resolved; only a text that has an ampersand goes to Python, and there a few hundred at a time."""
+    return F.coalesce(_resolved(F.when(html.contains("&"), html)), html)
 
 
 def text(v: Column, path: str) -> Column:
