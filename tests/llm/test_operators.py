@@ -582,3 +582,19 @@ def test_bags_of_a_batch_are_held_a_part_at_a_time(monkeypatch):
     monkeypatch.setattr(toxicity, "bags", lambda some: sizes.append(len(some)) or plain(some))
     assert (model.of_words(words) == whole).all() and sizes == [10, 10, 10, 5]
     assert len(model.of_words([])) == 0
+
+
+def test_leaders_leave_a_task_in_bounded_batches():
+    """Signatures are sliced from the array, not held as objects beside it, and a worker's memory of words is bounded."""
+    n = 2 * dart_minhash.EMITTED + 7
+    sig = np.arange(n * dart_minhash.COORDINATES, dtype=np.uint64).astype(np.uint8).reshape(n, -1)
+    leads = np.arange(n) % 3 > 0
+    out = list(dart_minhash._emit(np.arange(n), np.arange(n) * 2, sig, leads, [(0, 1)]))
+    rows = [b for b in out if b.column(3).null_count == 0]
+    assert max(b.num_rows for b in out) <= dart_minhash.EMITTED and sum(b.num_rows for b in rows) == leads.sum()
+    assert [x for b in rows for x in b.column(3).to_pylist()] == [x.tobytes() for x in sig[leads]]
+    assert [x for b in rows for x in b.column(1).to_pylist()] == (np.flatnonzero(leads) * 2).tolist() and out[-1].column(2).to_pylist() == [2]
+    words = dart_minhash._WordHashes()
+    for i in range(dart_minhash.MOST_WORDS + 10):
+        words[f"w{i}"]
+    assert len(words) == 10

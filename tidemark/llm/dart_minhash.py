@@ -52,6 +52,11 @@ _COLUMNS = 4096  # of an incidence matrix at a time
 #: A key list of this size at most (16 MB) is broadcast; longer ones are joined by shuffles.
 MOST_BROADCAST_KEYS = 2_000_000
 
+#: Words whose hashes a worker remembers (200 bytes each, about).
+MOST_WORDS = 50_000
+#: Leaders leave a task in batches of so many.
+EMITTED = 20_000
+
 _M1, _M2, _GOLD = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB), np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -65,7 +70,7 @@ class _WordHashes(dict):
     def __missing__(self, chunk: str) -> int:
         t = term(chunk)
         h = xxhash.xxh64_intdigest(t) | 1 if t else 0
-        if len(self) >= 250_000:
+        if len(self) >= MOST_WORDS:
             self.clear()
         self[chunk] = h
         return h
@@ -196,9 +201,11 @@ def _led(bucket: np.ndarray, keys: np.ndarray, sig: np.ndarray) -> tuple[np.ndar
 def _emit(bucket, nodes, sig, leads, links) -> Iterator[pa.RecordBatch]:
     """Leaders as rows with a signature, links as rows with a second node."""
     names = ["_bucket", "_node", "_other", "_sig"]
-    at = np.flatnonzero(leads)
-    if len(at) and bucket is not None:
-        yield pa.RecordBatch.from_arrays([pa.array(bucket[at]), pa.array(nodes[at]), pa.nulls(len(at), pa.int64()), pa.array([x.tobytes() for x in sig[at]], pa.binary())], names=names)
+    all_ = np.flatnonzero(leads) if bucket is not None else np.empty(0, np.int64)
+    for start in range(0, len(all_), EMITTED):
+        at = all_[start : start + EMITTED]
+        sigs = pa.FixedSizeBinaryArray.from_buffers(pa.binary(COORDINATES), len(at), [None, pa.py_buffer(np.ascontiguousarray(sig[at]))]).cast(pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(bucket[at]), pa.array(nodes[at]), pa.nulls(len(at), pa.int64()), sigs], names=names)
     if links:
         a, b = np.array(links).T
         a, b = nodes[a], nodes[b]
@@ -230,8 +237,9 @@ def candidates(reps: DataFrame) -> DataFrame:
                 bucket, row = banded(full).ravel(), np.repeat(np.arange(len(full)), BANDS)
                 order = np.lexsort((nodes[row], bucket))
                 bucket, row = bucket[order], row[order]
-                leads, links = _led(bucket, nodes[row], low[row])
-                yield from _emit(bucket, nodes[row], low[row], leads, links)
+                nodes, sig = nodes[row], low[row]
+                leads, links = _led(bucket, nodes, sig)
+                yield from _emit(bucket, nodes, sig, leads, links)
 
     def met(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Rows come in bucket order; the last bucket of a batch waits for the next batch, unless it is long."""
