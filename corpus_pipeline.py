@@ -24,9 +24,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Boilerplate lines go from every document; n_chars follows the text. A line is boilerplate by the sites of documents that are no near copies
     of each other, so what is one document on many sites is not, and the next stage sees its copies as they are."""
     before = written_so_far()
-    copies = written(dart_minhash.copied_keys(docs), "copies")
-    drop_written(spark, before, keep="copies-")
-    cleaned = line_spread.remove_lines(docs, line_spread.spread_lines(docs, without=copies))
+    boilerplate = line_spread.spread_lines(docs, apart=True)
+    drop_written(spark, before, keep="line-boilerplate-")
+    cleaned = line_spread.remove_lines(docs, boilerplate)
     if "n_chars" in docs.columns:
         cleaned = cleaned.withColumn("n_chars", F.when(F.col(line_spread.REMOVED) > 0, F.length("text")).otherwise(F.col("n_chars")).cast(docs.schema["n_chars"].dataType))
     return cleaned.select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -3,6 +3,7 @@
 import collections
 import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -10,7 +11,7 @@ import public_tokenizers
 import pytest
 from compare import connect, differs
 from pyspark.sql import functions as F
-from tidemark.llm import components, dart_minhash, decontaminate, id_coder, line_spread, packing, quality, queries, suffix_dedup, token_count, token_file, toxicity, url_rules, word_ids
+from tidemark.llm import components, dart_minhash, decontaminate, id_coder, line_spread, near_copies, packing, quality, queries, suffix_dedup, token_count, token_file, toxicity, url_rules, word_ids
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
@@ -503,6 +504,36 @@ def test_the_pipeline_cleans_pages_that_are_mostly_boilerplate(spark, small):
     assert set(range(40)) < left and len(left) == 41
 
 
+def test_the_line_stage_runs_no_python_on_executors(spark, small, monkeypatch):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    for name in ("mapInArrow", "mapInPandas"):
+        monkeypatch.setattr(type(docs), name, lambda *_: pytest.fail("Python on executors"))
+    assert corpus_pipeline.dedup_lines(spark, docs, small).count() == docs.count()
+
+
+def test_native_near_copies_agree_with_brute_force(spark):
+    """Classes by all pairs of shingle sets: exact and edited copies, chains of edits, short texts, none; a repeated key is one document."""
+    rng = random.Random(5)
+    texts = [prose(rng, 60) for _ in range(8)]
+    for i in range(40):
+        words = texts[rng.randrange(len(texts))].split()
+        words[rng.randrange(len(words))] = f"new{i}"
+        texts.append(" ".join(words))
+    texts += [texts[0], texts[0].upper() + " !", "a b", "A, b.", "", None, "..."]
+    got = sorted(r[0] for r in near_copies.copied_keys(frame(spark, texts)).collect())
+    words = [re.sub(r"[^a-z0-9\s]", "", (t or "").lower()).split() for t in texts]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(len(w) - 4, 1))} if w else set() for w in words]
+    root = list(range(len(texts)))
+    for _ in texts:
+        for a in range(len(texts)):
+            for b in range(a):
+                if sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+                    root[a] = root[b] = min(root[a], root[b])
+    assert got == [i for i, r in enumerate(root) if r < i] and len(got) > 20
+    both = frame(spark, ["x y z", texts[1], texts[1], "u v w"]).withColumn("doc_id", F.when(F.col("doc_id") == 3, 2).otherwise(F.col("doc_id")))
+    assert [r[0] for r in near_copies.copied_keys(both).collect()] == [2]
+
+
 def test_line_spread_keeps_columns_named_like_its_helpers(spark, monkeypatch):
     texts = [f"own {i} with many letters of its own\nline a\nlast {i}" for i in range(12)]
     names = ["__spread_hits", "__spread_all", "__spread_kept", "__spread_key", "__spread_text"]

@@ -442,13 +442,6 @@ def near_classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Da
     return rows.join(member, F.col("_own") == F.col("_key"), "left").select(F.col("_own").alias(key), F.coalesce("_best", "_own").alias("class_id"))
 
 
-def copied_keys(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One column, key: the keys of all documents of each class but that of the least key."""
-    sigs, classes = _classed(docs, key, text)
-    member = sigs.where(F.col("_key").isNotNull()).groupBy("_key").agg(F.min("_node").alias("_node"))
-    return member.join(classes, "_node").where("_key <> _best").select(F.col("_key").alias(key))
-
-
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each class, with all columns of docs: that of the least key, or where no row of the class has a key, of the least node.
 

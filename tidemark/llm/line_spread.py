@@ -5,7 +5,7 @@ merged by aggregation. Lines whose estimate is clearly over the threshold are bo
 distinct count (of those lines only). Boilerplate lines are then removed wherever they occur.
 
 Every such line goes, whatever share of a document it is. A caller who does not want the lines of copies of one document to count as spread
-names them when the lines are looked for (without, in spread_lines); the lines are removed from all documents (remove_lines).
+says so when the lines are looked for (apart, in spread_lines); the lines are removed from all documents (remove_lines).
 
 Defined results: a null text stays null with no lines, an empty text stays empty, blank lines are never removed, a null
 site counts as no site. Repeated rows are each cleaned. Other columns stay as they are.
@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import near_copies
 from .common import written
 
 #: Added columns; columns of the input that are so named are replaced, all others stay.
@@ -33,24 +34,49 @@ def _hashes(docs: DataFrame, text: str, *keep: Column) -> DataFrame:
     return lines.where(F.col("__line").rlike(r"\S")).select(*[c for c in lines.columns if c != "__line"], F.xxhash64("__line").alias("_hash"))
 
 
-def spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source", text: str = "text", key: str = "doc_id", without: DataFrame | None = None) -> DataFrame:
+def _literals(hashes: DataFrame) -> str:
+    return ", ".join(f"cast('{r[0]}' as bigint)" for r in hashes.collect())
+
+
+def _holders(docs: DataFrame, hashes: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows of docs that have a line of these hashes."""
+    n = hashes.count()
+    if not n:
+        return docs.where("false")
+    if n <= MOST_LITERALS:
+        own = _free(docs, "__spread_lines")
+        return docs.withColumn(own, F.split(docs[text], "\n", -1)).where(f"exists(`{own}`, x -> xxhash64(x) IN ({_literals(hashes)}))").drop(own)
+    keys = _hashes(docs, text, docs[key].alias("_holds")).join(hashes, "_hash", "left_semi").select("_holds").distinct()
+    return docs.join(keys, docs[key].eqNullSafe(keys["_holds"]), "left_semi")
+
+
+def spread_lines(docs: DataFrame, min_sites: int = MIN_SITES, site: str = "source", text: str = "text", key: str = "doc_id", apart: bool = False) -> DataFrame:
     """The hashes of lines that occur on at least min_sites distinct sites: a written table with the column _hash.
 
-    without: one column, distinct keys of documents that do not count; only hashes of lines are matched with it, not texts."""
+    apart: of near copies, among the documents that hold a line on so many sites, only the one of the least key counts. Copies can but take sites from a
+    line, so only those documents are compared, and only such lines are counted again."""
     of_site = docs[site].cast("string").alias("_site")
     lines = _hashes(docs, text, of_site)
-    if without is not None:
-        keyed = _hashes(docs, text, of_site, docs[key].alias("_key"))
-        lines = written(keyed.join(without.toDF("_key"), "_key", "left_anti").select("_site", "_hash"), "line-sites")
-    sketches = lines.groupBy("_hash").agg(F.hll_sketch_agg("_site", F.lit(LG_K)).alias("_sketch"))
-    judged = sketches.select("_hash", F.hll_sketch_estimate("_sketch").alias("_sites")).where(F.col("_sites") >= min_sites * (1 - NEAR))
-    judged = written(judged, "line-spread")
+    judged = _judged(lines, min_sites)
+    if apart:
+        some = _holders(docs, judged.select("_hash"), key, text)
+        copies = near_copies.copied_keys(some, key, text)
+        held = _hashes(some, text, of_site, docs[key].alias("_key")).join(judged.select("_hash"), "_hash", "left_semi").distinct()
+        lines = written(held.join(copies.toDF("_key"), "_key", "left_anti").select("_site", "_hash"), "line-sites")
+        judged = _judged(lines, min_sites)
     near = judged.where(F.col("_sites") <= min_sites * (1 + NEAR)).select("_hash")
     exact = lines.join(near, "_hash", "left_semi").groupBy("_hash").agg(F.count_distinct("_site").alias("_sites")).where(F.col("_sites") >= min_sites)
     clear = judged.where(F.col("_sites") > min_sites * (1 + NEAR)).select("_hash")
     return written(clear.unionByName(exact.select("_hash")), "line-boilerplate")
 
 
+def _judged(lines: DataFrame, min_sites: int) -> DataFrame:
+    """_hash, _sites (an estimate) of the lines that are on or near the threshold, or over it: a written table."""
+    sketches = lines.groupBy("_hash").agg(F.hll_sketch_agg("_site", F.lit(LG_K)).alias("_sketch"))
+    judged = sketches.select("_hash", F.hll_sketch_estimate("_sketch").alias("_sites")).where(F.col("_sites") >= min_sites * (1 - NEAR))
+    return written(judged, "line-spread")
+
+
 def _free(docs: DataFrame, name: str) -> str:
     """A column name that docs does not have."""
     while name.lower() in {c.lower() for c in docs.columns}:
@@ -70,7 +96,7 @@ def remove_lines(docs: DataFrame, boilerplate: DataFrame, key: str = "doc_id", t
         cleaned = docs.join(found, docs[key].eqNullSafe(found[of]), "left").drop(of)
         gone = lambda line: F.coalesce(F.array_contains(hits, F.xxhash64(line)), F.lit(False))
     elif n:
-        bound = ", ".join(f"cast('{r[0]}' as bigint)" for r in boilerplate.collect())
+        bound = _literals(boilerplate)
     cleaned = cleaned.withColumn(all_, F.split(docs[text], "\n", -1))
     if 0 < n <= MOST_LITERALS:
         cleaned = cleaned.withColumn(kept, F.expr(f"filter(`{all_}`, x -> xxhash64(x) NOT IN ({bound}))"))
