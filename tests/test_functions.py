@@ -230,3 +230,11 @@ def test_character_references_are_resolved_few_texts_at_a_time(spark):
     x = spark.createDataFrame(list(enumerate(texts)), "i int, t string").coalesce(1).select("i", adapters.unescaped(F.col("t")).alias("u"))
     assert [r["u"] for r in x.orderBy("i").collect()] == [None, "", "plain <b>", "a <b> &amp; c", "é’&unknown;", "R&D"] * 150
     assert "Contains" in x._jdf.queryExecution().optimizedPlan().toString()  # texts without an ampersand stay in the JVM
+
+
+def test_texts_without_a_vocabulary_word_are_not_cut(monkeypatch):
+    vocabulary = {"apache license": "A", "license": "L", "c++": "C"}
+    assert texts.term_matches("The LICENSE. Apache / License, c++", vocabulary) == [("L", 4, 11), ("L", 22, 29), ("C", 31, 34)]
+    assert texts.term_matches("Apache license license", vocabulary) == [("A", 0, 14), ("L", 15, 22)]
+    monkeypatch.setattr(texts, "_TERM", None)
+    assert texts.term_matches("apache only", vocabulary) == [] and texts.term_matches("", vocabulary) == []

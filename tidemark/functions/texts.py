@@ -145,14 +145,25 @@ _TERM = re.compile(r"[\w+#./&]+")
 
 
 def term_matches(text: str, vocabulary: dict[str, str], most_words: int = 5) -> list[tuple[str, int, int]]:
-    """Leftmost-longest dictionary matches over word windows: (name, start, end). Keys are case-folded, single-spaced."""
-    words = [(m[0].rstrip("./&").casefold(), m.start(), m.start() + len(m[0].rstrip("./&"))) for m in _TERM.finditer(text)]
+    """Leftmost-longest dictionary matches over word windows: (name, start, end). Keys are case-folded, single-spaced.
+
+    A key whose words are not all somewhere in the text is no match; most texts hold no key's words and are not cut into words at all."""
+    folded, sizes = text.casefold(), {}
+    for key in vocabulary:
+        parts = key.split(" ")
+        if len(parts) <= most_words and all(p in folded for p in parts):
+            sizes.setdefault(parts[0], set()).add(len(parts))
+    if not sizes:
+        return []
+    found = [(m[0].rstrip("./&"), m.start()) for m in _TERM.finditer(text)]
+    words = [w.casefold() for w, _ in found]
     out, i = [], 0
     while i < len(words):
-        for n in range(min(most_words, len(words) - i), 0, -1):
-            name = vocabulary.get(" ".join(w for w, _, _ in words[i : i + n]))
+        for n in sorted(sizes.get(words[i], ()), reverse=True):
+            name = vocabulary.get(" ".join(words[i : i + n])) if i + n <= len(words) else None
             if name is not None:
-                out.append((name, words[i][1], words[i + n - 1][2]))
+                last, at = found[i + n - 1]
+                out.append((name, found[i][1], at + len(last)))
                 i += n
                 break
         else:
