@@ -70,20 +70,24 @@ def refuter_verb_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def claims_context(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as records: a line is a statement of its return flag's kind, linked to its supplier's group; every third has no heading key, the next a null one."""
-    n = F.col("l_linenumber")
+    line = F.struct(*[F.col(f"l_{c}").alias(c) for c in ("linenumber", "partkey", "suppkey", "linestatus", "returnflag")])
+    records = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(line)).alias("xs"))
     named = lambda c: F.concat(F.lit('"'), c, F.lit('"'))
-    sid = F.concat_ws("-", F.lit("s"), n.cast("string"), F.col("l_partkey").cast("string"), F.col("l_suppkey").cast("string"), "l_linestatus")
-    heading = F.when(n % 3 == 0, "").when(n % 3 == 1, F.concat(F.lit(',"section_heading":"H'), "l_linestatus", F.lit('"'))).otherwise(',"section_heading":null')
-    modality = F.when(n % 2 == 0, F.concat(F.lit('[{"text":"must '), n.cast("string"), F.lit('"}]'))).otherwise("[]")
-    statement = F.concat(F.lit('{"id":'), named(sid), F.lit(',"kind":'), named(F.col("l_returnflag")), heading, F.lit(',"modality_evidence":'), modality, F.lit("}"))
-    surface = F.concat(F.lit("Supplier "), (F.col("l_suppkey") % 3).cast("string"))
-    mention = F.concat(F.lit('{"surface":'), named(surface), F.lit(',"statement_ids":['), named(sid), F.lit("]}"))
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", F.struct(n.alias("n"), F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s"), F.col("l_linestatus").alias("t"), statement.alias("statement"), mention.alias("mention"), surface.alias("surface"), F.col("l_returnflag").alias("kind")).alias("x"))
-    records = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    of = lambda f: F.array_join(F.transform("xs", lambda x: x[f]), ",")
-    profile = F.concat(F.lit('{"mentions":['), of("mention"), F.lit('],"statements":['), of("statement"), F.lit("]}"))
-    rows = records.select("l_orderkey", profile.alias("profile"), F.explode(F.array_distinct(F.transform("xs", lambda x: F.struct(x["surface"].alias("surface"), x["kind"].alias("kind"))))).alias("r"))
-    found = rows.select("l_orderkey", "r.*", views.mention_context(F.col("profile"), F.upper("r.surface"), F.col("r.kind")).alias("c"))
+    sid = lambda x: F.concat_ws("-", F.lit("s"), *[x[c].cast("string") for c in ("linenumber", "partkey", "suppkey", "linestatus")])
+    surface = lambda x: F.concat(F.lit("Supplier "), (x["suppkey"] % 3).cast("string"))
+
+    def statement(x):
+        n = x["linenumber"]
+        heading = F.when(n % 3 == 0, "").when(n % 3 == 1, F.concat(F.lit(',"section_heading":"H'), x["linestatus"], F.lit('"'))).otherwise(',"section_heading":null')
+        modality = F.when(n % 2 == 0, F.concat(F.lit('[{"text":"must '), n.cast("string"), F.lit('"}]'))).otherwise("[]")
+        return F.concat(F.lit('{"id":'), named(sid(x)), F.lit(',"kind":'), named(x["returnflag"]), heading, F.lit(',"modality_evidence":'), modality, F.lit("}"))
+
+    mention = lambda x: F.concat(F.lit('{"surface":'), named(surface(x)), F.lit(',"statement_ids":['), named(sid(x)), F.lit("]}"))
+    of = lambda f: F.array_join(F.transform("xs", f), ",")
+    profile = F.concat(F.lit('{"mentions":['), of(mention), F.lit('],"statements":['), of(statement), F.lit("]}"))
+    wanted = F.array_distinct(F.transform("xs", lambda x: F.struct(surface(x).alias("surface"), x["returnflag"].alias("kind"))))
+    raised = F.transform(wanted, lambda w: F.struct(F.upper(w["surface"]).alias("surface"), w["kind"].alias("kind")))
+    found = records.select("l_orderkey", F.explode(F.arrays_zip(wanted.alias("r"), views.mention_contexts(profile, raised).alias("c"))).alias("x")).select("l_orderkey", "x.r.*", "x.c")
     return found.select("l_orderkey", "surface", "kind", F.col("c").isNotNull().alias("has_context"), "c.section_heading", "c.modality")
 
 

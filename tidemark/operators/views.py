@@ -103,19 +103,27 @@ def mention_context(profile: Column, surface: Column, area_kind: Column) -> Colu
 
     profile: JSON text. Null if there is no such statement or it has no key section_heading (an older record); a heading that is
     null and a statement without a quote give a struct with nulls. Text that is no JSON is a record without statements."""
-    record = F.try_parse_json(profile)
+    return F.get(mention_contexts(profile, F.array(F.struct(surface.alias("surface"), area_kind.alias("kind")))), F.lit(0))
+
+
+def mention_contexts(profile: Column, wanted: Column) -> Column:
+    """mention_context of each wanted struct(surface, kind), in order. The profile is parsed once and each object read once, however many are wanted."""
     items = lambda v, path: F.coalesce(F.try_variant_get(v, path, "array<variant>"), F.array().cast("array<variant>"))
     text = lambda v, path: F.try_variant_get(v, path, "string")
-    own = F.filter(items(record, "$.mentions"), lambda m: F.lower(text(m, "$.surface")) == F.lower(surface))
-    linked = F.flatten(F.transform(own, lambda m: F.coalesce(F.try_variant_get(m, "$.statement_ids", "array<string>"), F.array().cast("array<string>"))))
-    read = F.array(F.struct(linked.alias("linked"), items(record, "$.statements").alias("statements")))  # parsed once, not once a statement
-    fits = F.flatten(F.transform(read, lambda r: F.filter(
-        r["statements"],
-        lambda s: F.coalesce(F.array_contains(r["linked"], text(s, "$.id")), F.lit(False)) & F.coalesce(text(s, "$.kind") == area_kind, F.lit(False))
-        & F.try_variant_get(s, "$.section_heading", "variant").isNotNull(),
-    )))
-    told = F.transform(fits, lambda s: F.struct(text(s, "$.section_heading").alias("section_heading"), text(s, "$.modality_evidence[0].text").alias("modality")))
-    return F.get(told, F.lit(0))
+    once = lambda value, read: F.get(F.transform(F.array(value), read), F.lit(0))
+    ids = lambda m: F.coalesce(F.try_variant_get(m, "$.statement_ids", "array<string>"), F.array().cast("array<string>"))
+    mention = lambda m: F.struct(F.lower(text(m, "$.surface")).alias("surface"), ids(m).alias("ids"))
+    statement = lambda s: F.struct(
+        text(s, "$.id").alias("id"), text(s, "$.kind").alias("kind"), F.struct(text(s, "$.section_heading").alias("section_heading"), text(s, "$.modality_evidence[0].text").alias("modality")).alias("told"))
+    headed = lambda s: F.try_variant_get(s, "$.section_heading", "variant").isNotNull()
+    read = lambda v: F.struct(F.transform(items(v, "$.mentions"), mention).alias("mentions"), F.transform(F.filter(items(v, "$.statements"), headed), statement).alias("statements"))
+
+    def of(record: Column, w: Column) -> Column:
+        linked = once(F.lower(w["surface"]), lambda low: F.flatten(F.transform(F.filter(record["mentions"], lambda m: m["surface"] == low), lambda m: m["ids"])))
+        fits = once(linked, lambda links: F.filter(record["statements"], lambda s: F.coalesce(F.array_contains(links, s["id"]) & (s["kind"] == w["kind"]), F.lit(False))))
+        return F.get(fits, F.lit(0))["told"]
+
+    return once(once(F.try_parse_json(profile), read), lambda record: F.transform(wanted, lambda w: of(record, w)))
 
 
 def served_profiles(extractions: DataFrame, titles: DataFrame, prompt: str) -> DataFrame:
