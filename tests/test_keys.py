@@ -67,3 +67,18 @@ def test_reviews_to_fold(spark):
     recorded = spark.createDataFrame([("r1",), ("r2",), ("r3",)], "review_key string")
     folded = spark.createDataFrame([("d1", 6), ("d2", 5), ("d4", 9)], "doc string, folded_at int")
     assert {r.doc for r in keys.reviews_to_fold(events, recorded, folded, ["doc"]).collect()} == {"d2", "d4"}
+
+
+def test_scans_of_keys_meet_the_known_ones_without_a_join(spark):
+    """One aggregate of narrow rows; the key's pattern is matched once for its second, not once a part."""
+    day = datetime.datetime(2024, 1, 2)
+    listing = spark.createDataFrame([("attempts/a/b/2024/01/01T000000Z.json",), ("attempts/a/b/2024/13/01T000000Z.json",), (None,)], "key string")
+    plans = [
+        keys.pending_attempts(listing, listing, F.lit(day), "x"),
+        keys.catch_up(listing, listing, day, day),
+    ]
+    for df in plans:
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert "Join" not in plan and plan.count("Aggregate") == 1
+    assert plans[0].count() == 0 and keys.pending_attempts(listing, listing.limit(0), F.lit(day)).select("state").collect()[0][0] == "gap"
+    assert str(keys.attempt_second(F.col("key"))).count("regexp_extract") == 1

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 #: The archive's layout.
 ATTEMPTS, EXTRACTIONS, AUDITS, REPAIRS, REVIEWS = "attempts/", "extractions/attempts/", "extractions/audits/", "extractions/repairs/", "extractions/reviews/"
-ATTEMPT_KEY = r"^attempts/([^/]+)/([^/]+)/(\d{4})/(\d{2})/(\d{2})T(\d{2})(\d{2})(\d{2})Z\.json$"
-EXTRACTION_KEY = r"^extractions/attempts/(\d{4})/(\d{2})/(\d{2})T(\d{2})(\d{2})(\d{2})Z-([0-9a-f]{12})-s(\d+)a(\d+)\.json\.gz$"
+ATTEMPT_KEY = r"^attempts/([^/]+)/([^/]+)/(\d{4}/\d{2}/\d{2}T\d{6})Z\.json$"
+EXTRACTION_KEY = r"^extractions/attempts/(\d{4}/\d{2}/\d{2}T\d{6})Z-([0-9a-f]{12})-s(\d+)a(\d+)\.json\.gz$"
 BARE_AUDIT = "semantic-audit/v2"
 AUDIT_VERSION = r"^semantic-audit/v([0-9]+)$"
 
@@ -23,9 +23,19 @@ def stamp(at: Column) -> Column:
     return F.date_format(F.to_utc_timestamp(at, F.current_timezone()), "yyyy/MM/dd'T'HHmmss'Z'")
 
 
-def _second(key: Column, pattern: str, first: int) -> Column:
-    parts = [F.regexp_extract(key, pattern, first + k).try_cast("int") for k in range(6)]
-    return F.try_make_timestamp(*parts, F.lit("UTC"))
+def _second(told: Column) -> Column:
+    """The instant of YYYY/MM/DDTHHMMSS: one match of a pattern finds it, and its parts are cut by their places; told is made once, not once a part."""
+    part = lambda s, at, size: F.substring(s, at, size).try_cast("int")
+    second = lambda s: F.try_make_timestamp(part(s, 1, 4), part(s, 6, 2), part(s, 9, 2), part(s, 12, 2), part(s, 14, 2), part(s, 16, 2), F.lit("UTC"))
+    return F.get(F.transform(F.array(told), second), F.lit(0))
+
+
+def attempt_second(key: Column) -> Column:
+    return _second(F.regexp_extract(key, ATTEMPT_KEY, 3))
+
+
+def extraction_second(key: Column) -> Column:
+    return _second(F.regexp_extract(key, EXTRACTION_KEY, 1))
 
 
 def blob_key(sha256: Column) -> Column:
@@ -42,8 +52,8 @@ def attempt_key(source: Column, board: Column, at: Column) -> Column:
 
 def parse_attempt_key(key: Column) -> Column:
     """struct(source, board, at)."""
-    at = _second(key, ATTEMPT_KEY, 3)
-    return F.when(key.rlike(ATTEMPT_KEY) & at.isNotNull(), F.struct(F.regexp_extract(key, ATTEMPT_KEY, 1).alias("source"), F.regexp_extract(key, ATTEMPT_KEY, 2).alias("board"), at.alias("at")))
+    at = attempt_second(key)
+    return F.when(at.isNotNull(), F.struct(F.regexp_extract(key, ATTEMPT_KEY, 1).alias("source"), F.regexp_extract(key, ATTEMPT_KEY, 2).alias("board"), at.alias("at")))
 
 
 def extraction_key(at: Column, document_hash: Column, slot: Column, attempt_no: Column) -> Column:
@@ -53,9 +63,9 @@ def extraction_key(at: Column, document_hash: Column, slot: Column, attempt_no:
 
 def parse_extraction_key(key: Column) -> Column:
     """struct(at, document, slot, attempt_no); document is the first twelve digits of the hash."""
-    at = _second(key, EXTRACTION_KEY, 1)
     part = lambda k: F.regexp_extract(key, EXTRACTION_KEY, k)
-    return F.when(key.rlike(EXTRACTION_KEY) & at.isNotNull(), F.struct(at.alias("at"), part(7).alias("document"), part(8).try_cast("long").alias("slot"), part(9).try_cast("long").alias("attempt_no")))
+    at = extraction_second(key)
+    return F.when(at.isNotNull(), F.struct(at.alias("at"), part(2).alias("document"), part(3).try_cast("long").alias("slot"), part(4).try_cast("long").alias("attempt_no")))
 
 
 def _of_attempt(key: Column) -> Column:
@@ -88,12 +98,19 @@ def pending_attempts(listing: DataFrame, known: DataFrame, last_at: Column | Non
 
     pending: from the watermark's second on, all but its own key, known or not (taking one in twice changes nothing), to be taken in by (at, key). gap: before
     that second and not known (a column key); it cannot be put in any more without a rebuild. Without a watermark all is pending. Other keys are left out."""
-    each = listing.select("key").distinct().withColumn("at", parse_attempt_key(F.col("key"))["at"]).where("at is not null")
+    each = listing.select("key", attempt_second(F.col("key")).alias("at")).where("at is not null")
     if last_at is None:
-        return each.withColumn("state", F.lit("pending"))
+        return each.distinct().withColumn("state", F.lit("pending"))
     own = F.lit(False) if last_key is None else F.col("key") == last_key
-    gaps = each.where((F.col("at") < last_at) & ~own).join(known.select("key"), "key", "left_anti")
-    return each.where((F.col("at") >= last_at) & ~own).withColumn("state", F.lit("pending")).unionByName(gaps.withColumn("state", F.lit("gap")))
+    late = F.col("at") >= last_at
+    return _met(each, known).where((late | ~F.col("_known")) & ~own).select("key", "at", F.when(late, "pending").otherwise("gap").alias("state"))
+
+
+def _met(listed: DataFrame, known: DataFrame) -> DataFrame:
+    """Each listed key once, with _known: one shuffle of narrow rows, combined before it, in place of a distinct and a join for each state."""
+    parts = [c for c in listed.columns if c != "key"]
+    both = listed.withColumn("_known", F.lit(False)).unionByName(known.select("key", F.lit(True).alias("_known")), allowMissingColumns=True)
+    return both.groupBy("key").agg(*[F.max(c).alias(c) for c in [*parts, "_known"]]).where("at is not null")
 
 
 def catch_up(listing: DataFrame, known: DataFrame, watermark: datetime.datetime | None = None, since: datetime.datetime | None = None) -> DataFrame:
@@ -103,13 +120,13 @@ def catch_up(listing: DataFrame, known: DataFrame, watermark: datetime.datetime
     Keys sort as their seconds, so the listing is cut by a comparison of keys that a scan can push down. Instants are in UTC."""
     floors = [x.replace(microsecond=0) for x in (watermark, since) if x is not None]
     whole = lambda x: F.lit(x.replace(microsecond=0).strftime("%Y-%m-%d %H:%M:%S") + " UTC").cast("timestamp")
-    rows = listing.select("key").where(F.col("key") >= (EXTRACTIONS if watermark is None else EXTRACTIONS + min(floors).strftime("%Y/%m/%dT%H%M%SZ"))).distinct()
-    rows = rows.withColumn("p", parse_extraction_key(F.col("key"))).where("p is not null").select("key", "p.at", "p.document")
+    reach = F.col("key") >= (EXTRACTIONS if watermark is None else EXTRACTIONS + min(floors).strftime("%Y/%m/%dT%H%M%SZ"))
+    document = F.regexp_extract("key", EXTRACTION_KEY, 2)
+    rows = listing.select("key").where(reach).select("key", extraction_second(F.col("key")).alias("at"), document.alias("document")).where("at is not null")
     if watermark is None:
-        return rows.withColumn("state", F.lit("from_watermark"))
-    seen = rows.where(F.col("at") >= whole(watermark)).withColumn("state", F.lit("from_watermark"))
-    behind = rows.where(F.col("at") < whole(watermark)).join(known.select("key"), "key", "left_anti")
-    return seen.unionByName(behind.withColumn("state", F.lit("behind")))
+        return rows.distinct().withColumn("state", F.lit("from_watermark"))
+    late = F.col("at") >= whole(watermark)
+    return _met(rows, known.where(reach)).where(late | ~F.col("_known")).select("key", "at", "document", F.when(late, "from_watermark").otherwise("behind").alias("state"))
 
 
 def reviews_to_fold(events: DataFrame, recorded: DataFrame, folded: DataFrame, config: list[str]) -> DataFrame:
