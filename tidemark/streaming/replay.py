@@ -41,9 +41,10 @@ class LifecycleSink:
         marks = have.groupBy("event_type").agg(F.max("_day").alias("_mark"))  # a row for each board
         begun = touched.join(have.withColumn("_begun", F.lit(True)), ["event_type", "_day"], "left").join(marks, "event_type", "left")
         late = begun.select(F.col("event_type").alias("_board"), F.col("_day").alias("_at"), (F.col("_begun").isNull() & F.coalesce(F.col("_day") < F.col("_mark"), F.lit(False))).alias("_late"))
-        judged = rows.join(late, F.col("event_type").eqNullSafe(F.col("_board")) & F.col("_day").eqNullSafe(F.col("_at")), "left").select(*rows.columns, F.coalesce("_late", F.lit(False)).alias("_late"))
+        # a batch's attempts are few (a row for a board and day): sent to all tasks, so that no task gets an attempt's rows whole
+        judged = rows.join(F.broadcast(late), F.col("event_type").eqNullSafe(F.col("_board")) & F.col("_day").eqNullSafe(F.col("_at")), "left").select(*rows.columns, F.coalesce("_late", F.lit(False)).alias("_late"))
         for path, held, of in ((self.gaps, gaps, F.col("_late")), (self.log, log, ~F.col("_late"))):
-            near = held.join(touched, ["event_type", "_day"], "left_semi").select(*[F.col(c).alias(f"_held_{c}") for c in rows.columns])
+            near = held.join(F.broadcast(touched), ["event_type", "_day"], "left_semi").select(*[F.col(c).alias(f"_held_{c}") for c in rows.columns])
             same = [F.col(c).eqNullSafe(F.col(f"_held_{c}")) for c in rows.columns]
             judged.where(of).join(near, same, "left_anti").select(rows.columns).write.mode("append").parquet(path)
 
