@@ -71,16 +71,20 @@ def arrow_map(fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], text: str |
 
 
 def small_batches(batch: pa.RecordBatch, column: str, most_bytes: int = 8_000_000) -> Iterator[pa.RecordBatch]:
-    """Slices of a batch of at most about most_bytes of text each (one row at least), so long texts do not meet in memory."""
+    """Slices of a batch of at most about most_bytes of text each (one row at least), so long texts do not meet in memory.
+
+    After each slice Arrow gives back what it freed; else a worker, which Spark keeps for the next task, holds the most it ever had."""
     start = size = 0
     for i, x in enumerate(batch.column(column)):
         n = len(x.as_buffer()) if x.is_valid else 0
         if size and size + n > most_bytes:
             yield batch.slice(start, i - start)
+            pa.default_memory_pool().release_unused()
             start, size = i, 0
         size += n
     if start < batch.num_rows:
         yield batch.slice(start)
+        pa.default_memory_pool().release_unused()
 
 
 def coded_chunks(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
