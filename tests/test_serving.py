@@ -126,3 +126,15 @@ def test_containment_takes_time_by_the_bytes_of_a_long_text(spark):
     found = containment.overlapping(spark.createDataFrame(needles, "id int, text string"), spark.createDataFrame([(0, long), (1, "w7")], "id int, text string"))
     assert sorted(map(tuple, found.collect())) == [(0, 0), (1, 0), (1, 1), (2, 1), (3, 0), (3, 1), (4, 0)]  # w7 is a part of some
     assert time.monotonic() - began < 60
+
+
+def test_a_claim_index_reads_its_tables_once_and_shuffles_them_twice(spark):
+    record = {"statements": [{"id": "s1", "topic": "t", "kind": "benefit", "importance": None, "proficiency": None, "polarity": "positive", "subject": "x", "refs": [(1, 2, "a")]}],
+              "mentions": [{"id": "m1", "surface": "Go", "statement_ids": ["s1", "s1", "s9"], "refs": []}], "groups": [],
+              "facts": [{"id": "f1", "family": "pay", "statement_ids": ["s9", "s1"], "signature": "v", "refs": []}, {"id": "f2", "family": "pay", "statement_ids": [], "signature": None, "refs": []}]}
+    found = serving.claim_index(*_tables(spark, record))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan ExistingRDD") + plan.count("LocalTableScan") <= 6 and plan.count("Exchange ") <= 3, plan
+    got = sorted((r["source"], r["owner_id"], r["area_id"], r["area_kind"], r["values"], r["start"]) for r in found.collect())
+    assert got == [("fact", "f1", "s1", "benefit", ["v"], None), ("fact", "f2", "f2", "fact", [None], None),
+                   ("mention", "m1", "s1", "benefit", ["v"], None), ("mention", "m1", "s1", "benefit", ["v"], None), ("statement", "s1", "s1", "benefit", ["v"], 1)]

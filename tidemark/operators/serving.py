@@ -1,44 +1,53 @@
-"""The served slice of a record: its claim index, as joins of the record's flat tables.
+"""The served slice of a record: its claim index, from the record's flat tables.
 
 Tables (one row per object, doc_id in each): statements (statement_id, topic, kind, importance, proficiency, polarity, subject,
 section_heading, modality, pos), mentions (mention_id, surface, statement_ids, pos), facts (fact_id, family, statement_ids, signature, pos), groups
 (operator, members) and references (owner: statement, mention or fact; owner_id, start, end, text). pos is an object's place in its list.
 
 Every assertion of a record becomes a claim with one footprint, the envelope of the spans it cites: a claim for each statement, for each
-(mention, statement) link and for each fact. Documents are independent, so every shuffle is by (doc_id, statement_id); a fact's anchor is the
-first of its statement ids that is a statement, by a minimum over places, not by a scan."""
+(mention, statement) link and for each fact. Each table is read once (facts twice) and rows are shuffled twice, by (doc_id, statement_id) for what a
+statement's rows tell of it and by (doc_id, source, owner_id) for a fact's anchor, which is the first of its statement ids that is a statement, and the spans."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.texts import case_fold
 
 #: The importance of an area without a verdict (a fixed value).
 NO_IMPORTANCE = "contextual"
-_SPAN = ["doc_id", "owner_id", "start", "end", "quote"]
+SOURCES = ["statement", "mention", "fact"]
+_STATEMENT = ["topic", "kind", "importance", "proficiency", "polarity", "subject", "section_heading", "modality", "pos"]
 _AREA = ["doc_id", "area_id", "area_name", "area_kind", "area_importance", "area_level", "area_pos"]
 
 
-def envelopes(references: DataFrame, owner: str) -> DataFrame:
-    """Per object: from the least start to the largest end of what it cites, and the cited texts in order of their spans."""
+def envelopes(references: DataFrame) -> DataFrame:
+    """Per object (source, owner_id): from the least start to the largest end of what it cites, and the cited texts in order of their spans."""
     each = F.struct("start", "end", F.coalesce("text", F.lit("")).alias("text"))
-    found = references.where(F.col("owner") == owner).groupBy("doc_id", "owner_id")
-    quote = F.array_join(F.transform(F.array_sort(F.collect_list(each)), lambda r: r["text"]), " ")
+    found = references.where(F.col("owner").isin(SOURCES)).groupBy("doc_id", F.col("owner").alias("source"), "owner_id")
+    quote = F.array_join(F.transform(F.sort_array(F.collect_list(each)), lambda r: r["text"]), " ")
     return found.agg(F.min("start").alias("start"), F.max("end").alias("end"), quote.alias("quote"))
 
 
-def _members(rows: DataFrame, value: Column, name: str, distinct: bool) -> DataFrame:
-    """Per statement the sorted values of the rows that name it."""
-    each = rows.select("doc_id", F.explode("statement_ids").alias("statement_id"), value.alias("_value"))
-    return each.groupBy("doc_id", "statement_id").agg(F.array_sort((F.collect_set if distinct else F.collect_list)("_value")).alias(name))
-
-
-def routes(groups: DataFrame) -> DataFrame:
-    """Per statement the groups it belongs to directly: (operator, members), sorted."""
-    each = groups.select("doc_id", F.explode("members").alias("statement_id"), F.struct("operator", "members").alias("_route"))
-    return each.groupBy("doc_id", "statement_id").agg(F.array_sort(F.collect_list("_route")).alias("routes"))
+def _told(statements: DataFrame, mentions: DataFrame, facts: DataFrame, groups: DataFrame) -> DataFrame:
+    """A row for each statement and for each place where a mention or a fact names one, with what all rows of its statement tell: _areas (the statement, none
+    where it is unknown), _values, _links and routes. One window by statement, not a join for each, as all of these are rows of the same statements."""
+    of = lambda rows, source, **columns: rows.select("doc_id", F.lit(source).alias("source"), "statement_id", *[F.col(c).alias(k) if isinstance(c, str) else c.alias(k) for k, c in columns.items()])
+    named = lambda rows: rows.where("doc_id is not null and statement_id is not null")
+    rows = of(statements, "statement", owner_id="statement_id", _statement=F.struct(*_STATEMENT))
+    for more in (
+        of(named(mentions.withColumn("statement_id", F.explode("statement_ids"))), "mention", owner_id="mention_id", _pos="pos", _link=case_fold(F.col("surface"))),
+        of(named(facts.select("*", F.posexplode("statement_ids").alias("_at", "statement_id"))), "fact", owner_id="fact_id", _at="_at", _value="signature"),
+        of(named(groups.withColumn("statement_id", F.explode("members"))), "group", _route=F.struct("operator", "members")),
+    ):
+        rows = rows.unionByName(more, allowMissingColumns=True)
+    same = Window.partitionBy("doc_id", "statement_id")
+    every = lambda name, collect=F.collect_list: F.sort_array(collect(name).over(same))
+    areas = F.when(F.col("source") == "statement", F.array("_statement")).otherwise(F.collect_list("_statement").over(same))
+    told = rows.withColumns({"_areas": areas, "_values": every("_value"), "_links": every("_link", F.collect_set), "routes": every("_route")})
+    told = told.withColumn("routes", F.when(F.size("routes") > 0, F.col("routes")))
+    return told.where("source <> 'group'").drop("_statement", "_route", "_value", "_link")
 
 
 def _labels(statement_id: Column) -> dict[str, Column]:
@@ -56,42 +65,29 @@ def claim_index(statements: DataFrame, mentions: DataFrame, facts: DataFrame, gr
 
     Within an area claims are ordered by claim_pos: the statement's own, then its mentions, then its facts, each in the record's order.
     A mention whose statement is unknown makes no claim; an object that cites nothing has a claim without a span."""
-    none = F.array().cast("array<string>")
-    known = (
-        statements.join(_members(facts, F.col("signature"), "_values", False), ["doc_id", "statement_id"], "left")
-        .join(_members(mentions, case_fold(F.col("surface")), "_links", True), ["doc_id", "statement_id"], "left")
-        .join(routes(groups), ["doc_id", "statement_id"], "left")
-        .withColumns({"_values": F.coalesce("_values", none), "_links": F.coalesce("_links", none)})
-    )
-    area = [F.col("statement_id").alias("area_id"), F.col("topic").alias("area_name"), F.col("kind").alias("area_kind"), F.coalesce("importance", F.lit(NO_IMPORTANCE)).alias("area_importance"), F.col("proficiency").alias("area_level")]
-    labels = [c.alias(n) for n, c in _labels(F.col("statement_id")).items()]
-    semantics = [F.col("_links").alias("entity_links"), F.col("routes").alias("alternatives")]
-    shared = ["doc_id", *area, F.struct(F.lit(0).alias("kind"), F.col("pos").alias("pos")).alias("area_pos"), *labels, *semantics]
-    place = lambda rank, pos: F.struct(F.lit(rank).alias("rank"), pos.alias("pos")).alias("claim_pos")
-
-    own = known.select(*shared, F.col("_values").alias("values"), F.lit("statement").alias("source"), F.col("statement_id").alias("owner_id"), place(0, F.lit(0)))
-    # a list may name a statement twice: both are claims
-    links = mentions.select("doc_id", "mention_id", F.col("pos").alias("_pos"), F.explode("statement_ids").alias("statement_id"))
-    linked = known.join(links, ["doc_id", "statement_id"]).select(*shared, F.col("_values").alias("values"), F.lit("mention").alias("source"), F.col("mention_id").alias("owner_id"), place(1, F.col("_pos")))
-
-    named = facts.select("doc_id", "fact_id", F.posexplode("statement_ids").alias("_at", "statement_id"))
-    anchors = named.join(statements.select("doc_id", "statement_id"), ["doc_id", "statement_id"]).groupBy("doc_id", "fact_id").agg(F.min_by("statement_id", "_at").alias("statement_id"))
-    anchored = facts.select("doc_id", "fact_id", "family", "signature", F.col("pos").alias("_pos")).join(anchors, ["doc_id", "fact_id"], "left")
-    told = F.array("signature").alias("values")
-    with_statement = known.join(anchored.where("statement_id is not null"), ["doc_id", "statement_id"]).select(*shared, told, F.lit("fact").alias("source"), F.col("fact_id").alias("owner_id"), place(2, F.col("_pos")))
-    nothing = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in own.schema}
-    alone_area = {
-        "doc_id": F.col("doc_id"), "area_id": F.col("fact_id").alias("area_id"), "area_name": F.col("family").alias("area_name"), "area_kind": F.lit("fact").alias("area_kind"), "area_importance": F.lit(NO_IMPORTANCE).alias("area_importance"),
-        "area_pos": F.struct(F.lit(1).alias("kind"), F.col("_pos").alias("pos")).alias("area_pos"), "negated": F.lit(False).alias("negated"), "entity_links": none.alias("entity_links"), "values": told,
-        "source": F.lit("fact").alias("source"), "owner_id": F.col("fact_id").alias("owner_id"), "claim_pos": place(2, F.col("_pos")),
-    }
-    alone = anchored.where("statement_id is null").select(*[alone_area.get(c, nothing[c]) for c in own.columns])
-    claims = own.unionByName(linked).unionByName(with_statement).unionByName(alone)
-    cited = None
-    for owner in ("statement", "mention", "fact"):
-        found = envelopes(references, owner).withColumn("source", F.lit(owner))
-        cited = found if cited is None else cited.unionByName(found)
-    return claims.join(cited, ["doc_id", "source", "owner_id"], "left")
+    told = _told(statements, mentions, facts, groups)
+    each = facts.select("doc_id", F.lit("fact").alias("source"), F.col("fact_id").alias("owner_id"), F.col("pos").alias("_pos"), "family", F.array("signature").alias("_told"))
+    rows = told.unionByName(each, allowMissingColumns=True)
+    # a fact's own row takes the first of its statements that is one; the rows of the places where it names them have done their part
+    anchor = F.struct("statement_id", "_areas", "_links", "routes")
+    usable = (F.col("source") == "fact") & F.col("owner_id").isNotNull() & (F.size("_areas") > 0)
+    first = F.min_by(anchor, F.when(usable, F.col("_at"))).over(Window.partitionBy("doc_id", "source", "owner_id"))
+    is_fact = F.col("_told").isNotNull()
+    rows = rows.withColumn("_first", first).where((F.col("source") != "fact") | is_fact)
+    rows = rows.withColumns({f.name: F.when(is_fact, F.col(f"_first.{f.name}")).otherwise(F.col(f.name)) for f in rows.schema["_first"].dataType})
+    # a list may name a statement twice: both are claims; a mention of an unknown one makes none
+    rows = rows.withColumn("_s", F.explode_outer("_areas")).where(F.col("_s").isNotNull() | is_fact).withColumns({n: F.col(f"_s.{n}") for n in _STATEMENT})
+
+    known = F.col("_s").isNotNull()
+    rank = F.when(F.col("source") == "statement", 0).when(F.col("source") == "mention", 1).otherwise(2)
+    place = F.struct(rank.alias("rank"), F.when(F.col("source") == "statement", 0).otherwise(F.col("_pos")).alias("pos"))
+    claims = rows.select(
+        "doc_id", F.when(known, F.col("statement_id")).otherwise(F.col("owner_id")).alias("area_id"), F.when(known, F.col("topic")).otherwise(F.col("family")).alias("area_name"),
+        F.when(known, F.col("kind")).otherwise("fact").alias("area_kind"), F.coalesce("importance", F.lit(NO_IMPORTANCE)).alias("area_importance"), F.col("proficiency").alias("area_level"),
+        F.struct(F.when(known, 0).otherwise(1).alias("kind"), F.when(known, F.col("pos")).otherwise(F.col("_pos")).alias("pos")).alias("area_pos"),
+        *[c.alias(n) for n, c in _labels(F.when(known, F.col("statement_id"))).items()], F.coalesce("_links", F.array().cast("array<string>")).alias("entity_links"), F.col("routes").alias("alternatives"),
+        F.coalesce("_told", "_values").alias("values"), "source", "owner_id", place.alias("claim_pos"))
+    return claims.join(envelopes(references).hint("merge"), ["doc_id", "source", "owner_id"], "left")
 
 
 def profiles(claims: DataFrame) -> DataFrame:
