@@ -103,3 +103,10 @@ def test_hashes_equal_those_of_canonical_json(spark):
     for r in rows.select("k", sealing.candidate_hash(F.col("v")).alias("h"), sealing.object_hash(F.col("v")).alias("o")).collect():
         assert r["h"] == _hash_of(odd[r["k"]]), odd[r["k"]]
         assert r["o"] == hashlib.sha256(canonical_json(odd[r["k"]]).encode()).hexdigest()
+
+
+def test_emits_are_made_without_a_shuffle(spark, small):
+    from tidemark.catalogue.assembly import extractions
+    made = extractions(spark, small)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    assert made.count() == spark.read.parquet(f"{small}/documents.parquet").count()

@@ -21,8 +21,9 @@ def extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
     head, tail = (F.lit(x) for x in _TERMS.split("{}"))
     years = (F.col("doc_id") % 9 + 1).cast("string")
     docs = table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), head, years, tail).alias("text"))
-    block = F.struct(F.substring("block_id", 2, 6).cast("int").alias("n"), "block_id", "text")
-    blocks = texts.annotate(docs).groupBy("doc_id").agg(F.array_sort(F.collect_list(block)).alias("b"))
+    # the blocks are numbered within the row, so no text is shuffled
+    block = lambda t, i: F.struct((i + 1).alias("n"), F.concat(F.lit("b"), F.lpad((i + 1).cast("string"), 6, "0")).alias("block_id"), t.alias("text"))
+    blocks = F.transform(F.filter(F.split("text", "\n", -1), lambda t: t.rlike(texts.SHOWN)), block)
     none = F.lit(None).cast("string")
     ref = lambda b, quote=none: F.struct(b["block_id"].alias("block_id"), quote.alias("text"), F.when(quote.isNotNull(), 0).alias("occurrence"))
     sid = lambda n: F.concat(F.lit("s"), n.cast("string"))
@@ -44,7 +45,7 @@ def extractions(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.transform(F.filter("b", lambda b: b["n"] % 4 != 0), statement).alias("statements"),
         F.struct(F.struct(state("none_found").alias("experience"), state("stated").alias("compensation")).alias("presence"), F.array(fact).alias("entries")).alias("facts"),
         F.transform(F.filter("b", lambda b: b["n"] % 6 == 1), mention).alias("mentions"), F.array(area).alias("areas"))
-    emits = docs.join(blocks, "doc_id").select("doc_id", "text", F.to_json(emit).alias("emit"))
+    emits = docs.where("doc_id is not null").withColumn("b", blocks).select("doc_id", "text", F.to_json(emit).alias("emit"))
     return emits.withColumns({"document_hash": F.sha2("text", 256), "normalizer_version": F.lit("md/1")})
 
 

@@ -9,7 +9,7 @@ import re
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_SHOWN = r"(?U)\S"
+SHOWN = r"(?U)\S"
 
 
 def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -19,7 +19,7 @@ def lines(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def _measured(docs: DataFrame, key: str, text: str) -> DataFrame:
     """lines, and whether each is _shown. All that needs the text is taken before the window, so where only spans are read no text is shuffled."""
-    each = docs.select(key, F.posexplode(F.split(F.col(text), "\n", -1)).alias("line", "text")).withColumns({"_size": F.length("text"), "_shown": F.col("text").rlike(_SHOWN)})
+    each = docs.select(key, F.posexplode(F.split(F.col(text), "\n", -1)).alias("line", "text")).withColumns({"_size": F.length("text"), "_shown": F.col("text").rlike(SHOWN)})
     before = F.sum(F.col("_size") + 1).over(Window.partitionBy(key).orderBy("line").rowsBetween(Window.unboundedPreceding, -1))
     return each.withColumn("start", F.coalesce(before, F.lit(0)).cast("int")).select(key, "line", "text", "start", (F.col("start") + F.col("_size")).cast("int").alias("end"), "_shown")
 
