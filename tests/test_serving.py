@@ -138,3 +138,28 @@ def test_a_claim_index_reads_its_tables_once_and_shuffles_them_twice(spark):
     got = sorted((r["source"], r["owner_id"], r["area_id"], r["area_kind"], r["values"], r["start"]) for r in found.collect())
     assert got == [("fact", "f1", "s1", "benefit", ["v"], None), ("fact", "f2", "f2", "fact", [None], None),
                    ("mention", "m1", "s1", "benefit", ["v"], None), ("mention", "m1", "s1", "benefit", ["v"], None), ("statement", "s1", "s1", "benefit", ["v"], 1)]
+
+
+def test_a_claim_index_shuffles_its_objects_once(spark, small):
+    """Also with equal ids, nulls in lists, ids and keys, and references to nothing."""
+    from tidemark.catalogue.serving import QUERIES
+    plan = QUERIES["claim_index"](spark, small)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and plan.count("Scan parquet") == 1 and "Join" not in plan, plan
+    of = lambda rows, schema: spark.createDataFrame(rows, schema)
+    s = lambda doc, i, topic, pos: (doc, i, topic, "benefit", None, None, "positive", "x", None, None, pos)
+    tables = (
+        of([s(1, "s1", "a", 0), s(1, "s1", "b", 1), s(1, None, "n", 2), s(None, "s1", "z", 0)], "doc_id int, statement_id string, topic string, kind string, importance string, proficiency string, polarity string, subject string, section_heading string, modality string, pos int"),
+        of([(1, "m1", "Go", [None, "s1"], 0), (1, "m2", "No", None, 1), (None, "m3", "Go", ["s1"], 0)], "doc_id int, mention_id string, surface string, statement_ids array<string>, pos int"),
+        of([(1, "f1", "pay", [None, "s9", "s1"], "v", 0), (1, "f1", "pay", ["s9"], "w", 1), (1, None, "pay", ["s1"], "x", 2), (2, "f1", "pay", ["s1"], "y", 0)], "doc_id int, fact_id string, family string, statement_ids array<string>, signature string, pos int"),
+        of([(1, "any_of", ["s1", None]), (None, "any_of", ["s1"])], "doc_id int, operator string, members array<string>"),
+        of([(1, "mention", "m1", 5, 9, "q"), (1, "mention", "m1", 1, 3, None), (1, "fact", "f9", 0, 1, "gone"), (1, "statement", None, 0, 1, "x"), (None, "statement", "s1", 0, 1, "x"), (1, "area", "s1", 0, 1, "x"), (1, "fact", "f1", 2, None, "p")],
+           "doc_id int, owner string, owner_id string, start int, end int, text string"))
+    found = serving.claim_index(*tables)
+    assert found._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    got = sorted(((r["doc_id"], r["source"], r["owner_id"], r["area_id"], r["area_name"], r["values"], r["entity_links"], r["alternatives"] and [r["members"] for r in r["alternatives"]], r["start"], r["end"], r["quote"]) for r in found.collect()), key=repr)
+    told, links, routes = ["v", "x"], ["go"], [["s1", None]]
+    want = [
+        *[(1, "statement", "s1", "s1", t, told, links, routes, None, None, None) for t in "ab"], (1, "statement", None, None, "n", [], [], None, None, None, None), (None, "statement", "s1", "s1", "z", [], [], None, None, None, None),
+        *[(1, "mention", "m1", "s1", t, told, links, routes, 1, 9, " q") for t in "ab"], *[(1, "fact", "f1", "s1", t, [v], links, routes, 2, None, "p") for t in "ab" for v in "vw"],
+        (1, "fact", None, None, "pay", ["x"], [], None, None, None, None), (2, "fact", "f1", "f1", "pay", ["y"], [], None, None, None, None)]
+    assert got == sorted(want, key=repr)
