@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import time
 from copy import deepcopy
 
 from pyspark.sql import functions as F
@@ -110,3 +111,34 @@ def test_emits_are_made_without_a_shuffle(spark, small):
     made = extractions(spark, small)
     assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
     assert made.count() == spark.read.parquet(f"{small}/documents.parquet").count()
+
+
+def test_references_meet_their_document_in_one_join(spark):
+    """Nothing of a reference or of its block is joined again after it is bound, and each side is shuffled once."""
+    rows = spark.createDataFrame([(1, json.dumps(EMIT), TEXT)], "doc_id int, emit string, text string").withColumn("emit", F.parse_json("emit"))
+    bound = assembly._bound(rows)
+    plan = bound._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Join") == 1 and plan.count("Exchange") == 2 and plan.count("posexplode") == 3, plan
+    got = {r["ref_id"]: (r["ref"]["block_id"], r["ref"]["section_heading"], r["pay"] and r["pay"]["label"]) for r in bound.collect()}
+    assert got["statements[1].evidence[0]"] == ("b000006", "Pay", None) and got["mentions[0].evidence"] == ("b000002", "Role", None)
+    assert got["facts.entries[0].evidence.value[0]"] == ("b000006", "Pay", "$100,000 - $120,000 At least 5 years of Straße work")
+
+
+def test_links_of_many_mentions_are_looked_up_once_a_document(spark):
+    """400 mentions with links to 400 statements: the statements' ids are not read again for each link."""
+    n = 400
+    cite = {"block_id": "b000001", "text": None, "occurrence": None}
+    emit = {"statements": [{"id": f"s{k}", "evidence": [cite]} for k in range(n)], "mentions": [{"id": f"m{k}", "surface": "x", "evidence": cite, "statement_ids": [f"s{k}", f"s{n + k}", "x"]} for k in range(n)]}
+    began = time.monotonic()
+    r = json.loads(_assembled(spark, emit)[0]["record"])
+    assert [m["statement_ids"] for m in r["mentions"]] == [[f"s{k}"] for k in range(n)]
+    assert r["extraction"]["dropped_links"] == [{"path": f"mentions[{k}].statement_ids", "ref_id": x} for k in range(n) for x in (f"s{n + k}", "x")]
+    assert time.monotonic() - began < 60
+
+
+def test_other_dollars_are_sought_where_there_is_pay(spark):
+    cite = lambda text: [{"block_id": "b000001", "text": text, "occurrence": 0}]
+    pay = {"facts": {"entries": [{"id": "f", "family": "compensation", "evidence": {"value": cite("$100,000 - $120,000"), "unit": cite("per year")}}]}}
+    for more, currency in (("", "USD"), ("\nin Canada", None), ("\n \nC$ 5", None)):
+        r = json.loads(_assembled(spark, pay, text=f"Base salary $100,000 - $120,000 per year{more}")[0]["record"])
+        assert r["facts"]["entries"][0]["derived"]["money"]["currency"] == currency

@@ -15,6 +15,7 @@ from functools import cached_property
 from itertools import accumulate
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -103,11 +104,10 @@ class _Document:
                 return tier, block, origin[k], origin[k + len(_bare(quote)) - 1] + 1
         return ("first_folded", first[0], first[1], first[1] + size) if lenient and first else None
 
-    def resolve(self, ref: dict) -> tuple:
-        """block_id, start, end, occurrence, tier, error, text."""
-        cited, quote, k = ref["block_id"], ref["quote"], ref["occurrence"]
+    def resolve(self, cited: str | None, quote: str | None, k: int | None, lenient: bool) -> tuple:
+        """block_id, start, end, occurrence, tier, error, text, and the block's `at`."""
         own = self.number.get(cited)
-        wrong = lambda error: (cited, None, None, None, None, error, None)
+        wrong = lambda error: (cited, None, None, None, None, error, None, None)
         if own is None:
             return wrong("unknown_block")
         if (quote is None) != (k is None):
@@ -120,35 +120,45 @@ class _Document:
             return wrong("occurrence") if taken is None else self._span(own, hits[taken], hits[taken] + len(quote), taken, "own")
         if k != 0:
             return wrong("not_found")
-        found = self.tiers(quote, own, bool(ref["lenient"]))
+        found = self.tiers(quote, own, lenient)
         return self._span(*found[1:], 0, found[0]) if found else wrong("not_found")
 
     def _span(self, block: int, a: int, b: int, occurrence: int, tier: str) -> tuple:
         at = self.blocks[block]["start"]
-        return self.blocks[block]["block_id"], at + a, at + b, occurrence, tier, None, self.texts[block][a:b]
+        return self.blocks[block]["block_id"], at + a, at + b, occurrence, tier, None, self.texts[block][a:b], self.blocks[block]["at"]
 
 
-def resolved(references: DataFrame, blocks: DataFrame, lenient: bool | str = False) -> DataFrame:
+def resolved(references: DataFrame, blocks: DataFrame, lenient: bool | str = False, kept: tuple[str, ...] = (), told: tuple[str, ...] = ()) -> DataFrame:
     """references: doc_id, ref_id, block_id, quote, occurrence (both null: the whole block). Result: doc_id, ref_id, block_id, start, end, occurrence, tier, error, text (the cited one).
 
-    lenient: whether the last tier is open, for all references or, as the name of a boolean column, for some."""
+    lenient: whether the last tier is open, for all references or, as the name of a boolean column, for some. kept: more columns of the references, and told: of
+    the blocks that they bind to, which the result has too; so neither is joined again. They pass through as they are, not as Python objects."""
     open_ = F.col(lenient) if isinstance(lenient, str) else F.lit(lenient)
-    asked = references.groupBy("doc_id").agg(F.collect_list(F.struct("ref_id", "block_id", "quote", "occurrence", open_.alias("lenient"))).alias("refs"))
-    held = blocks.groupBy("doc_id").agg(F.collect_list(F.struct("block_id", "text", "start")).alias("blocks"))
-    kinds = {n: references.schema[n].dataType.simpleString() for n in ("doc_id", "ref_id")}
-    names = ["doc_id", "ref_id", *_FOUND]
+    asked = references.groupBy("doc_id").agg(F.collect_list(F.struct("ref_id", "block_id", "quote", "occurrence", open_.alias("lenient"), *kept)).alias("refs"))
+    held = blocks.groupBy("doc_id").agg(F.collect_list(F.struct("block_id", "text", "start", *told)).alias("blocks"))
+    kinds = [(n, of.schema[n].dataType.simpleString()) for of, names in ((references, ("doc_id", "ref_id", *kept)), (blocks, told)) for n in names]
+    names = [*_FOUND, *(n for n, _ in kinds)]
 
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            key, ref = whole.schema.field("doc_id"), whole.schema.field("refs").type.value_type.field("ref_id")
-            schema = pa.schema([key, ref, *((n, pa.int32() if t == "int" else pa.string()) for n, t in _FOUND.items())])
             for at in range(0, whole.num_rows, DOCUMENTS_AT_ONCE):
-                rows = []
-                for row in whole.slice(at, DOCUMENTS_AT_ONCE).to_pylist():
-                    document = _Document(row["blocks"] or [])
-                    rows += [(row["doc_id"], r["ref_id"], *document.resolve(r)) for r in row["refs"]]
+                part = whole.slice(at, DOCUMENTS_AT_ONCE)
+                owner, refs, held = pc.list_parent_indices(part["refs"]), pc.list_flatten(part["refs"]), pc.list_flatten(part["blocks"])
+                texts = zip(*(pc.struct_field(held, [n]).to_pylist() for n in ("block_id", "text", "start")))
+                each = ({"block_id": b, "text": t, "start": s, "at": k} for k, (b, t, s) in enumerate(texts))
+                documents = [[next(each) for _ in range(n or 0)] for n in pc.list_value_length(part["blocks"]).to_pylist()]
+                rows, last, document = [], None, None
+                for d, *ref, easy in zip(owner.to_pylist(), *(pc.struct_field(refs, [n]).to_pylist() for n in ("block_id", "quote", "occurrence", "lenient"))):
+                    if d != last:
+                        last, document = d, _Document(documents[d])
+                    rows.append(document.resolve(*ref, bool(easy)))
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], names=names)
+                    *found, block = zip(*rows)
+                    bound = [pa.array(c, pa.int32() if t == "int" else pa.string()) for c, t in zip(found, _FOUND.values())]
+                    own = [part["doc_id"].take(owner), *(pc.struct_field(refs, [n]) for n in ("ref_id", *kept))]
+                    taken = pa.array(block, pa.int64())
+                    yield pa.RecordBatch.from_arrays([*bound, *own, *(pc.struct_field(held, [n]).take(taken) for n in told)], names=names)
 
     # merged, not broadcast: what a broadcast would hold is text
-    return asked.join(held.hint("merge"), "doc_id", "left").select("doc_id", "refs", "blocks").mapInArrow(body, ", ".join(f"{n} {t}" for n, t in (kinds | _FOUND).items()))
+    each = asked.join(held.hint("merge"), "doc_id", "left").select("doc_id", "refs", "blocks")
+    return each.mapInArrow(body, ", ".join(f"`{n}` {t}" for n, t in [*_FOUND.items(), *kinds])).select("doc_id", "ref_id", *_FOUND, *kept, *told)

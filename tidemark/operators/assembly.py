@@ -3,7 +3,8 @@
 An emit is taken apart into rows of references (doc_id, slot, pos): a slot is a place of the record that cites. References are bound by the joins of
 functions.resolving, facts are derived on rows by the grammars, and both go back to their document as maps by slot and by place, from which one
 expression builds the record in its own order. Every shuffle after the binding is by doc_id; no row holds more than one document's record.
-References and what they bind to are written once to the shared folder, as several joins read them.
+What references bind to is written once to the shared folder, as facts and slots read it. What the record's parts look up in the whole emit is a
+column of its row, and the hash is taken from the parts, not from the record again.
 
 Defined results: an emit that is no JSON object has the error `emit: not an object`; a null text has no blocks, so whatever is cited is unknown; lists
 that are missing or no lists are empty; an emit of `{}` is a record without objects. Equal doc_ids are the caller's fault: they are taken as one."""
@@ -21,7 +22,7 @@ from pyspark.sql.types import ArrayType, StringType
 from ..functions import grammar, resolving, texts
 from ..plans.store import written
 from .contract import INVISIBLE, normalized_key
-from .sealing import candidate_hash, is_object, listed, text, with_keys
+from .sealing import is_object, listed, text
 
 #: Families of facts by the key of their presence, families about authorization, and what a fact's evidence may cite beside its value.
 PRESENCE_KEY = {"experience": "experience", "compensation": "compensation", "quantity": "quantities", "date": "dates"}
@@ -75,31 +76,32 @@ def _slots(emit: Column) -> Column:
 
 def references(emits: DataFrame) -> DataFrame:
     """doc_id, rank (the slot's place among all), slot, pos, ref_id (the reference's path), block_id, quote, occurrence, lenient, error (of its shape), family (of
-    the fact whose slot it is)."""
-    slots = emits.select("doc_id", F.posexplode(_slots(F.col("emit"))).alias("rank", "s")).select("doc_id", "rank", "s.*")
+    the fact whose slot it is), dollar (what a bare $ means in its document)."""
+    slots = emits.withColumn("dollar", _dollar(F.col("emit"), F.col("text"))).select("doc_id", "dollar", F.posexplode(_slots(F.col("emit"))).alias("rank", "s")).select("doc_id", "dollar", "rank", "s.*")
     items = F.when(F.col("kind") == ONE, F.array("value")).otherwise(F.try_variant_get("value", "$", "array<variant>"))
     nothing = F.col("value").isNull() | F.is_variant_null("value")
     cites = slots.where((F.col("kind") != OPTIONAL) | ~nothing).withColumn("_items", items)
-    misshapen = cites.where("_items is null").select(
-        "doc_id", "rank", "slot", "family", F.lit(0).alias("pos"), F.col("slot").alias("ref_id"), F.lit("expected a non-empty list of references").alias("error"))
-    each = cites.select("doc_id", "rank", "slot", "family", "kind", F.posexplode("_items").alias("pos", "item"))
-    path = F.when(F.col("kind") == ONE, F.col("slot")).otherwise(F.concat("slot", F.lit("["), F.col("pos").cast("string"), F.lit("]")))
-    shaped = each.select(
-        "doc_id", "rank", "slot", "family", "pos", path.alias("ref_id"), text(F.col("item"), "$.block_id").alias("block_id"), text(F.col("item"), "$.text").alias("quote"),
-        F.try_variant_get("item", "$.occurrence", "int").alias("occurrence"), (F.col("kind") == ONE).alias("lenient"),
-        F.when(~is_object(F.col("item")), "expected a reference object").alias("error"))
-    return shaped.unionByName(misshapen, allowMissingColumns=True)
+    # one pass: what is no list has a row without an item
+    each = cites.select("doc_id", "dollar", "rank", "slot", "family", "kind", F.col("_items").isNull().alias("_odd"), F.posexplode_outer("_items").alias("pos", "item")).where("_odd or pos is not null")
+    path = F.when(F.col("_odd") | (F.col("kind") == ONE), F.col("slot")).otherwise(F.concat("slot", F.lit("["), F.col("pos").cast("string"), F.lit("]")))
+    error = F.when(F.col("_odd"), "expected a non-empty list of references").when(~is_object(F.col("item")), "expected a reference object")
+    return each.select(
+        "doc_id", "rank", "slot", "family", F.coalesce("pos", F.lit(0)).alias("pos"), path.alias("ref_id"), text(F.col("item"), "$.block_id").alias("block_id"), text(F.col("item"), "$.text").alias("quote"),
+        F.try_variant_get("item", "$.occurrence", "int").alias("occurrence"), (F.col("kind") == ONE).alias("lenient"), error.alias("error"), "dollar")
 
 
 def contexts(blocks: DataFrame) -> DataFrame:
-    """The blocks with section_heading, label (where the block has a digit: its line, after a short line above it) and dollar (what a bare $ means in
-    its document)."""
-    inside = Window.partitionBy("doc_id")
+    """The blocks with section_heading and label (where the block has a digit: its line, after a short line above it)."""
     own = F.trim("text")
-    above = F.lag(own).over(inside.orderBy("start"))
+    above = F.lag(own).over(Window.partitionBy("doc_id").orderBy("start"))
     label = F.when((above != "") & (F.length(above) <= LABEL_MOST), F.concat_ws(" ", above, own)).otherwise(own)
-    other = F.max(grammar.other_dollar(F.col("text"))).over(inside)
-    return texts.under_headings(blocks).withColumns({"label": F.when(F.col("text").rlike(r"(?U)\d"), label), "dollar": F.when(~other, "USD")})
+    return texts.under_headings(blocks).withColumn("label", F.when(F.col("text").rlike(r"(?U)\d"), label))
+
+
+def _dollar(emit: Column, text_: Column) -> Column:
+    """What a bare $ means in a document whose emit has a fact about pay, by its lines; others are not searched."""
+    paid = F.exists(listed(emit, "$.facts.entries"), lambda x: F.coalesce(text(x, "$.family") == "compensation", F.lit(False)))
+    return F.when(paid, F.when(~F.exists(F.split(text_, "\n", -1), grammar.other_dollar), "USD"))
 
 
 @F.pandas_udf(ArrayType(StringType()))
@@ -140,14 +142,11 @@ def _derived() -> Column:
 
 def _bound(emits: DataFrame) -> DataFrame:
     """The references with what they bind to: ref (null if there is an error) and error, narrow rows in which a text is what one reference cites."""
-    blocks = written(contexts(texts.annotate(emits)), "blocks")
-    refs = written(references(emits), "references")
-    found = resolving.resolved(refs.where("error is null"), blocks, "lenient").withColumnsRenamed({"block_id": "_block", "error": "_missed", "text": "_cited", "occurrence": "_occurrence"})
-    told = refs.join(found.drop("tier"), ["doc_id", "ref_id"], "left").withColumn("error", F.coalesce("error", "_missed"))
-    around = blocks.select("doc_id", F.col("block_id").alias("_block"), "section_heading", "label", "dollar")
-    ref = F.struct("pos", F.col("_block").alias("block_id"), F.col("_cited").alias("text"), "start", "end", F.col("_occurrence").alias("occurrence"), "section_heading")
-    bound = told.join(around, ["doc_id", "_block"], "left").withColumn("ref", F.when(F.col("error").isNull(), ref))
-    return bound.select("doc_id", "rank", "slot", "pos", "ref_id", "family", "ref", "error", F.when(F.col("slot").startswith(FACTS), F.struct("label", "dollar")).alias("pay"))
+    blocks, refs = contexts(texts.annotate(emits)), references(emits).withColumnRenamed("error", "_shape")
+    found = resolving.resolved(refs, blocks, "lenient", ("rank", "slot", "pos", "family", "dollar", "_shape"), ("section_heading", "label")).withColumn("error", F.coalesce("_shape", "error"))
+    ref = F.struct("pos", "block_id", "text", "start", "end", "occurrence", "section_heading")
+    return found.select(
+        "doc_id", "rank", "slot", "pos", "ref_id", "family", F.when(F.col("error").isNull(), ref).alias("ref"), "error", F.when(F.col("slot").startswith(FACTS), F.struct("label", "dollar")).alias("pay"))
 
 
 def _by_slot(bound: DataFrame) -> DataFrame:
@@ -173,7 +172,13 @@ def _facts(bound: DataFrame) -> DataFrame:
 
 
 def _object(**parts: Column | str | None) -> Column:
-    return F.struct(*[(c if isinstance(c, Column) else F.lit(c)).alias(k) for k, c in parts.items()])
+    """An object of the record: its keys are sorted, as in canonical JSON."""
+    return F.struct(*[(c if isinstance(c, Column) else F.lit(c)).alias(k) for k, c in sorted(parts.items())])
+
+
+def _let(value: Column, use) -> Column:
+    """use(value), the value being evaluated once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def _shown(refs: Column) -> Column:
@@ -182,24 +187,29 @@ def _shown(refs: Column) -> Column:
 
 
 def _one(r: Column) -> Column:
-    return F.struct(r["block_id"].alias("block_id"), r["text"].alias("text"), F.array(r["start"], r["end"]).alias("span"), r["occurrence"].alias("occurrence"))
+    return _object(block_id=r["block_id"], text=r["text"], span=F.array(r["start"], r["end"]), occurrence=r["occurrence"])
+
+
+def _texts(values: Column, path: str) -> Column:
+    """The strings at a path of each, without what is none."""
+    return F.filter(F.transform(values, lambda x: text(x, path)), lambda x: x.isNotNull())
 
 
-def _named(ids: Column) -> Column:
-    return F.filter(F.transform(ids, lambda x: text(x)), lambda x: x.isNotNull())
+def _links(ids: Column, known: str) -> Column:
+    """Links, and whether each is live: names an id of the column `known`, which is found once a document and not once a link."""
+    return F.transform(ids, lambda x: F.struct(x.alias("id"), F.coalesce(F.array_contains(F.col(known), text(x)), F.lit(False)).alias("live")))
 
 
-def _pruned(ids: Column, known: Column) -> Column:
+def _pruned(ids: Column, known: str) -> Column:
     """Links without the dangling ones, if one link is live; else as they are."""
-    live = F.filter(ids, lambda x: F.coalesce(F.array_contains(known, text(x)), F.lit(False)))
-    return F.when(F.size(live) > 0, live).otherwise(ids)
+    kept = lambda links: F.when(F.exists(links, lambda x: x["live"]), F.filter(links, lambda x: x["live"])).otherwise(links)["id"]
+    return _let(_links(ids, known), kept)
 
 
-def _lost(path: Column, ids: Column, known: Column) -> Column:
+def _lost(path: Column, ids: Column, known: str) -> Column:
     """The links that pruning drops, as (path, ref_id)."""
-    dead = F.filter(ids, lambda x: ~F.coalesce(F.array_contains(known, text(x)), F.lit(False)))
-    rows = F.transform(dead, lambda x: F.struct(path.alias("path"), x.alias("ref_id")))
-    return F.when(F.size(dead) < F.size(ids), rows).otherwise(F.filter(rows, lambda _: F.lit(False)))
+    dead = lambda links: F.filter(links, lambda x: ~x["live"] & F.exists(links, lambda y: y["live"]))
+    return F.transform(_let(_links(ids, known), dead), lambda x: F.struct(path.alias("path"), x["id"].alias("ref_id")))
 
 
 def _unread() -> Column:
@@ -208,16 +218,21 @@ def _unread() -> Column:
     return F.to_variant_object(F.struct(F.lit("present_unparsed").alias("state"), nothing["quantity"].alias("quantity"), nothing["money"].alias("money"), nothing["date"].alias("date")))
 
 
-def _record(emit: Column, extraction: dict[str, Column]) -> Column:
-    """The record of one row (emit, bound, derived, document_hash), not yet sealed."""
+def _known(emit: Column) -> dict[str, Column]:
+    """What the parts of a record look up in the whole emit, as columns of its row, so that it is found once."""
+    ids = {f"_{of[:-1]}_ids": _texts(listed(emit, f"$.{of}"), "$.id") for of in ("statements", "mentions")}
+    return ids | {"_families": F.transform(listed(emit, "$.facts.entries"), lambda x: text(x, "$.family"))}
+
+
+def _parts(emit: Column) -> dict[str, Column]:
+    """The parts of the record of one row (emit, bound, derived, document_hash and what _known gives), and `dropped_links`; not yet sealed."""
     bound = lambda slot: F.try_element_at("bound", slot)
-    needed = lambda slot: F.coalesce(_shown(bound(slot)), F.filter(_shown(bound(slot)), lambda _: F.lit(False)), F.from_json(F.lit("[]"), "array<struct<block_id:string,text:string,span:array<int>,occurrence:int>>"))
-    optional = lambda slot: F.when(F.size(bound(slot)) > 0, _shown(bound(slot)))
+    needed = lambda slot: F.coalesce(_shown(bound(slot)), F.from_json(F.lit("[]"), "array<struct<block_id:string,occurrence:int,span:array<int>,text:string>>"))
+    optional = lambda slot: _shown(bound(slot))  # noqa: E731  # a slot without a bound reference is not there, as the record is built only where all are bound
     each = lambda of, build: F.transform(listed(emit, f"$.{of}"), lambda x, i: build(x, lambda f: F.concat(_place(of, i), F.lit(f".{f}")), i))
     ids = lambda x, key: listed(x, f"$.{key}")
     plain = lambda x, *keys: {k: _get(x, k) for k in keys}
-    statement_ids = _named(F.transform(listed(emit, "$.statements"), lambda x: _get(x, "id")))
-    mention_ids = _named(F.transform(listed(emit, "$.mentions"), lambda x: _get(x, "id")))
+    statement_ids, mention_ids = "_statement_ids", "_mention_ids"
 
     issues = lambda x, at: F.transform(listed(x, "$.unresolved"), lambda y, j: _object(reason=_get(y, "reason"), evidence=needed(F.concat(at("unresolved["), j.cast("string"), F.lit("].evidence")))))
     statements = each("statements", lambda x, at, i: _object(
@@ -242,14 +257,12 @@ def _record(emit: Column, extraction: dict[str, Column]) -> Column:
         return _object(**plain(x, "id", "family", "date_kind", "component"), statement_ids=ids(x, "statement_ids"), condition_ids=ids(x, "condition_ids"),
                        scope=F.when(is_object(scope), scoped).otherwise(scope), evidence=cites, derived=F.coalesce(F.to_variant_object(F.try_element_at("derived", i)), _unread()))
 
-    families = F.transform(listed(emit, "$.facts.entries"), lambda x: text(x, "$.family"))
-
     def presence(key, family=None):
         at = f"facts.presence.{key}"
         state, evidence = _get(emit, f"{at}.state"), optional(F.lit(f"{at}.evidence"))
         if family:
             claimed = text(state) == "stated"
-            owned = F.when(F.array_contains(families, family), "stated").when(claimed & evidence.isNotNull(), "unresolved").when(claimed, "none_found")
+            owned = F.when(F.array_contains(F.col("_families"), family), "stated").when(claimed & evidence.isNotNull(), "unresolved").when(claimed, "none_found")
             return _object(state=F.coalesce(owned.cast("variant"), state), evidence=evidence)
         return _object(state=state, evidence=evidence, polarity=_get(emit, f"{at}.polarity"), polarity_evidence=optional(F.lit(f"{at}.polarity_evidence")))
 
@@ -272,34 +285,43 @@ def _record(emit: Column, extraction: dict[str, Column]) -> Column:
         F.flatten(each("relations.tracks.items", lambda x, at, i: F.array(
             _lost(at("statement_ids"), ids(x, "statement_ids"), statement_ids), _lost(at("mention_ids"), ids(x, "mention_ids"), mention_ids)))),
         each("mentions", lambda x, at, i: _lost(at("statement_ids"), ids(x, "statement_ids"), statement_ids))))
-    sealed = F.to_variant_object(_object(**extraction, candidate_hash=""))
-    source = _get(emit, "source_assessment.usability")
-    return F.to_variant_object(_object(
-        document=_object(document_hash=F.col("document_hash"), normalizer_version=F.col("normalizer_version"), annotation_version="blocks/1"),
-        source_assessment=_object(usability=source, note=_get(emit, "source_assessment.note"), evidence=optional(F.lit("source_assessment.evidence"))),
-        statements=statements, relations=_object(groups=groups, conditions=conditions, example_sets=examples, tracks=tracks),
-        facts=_object(presence=_object(**{k: presence(k, f) for f, k in PRESENCE_KEY.items()}, **{f: presence(f) for f in AUTHORIZATION}), entries=each("facts.entries", entry)),
-        mentions=mentions, areas=areas, block_accounting=accounting, authorization=authorization,
-        extraction=F.when(F.size(lost) > 0, with_keys(sealed, {"dropped_links": F.to_variant_object(lost)})).otherwise(sealed),
-        quality=_object(source=source, evidence="pass", semantics="not_checked", completeness="not_checked", sampling="not_requested", human_review="none", search_eligible=F.lit(False))))
+    return {
+        "document": _object(document_hash=F.col("document_hash"), normalizer_version=F.col("normalizer_version"), annotation_version="blocks/1"),
+        "source_assessment": _object(usability=_get(emit, "source_assessment.usability"), note=_get(emit, "source_assessment.note"), evidence=optional(F.lit("source_assessment.evidence"))),
+        "statements": statements, "relations": _object(groups=groups, conditions=conditions, example_sets=examples, tracks=tracks),
+        "facts": _object(presence=_object(**{k: presence(k, f) for f, k in PRESENCE_KEY.items()}, **{f: presence(f) for f in AUTHORIZATION}), entries=each("facts.entries", entry)),
+        "mentions": mentions, "areas": areas, "block_accounting": accounting, "authorization": authorization, "dropped_links": lost}
+
+
+def _record(parts: list[str], extraction: dict[str, Column], candidate_hash: Column | str, quality: Column | None) -> Column:
+    """The record of a row whose parts are columns, under a hash; dropped links are told only if there are any."""
+    of = lambda **more: F.to_variant_object(_object(**extraction, candidate_hash=candidate_hash, **more))
+    told = F.when(F.size("dropped_links") > 0, of(dropped_links=F.col("dropped_links"))).otherwise(of())
+    return _object(**{n: F.col(n) for n in parts if n != "dropped_links"}, extraction=told, quality=quality)
 
 
 def assemble(extractions: DataFrame, extraction: dict[str, Column]) -> DataFrame:
     """From extractions (doc_id, emit: JSON, text, document_hash, normalizer_version) and the fields of a record's `extraction` (its model, versions,
     time and parent, as columns of that table): doc_id, record (VARIANT, null if there are errors), candidate_hash, errors."""
     parsed = F.try_parse_json(F.col("_json"))
-    e = extractions.withColumnRenamed("emit", "_json").withColumn("emit", F.when(is_object(parsed), parsed))
+    e = extractions.withColumnRenamed("emit", "_json").withColumn("emit", F.when(F.col("_json").rlike(r"^[ \t\n\r]*\{"), parsed))
     bound = written(_bound(e.select("doc_id", "emit", F.coalesce("text", F.lit("")).alias("text"))), "bound")
     by_slot, facts = _by_slot(bound), _facts(bound)
     whole = e.drop("text").join(by_slot, "doc_id", "left").join(facts, "doc_id", "left")
     whole = whole.withColumn("bound", F.coalesce("bound", F.from_json(F.lit("{}"), by_slot.schema["bound"].dataType)))
-    odd = F.col("_json").rlike(INVISIBLE) | F.col("_json").rlike(r"\\u")
+    odd = F.col("_json").contains("\\u") | F.regexp_replace("_json", "[ -~]+", "").rlike(INVISIBLE)  # few characters are left to be looked at one by one
     unseen = _character_errors(F.when(F.col("emit").isNotNull() & odd, F.col("_json")))
     none = F.array().cast("array<string>")
     shape = F.when(F.col("emit").isNull(), F.array(F.lit("emit: not an object"))).otherwise(none)
     whole = whole.withColumn("errors", F.concat(shape, F.coalesce(unseen, none), F.coalesce("errors", none)))
-    built = whole.withColumn("_record", F.when(F.size("errors") == 0, _record(F.col("emit"), extraction)))
-    hashed = built.withColumn("candidate_hash", candidate_hash(F.col("_record")))
-    sealed = with_keys(F.col("_record"), {"extraction": with_keys(_get(F.col("_record"), "extraction"), {"candidate_hash": F.col("candidate_hash")})})
-    return hashed.select("doc_id", F.when(F.col("_record").isNotNull(), sealed).alias("record"), "candidate_hash", "errors")
-
+    parts = {f"_{n}": c for n, c in _parts(F.col("emit")).items()}
+    names, told = [n[1:] for n in parts], {f"_given_{k}": c for k, c in extraction.items()}
+    good = F.size("errors") == 0
+    built = whole.withColumns(_known(F.col("emit")) | told).select("doc_id", "errors", *told, F.when(good, F.struct(*[c.alias(n[1:]) for n, c in parts.items()])).alias("_r"), F.col("emit"))
+    built = built.select("doc_id", "errors", *told, *[F.col(f"_r.{n}").alias(n) for n in names], F.when(good, _get(F.col("emit"), "source_assessment.usability")).alias("_source"))
+    given = {k: F.col(f"_given_{k}") for k in extraction}
+    # the parts are made once; the hash is that of the record without its quality and its own hash
+    shadow = F.to_json(_record(names, given, "", None), {"ignoreNullFields": "false"})
+    hashed = built.withColumn("candidate_hash", F.when(good, F.sha2(shadow, 256)))
+    quality = _object(source=F.col("_source"), evidence="pass", semantics="not_checked", completeness="not_checked", sampling="not_requested", human_review="none", search_eligible=F.lit(False))
+    return hashed.select("doc_id", F.when(good, F.to_variant_object(_record(names, given, F.col("candidate_hash"), quality))).alias("record"), "candidate_hash", "errors")
